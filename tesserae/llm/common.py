@@ -53,6 +53,7 @@ class Interner(dict):
         super().__init__()
         self.limit = limit
         self.fresh: list = []
+        self.held = 0
 
     def __missing__(self, key):
         n = self[key] = len(self)
@@ -61,14 +62,16 @@ class Interner(dict):
 
     def take_fresh(self) -> list:
         out, self.fresh = self.fresh, []
+        self.held += sum(map(len, out))
         return out
 
     @property
     def full(self) -> bool:
-        return len(self) > self.limit
+        return len(self) > self.limit or self.held > 40 * self.limit
 
     def reset(self) -> None:
         self.clear()
+        self.held = 0
         self.fresh = []
 
 

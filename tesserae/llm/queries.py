@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid
+from . import langid, packing
 from .common import table
 
 
@@ -13,7 +13,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op3(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_packing": op3_packing,
     "op10_language_id": op10_language_id,
 }
 
