@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing
+from . import langid, packing, spotsigs
 from .common import table
 
 
@@ -17,8 +17,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.op4(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_spotsigs": op4_spotsigs,
     "op10_language_id": op10_language_id,
 }
 
