@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, spotsigs
+from . import interleave, langid, packing, spotsigs, wrappers
 from .common import table
 
 
@@ -21,9 +21,19 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.op5(table(spark, sf_dir, "pages"))
+
+
+def op6_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleave.op6(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_packing": op3_packing,
     "op4_spotsigs": op4_spotsigs,
+    "op5_wrapper_induction": op5_wrapper_induction,
+    "op6_interleave": op6_interleave,
     "op10_language_id": op10_language_id,
 }
 
