@@ -51,7 +51,7 @@ class Spotter:
     """Signature sets of texts; one for each Python worker, with a bounded word table."""
 
     def __init__(self) -> None:
-        self.words = Interner()
+        self.words = Interner(150_000)
         self.hash = np.zeros(1 << 14, dtype=np.uint64)
         self.kind = np.zeros(1 << 14, dtype=np.int8)  # 0 no word, 1 content, 2 anchor
 
