@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import interleave, langid, packing, spotsigs, wrappers
+from . import compaction, interleave, langid, packing, spotsigs, transducer, wrappers
 from .common import table
 
 
@@ -29,12 +29,22 @@ def op6_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave.op6(table(spark, sf_dir, "documents"))
 
 
+def op8_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.op8(table(spark, sf_dir, "documents"))
+
+
+def op9_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.op9(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_packing": op3_packing,
     "op4_spotsigs": op4_spotsigs,
     "op5_wrapper_induction": op5_wrapper_induction,
     "op6_interleave": op6_interleave,
+    "op8_compaction": op8_compaction,
+    "op9_transducer": op9_transducer,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_compaction": compaction.OP8_SQL}
