@@ -18,6 +18,7 @@ never joined.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from dataclasses import dataclass
@@ -141,7 +142,8 @@ class ShardStore:
         for lo in range(0, len(runs), RUNS_A_JOB):
             parts = [self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.name}" for s in run]).coalesce(1) for run in runs[lo : lo + RUNS_A_JOB]]
             folder = f"data/merged-{uuid.uuid4().hex}"
-            reduce(DataFrame.union, parts).write.parquet(f"{self.root}/{folder}")
+            with _separate_unions(self.spark):
+                reduce(DataFrame.union, parts).write.parquet(f"{self.root}/{folder}")
             fresh += self._written(folder)
         gone = {s.name for run in runs for s in run}
         return self.commit(base, [*(s for s in shards if s.name not in gone), *fresh], base["schema"])
@@ -169,6 +171,21 @@ class ShardStore:
         return removed
 
 
+@contextlib.contextmanager
+def _separate_unions(spark: SparkSession):
+    """Keeps a union's single-partition inputs apart; Spark would else join them in one task."""
+    key = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def _shards(held: dict) -> list[Shard]:
     return [Shard(n, size) for n, size in held["shards"]]
 
