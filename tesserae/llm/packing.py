@@ -69,7 +69,7 @@ class WordTokenizer:
     Any other word goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 900_000) -> None:
+    def __init__(self, path: str, limit: int = 1_200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,7 +77,7 @@ class WordTokenizer:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.words = Interner(limit)
-        self.cores = Memo(self._core, limit // 2)
+        self.cores = Memo(self._core, limit * 3 // 4)
         self.tails = Memo(self._whole, 50_000)
         self._clear()
 
@@ -141,17 +141,23 @@ def candidates(doc_sizes: np.ndarray, sentence_ends: np.ndarray, spot: int = SPO
     """Cut positions in a block, ascending, and their penalties. Gaps of over ``spot`` tokens
     get a spot inside every ``spot`` tokens."""
     doc_ends = np.cumsum(doc_sizes)
-    at = np.unique(np.concatenate([doc_ends, sentence_ends]))
-    at = at[at > 0]
+    spots = np.concatenate([doc_ends, sentence_ends])
+    kinds = np.concatenate([np.zeros(len(doc_ends)), np.full(len(sentence_ends), SENTENCE)])
+    order = np.argsort(spots, kind="stable")
+    at, penalty = spots[order], kinds[order]
+    first = np.concatenate([[True], at[1:] != at[:-1]]) & (at > 0)  # a document's end comes before a sentence's
+    at, penalty = at[first], penalty[first]
     before = np.concatenate([[0], at[:-1]])
     more = np.maximum((at - before - 1) // spot, 0)
     if more.sum():
         k = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
-        inside = np.repeat(before, more) + spot * (k + 1)
-        at = np.union1d(at, inside)
-    penalty = np.full(len(at), INSIDE)
-    penalty[np.isin(at, sentence_ends)] = SENTENCE
-    penalty[np.isin(at, doc_ends)] = 0.0
+        own = np.arange(len(at)) + np.cumsum(more)
+        both, cost = np.empty(len(at) + len(k), dtype=np.int64), np.full(len(at) + len(k), INSIDE)
+        inside = np.ones(len(both), dtype=bool)
+        inside[own] = False
+        both[own], cost[own] = at, penalty
+        both[inside] = np.repeat(before, more) + spot * (k + 1)
+        at, penalty = both, cost
     return at, penalty
 
 
@@ -232,7 +238,8 @@ class _Stream:
         ends = np.concatenate([d[2] + b for d, b in zip(self.docs, begin)])
         cuts = np.array(choose_cuts(*candidates(sizes, ends), self.window, final=final), dtype=np.int64)
         done = int(cuts[-1])
-        edges = np.unique(np.concatenate([[0], cuts, stop[stop <= done]]))
+        edges = np.sort(np.concatenate([[0], cuts, stop[stop <= done]]))
+        edges = edges[np.concatenate([[True], edges[1:] != edges[:-1]])]
         left, right = edges[:-1], edges[1:]
         doc = np.searchsorted(stop, left, side="right")
         seq = np.searchsorted(cuts, left, side="right")
