@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compaction, interleave, langid, packing, spotsigs, transducer, wrappers
+from . import bagminhash, compaction, interleave, langid, packing, spotsigs, transducer, wrappers
 from .common import table
 
 
@@ -37,11 +37,16 @@ def op9_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.op9(table(spark, sf_dir, "documents"))
 
 
+def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.op7(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_packing": op3_packing,
     "op4_spotsigs": op4_spotsigs,
     "op5_wrapper_induction": op5_wrapper_induction,
     "op6_interleave": op6_interleave,
+    "op7_bagminhash": op7_bagminhash,
     "op8_compaction": op8_compaction,
     "op9_transducer": op9_transducer,
     "op10_language_id": op10_language_id,
