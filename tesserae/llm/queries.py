@@ -5,10 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, compaction, interleave, langid, packing, spotsigs, transducer, wrappers
+from . import bagminhash, compaction, interleave, langid, packing, repeats, spotsigs, transducer, wrappers
 from .common import table
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.op1(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op3_packing": op3_packing,
     "op4_spotsigs": op4_spotsigs,
     "op5_wrapper_induction": op5_wrapper_induction,
