@@ -106,8 +106,8 @@ class Transducer:
         self.runs = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.halves = Memo(self._halves, 100_000)
         self.ordered = Memo(self._ordered, 100_000)
-        self.stable = Memo(self._is_stable, 300_000)
-        self.known = Memo(self._path, 300_000)
+        self.stable = Memo(self._is_stable, 500_000)
+        self.known = Memo(self._path, 600_000)
 
     def _merge(self, text: str, least: int = 1) -> list[str]:
         """Merges by score, leftmost first among equals, down to ``least`` parts."""
