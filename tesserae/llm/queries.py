@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, compaction, interleave, langid, packing, repeats, spotsigs, transducer, wrappers
+from . import bagminhash, bloomlm, compaction, interleave, langid, packing, repeats, spotsigs, transducer, wrappers
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloomlm.op2(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_repeats": op1_repeats,
+    "op2_bloom_lm": op2_bloom_lm,
     "op3_packing": op3_packing,
     "op4_spotsigs": op4_spotsigs,
     "op5_wrapper_induction": op5_wrapper_induction,
