@@ -11,9 +11,9 @@ of time until they pass the latest component, so a long text needs few points be
 ``BANDS`` bands of ``ROWS`` components propose groups of texts; a pair of likeness 0.8 is missed
 with a probability under 5e-5. Texts with equal multisets collapse first. Within a group, the
 member that shares the most groups is compared with the others (a star, not all pairs); links are
-joined to classes; after that, only members of different classes are compared: class leaders with
-members of other classes in large groups, then all pairs that still lie across classes. Every
-candidate is verified on its exact multiset overlap. Comparisons with one leader are dealt over
+joined to classes; after that, only members of different classes are compared: all such pairs in
+small groups, and in large ones those that an exact prefix filter on the rarest shingles leaves.
+Every candidate is verified on its exact multiset overlap. Comparisons with one leader are dealt over
 many tasks, its multiset being sent to each.
 
 Edge cases: words are runs of letters and digits, in lower case. A text of fewer words than a
@@ -252,6 +252,87 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return dealt.select("a", "deal", "id", "role", "bag").mapInArrow(apply, "a long, b long")
 
 
+def _needed(n, m, threshold: float):
+    """The least overlap of two sets of these sizes at the threshold."""
+    return np.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
+
+
+def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(a, b)`` of ``(id, label, bag)`` rows of different labels that can reach the
+    threshold, by an exact prefix filter.
+
+    A set's elements are ordered from the rarest. Two sets at the threshold share one of the
+    first ``n - ceil(threshold * n) + 1`` of either, and what remains after the first shared one
+    bounds their overlap. Elements that only one set holds come first and cost nothing. Elements
+    travel packed, by their hash: once to be counted, once (prefixes only) to meet.
+    """
+    owners = shuffle_partitions(sets.sparkSession)
+    source = sets.select(F.pmod(F.xxhash64("id"), F.lit(owners)).cast("long").alias("batch"), "id", "label", "bag").groupBy("batch")
+    message = "to long, batch long, payload binary"
+    kinds = (pa.int64(), pa.int64(), pa.binary())
+
+    def table(rows: list[tuple]) -> pa.Table:
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 3, kinds)], names=["to", "batch", "payload"])
+
+    def elements(batch: pa.Table):
+        bags = [np.frombuffer(b.as_py(), dtype=np.uint64) for c in batch.column("bag").chunks for b in c]
+        keys, place, counts = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+        owner = (keys >> np.uint64(33)).astype(np.int64) % owners
+        order = np.argsort(owner, kind="stable")
+        return bags, keys, place, counts, order, np.searchsorted(owner[order], np.arange(owners + 1))
+
+    def ask(batch: pa.Table) -> pa.Table:
+        _, keys, _, counts, order, cuts = elements(batch)
+        n = batch.column("batch")[0].as_py()
+        return table([(o, n, keys[order[lo:hi]].tobytes() + counts[order[lo:hi]].astype(np.int64).tobytes()) for o, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo])
+
+    def count(batch: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(p.as_py(), dtype=np.uint64).reshape(2, -1) for c in batch.column("payload").chunks for p in c]
+        keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([p[1] for p in parts]).astype(np.float64)).astype(np.int64)
+        out = np.split(total[place], np.cumsum([p.shape[1] for p in parts])[:-1])
+        return table([(batch.column("to")[0].as_py(), b, x.tobytes()) for b, x in zip(batch.column("batch").to_pylist(), out)])
+
+    def heads(batch: pa.Table, heard: pa.Table) -> pa.Table:
+        if not batch.num_rows:
+            return table([])
+        bags, keys, place, _, order, cuts = elements(batch)
+        held = np.zeros(len(keys), dtype=np.int64)
+        for o, p in zip(heard.column("to").to_pylist(), heard.column("payload").to_pylist()):
+            held[order[cuts[o] : cuts[o + 1]]] = np.frombuffer(p, dtype=np.int64)
+        found, at = [], 0
+        for own, label, bag in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), bags):
+            here = place[at : at + len(bag)]
+            at += len(bag)
+            n = len(bag)
+            rank = np.lexsort((bag, held[here]))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
+            spot = np.flatnonzero(held[here[rank]] > 1)
+            found.append(np.stack([bag[rank[spot]].view(np.int64), *(np.full(len(spot), v) for v in (own, label, n)), spot]))
+        all_ = np.concatenate(found, axis=1)
+        owner = (all_[0].view(np.uint64) >> np.uint64(33)).astype(np.int64) % owners
+        return table([(int(o), 0, np.ascontiguousarray(all_[:, owner == o]).tobytes()) for o in np.unique(owner)])
+
+    def meet(batch: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(p.as_py(), dtype=np.int64).reshape(5, -1) for c in batch.column("payload").chunks for p in c]
+        x = np.concatenate(parts, axis=1)
+        x = x[:, np.lexsort((x[1], x[0]))]
+        begin = np.flatnonzero(np.concatenate([[True], x[0, 1:] != x[0, :-1]]))
+        pairs: set[tuple[int, int]] = set()
+        for lo, hi in zip(begin, np.append(begin[1:], x.shape[1])):
+            if hi - lo < 2 or (x[2, lo:hi] == x[2, lo]).all():
+                continue
+            _, own, label, n, spot = x[:, lo:hi]
+            for i in range(len(own) - 1):
+                j = np.arange(i + 1, len(own))
+                fits = (label[j] != label[i]) & (np.minimum(n[i] - spot[i], n[j] - spot[j]) >= _needed(n[i], n[j], threshold))
+                pairs.update((int(own[i]), int(b)) for b in own[j[fits]])
+        out = sorted((min(p), max(p)) for p in pairs if p[0] != p[1])
+        return pa.table([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+
+    counted = source.applyInArrow(ask, message).groupBy("to").applyInArrow(count, message)
+    return source.cogroup(counted.groupBy("batch")).applyInArrow(heads, message).groupBy("to").applyInArrow(meet, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, class_id`` of every row, and ``id``, the key of the class member it equals."""
     rows = staged(sketch(docs, text, key, shingle=shingle), "sketch")
@@ -278,16 +359,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
         return staged(now.join(mixed, "band"), "mixed")
 
     left = classed()
-    large = left.where(F.col("size") > LARGE_GROUP)
-    heads = large.groupBy("band", "label").agg((-F.max(first)["col2"]).alias("a")).withColumnRenamed("label", "of")
-    across = large.join(heads, "band").where(F.col("label") != F.col("of")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    more = staged(verified(across, bags, threshold), "links")
-    if more.limit(1).count():
-        links = links.union(more)
-        labels = components(links)
-        left = classed()
-    other = left.select("band", F.col("id").alias("b"), F.col("label").alias("of"))
-    rest = left.join(other, "band").where((F.col("id") < F.col("b")) & (F.col("label") != F.col("of"))).select(F.col("id").alias("a"), "b").distinct()
+    small = left.where(F.col("size") <= LARGE_GROUP).select("band", "id", "label")
+    other = small.select("band", F.col("id").alias("b"), F.col("label").alias("of"))
+    near = small.join(other, "band").where((F.col("id") < F.col("b")) & (F.col("label") != F.col("of"))).select(F.col("id").alias("a"), "b")
+    large = left.where(F.col("size") > LARGE_GROUP).select("id", "label").distinct()
+    rest = near.union(prefix_pairs(large.join(bags, "id"), threshold)).distinct()
     more = staged(verified(rest, bags, threshold), "links")
     if more.limit(1).count():
         labels = components(links.union(more))
