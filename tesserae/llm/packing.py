@@ -41,7 +41,8 @@ SENTENCE, INSIDE = 4.0, 20.0
 SPOT = 64
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_PLAIN = re.compile("([^\\W\\d_]+)([!-/:-@\\[-`{-~]*)")
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+BLOCK_CHARS = 300_000
 _ENDS = (".", "!", "?", "。", "…")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, sequence_length long"
 
@@ -97,12 +98,15 @@ class WordTokenizer:
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if m := _PLAIN.fullmatch(word):
-            core = m[1]
-            if core.isascii() or (core.isalpha() and "\u03a3" not in core and unicodedata.is_normalized("NFC", core)):
-                low = core.lower()
-                if low.isalpha() and len(low) < 200:
-                    return self.cores[low] + self.tails[m[2]] if m[2] else self.cores[low]
+        core = word if word.isalpha() else word.rstrip(_PUNCTUATION)
+        if core.isascii():
+            if core.isalpha() and len(core) < 200:
+                low = self.cores[core.lower()]
+                return low if core is word else low + self.tails[word[len(core) :]]
+        elif core.isalpha() and "\u03a3" not in core and len(core) < 200 and unicodedata.is_normalized("NFC", core):
+            low = core.lower()
+            if low.isalpha():
+                return self.cores[low] + self.tails[word[len(core) :]]
         return self._whole(word)
 
     def _learn(self) -> None:
@@ -123,18 +127,25 @@ class WordTokenizer:
         self.ends[first:need] = [w.endswith(_ENDS) for w in fresh]
         self.used += total
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The ids, and the number of ids up to the end of each word that ends a sentence."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the ids, and the number of ids up to the end of each word that ends a sentence."""
         if self.words.full:
             self._clear()
-        odd = any(x in text for x in _SEPARATORS)
-        rows = np.fromiter(map(self.words.__getitem__, filter(None, _SPACE.split(text)) if odd else text.split()), dtype=np.int64)
+        rows = []
+        for text in texts:
+            odd = any(x in text for x in _SEPARATORS)
+            rows.append(np.fromiter(map(self.words.__getitem__, filter(None, _SPACE.split(text)) if odd else text.split()), dtype=np.int64))
         self._learn()
-        size = self.size[rows]
+        flat = np.concatenate(rows)
+        size = self.size[flat]
         upto = np.cumsum(size)
         total = int(upto[-1]) if len(upto) else 0
-        at = np.arange(total) + np.repeat(self.begin[rows] - (upto - size), size)
-        return self.ids[at], upto[self.ends[rows]]
+        ids = self.ids[np.arange(total) + np.repeat(self.begin[flat] - (upto - size), size)]
+        word = np.cumsum([0, *map(len, rows)])
+        at = np.concatenate([[0], upto])[word]
+        spots = np.flatnonzero(self.ends[flat])
+        cut, ends = np.searchsorted(spots, word), upto[spots]
+        return [(ids[a:b], ends[c:d] - a) for a, b, c, d in zip(at[:-1].tolist(), at[1:].tolist(), cut[:-1].tolist(), cut[1:].tolist())]
 
 
 def candidates(doc_sizes: np.ndarray, sentence_ends: np.ndarray, spot: int = SPOT) -> tuple[np.ndarray, np.ndarray]:
@@ -268,23 +279,30 @@ def pack(
     path = tokenizer or default_tokenizer()
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
     kinds = [pa.int64()] * 8 + [pa.list_(pa.int32())] * with_ids
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"] + ["ids"] * with_ids
+    fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"] + ["ids"] * with_ids
 
     def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(found), 20_000):
             part = list(zip(*found[lo : lo + 20_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds)], names=fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _tokenizer(path)
         stream = _Stream(window, TaskContext.get().partitionId() << 33)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids, ends = words.encode(value.as_py() or "")
-                stream.add(doc_id, np.concatenate([ids, end]), ends)
-                if stream.tokens >= block_tokens:
-                    yield from rows(stream.flush(False))
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            lo = 0
+            while lo < len(names):
+                block, amount = [], 0
+                while lo + len(block) < len(names) and amount < BLOCK_CHARS:
+                    block.append(texts[lo + len(block)].as_py() or "")
+                    amount += len(block[-1])
+                for doc_id, (ids, ends) in zip(names[lo:], words.encode(block)):
+                    stream.add(doc_id, np.concatenate([ids, end]), ends)
+                    if stream.tokens >= block_tokens:
+                        yield from rows(stream.flush(False))
+                lo += len(block)
         yield from rows(stream.flush(True))
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(apply, schema)
