@@ -167,11 +167,13 @@ def _digest(bag: np.ndarray) -> bytes:
 
 def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.xxhash64(body)).alias("id"), body.alias("text"))
+    mark = F.xxhash64(body)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), mark).alias("id"), mark.alias("mark"), body.alias("text"))
 
 
 def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, id, digest, bands`` of each row; equal multisets have equal digests. Map-only."""
+    """``doc_id, id, mark, digest, bands`` of each row: the id (for a null one a hash of the text),
+    a hash of the text, and a digest that equal multisets share. Map-only."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _shingler(shingle)
@@ -180,35 +182,35 @@ def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle:
             place = {d: i for i, d in enumerate(bags)}
             keys = band_keys(signatures(list(bags.values())))
             empty = [not len(b) for b in bags.values()]
-            bands = [None if empty[place[r[2]]] else keys[place[r[2]]] for r in rows]
+            bands = [None if empty[place[r[3]]] else keys[place[r[3]]] for r in rows]
             columns = [*zip(*rows), bands]
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "id", "digest", "bands"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "id", "mark", "digest", "bands"])
 
         for batch in batches:
             rows: list[tuple] = []
             bags: dict[bytes, np.ndarray] = {}
             amount = 0
-            for doc_id, own, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for doc_id, own, mark, x in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 bag = words.bag(x.as_py())
                 d = _digest(bag)
                 if d not in bags:
                     bags[d] = bag
                     amount += len(bag)
-                rows.append((doc_id, own, d))
+                rows.append((doc_id, own, mark, d))
                 if amount > 150_000:
                     yield made(rows, bags)
                     rows, bags, amount = [], {}, 0
             if rows:
                 yield made(rows, bags)
 
-    return _keyed(docs, text, key).mapInArrow(apply, "doc_id long, id long, digest binary, bands array<long>")
+    return _keyed(docs, text, key).mapInArrow(apply, "doc_id long, id long, mark long, digest binary, bands array<long>")
 
 
 def _bags_of(docs: DataFrame, wanted: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
-    """``id, bag`` (packed occurrences) of the wanted ``(id, digest)``; a row that has the id but
-    another multiset is passed over."""
-    joined = wanted.join(_keyed(docs, text, key).select("id", "text"), "id").select("id", "digest", "text")
+    """``id, bag`` (packed occurrences) of the wanted ``(id, of, digest)``, where ``of`` is the
+    document that has the multiset ``id``; a row of that document with another one is passed over."""
+    joined = wanted.join(_keyed(docs, text, key).select(F.col("id").alias("of"), "text"), "of").select("id", "digest", "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _shingler(shingle)
@@ -334,16 +336,17 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, class_id`` of every row, and ``id``, the key of the class member it equals."""
+    """``doc_id, class_id`` of every row, its ``id`` and text hash ``mark``, and whether it is the
+    one of its class to ``keep``."""
     rows = staged(sketch(docs, text, key, shingle=shingle), "sketch")
-    texts = rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    texts = staged(texts, "texts")
+    texts = rows.groupBy("digest").agg(F.min("id").alias("of"), F.first("bands").alias("bands"))
+    texts = staged(texts.withColumn("id", F.xxhash64("digest")), "texts")  # what is linked are distinct multisets
     spread = texts.where(F.col("bands").isNotNull()).select("id", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     members = staged(spread.join(shared, "band"), "members")
     rank = members.groupBy("id").agg(F.sum("size").alias("rank"))
     members = staged(members.join(rank, "id"), "members")
-    wanted = rank.select("id").join(texts.select("id", "digest"), "id")
+    wanted = rank.select("id").join(texts.select("id", "of", "digest"), "id")
     bags = staged(_bags_of(docs, wanted, text, key, shingle), "bags")
     first = F.struct(F.col("rank"), -F.col("id"))
 
@@ -367,8 +370,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     more = staged(verified(rest, bags, threshold), "links")
     if more.limit(1).count():
         labels = components(links.union(more))
-    of = texts.select("digest", "id").join(labels, "id", "left").select("digest", "id", F.coalesce("label", "id").alias("class_id"))
-    return rows.select("doc_id", "digest").join(of, "digest").select("doc_id", "class_id", "id")
+    of = staged(texts.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("label")), "classes")
+    rows = rows.select("doc_id", "id", "mark", "digest").join(of, "digest")
+    first = rows.groupBy("label").agg(F.min(F.struct("id", "mark")).alias("first"))
+    return rows.join(first, "label").select("doc_id", F.col("first.id").alias("class_id"), "id", "mark", (F.struct("id", "mark") == F.col("first")).alias("keep"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The documents, all columns kept, of which one of each near-duplicate class stays: the one
+    of the least id (among rows of one id the least text hash; of equal rows any one)."""
+    kept = near_duplicates(docs, text, key, **options).where("keep").select(F.col("id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    own = docs.withColumn("_mark", mark).withColumn("_id", F.coalesce(F.col(key).cast("long"), mark))
+    return own.join(kept, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -200,7 +200,7 @@ def fit_chain_model(
                 for p, g, h in ((weights, grad, g2w), (trans, gt, g2t), (start, gs, g2s)):
                     h += g * g
                     p += rate * g / np.sqrt(h)
-    return ChainModel(labels, weights.astype(np.float32), np.exp(trans - trans.max()).astype(np.float32), np.exp(start - start.max()).astype(np.float32), lexicon)
+    return ChainModel(labels, weights.astype(np.float32), np.exp(trans - trans.max(initial=0.0)).astype(np.float32), np.exp(start - start.max(initial=0.0)).astype(np.float32), lexicon)
 
 
 class Tagger:
@@ -226,8 +226,9 @@ class Tagger:
         rows = [word_features(c, self.model.lexicon, self.bucket) if c else [0] for c in cores]
         begin = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]]).astype(np.int64)
         flat = np.fromiter((x for r in rows for x in r), dtype=np.int64)
-        score = np.add.reduceat(self.model.weights[flat], begin, axis=0)
-        self.emit[first:need] = np.maximum(np.exp(score - score.max(1, keepdims=True)), 1e-30)
+        if self.model.labels:
+            score = np.add.reduceat(self.model.weights[flat], begin, axis=0)
+            self.emit[first:need] = np.maximum(np.exp(score - score.max(1, keepdims=True)), 1e-30)
         self.letters[first:need] = [bool(c) for c in cores]
 
     def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -300,12 +301,12 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
 _TAGGERS: dict = {}
 
 
-def identify(docs: DataFrame, model: ChainModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to the columns ``keep`` (all by default). A narrow, map-only
+def identify(docs: DataFrame, model: ChainModel, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the label and its score, called ``names``, to the columns ``keep`` (all by default). A narrow, map-only
     operator: rows stay where they are and no shuffle occurs."""
     keep = docs.columns if keep is None else keep
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text_in"))
-    schema = source.drop("_text_in").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    schema = source.drop("_text_in").withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0.0)).schema
     shared = source.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,15 +314,15 @@ def identify(docs: DataFrame, model: ChainModel, text: str = "text", keep: list[
         if tagger is None or tagger.model is not shared.value:
             _TAGGERS.clear()
             tagger = _TAGGERS[id(shared.value)] = Tagger(shared.value)
-        names = np.array([*tagger.model.labels, UNDETERMINED], dtype=object)
+        labels = np.array([*tagger.model.labels, UNDETERMINED], dtype=object)
         for batch in batches:
             total, size = tagger.totals(batch.column(len(keep)).to_pylist())
             best = total.argmax(1)
-            known = (size > 0) & (len(names) > 1)
+            known = (size > 0) & (len(labels) > 1)
             score = np.where(known, np.clip(total[np.arange(len(best)), best] / np.maximum(size, 1), 0, 1), 0.0)
-            pred = names[np.where(known, best, len(names) - 1)] if len(best) else names[:0]
+            pred = labels[np.where(known, best, len(labels) - 1)] if len(best) else labels[:0]
             columns = [*batch.columns[: len(keep)], pa.array(list(pred), pa.string()), pa.array(np.round(score, 6), pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
     return source.mapInArrow(apply, schema)
 
