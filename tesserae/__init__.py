@@ -1 +1 @@
-"""Tesserae: a document-search and data-processing engine on Spark."""
+"""Tesserae: a document-search analytics engine on Spark DataFrames."""

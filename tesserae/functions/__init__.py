@@ -1 +1 @@
-"""Tesserae: a document-search and data-processing engine on Spark."""
+"""Column functions over text, metadata and chunks."""

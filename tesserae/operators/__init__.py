@@ -1 +1 @@
-"""Tesserae: a document-search and data-processing engine on Spark."""
+"""DataFrame operators: lookups, joins, search, fusion, tags, ingestion."""

@@ -1 +1 @@
-"""Tesserae: a document-search and data-processing engine on Spark."""
+"""Whole-query plans and the registry of queries."""

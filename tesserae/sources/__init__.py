@@ -1 +1 @@
-"""Tesserae: a document-search and data-processing engine on Spark."""
+"""Readers: files by glob patterns, loader objects, tables."""

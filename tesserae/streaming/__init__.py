@@ -1 +1 @@
-"""Tesserae: a document-search and data-processing engine on Spark."""
+"""A Structured Streaming front end for ingestion."""
