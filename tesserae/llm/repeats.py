@@ -10,8 +10,11 @@ is least among the 35 in that stretch, chosen alike in both. So the work is deal
    task that owns the hash, which answers which of them occur in two different texts. Texts that
    equal one of a smaller id are found in the same exchange; they go wholly.
 2. For each shared anchor a batch sends the bytes around it (84 at most, each distinct one once,
-   with its least id). The owner aligns the contexts of an anchor and groups equal ``LENGTH``-byte
-   strings at each of the 35 offsets, checks the bytes, and answers which strings have a smaller id.
+   with its least id). The owner reads the contexts as symbols of ``BLOCK`` bytes aligned at the
+   anchor and builds the suffix array of all of them by linear grouping (``grouping``). Strings
+   that agree in their full blocks are neighbours there; at each of the 35 offsets the bytes at
+   both ends split these groups, a byte-by-byte check follows, and the answer says which strings
+   a smaller id holds.
 3. Batches turn the answers into removed spans.
 
 The texts are shuffled once (the three passes read the same exchange); messages hold a few bytes
@@ -35,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
+from .grouping import suffix_array
 
 LENGTH = 50
 ANCHOR = 16
 REACH = LENGTH - ANCHOR  # bytes on either side of an anchor that a string with it can reach
 OFFSETS = REACH + 1
 CONTEXT = ANCHOR + 2 * REACH
+BLOCK = 14  # a sixth of a context; every string of LENGTH bytes holds two blocks in full
 NO_ID = np.iinfo(np.int64).max
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 MESSAGE = "to long, batch long, kind int, payload binary"
@@ -160,12 +165,12 @@ class Batch:
         left, right = self.context[:, CONTEXT].astype(np.int64), self.context[:, CONTEXT + 1].astype(np.int64)
         out: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)] * len(self.data)
         bits = mask[self.record]
-        j = np.arange(OFFSETS, dtype=np.uint64)
-        hit = ((bits[:, None] >> j) & np.uint64(1)).astype(bool)
-        steps = np.arange(OFFSETS)
-        whole = (steps >= REACH - left[:, None]) & (steps + ANCHOR <= ANCHOR + right[:, None]) if len(left) else hit
-        hit = np.where(later[:, None], whole, hit)
-        rows, cols = np.nonzero(hit)
+        found = []
+        for j in range(OFFSETS):
+            whole = later & (j >= REACH - left) & (j <= right)
+            rows = np.flatnonzero(whole | (~later & ((bits >> np.uint64(j)) & np.uint64(1) > 0)))
+            found.append((rows, np.full(len(rows), j)))
+        rows, cols = (np.concatenate(x) for x in zip(*found))
         doc = self.doc[self.picked[rows]]
         start = self.at[self.picked[rows]] - REACH + cols
         order = np.lexsort((start, doc))
@@ -223,6 +228,50 @@ def answer_digests(payloads: list[bytes]) -> list[bytes]:
     return [np.packbits(b).tobytes() for b in np.split(least[which] < ids, np.cumsum(sizes)[:-1])]
 
 
+def _block_keys(anchor: np.ndarray, body: np.ndarray, lo: int, hi: int, number: int) -> np.ndarray:
+    """Hashes of the bytes ``lo:hi`` of contexts, told apart by anchor and by number."""
+    out = anchor * _M[3] + np.uint64(number + 1) * _M[2] if hi > lo else np.zeros(len(anchor), dtype=np.uint64)
+    for i in range(lo, hi):
+        out = (out ^ body[:, i]) * _M[0]
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    order, begin = _groups(keys)
+    size = np.diff(np.append(begin, len(keys)))
+    out = np.zeros(len(keys), dtype=bool)
+    out[order] = np.repeat(size > 1, size)
+    return out
+
+
+def _block_groups(anchor: np.ndarray, body: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """For each block and number of blocks that a string can hold in full: a number for each
+    context, equal where anchors and these blocks are.
+
+    Contexts are aligned at their anchor, so they are read as symbols of ``BLOCK`` bytes, a
+    fraction of the bytes. The suffix array of all contexts, one after another with a least symbol
+    between, is built by linear grouping; suffixes that agree in the blocks are neighbours in it.
+    """
+    n, blocks = len(body), CONTEXT // BLOCK
+    keys = np.stack([_block_keys(anchor, body, b * BLOCK, (b + 1) * BLOCK, b) for b in range(blocks)], 1)
+    _, symbol = np.unique(keys, return_inverse=True)
+    text = np.zeros((n, blocks + 1), dtype=np.int64)
+    text[:, :blocks] = symbol.reshape(n, blocks) + 1
+    text = text.reshape(-1)
+    order = np.array(suffix_array(text.tolist()), dtype=np.int64)
+    out: dict[tuple[int, int], np.ndarray] = {}
+    for first, many in sorted({(-(-j // BLOCK), (j + LENGTH) // BLOCK - -(-j // BLOCK)) for j in range(OFFSETS)}):
+        at = order[order % (blocks + 1) == first]  # in suffix order; a symbol belongs to one block
+        differ = np.zeros(len(at), dtype=bool)
+        for t in range(many):
+            differ[1:] |= text[at[1:] + t] != text[at[:-1] + t]
+        number = np.empty(n, dtype=np.int64)
+        number[at // (blocks + 1)] = np.cumsum(differ)
+        out[first, many] = number
+    return out
+
+
 def answer_contexts(payloads: list[bytes]) -> list[bytes]:
     """For each message of kind 2: of each context, a mask of the offsets whose ``LENGTH``-byte
     string a smaller id holds as well."""
@@ -235,28 +284,33 @@ def answer_contexts(payloads: list[bytes]) -> list[bytes]:
     order, begin = _groups(anchor)
     several = np.diff(np.append(begin, len(anchor))) > 1
     keep = order[np.repeat(several, np.diff(np.append(begin, len(anchor))))]
-    anchor_k, ids_k, body = anchor[keep], ids[keep], context[keep]
+    anchor_k, body = anchor[keep], context[keep]
     left, right = body[:, CONTEXT].astype(np.int64), body[:, CONTEXT + 1].astype(np.int64)
-    rolled = np.zeros((CONTEXT + 1, len(keep)), dtype=np.uint64)
-    for i in range(CONTEXT):
-        rolled[i + 1] = rolled[i] * _M[0] + (body[:, i].astype(np.uint64) + np.uint64(1)) * _M[1]
-    power = np.uint64(pow(int(_M[0]), LENGTH, 1 << 64))
+    # a string of LENGTH bytes reaches half of REACH on one side of its anchor at least
+    half = (REACH + 1) // 2
+    ahead, behind = (_block_keys(anchor_k, body, lo, lo + half, n) for n, lo in enumerate((REACH + ANCHOR, REACH - half)))
+    near = _repeated(ahead) | _repeated(behind)
+    keep, anchor_k, body, left, right = keep[near], anchor_k[near], body[near], left[near], right[near]
+    ids_k = ids[keep]
     found = np.zeros(len(keep), dtype=np.uint64)
-    for j in range(OFFSETS):
+    if len(keep) > 1:
+        same_blocks = _block_groups(anchor_k, body)
+    for j in range(OFFSETS if len(keep) > 1 else 0):
         valid = np.flatnonzero((j >= REACH - left) & (j <= right))
         if len(valid) < 2:
             continue
-        string = rolled[j + LENGTH, valid] - rolled[j, valid] * power
-        string = (string ^ (string >> np.uint64(31))) * _M[2] + anchor_k[valid] * _M[3]
+        first, last = -(-j // BLOCK), (j + LENGTH) // BLOCK
+        head, tail = (_block_keys(anchor_k[valid], body[valid], lo, hi, n) for n, (lo, hi) in enumerate(((j, first * BLOCK), (last * BLOCK, j + LENGTH))))
+        string = (same_blocks[first, last - first][valid].astype(np.uint64) * _M[0] ^ head) * _M[2] + tail * _M[3]
         order, begin = _groups(string)
         row = valid[order]
         size = np.diff(np.append(begin, len(row)))
         least = np.repeat(np.minimum.reduceat(ids_k[row], begin), size)
         smaller = least < ids_k[row]
         if smaller.any():
-            head = np.repeat(row[begin], size)[smaller]
+            top = np.repeat(row[begin], size)[smaller]
             row = row[smaller]
-            same = (body[row, j : j + LENGTH] == body[head, j : j + LENGTH]).all(1)
+            same = (body[row, j : j + LENGTH] == body[top, j : j + LENGTH]).all(1)
             found[row[same]] |= np.uint64(1 << j)
     mask[keep] = found
     return [m.tobytes() for m in np.split(mask, np.cumsum(sizes)[:-1])]
