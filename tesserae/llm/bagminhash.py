@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Interner, shuffle_partitions, staged
+from .common import Interner, held, shuffle_partitions, staged
 from .components import components
 
 SHINGLE = 5
@@ -152,13 +152,8 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return key.view(np.int64)
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
 def _shingler(shingle: int) -> Shingler:
-    if shingle not in _SHINGLERS:
-        _SHINGLERS[shingle] = Shingler(shingle)
-    return _SHINGLERS[shingle]
+    return held("bagminhash", shingle, lambda: Shingler(shingle))
 
 
 def _digest(bag: np.ndarray) -> bytes:
@@ -237,7 +232,7 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     dealt = members.union(leads).join(bags, "id").repartition(shuffle_partitions(spark), "a", "deal").sortWithinPartitions("a", "deal", "role")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, lead = None, None
+        at, lead = None, None
         for batch in batches:
             left, right = [], []
             columns = {name: i for i, name in enumerate(batch.schema.names)}
@@ -245,8 +240,8 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
             for i, bag in enumerate(batch.column(columns["bag"])):
                 bag = np.frombuffer(bag.as_py(), dtype=np.uint64)
                 if role[i] == 0:
-                    held, lead = (a[i], deal[i]), bag
-                elif held == (a[i], deal[i]) and min(len(bag), len(lead)) >= threshold * max(len(bag), len(lead)) and likeness(lead, bag) >= threshold:
+                    at, lead = (a[i], deal[i]), bag
+                elif at == (a[i], deal[i]) and min(len(bag), len(lead)) >= threshold * max(len(bag), len(lead)) and likeness(lead, bag) >= threshold:
                     left.append(a[i])
                     right.append(own[i])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -299,16 +294,16 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
         if not batch.num_rows:
             return table([])
         bags, keys, place, _, order, cuts = elements(batch)
-        held = np.zeros(len(keys), dtype=np.int64)
+        many = np.zeros(len(keys), dtype=np.int64)
         for o, p in zip(heard.column("to").to_pylist(), heard.column("payload").to_pylist()):
-            held[order[cuts[o] : cuts[o + 1]]] = np.frombuffer(p, dtype=np.int64)
+            many[order[cuts[o] : cuts[o + 1]]] = np.frombuffer(p, dtype=np.int64)
         found, at = [], 0
         for own, label, bag in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), bags):
             here = place[at : at + len(bag)]
             at += len(bag)
             n = len(bag)
-            rank = np.lexsort((bag, held[here]))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
-            spot = np.flatnonzero(held[here[rank]] > 1)
+            rank = np.lexsort((bag, many[here]))[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
+            spot = np.flatnonzero(many[here[rank]] > 1)
             found.append(np.stack([bag[rank[spot]].view(np.int64), *(np.full(len(spot), v) for v in (own, label, n)), spot]))
         all_ = np.concatenate(found, axis=1)
         owner = (all_[0].view(np.uint64) >> np.uint64(33)).astype(np.int64) % owners

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -88,3 +90,21 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+_HELD: dict = {}
+
+
+def held(operator: str, key, make: Callable):
+    """What an operator keeps in a Python worker from task to task. A worker that goes on to
+    another operator drops what the one before has kept, so tables do not add up over stages."""
+    if _HELD.get("operator") != operator:
+        _HELD.clear()
+        _HELD["operator"] = operator
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+    if _HELD.get("key") != key:
+        _HELD.pop("value", None)
+        _HELD.update(key=key, value=make())
+    return _HELD["value"]

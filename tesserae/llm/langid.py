@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Interner, Memo, doc_crc
+from .common import Interner, Memo, doc_crc, held
 
 CHAIN = 64
 BUCKETS = 1 << 15
@@ -208,8 +208,8 @@ class Tagger:
 
     def __init__(self, model: ChainModel) -> None:
         self.model = model
-        self.words = Interner()
-        self.bucket = Memo(_bucket, 400_000)
+        self.words = Interner(250_000)
+        self.bucket = Memo(_bucket, 200_000)
         self.emit = np.ones((1 << 12, len(model.labels)), dtype=np.float32)
         self.letters = np.zeros(1 << 12, dtype=bool)
 
@@ -231,17 +231,20 @@ class Tagger:
             self.emit[first:need] = np.maximum(np.exp(score - score.max(1, keepdims=True)), 1e-30)
         self.letters[first:need] = [bool(c) for c in cores]
 
-    def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed marginals ``[n, L]`` and the number of words with letters ``[n]``."""
+    def totals(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Summed marginals ``[n, L]`` and the number of words with letters ``[n]`` of texts given
+        as a list or an Arrow array, of which a block at a time is held."""
         n, n_labels = len(texts), len(self.model.labels)
         out, size = np.zeros((n, max(1, n_labels))), np.zeros(n, dtype=np.int64)
         lo = 0
         while lo < n:  # blocks bound the memory of the chains, not what is read
-            hi, amount = lo, 0
-            while hi < n and (hi == lo or amount < 4_000_000):
-                amount += len(texts[hi] or "")
-                hi += 1
-            self._block(texts[lo:hi], out[lo:hi], size[lo:hi])
+            block, amount = [], 0
+            while lo + len(block) < n and amount < 3_000_000:
+                x = texts[lo + len(block)]
+                block.append(x if x is None or isinstance(x, str) else x.as_py())
+                amount += len(block[-1] or "")
+            hi = lo + len(block)
+            self._block(block, out[lo:hi], size[lo:hi])
             lo = hi
         return out, size
 
@@ -298,9 +301,6 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     return fit_chain_model([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-_TAGGERS: dict = {}
-
-
 def identify(docs: DataFrame, model: ChainModel, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Adds the label and its score, called ``names``, to the columns ``keep`` (all by default). A narrow, map-only
     operator: rows stay where they are and no shuffle occurs."""
@@ -310,13 +310,10 @@ def identify(docs: DataFrame, model: ChainModel, text: str = "text", keep: list[
     shared = source.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = _TAGGERS.get(id(shared.value))
-        if tagger is None or tagger.model is not shared.value:
-            _TAGGERS.clear()
-            tagger = _TAGGERS[id(shared.value)] = Tagger(shared.value)
+        tagger = held("langid", id(shared.value), lambda: Tagger(shared.value))
         labels = np.array([*tagger.model.labels, UNDETERMINED], dtype=object)
         for batch in batches:
-            total, size = tagger.totals(batch.column(len(keep)).to_pylist())
+            total, size = tagger.totals(batch.column(len(keep)))
             best = total.argmax(1)
             known = (size > 0) & (len(labels) > 1)
             score = np.where(known, np.clip(total[np.arange(len(best)), best] / np.maximum(size, 1), 0, 1), 0.0)

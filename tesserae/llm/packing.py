@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Interner, Memo
+from .common import Interner, Memo, held
 
 WINDOW = 4096
 END_ID = 2
@@ -287,7 +287,7 @@ def pack(
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds)], names=fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _tokenizer(path)
+        words = held("packing", path, lambda: WordTokenizer(path))
         stream = _Stream(window, TaskContext.get().partitionId() << 33)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
@@ -308,14 +308,5 @@ def pack(
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(apply, schema)
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
-
-
 def op3(docs: DataFrame) -> DataFrame:
     return pack(docs)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import held, shuffle_partitions
 from .grouping import suffix_array
 
 LENGTH = 50
@@ -339,6 +339,7 @@ def repeated_spans(docs: DataFrame, finish, schema: str, text: str = "text", key
     ).groupBy("_batch")
 
     def load(table: pa.Table) -> Batch:
+        held("repeats", 0, lambda: None)
         return Batch(table.column("_id").to_pylist(), table.column("_text").to_pylist(), owners)
 
     def ask(table: pa.Table) -> pa.Table:
@@ -364,18 +365,18 @@ def repeated_spans(docs: DataFrame, finish, schema: str, text: str = "text", key
         batch.hear(first)
         rows = [(o, n, kind, p) for o, kind, p in batch.tell()]
         # the first answers travel on to the last pass
-        held = b"".join(np.array([k, o, len(p)], dtype=np.int64).tobytes() + p for (k, o), p in first.items())
-        return _messages([*rows, (n % owners, n, 3, held)])
+        passed = b"".join(np.array([k, o, len(p)], dtype=np.int64).tobytes() + p for (k, o), p in first.items())
+        return _messages([*rows, (n % owners, n, 3, passed)])
 
     def end(table: pa.Table, heard: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], f.type) for f in empty], schema=empty)
         batch, second = load(table), _heard(heard)
         first, at = {}, 0
-        held = next(p for (k, _), p in second.items() if k == 3)
-        while at < len(held):
-            k, o, size = np.frombuffer(held, dtype=np.int64, count=3, offset=at).tolist()
-            first[k, o] = held[at + 24 : at + 24 + size]
+        passed = next(p for (k, _), p in second.items() if k == 3)
+        while at < len(passed):
+            k, o, size = np.frombuffer(passed, dtype=np.int64, count=3, offset=at).tolist()
+            first[k, o] = passed[at + 24 : at + 24 + size]
             at += 24 + size
         batch.hear(first)
         return finish(table, batch, batch.spans(second)).cast(empty)

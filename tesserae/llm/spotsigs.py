@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Interner, shuffle_partitions
+from .common import Interner, held, shuffle_partitions
 
 CHAIN_WORDS = 2
 #: Common function words that serve as anchors.
@@ -123,13 +123,8 @@ def pruned_jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return common / (len(a) + len(b) - common)
 
 
-_SPOTTER: list[Spotter] = []
-
-
 def _spotter() -> Spotter:
-    if not _SPOTTER:
-        _SPOTTER.append(Spotter())
-    return _SPOTTER[0]
+    return held("spotsigs", 0, Spotter)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -209,15 +204,15 @@ def with_next(docs: DataFrame, apply, schema: str) -> DataFrame:
     placed = placed.sortWithinPartitions("pid", "role", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []  # the document that waits for its next one
+        waits: list = []  # the document that waits for its next one
 
         def triples():
             for batch in batches:
                 for pid, role, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                     text = text.as_py()
-                    if held and held[0] == pid:
-                        yield held[1], held[2], text
-                    held[:] = [pid, doc_id, text] if role == 0 else []
+                    if waits and waits[0] == pid:
+                        yield waits[1], waits[2], text
+                    waits[:] = [pid, doc_id, text] if role == 0 else []
 
         yield from apply(triples())
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, held
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -251,13 +251,8 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-_COMPILED: dict[str, Transducer] = {}
-
-
 def compiled(path: str) -> Transducer:
-    if path not in _COMPILED:
-        _COMPILED[path] = Transducer(path)
-    return _COMPILED[path]
+    return held("transducer", path, lambda: Transducer(path))
 
 
 def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, *, model: str | None = None) -> DataFrame:
