@@ -26,9 +26,11 @@ def bm25_hits(docs: DataFrame, queries: list[tuple[int, list[str]]], *, text: st
     asked = docs.sparkSession.createDataFrame(flat, "query_id long, term string")
     need = docs.sparkSession.createDataFrame([(q, len(set(ts))) for q, ts in queries], "query_id long, need int")
     held = docs.select("id", (words(F.col(text)) if tokens is None else tokens).alias("tokens"))
-    held = held.select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(terms)).alias("tokens"))
-    stats = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = held.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    # one pass over the texts: each document's length rides along as the term ""
+    seen = F.concat(F.array(F.lit("")), F.filter("tokens", lambda t: t.isin(terms)))
+    counted = held.select("id", F.size("tokens").alias("dl"), F.explode(seen).alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    stats = counted.where(F.col("term") == "").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = counted.where(F.col("term") != "")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the batch has terms
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))
