@@ -13,29 +13,25 @@ pointers, take the next free places of their groups. Nothing is renamed and noth
 
 from __future__ import annotations
 
+import numpy as np
 
-def suffix_array(symbols: list[int]) -> list[int]:
+
+def suffix_array(symbols) -> list[int]:
     """The starts of the suffixes of ``symbols`` (numbers from 0 up) in ascending order; a suffix
     comes before those that it is a prefix of."""
     n = len(symbols)
     if not n:
         return []
-    start = [0] * (max(symbols) + 2)
-    for c in symbols:
-        start[c + 1] += 1
-    for c in range(1, len(start)):
-        start[c] += start[c - 1]
-    group = [start[c] for c in symbols]  # a group is named by where it begins in the order
-    free = start[:-1]
-    order, place = [0] * n, [0] * n
-    for i, c in enumerate(symbols):
-        place[i] = free[c]
-        order[free[c]] = i
-        free[c] += 1
-    stop: dict[int, int] = {}  # where a group ends, for groups of several
-    for c in range(len(start) - 1):
-        if start[c + 1] - start[c] > 1:
-            stop[start[c]] = start[c + 1]
+    text = np.asarray(symbols, dtype=np.int64)
+    first = np.argsort(text, kind="stable")
+    sizes = np.bincount(text)
+    starts = np.cumsum(sizes) - sizes
+    where = np.empty(n, dtype=np.int64)
+    where[first] = np.arange(n)
+    group = starts[text].tolist()  # a group is named by where it begins in the order
+    order, place = first.tolist(), where.tolist()
+    several = sizes > 1
+    stop: dict[int, int] = dict(zip(starts[several].tolist(), (starts + sizes)[several].tolist()))  # where a group of several ends
     smaller = list(range(-1, n - 1))
     high = n
     while high:

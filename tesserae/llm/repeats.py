@@ -125,6 +125,9 @@ class Batch:
                 self.copy[own] = np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(own)).astype(bool)
         shared &= ~self.copy[self.doc]
         self.picked = self.order[shared[self.order]]  # shared anchors by owner
+
+    def collect(self) -> np.ndarray:
+        """The contexts of the shared anchors; which record each is: equal contexts of an anchor are one."""
         self.context = np.zeros((len(self.picked), CONTEXT + 2), dtype=np.uint8)
         where = np.argsort(self.doc[self.picked], kind="stable")
         bounds = np.searchsorted(self.doc[self.picked][where], np.arange(len(self.data) + 1))
@@ -137,14 +140,17 @@ class Batch:
             self.context[rows, :CONTEXT] = padded[at[:, None] + span]
             self.context[rows, CONTEXT] = np.minimum(at, REACH)
             self.context[rows, CONTEXT + 1] = np.minimum(size - at - ANCHOR, REACH)
-        # each distinct (anchor, context) is one record; texts come in id order, so its first has its least id
-        owner = (self.hash[self.picked] >> np.uint64(33)).astype(np.int64) % self.owners
         seen: dict[bytes, int] = {}
-        record = np.fromiter((seen.setdefault(k, len(seen)) for k in map(bytes, self.context)), dtype=np.int64, count=len(self.picked))
-        first = np.full(len(seen), len(self.picked), dtype=np.int64)
+        return np.fromiter((seen.setdefault(k, len(seen)) for k in map(bytes, self.context)), dtype=np.int64, count=len(self.picked))
+
+    def records(self, record: np.ndarray) -> None:
+        """Takes the record of each shared anchor; a record's id is its least one."""
+        owner = (self.hash[self.picked] >> np.uint64(33)).astype(np.int64) % self.owners
+        n = int(record.max()) + 1 if len(record) else 0
+        first = np.full(n, len(self.picked), dtype=np.int64)
         np.minimum.at(first, record, np.arange(len(self.picked)))
-        self.record, self.first, self.record_owner = record, first, owner[first] if len(first) else owner[:0]
-        self.record_id = np.full(len(seen), NO_ID)
+        self.record, self.first, self.record_owner = record, first, owner[first] if n else owner[:0]
+        self.record_id = np.full(n, NO_ID)
         np.minimum.at(self.record_id, record, self.ids[self.doc[self.picked]])
 
     def tell(self) -> Iterator[tuple[int, int, bytes]]:
@@ -162,7 +168,9 @@ class Batch:
             if (x := answers.get((2, int(o)))) is not None:
                 mask[rec] = np.frombuffer(x, dtype=np.uint64)
         later = self.ids[self.doc[self.picked]] > self.record_id[self.record]  # a smaller id of this batch has the whole context
-        left, right = self.context[:, CONTEXT].astype(np.int64), self.context[:, CONTEXT + 1].astype(np.int64)
+        at = self.at[self.picked]
+        size = np.array([len(d) for d in self.data], dtype=np.int64)
+        left, right = np.minimum(at, REACH), np.minimum(size[self.doc[self.picked]] - at - ANCHOR, REACH)
         out: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)] * len(self.data)
         bits = mask[self.record]
         found = []
@@ -250,23 +258,35 @@ def _block_groups(anchor: np.ndarray, body: np.ndarray) -> dict[tuple[int, int],
     context, equal where anchors and these blocks are.
 
     Contexts are aligned at their anchor, so they are read as symbols of ``BLOCK`` bytes, a
-    fraction of the bytes. The suffix array of all contexts, one after another with a least symbol
-    between, is built by linear grouping; suffixes that agree in the blocks are neighbours in it.
+    fraction of the bytes. A string holds two blocks in full at least, so only runs of two or more
+    blocks that occur elsewhere too are kept, with a least symbol after each run. The suffix array
+    of all runs is built by linear grouping; suffixes that agree in the blocks are neighbours in it.
     """
     n, blocks = len(body), CONTEXT // BLOCK
     keys = np.stack([_block_keys(anchor, body, b * BLOCK, (b + 1) * BLOCK, b) for b in range(blocks)], 1)
-    _, symbol = np.unique(keys, return_inverse=True)
+    shared = _repeated(keys.reshape(-1)).reshape(n, blocks)
+    pair = shared[:, :-1] & shared[:, 1:]
+    inside = np.zeros((n, blocks + 1), dtype=bool)  # blocks that occur twice and stand by another such one
+    inside[:, : blocks - 1] |= pair
+    inside[:, 1:blocks] |= pair
+    cut = np.zeros_like(inside)  # a least symbol after each run of them
+    cut[:, 1:] = inside[:, :-1] & ~inside[:, 1:]
+    taken = (inside | cut).reshape(-1)
     text = np.zeros((n, blocks + 1), dtype=np.int64)
-    text[:, :blocks] = symbol.reshape(n, blocks) + 1
-    text = text.reshape(-1)
-    order = np.array(suffix_array(text.tolist()), dtype=np.int64)
+    chosen = inside[:, :blocks]
+    text[:, :blocks][chosen] = np.unique(keys[chosen], return_inverse=True)[1] + 1
+    spot = np.flatnonzero(taken)
+    order = spot[np.array(suffix_array(text.reshape(-1)[spot]), dtype=np.int64)]
+    flat, within = text.reshape(-1), inside.reshape(-1)
     out: dict[tuple[int, int], np.ndarray] = {}
     for first, many in sorted({(-(-j // BLOCK), (j + LENGTH) // BLOCK - -(-j // BLOCK)) for j in range(OFFSETS)}):
         at = order[order % (blocks + 1) == first]  # in suffix order; a symbol belongs to one block
+        for t in range(many):
+            at = at[within[at + t]]
         differ = np.zeros(len(at), dtype=bool)
         for t in range(many):
-            differ[1:] |= text[at[1:] + t] != text[at[:-1] + t]
-        number = np.empty(n, dtype=np.int64)
+            differ[1:] |= flat[at[1:] + t] != flat[at[:-1] + t]
+        number = np.arange(n) + n  # a context without these blocks is like no other one
         number[at // (blocks + 1)] = np.cumsum(differ)
         out[first, many] = number
     return out
@@ -333,7 +353,7 @@ def _heard(table: pa.Table) -> dict[tuple[int, int], bytes]:
 def repeated_spans(docs: DataFrame, finish, schema: str, text: str = "text", key: str = "doc_id", carry: list[str] = ()) -> DataFrame:
     """Runs ``finish(rows, batch, spans)`` on each batch, where ``rows`` is an Arrow table with the
     carried columns, ``batch.row`` maps its texts to rows and ``spans`` are the removed byte spans."""
-    owners = shuffle_partitions(docs.sparkSession)
+    owners = 2 * shuffle_partitions(docs.sparkSession)
     source = docs.select(
         F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(owners)).cast("long").alias("_batch"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in carry]
     ).groupBy("_batch")
@@ -363,8 +383,11 @@ def repeated_spans(docs: DataFrame, finish, schema: str, text: str = "text", key
         n, batch = table.column("_batch")[0].as_py(), load(table)
         first = _heard(heard)
         batch.hear(first)
+        record = batch.collect()
+        batch.records(record)
         rows = [(o, n, kind, p) for o, kind, p in batch.tell()]
-        # the first answers travel on to the last pass
+        # the first answers and the records travel on to the last pass
+        first[3, 0] = np.diff(record, prepend=0).astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
         passed = b"".join(np.array([k, o, len(p)], dtype=np.int64).tobytes() + p for (k, o), p in first.items())
         return _messages([*rows, (n % owners, n, 3, passed)])
 
@@ -379,6 +402,7 @@ def repeated_spans(docs: DataFrame, finish, schema: str, text: str = "text", key
             first[k, o] = passed[at + 24 : at + 24 + size]
             at += 24 + size
         batch.hear(first)
+        batch.records(np.cumsum(np.ascontiguousarray(np.frombuffer(first[3, 0], dtype=np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1), dtype=np.int64))
         return finish(table, batch, batch.spans(second)).cast(empty)
 
     from pyspark.sql.pandas.types import to_arrow_schema
