@@ -48,8 +48,7 @@ CONTEXT = ANCHOR + 2 * REACH
 BLOCK = 14  # a sixth of a context; every string of LENGTH bytes holds two blocks in full
 NO_ID = np.iinfo(np.int64).max
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
-MESSAGE = "to long, batch long, kind int, payload binary"
-ANSWER = "batch long, kind int, owner long, payload binary"
+MESSAGE = "to long, batch long, payload binary"
 
 
 def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
@@ -337,17 +336,30 @@ def answer_contexts(payloads: list[bytes]) -> list[bytes]:
 
 
 def _messages(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) or [(), (), (), ()]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["to", "batch", "kind", "payload"])
+    """One row for each pair of a batch and an owner: ``(to, batch, parts)`` with parts by kind."""
+    packed = [(to, batch, b"".join(np.array([k, len(p)], dtype=np.int64).tobytes() + p for k, p in parts)) for to, batch, parts in rows]
+    columns = list(zip(*packed)) or [(), (), ()]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["to", "batch", "payload"])
 
 
-def _answers(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) or [(), (), (), ()]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["batch", "kind", "owner", "payload"])
+def _parts(payload: bytes) -> Iterator[tuple[int, bytes]]:
+    at = 0
+    while at < len(payload):
+        kind, size = np.frombuffer(payload, dtype=np.int64, count=2, offset=at).tolist()
+        yield kind, payload[at + 16 : at + 16 + size]
+        at += 16 + size
+
+
+def _by_owner(found: Iterator[tuple[int, int, bytes]], batch: int) -> list[tuple]:
+    rows: dict[int, list] = {}
+    for owner, kind, payload in found:
+        rows.setdefault(owner, []).append((kind, payload))
+    return [(o, batch, parts) for o, parts in rows.items()]
 
 
 def _heard(table: pa.Table) -> dict[tuple[int, int], bytes]:
-    return {(k, o): p for k, o, p in zip(*(table.column(c).to_pylist() for c in ("kind", "owner", "payload")))}
+    """Answers by kind and owner."""
+    return {(kind, o): part for o, p in zip(table.column("to").to_pylist(), table.column("payload").to_pylist()) for kind, part in _parts(p)}
 
 
 def repeated_spans(docs: DataFrame, finish, schema: str, text: str = "text", key: str = "doc_id", carry: list[str] = ()) -> DataFrame:
@@ -363,19 +375,21 @@ def repeated_spans(docs: DataFrame, finish, schema: str, text: str = "text", key
         return Batch(table.column("_id").to_pylist(), table.column("_text").to_pylist(), owners)
 
     def ask(table: pa.Table) -> pa.Table:
-        n = table.column("_batch")[0].as_py()
-        return _messages([(o, n, kind, p) for o, kind, p in load(table).ask()])
+        return _messages(_by_owner(load(table).ask(), table.column("_batch")[0].as_py()))
 
     def reply(table: pa.Table) -> pa.Table:
-        out = []
-        kinds, batches, payloads = (table.column(c).to_pylist() for c in ("kind", "batch", "payload"))
-        owner = table.column("to")[0].as_py()
+        batches, owner = table.column("batch").to_pylist(), table.column("to")[0].as_py()
+        told = [dict(_parts(p)) for p in table.column("payload").to_pylist()]
+        out: list[list] = [[] for _ in told]
         for kind, answer in ((0, answer_anchors), (1, answer_digests), (2, answer_contexts)):
-            pick = [i for i, k in enumerate(kinds) if k == kind]
+            pick = [i for i, t in enumerate(told) if kind in t]
             if pick:
-                out += [(batches[i], kind, owner, a) for i, a in zip(pick, answer([payloads[i] for i in pick]))]
-        out += [(b, 3, owner, p) for b, k, p in zip(batches, kinds, payloads) if k == 3]
-        return _answers(out)
+                for i, a in zip(pick, answer([told[i][kind] for i in pick])):
+                    out[i].append((kind, a))
+        for t, parts in zip(told, out):
+            if 3 in t:
+                parts.append((3, t[3]))
+        return _messages([(owner, b, parts) for b, parts in zip(batches, out)])
 
     def tell(table: pa.Table, heard: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -385,11 +399,10 @@ def repeated_spans(docs: DataFrame, finish, schema: str, text: str = "text", key
         batch.hear(first)
         record = batch.collect()
         batch.records(record)
-        rows = [(o, n, kind, p) for o, kind, p in batch.tell()]
         # the first answers and the records travel on to the last pass
         first[3, 0] = np.diff(record, prepend=0).astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
         passed = b"".join(np.array([k, o, len(p)], dtype=np.int64).tobytes() + p for (k, o), p in first.items())
-        return _messages([*rows, (n % owners, n, 3, passed)])
+        return _messages(_by_owner([*batch.tell(), (n % owners, 3, passed)], n))
 
     def end(table: pa.Table, heard: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -410,9 +423,9 @@ def repeated_spans(docs: DataFrame, finish, schema: str, text: str = "text", key
 
     empty = to_arrow_schema(_parse_datatype_string(schema))
     asked = source.applyInArrow(ask, MESSAGE)
-    first = asked.groupBy("to").applyInArrow(reply, ANSWER)
+    first = asked.groupBy("to").applyInArrow(reply, MESSAGE)
     told = source.cogroup(first.groupBy("batch")).applyInArrow(tell, MESSAGE)
-    second = told.groupBy("to").applyInArrow(reply, ANSWER)
+    second = told.groupBy("to").applyInArrow(reply, MESSAGE)
     return source.cogroup(second.groupBy("batch")).applyInArrow(end, schema)
 
 
