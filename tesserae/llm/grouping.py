@@ -34,53 +34,46 @@ def suffix_array(symbols) -> list[int]:
     stop: dict[int, int] = dict(zip(starts[several].tolist(), (starts + sizes)[several].tolist()))  # where a group of several ends
     smaller = list(range(-1, n - 1))
     high = n
+    group.append(-1)  # what position -1 finds: lower than any group
     while high:
         low = group[order[high - 1]]
         if high - low == 1:
             s = order[low]
             p = s - 1
-            while p >= 0 and group[p] >= low:
+            while group[p] >= low:
                 p = smaller[p]
             smaller[s] = p
-            if p >= 0:
-                _raise(p, group, order, place, stop)
         else:
             count: dict[int, int] = {}
             for s in sorted(order[low:high]):  # a member then finds the pointers of those before it
                 p = s - 1
-                while p >= 0 and group[p] >= low:
+                while group[p] >= low:
                     p = smaller[p]
                 smaller[s] = p
                 if p >= 0:
                     count[p] = count.get(p, 0) + 1
-            if len(count) == 1:
-                _raise(next(iter(count)), group, order, place, stop)
-            elif count:
+            if len(count) > 1:
                 split: dict[tuple[int, int], list[int]] = {}
                 for p, k in count.items():
                     split.setdefault((k, group[p]), []).append(p)
                 for k, g in sorted(split, reverse=True):  # larger counts take the upper end first
                     _raise_all(split[k, g], g, group, order, place, stop)
+                high = low
+                continue
+            p = next(iter(count), -1)
         high = low
+        if p >= 0 and (end := stop.get(g := group[p])) is not None:  # one position rises above the rest of its group
+            end -= 1
+            at, other = place[p], order[end]
+            order[at], order[end], place[other], place[p] = other, p, at, end
+            group[p] = end
+            if end - g == 1:
+                del stop[g]
+            else:
+                stop[g] = end
     return _emit(n, group, smaller)
 
 
-def _raise(p: int, group, order, place, stop) -> None:
-    """Makes one position the group just above the rest of its own."""
-    g = group[p]
-    end = stop.get(g)
-    if end is None:
-        return  # it is alone already
-    end -= 1
-    at, other = place[p], order[end]
-    order[at], order[end], place[other], place[p] = other, p, at, end
-    group[p] = end
-    if end - g == 1:
-        del stop[g]
-    else:
-        stop[g] = end
-
-
 def _raise_all(members: list[int], g: int, group, order, place, stop) -> None:
     """Makes some members of a group a new one at its upper end."""
     end = stop.get(g, g + 1)
