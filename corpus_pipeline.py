@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import bagminhash, langid, packing, repeats
-from tesserae.llm.common import staged, table
+from tesserae.llm.common import bound_batches, staged, table
 
 #: A document goes if no label has this share of its words: chance level for the known languages.
 LEAST_SCORE = 0.3
@@ -20,6 +20,7 @@ LEAST_SCORE = 0.3
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled ones teach stay; those without
     letters, and those whose words no language can claim, go."""
+    bound_batches(spark)
     label, score = "_lang_pred", "_lang_score"
     tagged = langid.identify(docs, langid.fit(docs), names=(label, score))
     return tagged.where((F.col(label) != langid.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).drop(label, score)
@@ -27,17 +28,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, the one of the least id."""
+    bound_batches(spark)
     return bagminhash.one_of_each(docs)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that an earlier document holds are taken out of the later one."""
+    bound_batches(spark)
     out = repeats.without_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed token sequences."""
+    bound_batches(spark)
     return packing.pack(docs)
 
 

@@ -44,6 +44,12 @@ def doc_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def bound_batches(spark: SparkSession, limit: str = "16m") -> None:
+    """Keeps the Arrow batches between Spark and Python small, so that a task's buffers stay
+    small beside what several operators of one session hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+
+
 class Interner(dict):
     """Maps a string to a dense number, the next free one for a new string.
 
