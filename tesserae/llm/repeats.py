@@ -365,9 +365,9 @@ def _heard(table: pa.Table) -> dict[tuple[int, int], bytes]:
 def repeated_spans(docs: DataFrame, finish, schema: str, text: str = "text", key: str = "doc_id", carry: list[str] = ()) -> DataFrame:
     """Runs ``finish(rows, batch, spans)`` on each batch, where ``rows`` is an Arrow table with the
     carried columns, ``batch.row`` maps its texts to rows and ``spans`` are the removed byte spans."""
-    owners = 2 * shuffle_partitions(docs.sparkSession)
+    owners = shuffle_partitions(docs.sparkSession)
     source = docs.select(
-        F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(owners)).cast("long").alias("_batch"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in carry]
+        F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(2 * owners)).cast("long").alias("_batch"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in carry]
     ).groupBy("_batch")
 
     def load(table: pa.Table) -> Batch:
