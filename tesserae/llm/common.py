@@ -16,13 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_TEMPORARY: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one is
-    used only where the session names none, as in local tests."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where the session
+    names none, a local session gets a temporary folder; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="tesserae-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext
+        if not app.master.startswith("local") or app.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        at = _TEMPORARY.setdefault(app.applicationId, "") or tempfile.mkdtemp(prefix="tesserae-")
+        _TEMPORARY[app.applicationId] = at
     return at.rstrip("/")
 
 
