@@ -70,7 +70,7 @@ class WordTokenizer:
     Any other word goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000) -> None:
+    def __init__(self, path: str, limit: int = 450_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
