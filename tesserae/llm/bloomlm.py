@@ -2,15 +2,16 @@
 
 The filter holds quantised counts of the training n-grams: an n-gram whose count lies in level j
 (levels are powers of ``BASE``) is inserted once for each level 1..j, and its count is read back by
-probing level after level until one is absent. The filter has a fixed size, ``filter_bytes``, in
-equal slices by n-gram hash. Counting covers every n-gram of the corpus in a shuffle of packed,
-map-side summed counts; the owner of a slice fills it with its n-grams from the most frequent
-down to its capacity. So what is broadcast is bounded by the parameter, whatever the corpus.
+probing level after level until one is absent. It lies in slices by n-gram hash, each with an
+owner. A batch of texts sends its distinct n-grams with their training counts to the owners; an
+owner sums them, sizes its slice for all that it counted (``BITS_AN_ENTRY`` for each entry), fills
+it, and answers each batch with the levels that its slice gives. So the filter grows with the
+corpus, holds every n-gram of it, and no slice leaves its owner.
 
 Scores are sums of ``log10((1 - MIX) * p1(w) + MIX * c(v, w) / c(v))`` with the filter's counts,
 where ``p1`` is the add-one unigram probability and ``v`` the token before (a text's end at its
-start). The base score beside it uses exact counts of all tokens: each batch of texts asks the
-owners of its words' hashes for them, so no vocabulary is ever broadcast.
+start). The base score beside it uses exact counts of all tokens, which the owners' answers hold
+too, so no vocabulary is ever broadcast.
 
 Edge cases: a null text is its end token alone; an empty training set has N = V = 0 and base
 score 0; long texts are ordinary rows; repeated rows are scored each; other columns are ignored.
@@ -36,7 +37,6 @@ BITS_AN_ENTRY = 10
 PROBES = 5
 BLOCK = 512
 BLOCK_TOKENS = 400_000
-FILTER_BYTES = 48 << 20
 LEVELS = 96
 _P, _Q, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 END = np.uint64(xxhash.xxh64_intdigest(b""))
@@ -71,7 +71,7 @@ def read_count(level: np.ndarray) -> np.ndarray:
 
 
 class CountFilter:
-    """A log-frequency Bloom filter in ``owners`` equal slices. The probes of an entry fall into
+    """A log-frequency Bloom filter in equal slices. The probes of an entry fall into
     one block of ``BLOCK`` bits, so a membership test costs one trip to memory."""
 
     def __init__(self, slices: list[bytes], slice_bits: int) -> None:
@@ -114,6 +114,20 @@ def fill(grams: np.ndarray, counts: np.ndarray, slice_bits: int) -> tuple[bytes,
     return np.packbits(slots).tobytes(), taken
 
 
+def capacity(counts: np.ndarray) -> int:
+    """The bits of a slice that takes n-grams of these counts, every one of them."""
+    return max(1, -(-int(levels(counts).sum()) * BITS_AN_ENTRY // BLOCK)) * BLOCK
+
+
+def read_back(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The levels that a slice filled with all keys counted gives for all keys, and how many keys
+    it took; a key of count 0 is asked for without having been counted."""
+    taught = counts > 0
+    slice_bits = capacity(counts[taught])
+    data, taken = fill(keys[taught], counts[taught], slice_bits)
+    return CountFilter([data], slice_bits).level(keys), taken
+
+
 def _block(grams: np.ndarray, level: int, slice_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the block of each entry begins, and the hash that its bits in the block come from."""
     state = _mix(grams + _tag(level))
@@ -176,14 +190,10 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64), np.frombuffer(payload, dtype=np.uint32, count=n, offset=8 + 8 * n).astype(np.int64)
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and their summed counts."""
     if not len(keys):
         return keys, np.zeros(0, dtype=np.int64)
-    if counts is None:
-        keys = np.sort(keys)
-        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[begin], np.diff(np.append(begin, len(keys)))
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -195,63 +205,15 @@ def _table(rows: list[tuple], names: tuple[str, ...], kinds: tuple) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(names))
 
 
-def _by_owner(keys: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
-    owner = owner_of(keys, owners)
-    order = np.argsort(owner, kind="stable")
-    return order, np.searchsorted(owner[order], np.arange(owners + 1))
-
-
-def build_filter(train: DataFrame, text: str = "text", *, filter_bytes: int = FILTER_BYTES) -> tuple[CountFilter, int, int]:
-    """The filter of the training texts, the number of their tokens and of distinct ones."""
-    owners = shuffle_partitions(train.sparkSession)
-    slice_bits = filter_bytes * 8 // owners // BLOCK * BLOCK
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts, amount = _words(), [], 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            keys, counts = _summed(np.concatenate(parts))
-            order, cuts = _by_owner(keys, owners)
-            rows = [_pack(o, 0, keys[order[a:b]], counts[order[a:b]]) for o, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-            yield _table(rows, ("to", "batch", "payload"), (pa.int64(), pa.int64(), pa.binary()))
-
-        for batch in batches:
-            for x in batch.column(0):
-                words.begin()
-                n = words.numbers(x.as_py())
-                t = words.hashes()[n]
-                parts += [t & ~np.uint64(1), pairs(t) | np.uint64(1)]  # words have even keys, pairs odd ones
-                amount += len(t)
-                if amount > 2_000_000:
-                    yield from sent()
-                    parts, amount = [], 0
-        if parts:
-            yield from sent()
-
-    def own(table: pa.Table) -> pa.Table:
-        parts = [_unpack(p.as_py()) for c in table.column("payload").chunks for p in c]
-        keys, counts = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        single = (keys & np.uint64(1)) == 0
-        data, taken = fill(keys, counts, slice_bits)
-        row = (table.column("to")[0].as_py(), data, int(counts[single].sum()), int(single.sum()), len(keys), taken)
-        return pa.Table.from_batches([_table([row], ("owner", "slice", "tokens", "distinct", "grams", "taken"), (pa.int64(), pa.binary(), *[pa.int64()] * 4))])
-
-    slices = train.select(text).mapInArrow(count, MESSAGE).groupBy("to").applyInArrow(own, "owner long, slice binary, tokens long, distinct long, grams long, taken long").collect()
-    by = {r["owner"]: r for r in slices}
-    empty = bytes(slice_bits // 8)
-    return CountFilter([bytes(by[o]["slice"]) if o in by else empty for o in range(owners)], slice_bits), sum(r["tokens"] for r in slices), sum(r["distinct"] for r in slices)
-
-
-def score(docs: DataFrame, filter_: CountFilter, tokens: int, distinct: int, text: str = "text", key: str = "doc_id", train: str = "train") -> DataFrame:
-    """Scores of all texts; ``train`` marks the rows whose exact token counts the base uses."""
-    spark = docs.sparkSession
-    owners = shuffle_partitions(spark)
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str = "train") -> DataFrame:
+    """Scores of all texts by the model of those that ``train`` marks."""
+    owners = shuffle_partitions(docs.sparkSession)
     source = docs.select(F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(owners)).cast("long").alias("_batch"), F.col(key).cast("long").alias("doc_id"), F.col(train).alias("train"), F.col(text).alias("text")).groupBy("_batch")
-    shared = spark.sparkContext.broadcast(filter_)
 
-    def vocabulary(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The batch's tokens as places among its distinct ones, these with their hashes in
-        ascending order of keys, their training counts, and the number of tokens of each text."""
+    def vocabulary(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The batch's tokens as places among its distinct ones, the keys of these in ascending
+        order, their training counts, the keys of each token with the one before it, whether each
+        token is of a training text, and the number of tokens of each text."""
         words = _words()
         words.begin()
         texts = [words.numbers(x.as_py()) for c in table.column("text").chunks for x in c]
@@ -265,20 +227,46 @@ def score(docs: DataFrame, filter_: CountFilter, tokens: int, distinct: int, tex
         place_of[used] = np.arange(len(used))
         place = place_of[flat]
         taught = np.repeat(np.array(table.column("train").to_pylist(), dtype=bool), size)
-        return place, hashes[used], hashes[used] & ~np.uint64(1), np.bincount(place[taught], minlength=len(used)), size
+        hashes = hashes[used]
+        both = np.empty(len(place), dtype=np.uint64)
+        for lo in range(0, len(place), BLOCK_TOKENS):  # blocks bound the memory; a text's end stands before the next text
+            hi = min(lo + BLOCK_TOKENS, len(place))
+            both[lo:hi] = pairs(hashes[place[lo:hi]], hashes[place[np.arange(lo - 1, hi - 1)]]) | np.uint64(1)
+        return place, hashes & ~np.uint64(1), np.bincount(place[taught], minlength=len(used)), both, taught, size
 
     def ask(table: pa.Table) -> pa.Table:
-        _, _, keys, counts, _ = vocabulary(table)
+        _, keys, counts, both, taught, _ = vocabulary(table)
         n = table.column("_batch")[0].as_py()
-        order, cuts = _by_owner(keys, owners)
-        rows = [_pack(o, n, keys[order[a:b]], counts[order[a:b]]) for o, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        both ^= (~taught).astype(np.uint64)  # the lowest bit tells training pairs while they are sorted
+        both.sort()
+        begin = np.flatnonzero(np.concatenate([[True], both[1:] >> np.uint64(1) != both[:-1] >> np.uint64(1)]))
+        counts = np.concatenate([counts, np.add.reduceat((both & np.uint64(1)).astype(np.int64), begin)])
+        keys = np.concatenate([keys, both[begin] | np.uint64(1)])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        cuts = np.searchsorted(owner_of(keys, owners), np.arange(owners + 1))
+        rows = [_pack(o, n, keys[a:b], counts[a:b]) for o, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]  # to all owners: each tells its part of the totals
         return pa.Table.from_batches([_table(rows, ("to", "batch", "payload"), (pa.int64(), pa.int64(), pa.binary()))])
 
     def reply(table: pa.Table) -> pa.Table:
-        parts = [_unpack(p.as_py()) for c in table.column("payload").chunks for p in c]
+        """For each batch: this owner's training tokens and distinct ones, the exact counts of the
+        batch's words, and the levels of its n-grams."""
+        payloads = [p for c in table.column("payload").chunks for p in c]
+        parts = [_unpack(p.as_py()) for p in payloads]
         keys, counts = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        del parts
+        level, taken = read_back(keys, counts)
+        if taken != (grams := int((counts > 0).sum())):
+            raise RuntimeError(f"the filter took {taken} of {grams} n-grams")
+        level = level.astype(np.uint8)
+        single = (keys & np.uint64(1)) == 0
+        head = np.array([counts[single].sum(), (counts[single] > 0).sum()], dtype=np.int64).tobytes()
         owner = table.column("to")[0].as_py()
-        rows = [(owner, b, counts[np.searchsorted(keys, p[0])].tobytes()) for b, p in zip(table.column("batch").to_pylist(), parts)]
+        rows = []
+        for b, p in zip(table.column("batch").to_pylist(), payloads):
+            asked = _unpack(p.as_py())[0]
+            at = np.searchsorted(keys, asked)
+            rows.append((owner, b, head + counts[at[(asked & np.uint64(1)) == 0]].tobytes() + level[at].tobytes()))
         return pa.Table.from_batches([_table(rows, ("to", "batch", "payload"), (pa.int64(), pa.int64(), pa.binary()))])
 
     names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -287,27 +275,39 @@ def score(docs: DataFrame, filter_: CountFilter, tokens: int, distinct: int, tex
     def end(table: pa.Table, heard: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.Table.from_batches([_table([], names, kinds)])
-        model = shared.value
-        place, hashes, keys, _, size = vocabulary(table)
-        exact = np.zeros(len(keys), dtype=np.int64)
-        order, cuts = _by_owner(keys, owners)
-        for o, p in zip(heard.column("to").to_pylist(), heard.column("payload").to_pylist()):
-            exact[order[cuts[o] : cuts[o + 1]]] = np.frombuffer(p, dtype=np.int64)
+        place, keys, _, both, _, size = vocabulary(table)
+        pair_keys = np.sort(both)
+        pair_keys = pair_keys[np.concatenate([[True], pair_keys[1:] != pair_keys[:-1]])]
+        exact, about, level = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.uint8), np.zeros(len(pair_keys), dtype=np.uint8)
+        one, two = (np.searchsorted(owner_of(k, owners), np.arange(owners + 1)) for k in (keys, pair_keys))
+        tokens = distinct = 0
+        for o, p in zip(heard.column("to").to_pylist(), heard.column("payload")):
+            p = p.as_py()
+            here, n = keys[one[o] : one[o + 1]], int(one[o + 1] - one[o])
+            more = np.frombuffer(p, dtype=np.int64, count=2)
+            tokens, distinct = tokens + int(more[0]), distinct + int(more[1])
+            exact[one[o] : one[o + 1]] = np.frombuffer(p, dtype=np.int64, count=n, offset=16)
+            got = np.frombuffer(p, dtype=np.uint8, offset=16 + 8 * n)
+            word = np.searchsorted(pair_keys[two[o] : two[o + 1]], here) + np.arange(n)  # both kinds of keys came in one order
+            about[one[o] : one[o + 1]] = got[word]
+            rest = np.ones(len(got), dtype=bool)
+            rest[word] = False
+            level[two[o] : two[o + 1]] = got[rest]
         total = tokens + distinct + 1
         base = np.log10((exact + 1) / total)
-        about = read_count(model.level(keys))
+        read = read_count(np.arange(LEVELS + 1))
+        about = read[about]
         single = (about + 1) / total
         known, sums = (exact > 0).astype(np.int64), ([], [], [])
         ends = np.cumsum(size)
         lo = 0
         while lo < len(size):  # blocks of whole texts bound the memory of what follows
             hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + BLOCK_TOKENS, side="right")))
-            here = place[ends[lo] - size[lo] : ends[hi - 1]]
-            begin = ends[lo:hi] - size[lo:hi] - (ends[lo] - size[lo])
-            before = np.roll(here, 1)
-            before[begin] = here[begin + size[lo:hi] - 1]  # a text's end stands before its first word
-            both = read_count(model.level(pairs(hashes[here], hashes[before]) | np.uint64(1)))
-            p = np.log10((1 - MIX) * single[here] + MIX * both / np.maximum(np.maximum(about[before], both), 1))
+            at, to = ends[lo] - size[lo], ends[hi - 1]
+            here, before = place[at:to], place[np.arange(at - 1, to - 1)]
+            begin = ends[lo:hi] - size[lo:hi] - at
+            seen = read[level[np.searchsorted(pair_keys, both[at:to])]]
+            p = np.log10((1 - MIX) * single[here] + MIX * seen / np.maximum(np.maximum(about[before], seen), 1))
             for total_, x in zip(sums, (known[here], base[here], p)):
                 total_.extend(np.add.reduceat(x, begin).tolist())
             lo = hi
@@ -321,5 +321,4 @@ def score(docs: DataFrame, filter_: CountFilter, tokens: int, distinct: int, tex
 
 def op2(docs: DataFrame) -> DataFrame:
     """The contract's rows: learned from all documents but the held-out seventh, scored on all."""
-    marked = docs.select("doc_id", "text", ((doc_crc() % 7) != 2).alias("train"))
-    return score(marked, *build_filter(marked.where("train").select("text")))
+    return score(docs.select("doc_id", "text", ((doc_crc() % 7) != 2).alias("train")))

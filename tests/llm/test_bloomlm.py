@@ -66,3 +66,21 @@ def test_packing_of_keys():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 1000).astype(np.uint64))
     k, c = bloomlm._unpack(bloomlm._pack(0, 0, keys, np.arange(len(keys)))[2])
     assert (k == keys).all() and (c == np.arange(len(keys))).all()
+
+
+def test_the_filter_grows_with_what_is_counted():
+    many = np.full(500_000, 10**15)
+    assert bloomlm.capacity(many) > 8 * (48 << 20)  # past what any fixed 48 MiB takes
+    for n in (0, 1, 3000, 200_000):
+        keys = np.unique(np.random.default_rng(n).integers(0, 1 << 63, 2 * n).astype(np.uint64))
+        counts = np.where(np.arange(len(keys)) % 2, np.arange(len(keys)) % 300 + 1, 0)
+        level, taken = bloomlm.read_back(keys, counts)
+        assert taken == (counts > 0).sum() and (level >= np.where(counts > 0, bloomlm.levels(counts), 0)).all()
+        assert n < 3000 or (level[counts == 0] > 0).mean() < 0.03
+
+
+def test_every_ngram_of_the_training_texts_is_seen(spark):
+    rows = [(i, f"a{i} b{i} c{i}") for i in range(3000)]
+    got = {r["doc_id"]: r["score"] for r in bloomlm.op2(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert min(s for i, s in got.items() if i not in set(held)) > np.quantile([got[i] for i in held], 0.9) + 5
