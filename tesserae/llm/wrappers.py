@@ -1,11 +1,14 @@
 """Main-text extraction by wrapper induction over the pages of a host.
 
 Pages are parsed into DOM trees. Trees of one host are aligned by simple tree matching: children
-are matched in order, maximising the number of matched nodes. Aligned text nodes with equal text
-are constant; a constant that a fifth (and at least ``LEAST_PAGES``) of a host's pages share is
-template, what varies is a content slot. Element semantics settle what no alignment can see,
-such as adverts that rotate or an article that a host serves twice: navigation, forms, notices,
-adverts and comments are never content, and text in an article or main element always is.
+are matched in order, maximising the number of matched nodes. Aligned blocks of equal text are
+constant, those of other text are slots. A constant is template, on every page and inside article
+and main elements too, and what varies is content. Element semantics are the prior: outside an
+article a fifth of a host's pages (and at least ``LEAST_PAGES``) have to share a constant, inside
+one half of them, as a host may serve an article twice; a block beside a page's article is content
+only where alignment shows a slot, and all of an article is where nothing was aligned. Only what no
+alignment can see, such as adverts that rotate, is settled by kind: navigation, forms, notices,
+adverts and comments are never content.
 
 Alignment runs inside the tasks of the scan, each host's pages against the tree of its first page
 there; the counts of constants are then summed over all pages with map-side combining, so a host
@@ -30,6 +33,9 @@ from pyspark.sql import functions as F
 SALTS = 16
 LEAST_PAGES = 3
 LEAST_SHARE = 0.2
+LEAST_SHARE_INSIDE = 0.5
+#: What aligned blocks show: a constant outside an article, one inside, a slot.
+OUTSIDE, INSIDE, SLOT = range(3)
 
 #: HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -121,47 +127,48 @@ def parse(source: str) -> Node:
     return root
 
 
-def blocks(root: Node) -> list[tuple[str, str, bool]]:
-    """``(path, text, in article)`` of each block in page order, boilerplate elements left out."""
-    out: list[tuple[str, str, bool]] = []
+def runs(root: Node) -> list[tuple[Node, str, str, bool]]:
+    """``(element, path, text, in article)`` of each block in page order, boilerplate elements left out."""
+    out: list[tuple[Node, str, str, bool]] = []
     held: list[str] = []
 
-    def flush(path: str, inside: bool) -> None:
+    def flush(owner: Node, path: str, inside: bool) -> None:
         if held:
             if text := " ".join(html.unescape("".join(held)).split()):
-                out.append((path, text, inside))
+                out.append((owner, path, text, inside))
             held.clear()
 
-    todo: list = [(root, "", False, False)]
+    todo: list = [(root, root, "", False, False)]
     while todo:
-        node, path, inside, leaving = todo.pop()
+        node, owner, path, inside, leaving = todo.pop()
         if isinstance(node, str):
             held.append(node)
             continue
         if leaving:
-            flush(path, inside)
+            flush(owner, path, inside)
             continue
         if node.drop:
             if node.tag not in INLINE:
-                flush(path, inside)
+                flush(owner, path, inside)
             continue
         if node.tag in INLINE:
-            todo += [(c, path, inside, False) for c in reversed(node.children)]
+            todo += [(c, owner, path, inside, False) for c in reversed(node.children)]
             continue
-        flush(path, inside)
+        flush(owner, path, inside)
         path, inside = f"{path}/{node.label}", inside or node.content
-        todo.append((node, path, inside, True))
-        todo += [(c, path, inside, False) for c in reversed(node.children)]
-    flush("", False)
+        todo.append((node, node, path, inside, True))
+        todo += [(c, node, path, inside, False) for c in reversed(node.children)]
+    flush(root, "", False)
     return out
 
 
-def _elements(node: Node) -> list[Node]:
-    return [c for c in node.children if not isinstance(c, str)]
+def blocks(root: Node) -> list[tuple[str, str, bool]]:
+    """``(path, text, in article)`` of each block in page order, boilerplate elements left out."""
+    return [x[1:] for x in runs(root)]
 
 
-def _own_text(node: Node) -> str:
-    return " ".join("".join(c for c in node.children if isinstance(c, str)).split())
+def _elements(node: Node) -> list[Node]:
+    return [c for c in node.children if not isinstance(c, str)]
 
 
 def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
@@ -219,32 +226,58 @@ def _shared(u: Node, v: Node) -> int:
     return n
 
 
-def _key(label: str, text: str) -> int:
-    return xxhash.xxh64_intdigest(f"{label}\x00{text}") - (1 << 63)
+def _key(kind: int, path: str, text: str = "") -> int:
+    """Constants are told by the element that they stand in, slots by their whole path."""
+    return xxhash.xxh64_intdigest(f"{kind}\x00{path if kind == SLOT else _leaf(path)}\x00{text}") - (1 << 63)
 
 
-def constants(a: Node, b: Node) -> set[int]:
-    """Keys of the aligned text nodes of two trees that are equal; article text is never one."""
+class Page:
+    """A page's tree and the blocks of each of its elements."""
+
+    def __init__(self, root: Node) -> None:
+        self.root = root
+        self.of: dict[int, list[tuple[str, str, bool]]] = {}
+        for owner, path, text, inside in runs(root):
+            self.of.setdefault(id(owner), []).append((path, text, inside))
+
+
+def evidence(a: Page, b: Page) -> set[tuple[int, int]]:
+    """``(kind, key)`` of what aligning ``a`` with ``b`` shows about the blocks of ``b``."""
     out = set()
-    for x, y in match_trees(a, b):
-        if x.content or y.content or x.drop or y.drop:
+    for x, y in match_trees(a.root, b.root):
+        mine = b.of.get(id(y))
+        if not mine or not (other := a.of.get(id(x))):
             continue
-        text = _own_text(x)
-        if text and text == _own_text(y):
-            out.add(_key(x.label, html.unescape(text)))
+        same = {text for _, text, _ in other}
+        for path, text, inside in mine:
+            if text in same:
+                kind = INSIDE if inside else OUTSIDE
+                out.add((kind, _key(kind, path, text)))
+            elif not inside:
+                out.add((SLOT, _key(SLOT, path)))
     return out
 
 
+def constants(a: Node, b: Node) -> set[int]:
+    """Keys of the aligned blocks of two trees that are equal."""
+    return {key for kind, key in evidence(Page(a), Page(b)) if kind != SLOT}
+
+
 def _leaf(path: str) -> str:
     return path.rpartition("/")[2]
 
 
 def main_text(source: str, template: set[int] = frozenset()) -> str:
-    """The page's main text, given its host's template constants."""
+    """The page's main text, given the template of its host: keys of constants and of slots."""
     found = blocks(parse(source))
-    inside = [x for x in found if x[2]]
-    kept = inside or [x for x in found if _key(_leaf(x[0]), x[1]) not in template]
-    return " ".join(x[1] for x in kept)
+    article = any(x[2] for x in found)
+    kept = []
+    for path, text, inside in found:
+        if template and _key(INSIDE if inside else OUTSIDE, path, text) in template:
+            continue
+        if inside or not article or (template and _key(SLOT, path) in template):
+            kept.append(text)
+    return " ".join(kept)
 
 
 def _with_host(pages: DataFrame) -> DataFrame:
@@ -253,7 +286,7 @@ def _with_host(pages: DataFrame) -> DataFrame:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """``(host, keys array<long>)``: the template constants of each host, from all of its pages.
+    """``(host, keys array<long>)``: the constants and slots of each host, from all of its pages.
 
     A page that repeats another one of its task exactly is passed over, so that a page served
     under many urls does not make its own text a constant.
@@ -261,9 +294,9 @@ def induce(pages: DataFrame) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first: dict[str, Node] = {}
+            first: dict[str, Page] = {}
             seen: set[int] = set()
-            found: dict[tuple[str, int], int] = {}
+            found: dict[tuple[str, int, int], int] = {}
             size: dict[str, int] = {}
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
                 source = source.as_py()
@@ -271,20 +304,20 @@ def induce(pages: DataFrame) -> DataFrame:
                 if mark in seen or not host:
                     continue
                 seen.add(mark)
-                tree = parse(source)
+                tree = Page(parse(source))
                 size[host] = size.get(host, 0) + 1
                 if host not in first:
                     first[host] = tree
                     continue
-                for k in constants(first[host], tree):
-                    found[host, k] = found.get((host, k), 0) + 1
-            rows = [(h, k, n + 1) for (h, k), n in found.items()] + [(h, None, n) for h, n in size.items()]
+                for kind, k in evidence(first[host], tree):
+                    found[host, kind, k] = found.get((host, kind, k), 0) + 1
+            rows = [(h, kind, k, n + 1) for (h, kind, k), n in found.items()] + [(h, None, None, n) for h, n in size.items()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], names=["host", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "kind", "key", "n"])
 
-    counts = pages.select("host", "html").mapInArrow(align, "host string, key long, n long").groupBy("host", "key").agg(F.sum("n").alias("n"))
+    counts = pages.select("host", "html").mapInArrow(align, "host string, kind int, key long, n long").groupBy("host", "kind", "key").agg(F.sum("n").alias("n"))
     total = counts.where(F.col("key").isNull()).select("host", F.col("n").alias("pages"))
-    common = counts.where(F.col("key").isNotNull()).join(total, "host").where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= F.col("pages") * LEAST_SHARE))
+    common = counts.where(F.col("key").isNotNull()).join(total, "host").where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= F.col("pages") * F.when(F.col("kind") == INSIDE, LEAST_SHARE_INSIDE).otherwise(LEAST_SHARE)))
     return common.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
 

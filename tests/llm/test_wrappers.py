@@ -42,3 +42,14 @@ def test_tree_matching():
 
 def test_empty(spark):
     assert wrappers.op5(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
+def test_the_template_decides_inside_and_beside_articles(spark):
+    shell = (
+        "<html><body><div class=lead>Lead {0} of the page</div><div class=top>Same <b>banner</b> line</div><article><h1>Title {0}</h1>"
+        "<p class=note>Read all <i>our</i> stories here.</p><p>Story {0} is told.</p></article><div class=end>Same closing line</div></body></html>"
+    )
+    rows = [(i, f"http://h.example/{i}", shell.format(i)) for i in range(8)] + [(90, "http://other.example/", shell.format(1))]
+    got = {r["page_id"]: r["text"] for r in wrappers.op5(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert got[3] == "Lead 3 of the page Title 3 Story 3 is told."
+    assert got[90] == "Title 1 Read all our stories here. Story 1 is told."  # nothing to align with: the article as it is
