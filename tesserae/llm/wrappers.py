@@ -10,9 +10,11 @@ only where alignment shows a slot, and all of an article is where nothing was al
 alignment can see, such as adverts that rotate, is settled by kind: navigation, forms, notices,
 adverts and comments are never content.
 
-Alignment runs inside the tasks of the scan, each host's pages against the tree of its first page
-there; the counts of constants are then summed over all pages with map-side combining, so a host
-with a third of the pages is no hot group. Pages meet their host's template in one salted join.
+Every page of a host is aligned with the same references, up to three pages of the host picked by
+hashes of their html, so a template depends neither on partitioning nor on one odd page. Pages are
+dealt once, by host and, for hosts of over a part's size, by hashes of their html into parts of
+about that size; references and templates go to each part of their host, so a host with a third of
+the pages is no hot group. Counts of what was aligned are summed over the parts.
 
 Edge cases: a null or empty html gives an empty text and 0 characters; broken markup is closed
 where HTML would; a null or hostless url has a host of its own; a repeated page counts as one
@@ -23,14 +25,16 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+from .common import shuffle_partitions, staged
+
+PART_BYTES = 8 << 20
+LEAST_PART_BYTES = 256 << 10
 LEAST_PAGES = 3
 LEAST_SHARE = 0.2
 LEAST_SHARE_INSIDE = 0.5
@@ -282,58 +286,104 @@ def main_text(source: str, template: set[int] = frozenset()) -> str:
 
 def _with_host(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
-    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
+    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host")).withColumn("mark", F.xxhash64("html"))
+
+
+def _dealt(hosted: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The pages with the deal that they go to; ``host, parts, low, high, other`` of the hosts of
+    several parts, with the marks of their references; and the number of deals."""
+    deals = shuffle_partitions(hosted.sparkSession)
+    mixed = F.xxhash64("mark")
+    sizes = hosted.groupBy("host").agg(F.sum(F.length("html").cast("long")).alias("bytes"), F.min("mark").alias("low"), F.max("mark").alias("high"), F.min_by("mark", mixed).alias("other"))
+    sizes = staged(sizes, "hosts")
+    part = min(PART_BYTES, max(LEAST_PART_BYTES, (sizes.agg(F.sum("bytes")).first()[0] or 0) // (4 * deals)))
+    large = sizes.where(F.col("bytes") > part).withColumn("parts", F.ceil(F.col("bytes") / part).cast("int")).drop("bytes")
+    parts = F.broadcast(large.select("host", "parts"))
+    salt = F.pmod("mark", F.coalesce("parts", F.lit(1))).cast("int")
+    return hosted.join(parts, "host", "left").withColumn("deal", _deal(salt, deals)).drop("parts"), large, deals
+
+
+def _deal(salt: Column, deals: int) -> Column:
+    return F.pmod(F.xxhash64("host", salt), F.lit(deals)).cast("int")
+
+
+def _to_parts(rows: DataFrame, deals: int) -> DataFrame:
+    """The rows once for each deal that holds a part of their host."""
+    salted = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return salted.withColumn("deal", _deal(F.col("salt"), deals)).drop("salt", "parts").distinct()
+
+
+def _references(hosted: DataFrame, large: DataFrame, deals: int) -> DataFrame:
+    """``host, mark, html, deal``: the references of the hosts of several parts; the pages of the
+    other hosts are together, and find theirs themselves."""
+    picked = hosted.join(F.broadcast(large), "host").where(F.col("mark").isin(F.col("low"), F.col("high"), F.col("other")))
+    return staged(_to_parts(picked.select("host", "mark", "html", "parts").dropDuplicates(["host", "mark"]), deals), "references")
+
+
+def _mixed(mark: int) -> int:
+    """Spark's ``xxhash64`` of a long, signed."""
+    h = xxhash.xxh64_intdigest(mark.to_bytes(8, "little", signed=True), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _align(pages: pa.Table, references: pa.Table) -> pa.Table:
+    """``host, kind, key, n``: on how many pages each constant and slot was found, and with a null
+    key how many pages were aligned. Equal pages of a host are one."""
+    own: dict[str, dict[int, int]] = {}
+    for i, (host, mark) in enumerate(zip(pages.column("host").to_pylist(), pages.column("mark").to_pylist())):
+        if host:
+            own.setdefault(host, {}).setdefault(mark, i)
+    given: dict[str, dict[int, str]] = {}
+    for host, mark, source in zip(*(references.column(c).to_pylist() for c in ("host", "mark", "html"))):
+        given.setdefault(host, {})[mark] = source
+    source = pages.column("html")
+    rows: list[tuple] = []
+    for host, found in own.items():
+        picked = given.get(host) or {m: source[found[m]].as_py() for m in (min(found), max(found), min(found, key=_mixed))}
+        if len(picked) < 2:
+            continue
+        trees = {m: Page(parse(x)) for m, x in picked.items()}
+        n: dict[tuple[int, int], int] = {}
+        for mark, i in found.items():
+            page = trees.get(mark) or Page(parse(source[i].as_py()))
+            for k in set().union(*(evidence(x, page) for m, x in trees.items() if m != mark)):
+                n[k] = n.get(k, 0) + 1
+        rows += [(host, kind, key, c) for (kind, key), c in n.items()]
+        rows.append((host, None, None, len(found)))
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "kind", "key", "n"])
+
+
+def _template(dealt: DataFrame, references: DataFrame) -> DataFrame:
+    """``(host, keys array<long>)``: the constants and slots of each host, from all of its pages."""
+    counts = dealt.groupBy("deal").cogroup(references.groupBy("deal")).applyInArrow(_align, "host string, kind int, key long, n long").groupBy("host", "kind", "key").agg(F.sum("n").alias("n"))
+    counts = staged(counts, "aligned")
+    total = counts.where(F.col("key").isNull()).select("host", F.col("n").alias("pages"))
+    share = F.when(F.col("kind") == INSIDE, LEAST_SHARE_INSIDE).otherwise(LEAST_SHARE)
+    common = counts.where(F.col("key").isNotNull()).join(total, "host").where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= F.col("pages") * share))
+    return common.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """``(host, keys array<long>)``: the constants and slots of each host, from all of its pages.
+    """``(host, keys array<long>)`` of pages with ``page_id, url, html``."""
+    hosted = _with_host(pages)
+    dealt, large, deals = _dealt(hosted)
+    return _template(dealt, _references(hosted, large, deals))
 
-    A page that repeats another one of its task exactly is passed over, so that a page served
-    under many urls does not make its own text a constant.
-    """
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first: dict[str, Page] = {}
-            seen: set[int] = set()
-            found: dict[tuple[str, int, int], int] = {}
-            size: dict[str, int] = {}
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-                source = source.as_py()
-                mark = xxhash.xxh64_intdigest(f"{host} {source}")
-                if mark in seen or not host:
-                    continue
-                seen.add(mark)
-                tree = Page(parse(source))
-                size[host] = size.get(host, 0) + 1
-                if host not in first:
-                    first[host] = tree
-                    continue
-                for kind, k in evidence(first[host], tree):
-                    found[host, kind, k] = found.get((host, kind, k), 0) + 1
-            rows = [(h, kind, k, n + 1) for (h, kind, k), n in found.items()] + [(h, None, None, n) for h, n in size.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "kind", "key", "n"])
-
-    counts = pages.select("host", "html").mapInArrow(align, "host string, kind int, key long, n long").groupBy("host", "kind", "key").agg(F.sum("n").alias("n"))
-    total = counts.where(F.col("key").isNull()).select("host", F.col("n").alias("pages"))
-    common = counts.where(F.col("key").isNotNull()).join(total, "host").where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= F.col("pages") * F.when(F.col("kind") == INSIDE, LEAST_SHARE_INSIDE).otherwise(LEAST_SHARE)))
-    return common.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+def _apply(pages: pa.Table, templates: pa.Table) -> pa.Table:
+    keys = {h: set(k) for h, k in zip(templates.column("host").to_pylist(), templates.column("keys").to_pylist())}
+    texts = [main_text(source.as_py(), keys.get(host, frozenset())) for source, host in zip(pages.column("html"), pages.column("host").to_pylist())]
+    return pa.table([pages.column("page_id"), pages.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     hosted = _with_host(pages)
-    template = induce(hosted).select("host", "keys", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    joined = hosted.withColumn("salt", salt).join(template, ["host", "salt"], "left").select("page_id", "url", "html", "keys")
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(source.as_py(), set(keys.as_py() or ())) for source, keys in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return joined.mapInArrow(apply, "page_id long, url string, text string, n_chars long")
+    dealt, large, deals = _dealt(hosted)
+    template = _template(dealt, _references(hosted, large, deals))
+    template = _to_parts(template.join(F.broadcast(large.select("host", "parts")), "host", "left"), deals)
+    return dealt.groupBy("deal").cogroup(template.groupBy("deal")).applyInArrow(_apply, "page_id long, url string, text string, n_chars long")
 
 
 def op5(pages: DataFrame) -> DataFrame:

@@ -53,3 +53,14 @@ def test_the_template_decides_inside_and_beside_articles(spark):
     got = {r["page_id"]: r["text"] for r in wrappers.op5(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
     assert got[3] == "Lead 3 of the page Title 3 Story 3 is told."
     assert got[90] == "Title 1 Read all our stories here. Story 1 is told."  # nothing to align with: the article as it is
+
+
+def test_templates_do_not_depend_on_partitioning(spark, monkeypatch):
+    shell = "<html><body><div class=top>Same banner line</div><div class=x>story {0} of {1}</div></body></html>"
+    rows = [(i, f"http://h{i % 5}.example/{i}", shell.format(i, "words " * (i % 7))) for i in range(60)] + [(99, "http://h0.example/odd", "<p>odd")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    read = lambda df: {r["page_id"]: r["text"] for r in wrappers.op5(df).collect()}
+    apart, whole = read(pages.repartition(61, "page_id")), read(pages.coalesce(1))
+    monkeypatch.setattr(wrappers, "LEAST_PART_BYTES", 300)
+    assert apart == whole == read(pages.repartition(7)) and len(whole) == 61
+    assert whole[99] == "odd" and all("banner" not in x for x in whole.values()) and "story 12 of" in whole[12]
