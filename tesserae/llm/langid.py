@@ -1,6 +1,9 @@
 """Language identification with a linear-chain conditional random field.
 
-Every word with a letter is a position of a chain; its label is a language. Node potentials sum
+Every word with a letter is a position of a chain; its label is a language. A run of over
+``LONGEST`` characters without white space, such as text of a script that has none, is as many
+positions as it takes near-equal pieces of at most so many characters, so every character gives
+features and weight. Node potentials sum
 learned weights of hashed features: prefixes and suffixes (affixes), character n-grams with word
 ends, the word itself, and membership in lexicons of words that mark a language in the training
 sample. Edge potentials are a learned transition matrix. Forward-backward gives each word's
@@ -30,6 +33,7 @@ from pyspark.sql.window import Window
 from .common import Interner, Memo, doc_crc, held
 
 CHAIN = 64
+LONGEST = 24
 BUCKETS = 1 << 15
 UNDETERMINED = "und"
 MOST_LABELS = 256
@@ -63,16 +67,31 @@ def word_core(word: str) -> str:
     return word[lo:hi].lower()
 
 
-def word_features(core: str, lexicon: dict[str, int], bucket) -> list[int]:
-    """Feature buckets of a word. Words of over 24 letters give the n-grams of both ends."""
-    w = core if len(core) <= 24 else core[:12] + core[-12:]
+def pieces(text: str | None) -> list[str]:
+    """The runs of a text without white space, long ones cut into near-equal pieces of at most
+    ``LONGEST`` characters. What is no letter at the ends of a run is no part of its length."""
+    words = (text or "").split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out = []
+    for word in words:
+        if len(word) > LONGEST and len(core := word_core(word)) > LONGEST:
+            n = -(-len(core) // LONGEST)
+            out += [core[len(core) * i // n : len(core) * (i + 1) // n] for i in range(n)]
+        else:
+            out.append(word)
+    return out
+
+
+def word_features(w: str, lexicon: dict[str, int], bucket) -> list[int]:
+    """Feature buckets of a word or piece of at most ``LONGEST`` characters."""
     out = [bucket["w=" + w]]
     for n in (1, 2, 3):
         out += [bucket["<" + w[:n]], bucket[w[-n:] + ">"]]
     out += [bucket[w[i : i + 2]] for i in range(len(w) - 1)]
     out += [bucket[w[i : i + 3]] for i in range(len(w) - 2)]
-    if core in lexicon:
-        out.append(bucket[f"lex={lexicon[core]}"])
+    if w in lexicon:
+        out.append(bucket[f"lex={lexicon[w]}"])
     return out
 
 
@@ -125,7 +144,7 @@ def fit_chain_model(
     gold: list[int] = []
     counts = [Counter() for _ in labels]
     for text, lang in zip(texts, langs):
-        cores = [c for c in map(word_core, (text or "").split()) if c]
+        cores = [c for c in map(word_core, pieces(text)) if c]
         if cores:
             rows.append(np.array([words[c] for c in cores], dtype=np.int64))
             gold.append(at[lang])
@@ -252,7 +271,7 @@ class Tagger:
         if self.words.full:
             self.words.reset()
         get = self.words.__getitem__
-        rows = [np.fromiter(map(get, (t or "").split()), dtype=np.int32) for t in texts]
+        rows = [np.fromiter(map(get, pieces(t)), dtype=np.int32) for t in texts]
         self._learn_words()
         rows = [r[self.letters[r]] for r in rows]
         size[:] = [len(r) for r in rows]

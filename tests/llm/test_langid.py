@@ -46,3 +46,14 @@ def test_forward_backward_equals_enumeration():
         for t in range(4):
             want[t, path[t]] += p
     assert np.allclose(got, want / want.sum(1, keepdims=True))
+
+
+def test_long_runs_are_read_whole():
+    en, de = "the house and the garden with many old trees of that town", "das haus und der garten mit vielen alten bäumen dieser stadt"
+    model = langid.fit_chain_model([en, en.replace(" ", "-")] * 30 + [de, de.replace(" ", "-")] * 30, ["en"] * 60 + ["de"] * 60)
+    long = "-".join([en] * 40).replace(" ", "-")
+    parts = langid.pieces(f"«{long}» ok")
+    assert "".join(parts[:-1]) == long and max(map(len, parts)) <= langid.LONGEST and parts[-1] == "ok"
+    total, size = langid.Tagger(model).totals([f"und der {long} das haus", f"das-haus-und-{long}-bäumen-dieser-stadt"])
+    assert size[0] >= len(long) / langid.LONGEST and (total[:, model.labels.index("en")] / size > 0.8).all()
+    assert langid.pieces("x" * 24) == ["x" * 24] and langid.pieces(None) == []
