@@ -297,13 +297,16 @@ class Tagger:
 
 
 def training_sample(
-    docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", *, docs_per_label: int = 250, chars: int = 3000, seed: int = 11
+    docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", *, docs_per_label: int = 250, chars: int = 3000, seed: int = 11, most_labels: int = MOST_LABELS
 ) -> DataFrame:
     """At most ``docs_per_label`` rows a label, picked by a hash of their id, each with a window
     of at most ``chars`` characters at a hashed offset. This is the documented bound of what the
-    model is fitted on; only the classifier's fit uses a sample."""
+    model is fitted on; only the classifier's fit uses a sample. No label is left out: more than
+    ``most_labels``, which bounds the model's size, are an error."""
     labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    sizes = labelled.groupBy(F.col(label).alias("label")).count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()
+    sizes = labelled.groupBy(F.col(label).alias("label")).count().orderBy(F.desc("count"), "label").limit(most_labels + 1).collect()
+    if len(sizes) > most_labels:
+        raise ValueError(f"over {most_labels} labels; give most_labels to train on more")
     rank = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     share = [x for r in sizes for x in (F.lit(r["label"]), F.lit(min(1.0, 4.0 * docs_per_label / r["count"] + 1e-9)))]
     rate = F.element_at(F.create_map(*share), F.col(label)) if share else F.lit(0.0)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tesserae.llm import langid
 
@@ -57,3 +58,10 @@ def test_long_runs_are_read_whole():
     total, size = langid.Tagger(model).totals([f"und der {long} das haus", f"das-haus-und-{long}-bäumen-dieser-stadt"])
     assert size[0] >= len(long) / langid.LONGEST and (total[:, model.labels.index("en")] / size > 0.8).all()
     assert langid.pieces("x" * 24) == ["x" * 24] and langid.pieces(None) == []
+
+
+def test_no_label_is_lost(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i % 5}") for i in range(20)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="over 4 labels"):
+        langid.training_sample(docs, most_labels=4)
+    assert {r["lang"] for r in langid.training_sample(docs, most_labels=5).collect()} == {f"l{i}" for i in range(5)}
