@@ -13,17 +13,18 @@ from pyspark.sql import functions as F
 from tesserae.llm import bagminhash, langid, packing, repeats
 from tesserae.llm.common import bound_batches, staged, table
 
-#: A document goes if no label has this share of its words: chance level for the known languages.
-LEAST_SCORE = 0.3
+#: A document is in no known language if so large a share of its words' trigrams was never seen in
+#: training. It depends on neither the number of labels nor on how many languages a text mixes.
+MOST_UNKNOWN = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled ones teach stay; those without
-    letters, and those whose words no language can claim, go."""
+    letters, and those of words that are strange to all of them, go."""
     bound_batches(spark)
-    label, score = "_lang_pred", "_lang_score"
-    tagged = langid.identify(docs, langid.fit(docs), names=(label, score))
-    return tagged.where((F.col(label) != langid.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).drop(label, score)
+    label, score, unknown = "_lang_pred", "_lang_score", "_lang_unknown"
+    tagged = langid.identify(docs, langid.fit(docs), names=(label, score), unknown=unknown)
+    return tagged.where((F.col(label) != langid.UNDETERMINED) & (F.col(unknown) <= MOST_UNKNOWN)).drop(label, score, unknown)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

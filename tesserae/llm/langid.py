@@ -42,13 +42,15 @@ MOST_LABELS = 256
 @dataclass
 class ChainModel:
     """Labels, feature weights, transitions and lexicon. Its size is bounded: BUCKETS x labels
-    floats and at most ``lexicon_size`` words a label."""
+    floats, at most ``lexicon_size`` words a label, and the trigrams of the training sample, by
+    which text of a language that was not taught is told."""
 
     labels: list[str]
     weights: np.ndarray
     transitions: np.ndarray
     start: np.ndarray
     lexicon: dict[str, int]
+    trigrams: frozenset[str] = frozenset()
 
 
 def _bucket(feature: str) -> int:
@@ -95,6 +97,12 @@ def word_features(w: str, lexicon: dict[str, int], bucket) -> list[int]:
     return out
 
 
+def trigrams(core: str) -> list[str]:
+    """The trigrams of a word or piece with marks at its ends."""
+    w = f"<{core}>"
+    return [w[i : i + 3] for i in range(len(w) - 2)]
+
+
 def _forward_backward(emit: np.ndarray, valid: np.ndarray, trans: np.ndarray, start: np.ndarray):
     """Scaled forward-backward over ``[T, C, L]`` potentials; ``valid`` ``[T, C]`` is a prefix
     mask of each chain. Returns the forward vectors and backward vectors."""
@@ -219,14 +227,16 @@ def fit_chain_model(
                 for p, g, h in ((weights, grad, g2w), (trans, gt, g2t), (start, gs, g2s)):
                     h += g * g
                     p += rate * g / np.sqrt(h)
-    return ChainModel(labels, weights.astype(np.float32), np.exp(trans - trans.max(initial=0.0)).astype(np.float32), np.exp(start - start.max(initial=0.0)).astype(np.float32), lexicon)
+    return ChainModel(labels, weights.astype(np.float32), np.exp(trans - trans.max(initial=0.0)).astype(np.float32), np.exp(start - start.max(initial=0.0)).astype(np.float32), lexicon, frozenset(x for w in words for x in trigrams(w)))
 
 
 class Tagger:
     """Applies a model to batches of texts; one for each Python worker and model."""
 
-    def __init__(self, model: ChainModel) -> None:
+    def __init__(self, model: ChainModel, tell_unknown: bool = False) -> None:
         self.model = model
+        self.tell_unknown = tell_unknown
+        self.unknown = np.zeros(1 << 12, dtype=np.float32)
         self.words = Interner(250_000)
         self.bucket = Memo(_bucket, 200_000)
         self.emit = np.ones((1 << 12, len(model.labels)), dtype=np.float32)
@@ -240,6 +250,7 @@ class Tagger:
         while len(self.letters) < need:
             self.emit = np.concatenate([self.emit, np.ones_like(self.emit)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+            self.unknown = np.concatenate([self.unknown, np.zeros_like(self.unknown)])
         first = need - len(fresh)
         cores = [word_core(w) for w in fresh]
         rows = [word_features(c, self.model.lexicon, self.bucket) if c else [0] for c in cores]
@@ -249,10 +260,14 @@ class Tagger:
             score = np.add.reduceat(self.model.weights[flat], begin, axis=0)
             self.emit[first:need] = np.maximum(np.exp(score - score.max(1, keepdims=True)), 1e-30)
         self.letters[first:need] = [bool(c) for c in cores]
+        if self.tell_unknown:
+            known = self.model.trigrams
+            self.unknown[first:need] = [sum(x not in known for x in trigrams(c)) / len(c) if c else 0 for c in cores]
 
-    def totals(self, texts) -> tuple[np.ndarray, np.ndarray]:
+    def totals(self, texts, unknown: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Summed marginals ``[n, L]`` and the number of words with letters ``[n]`` of texts given
-        as a list or an Arrow array, of which a block at a time is held."""
+        as a list or an Arrow array, of which a block at a time is held. ``unknown`` gets the sums
+        of the words' shares of trigrams that training has not seen."""
         n, n_labels = len(texts), len(self.model.labels)
         out, size = np.zeros((n, max(1, n_labels))), np.zeros(n, dtype=np.int64)
         lo = 0
@@ -263,11 +278,11 @@ class Tagger:
                 block.append(x if x is None or isinstance(x, str) else x.as_py())
                 amount += len(block[-1] or "")
             hi = lo + len(block)
-            self._block(block, out[lo:hi], size[lo:hi])
+            self._block(block, out[lo:hi], size[lo:hi], None if unknown is None else unknown[lo:hi])
             lo = hi
         return out, size
 
-    def _block(self, texts, out, size) -> None:
+    def _block(self, texts, out, size, unknown) -> None:
         if self.words.full:
             self.words.reset()
         get = self.words.__getitem__
@@ -275,6 +290,8 @@ class Tagger:
         self._learn_words()
         rows = [r[self.letters[r]] for r in rows]
         size[:] = [len(r) for r in rows]
+        if unknown is not None:
+            unknown[:] = [self.unknown[r].sum() for r in rows]
         n_labels = len(self.model.labels)
         if not size.sum() or not n_labels:
             return
@@ -323,25 +340,31 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     return fit_chain_model([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: ChainModel, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the label and its score, called ``names``, to the columns ``keep`` (all by default). A narrow, map-only
+def identify(docs: DataFrame, model: ChainModel, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score"), unknown: str | None = None) -> DataFrame:
+    """Adds the label and its score, called ``names``, to the columns ``keep`` (all by default), and under the name
+    ``unknown``, if given, the share of the text that is strange to the training sample: the mean
+    over its words of the share of their trigrams that it does not hold. A narrow, map-only
     operator: rows stay where they are and no shuffle occurs."""
     keep = docs.columns if keep is None else keep
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text_in"))
-    schema = source.drop("_text_in").withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0.0)).schema
+    schema = source.drop("_text_in").withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0.0))
+    schema = (schema.withColumn(unknown, F.lit(0.0)) if unknown else schema).schema
     shared = source.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = held("langid", id(shared.value), lambda: Tagger(shared.value))
+        tagger = held("langid", (id(shared.value), bool(unknown)), lambda: Tagger(shared.value, bool(unknown)))
         labels = np.array([*tagger.model.labels, UNDETERMINED], dtype=object)
         for batch in batches:
-            total, size = tagger.totals(batch.column(len(keep)))
+            strange = np.zeros(batch.num_rows) if unknown else None
+            total, size = tagger.totals(batch.column(len(keep)), strange)
             best = total.argmax(1)
             known = (size > 0) & (len(labels) > 1)
             score = np.where(known, np.clip(total[np.arange(len(best)), best] / np.maximum(size, 1), 0, 1), 0.0)
             pred = labels[np.where(known, best, len(labels) - 1)] if len(best) else labels[:0]
             columns = [*batch.columns[: len(keep)], pa.array(list(pred), pa.string()), pa.array(np.round(score, 6), pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
+            if unknown:
+                columns.append(pa.array(strange / np.maximum(size, 1), pa.float64()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names, *([unknown] if unknown else [])])
 
     return source.mapInArrow(apply, schema)
 

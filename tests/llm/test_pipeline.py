@@ -33,3 +33,16 @@ def test_edges(spark, edge, empty):
 
 def test_run(spark):
     assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_foreign_languages_go(spark, small):
+    from pyspark.sql import functions as F
+
+    foreign = ["Всички хора се раждат свободни и равни по достойнство", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności"]
+    template = small.limit(1).drop("doc_id", "text", "lang")
+    texts = spark.createDataFrame([(10**9 + i, x, None) for i, x in enumerate(foreign)], "doc_id long, text string, lang string")
+    docs = small.unionByName(texts.crossJoin(template))
+    mixed = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.min_by("text", F.length("text") < 200).alias("x")).agg(F.concat_ws(" ", F.collect_list(F.substring("x", 1, 300))))
+    docs = docs.unionByName(spark.createDataFrame([(2 * 10**9, mixed.first()[0], None)], "doc_id long, text string, lang string").crossJoin(template))
+    gone = docs.select("doc_id").subtract(pipeline.language_id(spark, docs, "").select("doc_id"))
+    assert {r["doc_id"] for r in gone.collect()} == {10**9, 10**9 + 1}
