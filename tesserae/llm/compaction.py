@@ -1,8 +1,10 @@
 """Sharded storage with size-tiered compaction and a versioned manifest.
 
 Arrivals are appended as small immutable Parquet shards. A compaction sorts the live shards into
-size tiers (powers of ``FANOUT``), packs the shards of one tier into runs of about the target
-size, and writes each run of two or more as one new shard. Every change is one new manifest
+size tiers (powers of ``FANOUT``), and a tier is merged once it holds ``FANOUT`` shards: they are
+packed into runs of about the target size, each written as one new shard of a higher tier, which
+may fill that tier in turn. A flush also merges tiers that hold fewer. Runs never mix tiers.
+Every change is one new manifest
 version, written under a temporary name and renamed to its number: renaming fails if another
 writer has taken the number, so commits are atomic and a reader sees one version as a whole. Data
 files are never changed; files that no kept version names are removed by ``vacuum``.
@@ -114,27 +116,31 @@ class ShardStore:
         rows.write.option("maxRecordsPerFile", shard_rows).parquet(f"{self.root}/{folder}")
         return self.commit(base, [*_shards(base), *self._written(folder)], rows.schema.json())
 
-    def plan(self, shards: list[Shard], target: int) -> list[list[Shard]]:
-        """Runs to merge: shards of one tier, in size order, up to about the target size; a
-        tier's last run may be joined by the next tier's first. Shards of at least half the
-        target stay as they are."""
+    def plan(self, shards: list[Shard], target: int, least: int = FANOUT) -> list[list[Shard]]:
+        """Runs to merge: shards of one tier, in size order, up to about the target size. A tier
+        of fewer than ``least`` shards waits. Shards of at least half the target stay as they are."""
+        tiers: dict[int, list[Shard]] = {}
+        for s in sorted((s for s in shards if 2 * s.size < target), key=lambda s: (s.size, s.name)):
+            tiers.setdefault(s.tier, []).append(s)
         runs: list[list[Shard]] = []
-        small = sorted((s for s in shards if 2 * s.size < target), key=lambda s: (s.tier, s.size, s.name))
-        run: list[Shard] = []
-        for s in small:
-            if run and sum(x.size for x in run) + s.size > target:
-                runs.append(run)
-                run = []
-            run.append(s)
-        if run:
+        for tier in sorted(tiers):
+            if len(tiers[tier]) < least:
+                continue
+            run: list[Shard] = []
+            for s in tiers[tier]:
+                if run and sum(x.size for x in run) + s.size > target:
+                    runs.append(run)
+                    run = []
+                run.append(s)
             runs.append(run)
         return [r for r in runs if len(r) > 1]
 
-    def compact(self, target: int = TARGET_BYTES) -> int:
-        """Merges the planned runs and commits the result; returns the version it leaves."""
+    def compact(self, target: int = TARGET_BYTES, *, flush: bool = False) -> int:
+        """Merges the planned runs and commits the result; returns the version it leaves. With
+        ``flush``, tiers of two shards or more are merged too."""
         base = self.manifest()
         shards = _shards(base)
-        runs = self.plan(shards, target)
+        runs = self.plan(shards, target, 2 if flush else FANOUT)
         if not runs:
             return base["version"]
         schema = T.StructType.fromJson(json.loads(base["schema"]))
@@ -204,7 +210,7 @@ def op8(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     store = ShardStore(spark, f"{shared_dir(spark)}/tesserae/store-{uuid.uuid4().hex}")
     store.append(docs)
-    version = store.compact()
+    version = store.compact(flush=True)
     store.vacuum()
     raw = F.encode("text", "UTF-8")
     return store.read(version).select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("text_sha256"))

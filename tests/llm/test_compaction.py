@@ -53,3 +53,11 @@ def test_commits_are_atomic(store, small):
 def test_empty(store, empty):
     store.append(empty)
     assert store.read().count() == 0 and compaction.op8(empty).count() == 0
+
+
+def test_a_run_holds_one_tier_and_a_tier_waits_for_its_fanout():
+    plan = lambda sizes, **k: [[s.size for s in r] for r in compaction.ShardStore.plan(None, [compaction.Shard(f"s{i}", n) for i, n in enumerate(sizes)], 64 << 20, **k)]
+    small, large = [100_000] * 4, [20_000_000] * 3
+    assert plan(small + large) == [small]
+    assert plan(small[:3] + large) == []
+    assert plan(small[:3] + large, least=2) == [small[:3], large]
