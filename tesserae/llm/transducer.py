@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-The normaliser (dummy prefix, space marks), the pieces and byte fallback are compiled into a
-transducer. Composing it with an input gives a lattice whose arcs are pieces; the tropical-semiring
+The pieces and byte fallback are compiled into a transducer. The dummy prefix and space marks are
+put before it by string functions; a model whose normaliser does more, by a character map or by
+removing white space, is an error. Composing it with an input gives a lattice whose arcs are pieces; the tropical-semiring
 shortest path is the encoding. For a unigram model an arc weighs its negative score. For a BPE
 model a state also remembers the last piece, and an arc weighs 0 where merging the two pieces'
 text leaves exactly the two, else infinity: a segmentation is the one that merging yields exactly

@@ -56,3 +56,8 @@ def test_unigram_path_is_the_cheapest(machine):
     other.ids = {"a": 0, "b": 1, "ab": 2, "abc": 3, "c": 4}
     other.score = {"a": -1.0, "b": -1.0, "ab": -1.5, "abc": -4.0, "c": -1.0}
     assert other._shortest("abc") == ["ab", "c"]
+
+
+def test_limits_are_stated():
+    assert "a model whose normaliser does more" in " ".join(transducer.__doc__.split())
+    assert "normaliser (dummy prefix, space marks)" not in transducer.__doc__
