@@ -19,6 +19,8 @@ class Config:
     candidates: int = 30
     normalize: bool = True
     chunk_bytes: int = 6144
+    embedding_model: str = "hashing"
+    cache_dir: str = ""
 
 
 def _typed(kind: str, value):

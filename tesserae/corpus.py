@@ -6,11 +6,17 @@ and an active flag. Chunk vectors, tags and the two indexes derive from them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.operators import index
+from tesserae.staging import hadoop_path, staged
+
+_INDEXES: dict[tuple, index.Index] = {}
+
 
 @dataclass
 class Corpus:
@@ -18,11 +24,14 @@ class Corpus:
 
     spark: SparkSession
     root: str
+    _read: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root.rstrip('/')}/{name}.parquet")
+        if name not in self._read:  # the schema is read once
+            self._read[name] = self.spark.read.parquet(f"{self.root.rstrip('/')}/{name}.parquet")
+        return self._read[name]
 
-    @property
+    @cached_property
     def documents(self) -> DataFrame:
         d = self.table("documents")
         return d.select(
@@ -51,6 +60,22 @@ class Corpus:
         return self.documents.where(F.col("id") % 7 != 0).select("id")
 
     @property
+    def index(self) -> index.Index:
+        """The full-text index of these documents: built once a session and table, stored in the
+        shared folder, and only read by searches."""
+        path, fs = hadoop_path(self.spark, f"{self.root.rstrip('/')}/documents.parquet")
+        key = (self.spark.sparkContext.applicationId, self.root, fs.getFileStatus(path).getModificationTime())
+        if key not in _INDEXES:
+            made = self.make_index()
+            lengths = staged(made.lengths, "lengths")
+            _INDEXES[key] = index.Index(staged(index.ordered(made.postings), "postings"), lengths, staged(index.totals(lengths), "totals"))
+        return _INDEXES[key]
+
+    def make_index(self) -> index.Index:
+        docs = self.documents.join(self.fts_ids, "id", "left_semi")
+        return index.build(docs, {"path": F.col("path"), "body": F.col("text")})
+
+    @cached_property
     def vectors(self) -> DataFrame:
         """Chunk vectors by content hash and sequence number."""
         count = self.documents.agg(F.count("*").alias("n"))
@@ -58,7 +83,7 @@ class Corpus:
         e = e.select("vec_id", "embedding", (F.col("vec_id") % F.col("n")).alias("id"), F.floor(F.col("vec_id") / F.col("n")).cast("int").alias("seq"))
         return e.where(F.col("id") % 5 != 0).join(self.documents.select("id", "hash", "path", "active", "source_collection_id"), "id")
 
-    @property
+    @cached_property
     def tags(self) -> DataFrame:
         """``(document_id, tag)``: the inverted tag index."""
         tag = F.array(F.col("lang"), F.concat(F.lit("proj/"), F.col("source")), F.concat(F.lit("topic-"), (F.col("id") % 7).cast("string")))
@@ -73,6 +98,37 @@ class Corpus:
         return self.documents.select("id", "path", "lang", "source", text.alias("text"))
 
 
+@dataclass
+class StoredCorpus:
+    """The same views over a warehouse's tables."""
+
+    spark: SparkSession
+    tables: dict[str, DataFrame]
+
+    @property
+    def documents(self) -> DataFrame:
+        return self.tables["documents"].select("id", "source_collection_id", "path", "title", "hash", "active")
+
+    @property
+    def active(self) -> DataFrame:
+        return self.documents.where("active")
+
+    @property
+    def index(self) -> index.Index:
+        return index.Index(self.tables["postings"], self.tables["lengths"], self.tables["index_totals"])
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.tables["content_vectors"].select("hash", "seq", F.col("seq").cast("long").alias("vec_id"), "embedding").join(self.documents, "hash")
+
+    @property
+    def tags(self) -> DataFrame:
+        return self.tables["document_tags"]
+
+    def texts(self, hashes: DataFrame) -> DataFrame:
+        return hashes.join(self.tables["content"].select("hash", F.col("doc").alias("text")), "hash")
+
+
 #: The same views in SQL, for the twins.
 VIEWS = """
 WITH docs AS (

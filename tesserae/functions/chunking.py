@@ -34,12 +34,15 @@ def split_text(text: str, max_bytes: int = MAX_BYTES) -> list[tuple[str, int]]:
 
 
 def chunk(docs: DataFrame, text: str = "text", key: str = "id", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``(id, seq, pos, text)``: a linear fold per document, in Arrow batches."""
+    """``(id, seq, pos, text)``: a linear fold per document, in Arrow batches; ``id`` has the type
+    of the key. ``pos`` is the chunk's first byte."""
+    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    kind = source.schema["id"].dataType
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, n, pos, part) for i, x in zip(batch.column(0).to_pylist(), batch.column(1)) for n, (part, pos) in enumerate(split_text(x.as_py() or "", max_bytes))]
             columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.string()))], names=["id", "seq", "pos", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.string()))], names=["id", "seq", "pos", "text"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(apply, "id long, seq int, pos long, text string")
+    return source.mapInArrow(apply, f"id {kind.simpleString()}, seq int, pos long, text string")

@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def _shape(stem: str) -> str:
     out = []
     for i, c in enumerate(stem):
@@ -85,3 +84,43 @@ def porter(words: Column) -> Column:
         return words.map(stem)
 
     return F.pandas_udf(apply, "string")(words)
+
+
+def stem_sql(source: str, column: str) -> str:
+    """The same rules as SQL, for engines without a stemmer: ``source`` with ``stem`` added. A ``y``
+    that is a consonant is written ``Y`` meanwhile, so that shapes are plain patterns."""
+    c, v = "[^aeiouy]", "[aeiouy]"
+    some = lambda w, n: f"regexp_matches({w}, '^{c}*({v}+{c}+){{{n},}}')"
+    vowel = lambda w: f"regexp_matches({w}, '{v}')"
+    short = lambda w: f"regexp_matches({w}, '{c}{v}[^aeiouywxY]$')"
+    cut = lambda n: f"left(w, length(w) - {n})"
+    ends = lambda *x: f"regexp_matches(w, '({'|'.join(x)})$')"
+    case = lambda *rules: "CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in rules) + " ELSE w END"
+
+    def suffixes(rules: str) -> str:
+        pairs = sorted((r.split(":") for r in rules.split()), key=lambda r: -len(r[0]))
+        return case(*((ends(a), f"CASE WHEN {some(cut(len(a)), 1)} THEN {cut(len(a))} || '{b}' ELSE w END") for a, b in pairs))
+
+    def last(suffix: str) -> tuple[str, str]:
+        rest = cut(len(suffix))
+        more = f" AND regexp_matches({rest}, '[st]$')" if suffix == "ion" else ""
+        return ends(suffix), f"CASE WHEN {some(rest, 2)}{more} THEN {rest} ELSE w END"
+
+    repaired = case((ends("at", "bl", "iz"), "w || 'e'"), (f"right(w, 1) = substr(w, -2, 1) AND regexp_matches(w, '[^aeiouylsz]$')", cut(1)), (f"{some('w', 1)} AND NOT {some('w', 2)} AND {short('w')}", "w || 'e'"))
+    fell = f"(NOT {ends('eed')} AND (({ends('ed')} AND {vowel(cut(2))}) OR ({ends('ing')} AND {vowel(cut(3))})))"
+    steps = [
+        "regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiou])y', '\\1Y', 'g')",
+        case((ends("sses", "ies"), cut(2)), (ends("ss"), "w"), (ends("s"), cut(1))),
+        f"CASE WHEN {ends('eed')} THEN CASE WHEN {some(cut(3), 1)} THEN {cut(1)} ELSE w END WHEN {fell} THEN {cut(3)} || CASE WHEN {ends('ed')} THEN substr(w, -3, 1) ELSE '' END || '+' ELSE w END",
+        f"CASE WHEN right(w, 1) = '+' THEN (SELECT {repaired} FROM (SELECT left(x.w, length(x.w) - 1) AS w)) ELSE w END",
+        case((f"regexp_matches(w, '[yY]$') AND {vowel(cut(1))}", f"{cut(1)} || 'i'")),
+        suffixes(_STEP2),
+        suffixes(_STEP3),
+        case(*map(last, sorted(_STEP4.split(), key=len, reverse=True))),
+        case((f"{ends('e')} AND ({some(cut(1), 2)} OR ({some(cut(1), 1)} AND NOT {short(cut(1))}))", cut(1))),
+        case((f"{ends('ll')} AND {some('w', 2)}", cut(1))),
+    ]
+    out = f"SELECT {column} AS token, {column} AS w FROM ({source})"
+    for step in steps:
+        out = f"SELECT token, CASE WHEN regexp_matches(token, '^[a-z]{{3,}}$') THEN {step} ELSE w END AS w FROM ({out}) x"
+    return f"SELECT token, lower(w) AS stem FROM ({out})"

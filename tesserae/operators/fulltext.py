@@ -1,12 +1,13 @@
-"""BM25 full-text search for a batch of queries, and the query grammar.
+"""The full-text query grammar, its predicate form, and pages of ranked hits.
 
-Only the query terms' occurrences leave the scan: a text's tokens are filtered to the batch's
-terms before they are exploded, so the shuffle holds hits and not the corpus's postings.
+Ranked search runs on a stored index (``operators.index``); ``matches`` is the grammar as a
+code-generated predicate for texts that are not indexed.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,28 +17,9 @@ from pyspark.sql.window import Window
 from tesserae.functions.text import words
 
 K1, B = 1.2, 0.75
-
-
-def bm25_hits(docs: DataFrame, queries: list[tuple[int, list[str]]], *, text: str = "text", tokens: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """``(query_id, id, score)`` of documents that hold every term of a query. ``queries`` come
-    from the caller and are few; the statistics cover all rows of ``docs``."""
-    terms = sorted({t for _, ts in queries for t in ts})
-    flat = [(q, t) for q, ts in queries for t in dict.fromkeys(ts)]
-    asked = docs.sparkSession.createDataFrame(flat, "query_id long, term string")
-    need = docs.sparkSession.createDataFrame([(q, len(set(ts))) for q, ts in queries], "query_id long, need int")
-    held = docs.select("id", (words(F.col(text)) if tokens is None else tokens).alias("tokens"))
-    # one pass over the texts: each document's length rides along as the term ""
-    seen = F.concat(F.array(F.lit("")), F.filter("tokens", lambda t: t.isin(terms)))
-    counted = held.select("id", F.size("tokens").alias("dl"), F.explode(seen).alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    stats = counted.where(F.col("term") == "").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = counted.where(F.col("term") != "")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the batch has terms
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))
-    score = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    found = tf.join(F.broadcast(idf), "term").join(F.broadcast(asked), "term")
-    found = found.groupBy("query_id", "id").agg(F.sum(score).alias("score"), F.count("*").alias("met"))
-    return found.join(F.broadcast(need), "query_id").where(F.col("met") == F.col("need")).select("query_id", "id", "score")
+#: Columns that a filter ``column:`` can name.
+COLUMNS = ("path", "body")
+NEAR_REACH = 10
 
 
 def top_hits(hits: DataFrame, limit: int, *, order: str = "score", tie: str = "id") -> DataFrame:
@@ -53,63 +35,136 @@ def normalize_hits(hits: DataFrame, mode: str = "reference") -> DataFrame:
     return hits.withColumn("score", F.when(by == 0, F.lit(0.0)).otherwise(F.col("score") / by))
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Node:
-    """A parsed query: ``term``, ``prefix`` or ``phrase`` leaves under ``and``, ``or``, ``not``."""
+    """A parsed query: ``term``, ``prefix`` or ``phrase`` leaves under ``and``, ``or``, ``not`` and
+    ``near``. ``cols`` limits a leaf to columns, ``reach`` is the distance of a NEAR group."""
 
     kind: str
     value: str = ""
-    parts: tuple = ()
+    parts: tuple[Node, ...] = ()
+    cols: tuple[str, ...] = ()
+    reach: int = 0
 
 
-_LEXEME = re.compile(r'\s*(?:"([^"]*)"|(\()|(\))|([^\s()"]+))')
+_LEXEME = re.compile(r'\s*(?:"([^"]*)"(\*?)|(NEAR\()|([()])|(-?\s*(?:%s|\{[^}]*\})\s*:)|([^\s()"]+))' % "|".join(COLUMNS))
 
 
-def parse_query(query: str) -> Node:
-    """Implicit AND, ``AND``/``OR``/``NOT``, ``"phrases"``, ``prefix*`` and parentheses. Raises
-    ValueError on a malformed query, before any job runs."""
-    tokens = []
-    at = 0
-    while at < len(query.rstrip()):
+def word_list(value: str) -> list[str]:
+    return re.findall(r"[^\W_]+", value.lower())
+
+
+def _lex(query: str) -> list[tuple[str, str]]:
+    out, at, query = [], 0, query.rstrip()
+    while at < len(query):
         m = _LEXEME.match(query, at)
         if not m:
             raise ValueError(f"unbalanced quote in {query!r}")
-        tokens.append(("phrase", m[1]) if m[1] is not None else ("(", "") if m[2] else (")", "") if m[3] else (m[4], m[4]) if m[4] in ("AND", "OR", "NOT") else ("term", m[4]))
+        if m[1] is not None:
+            out.append(("prefix" if m[2] else "phrase", m[1]))
+        elif m[3]:
+            out.append(("near", ""))
+        elif m[4]:
+            out.append((m[4], ""))
+        elif m[5]:
+            out.append(("cols", m[5]))
+        else:
+            out.append((m[6], m[6]) if m[6] in ("AND", "OR", "NOT") else ("prefix", m[6][:-1]) if m[6].endswith("*") and len(m[6]) > 1 else ("term", m[6]))
         at = m.end()
+    return out
+
+
+def _columns(text: str) -> tuple[str, ...]:
+    named = tuple(re.findall(r"\w+", text))
+    if unknown := set(named) - set(COLUMNS):
+        raise ValueError(f"no such column: {', '.join(sorted(unknown))}")
+    return tuple(c for c in COLUMNS if c not in named) if text.lstrip().startswith("-") else named
+
+
+def _limited(node: Node, cols: tuple[str, ...]) -> Node:
+    inner = tuple(_limited(p, cols) for p in node.parts)
+    own = tuple(c for c in cols if c in node.cols) if node.cols else cols
+    return Node(node.kind, node.value, inner, own, node.reach)
+
+
+def parse_query(query: str) -> Node:
+    """Words side by side (which bind closest), ``NOT``, ``AND``, ``OR`` (which binds least),
+    ``"phrases"``, ``prefix*``, ``NEAR(a b, n)``, ``column:`` filters and parentheses. Raises
+    ValueError on a malformed query, before any job runs."""
+    tokens = _lex(query)
     place = 0
 
     def peek() -> str:
         return tokens[place][0] if place < len(tokens) else ""
 
+    def take(kind: str) -> None:
+        nonlocal place
+        if peek() != kind:
+            raise ValueError(f"missing {kind} in {query!r}")
+        place += 1
+
+    def near() -> Node:
+        nonlocal place
+        parts, reach = [], NEAR_REACH
+        while peek() in ("term", "phrase", "prefix"):
+            kind, value = tokens[place]
+            place += 1
+            last = value.endswith(",")
+            if value.strip(","):
+                parts.append(Node(kind, value.rstrip(",")))
+            elif not last:
+                raise ValueError(f"empty phrase in {query!r}")
+            if last:
+                if peek() != "term" or not tokens[place][1].isdigit():
+                    raise ValueError(f"NEAR needs a number after the comma in {query!r}")
+                reach = int(tokens[place][1])
+                place += 1
+                break
+        take(")")
+        if not parts or any(not word_list(p.value) for p in parts):
+            raise ValueError(f"empty NEAR in {query!r}")
+        return Node("near", parts=tuple(parts), reach=reach)
+
     def unit() -> Node:
         nonlocal place
         kind, value = tokens[place] if place < len(tokens) else ("", "")
         place += 1
+        if kind == "cols":
+            return _limited(unit(), _columns(value))
         if kind == "(":
             inner = either()
-            if peek() != ")":
-                raise ValueError(f"missing ) in {query!r}")
-            place += 1
+            take(")")
             return inner
-        if kind == "phrase":
-            return Node("phrase", value.lower())
-        if kind == "term":
-            return Node("prefix", value[:-1].lower()) if value.endswith("*") and len(value) > 1 else Node("term", value.lower())
+        if kind == "near":
+            return near()
+        if kind in ("term", "phrase", "prefix"):
+            if not word_list(value):
+                raise ValueError(f"no word in {value!r}")
+            return Node(kind, value.lower())
         raise ValueError(f"unexpected {value or kind or 'end'} in {query!r}")
 
-    def both() -> Node:
-        nonlocal place
+    def beside() -> Node:
         left = unit()
-        while peek() and peek() not in (")", "OR"):
-            if peek() == "NOT":
-                place += 1
-                left = Node("and", parts=(left, Node("not", parts=(unit(),))))
-                continue
-            if peek() == "AND":
-                place += 1
+        while peek() in ("term", "phrase", "prefix", "near", "cols", "("):
             left = Node("and", parts=(left, unit()))
         return left
 
+    def without() -> Node:
+        nonlocal place
+        left = beside()
+        while peek() == "NOT":
+            place += 1
+            left = Node("and", parts=(left, Node("not", parts=(beside(),))))
+        return left
+
+    def both() -> Node:
+        nonlocal place
+        left = without()
+        while peek() == "AND":
+            place += 1
+            left = Node("and", parts=(left, without()))
+        return left
+
     def either() -> Node:
         nonlocal place
         left = both()
@@ -126,28 +181,29 @@ def parse_query(query: str) -> Node:
     return out
 
 
+def leaves(node: Node, near: Node | None = None) -> Iterator[tuple[Node, Node | None]]:
+    """The words, prefixes and phrases of a query in order, each with its NEAR group if it has one."""
+    if node.kind in ("term", "prefix", "phrase"):
+        yield node, near
+    for p in node.parts:
+        yield from leaves(p, node if node.kind == "near" else near)
+
+
 def matches(node: Node, text: Column) -> Column:
     """Whether a text satisfies the query, over its tokens joined by single spaces: one scan with
-    a code-generated predicate and no join."""
+    a code-generated predicate and no join. Column filters and NEAR need the index."""
     joined = F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
     return _holds(node, joined)
 
 
 def _holds(node: Node, joined: Column) -> Column:
+    if node.kind == "near" or node.cols:
+        raise ValueError("NEAR and column filters are answered from an index")
     if node.kind == "and":
         return _holds(node.parts[0], joined) & _holds(node.parts[1], joined)
     if node.kind == "or":
         return _holds(node.parts[0], joined) | _holds(node.parts[1], joined)
     if node.kind == "not":
         return ~_holds(node.parts[0], joined)
-    value = " ".join(re.findall(r"[^\W_]+", node.value))
+    value = " ".join(word_list(node.value))
     return joined.contains(f" {value}" if node.kind == "prefix" else f" {value} ")
-
-
-def positive_terms(node: Node) -> list[str]:
-    """The words that rank a boolean query's hits."""
-    if node.kind == "not":
-        return []
-    if node.kind in ("and", "or"):
-        return [t for p in node.parts for t in positive_terms(p)]
-    return re.findall(r"[^\W_]+", node.value)

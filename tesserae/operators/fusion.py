@@ -20,23 +20,31 @@ def rrf_inverse(score: Column, k: int = RRF_K) -> Column:
     return F.when(score > 0, 1 / score - k - 1).otherwise(F.lit(float("inf")))
 
 
-def fuse(hits: DataFrame, k: int = RRF_K, key: list[str] | None = None) -> DataFrame:
+def fuse(hits: DataFrame, k: int = RRF_K, key: list[str] | None = None, keep: list[str] = ()) -> DataFrame:
     """Reciprocal rank fusion of long-form hits ``(query_id, list_idx, rank, weight, source,
-    filepath, score)`` with the provenance of each document, best first by ``pos``."""
+    filepath, score)`` with the provenance of each document, best first by ``pos``. Columns of
+    ``keep`` come from the representative: the hit of the highest score, the first among equals."""
     key = key or ["filepath"]
     source = lambda s: F.col("source") == s if s != "vec" else ~F.col("source").isin("fts", "tag")
     rank = F.col("rank")
+    best = F.struct("score", (-F.col("list_idx")).alias("_l"), (-rank).alias("_r"))
     fused = hits.groupBy("query_id", *key).agg(
         F.sum(rrf_term(F.coalesce("weight", F.lit(1.0)), rank, k)).alias("score"),
         *[F.max(F.when(source(s), F.col("score"))).alias(f"{s}_score") for s in ("fts", "vec", "tag")],
         *[F.min(F.when(source(s), rank)).alias(f"{s}_rank") for s in ("fts", "vec", "tag")],
         F.count_distinct("source").alias("sources_count"),
         F.min(F.struct("list_idx", "rank")).alias("_first"),
+        *[F.max_by(c, best).alias(c) for c in keep],
     )
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "_first", *key)
     return fused.withColumn("pos", F.row_number().over(w) - 1).drop("_first")
 
 
+def default_weights(lists: int) -> list[float]:
+    """The weights of lists that are given none: the first two count twice."""
+    return [2.0 if i < 2 else 1.0 for i in range(lists)]
+
+
 def max_normalize(ranked: DataFrame) -> DataFrame:
     top = F.max("score").over(Window.partitionBy("query_id"))
     return ranked.withColumn("score", F.when(top > 0, F.col("score") / top).otherwise(F.col("score")))
@@ -54,10 +62,11 @@ def blend(ranked: DataFrame, rerank: DataFrame) -> DataFrame:
     return resort(both.withColumn("score", final))
 
 
-def simple_blend(ranked: DataFrame, rerank: DataFrame, share: float = 0.6) -> DataFrame:
+def simple_blend(ranked: DataFrame, rerank: DataFrame, share: float = 0.6, top_k: int | None = None) -> DataFrame:
     both = ranked.join(rerank, ["query_id", "filepath"], "left")
     mixed = F.when(F.col("rerank_score").isNull(), F.col("score")).otherwise(share * F.col("score") + (1 - share) * F.col("rerank_score"))
-    return resort(both.withColumn("score", mixed))
+    out = resort(both.withColumn("score", mixed))
+    return out if top_k is None else out.where(F.col("pos") < top_k)
 
 
 def resort(ranked: DataFrame) -> DataFrame:

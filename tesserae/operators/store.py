@@ -1,47 +1,81 @@
 """Snapshots of the document store: content-addressed upserts, soft deletes, index upkeep.
 
 Tables are immutable snapshots; an operator takes the stored and the incoming rows and returns
-the next snapshot, which the caller writes as a new version (single writer).
+the next snapshot, which a warehouse commits as a new version (single writer).
 """
 
 from __future__ import annotations
 
+import posixpath
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesserae.staging import hadoop_path
+
+KEYS = ["source_collection_id", "path"]
+
 
 def upsert_content(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Adds hashes that are not stored yet; the first writer of a hash stays."""
-    fresh = new.dropDuplicates(["hash"]).join(stored.select("hash"), "hash", "left_anti")
-    return stored.unionByName(fresh.select(*stored.columns))
+    """Adds hashes that are not stored yet; the first writer of a hash stays, among new rows the
+    least one."""
+    rest = [c for c in stored.columns if c != "hash"]
+    rest.sort(key=lambda c: c != "created_at")
+    fresh = new.groupBy("hash").agg(F.min(F.struct(*rest)).alias("_r")).join(stored.select("hash"), "hash", "left_anti")
+    return stored.unionByName(fresh.select("hash", "_r.*").select(*stored.columns))
+
+
+def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row a key: the last in ``order``."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
 def upsert_documents(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """By collection and path: known rows take the new title, hash and time and become active
-    again; new ones get ids after the largest. ``is_new`` tells them apart."""
-    keys = ["source_collection_id", "path"]
+    """By collection and path: known rows take the new title, hash, time and whatever else ``new``
+    brings, and become active again; new ones get ids after the largest. Of rows of one key the
+    last written counts. ``is_new`` tells them apart.
+
+    New ids are numbered within as many hash shards as there are shuffle partitions, so that no
+    task sees all of them; ids are unique and the same on every run of one configuration.
+    """
+    shards = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    new = latest(new, KEYS, ["modified_at", "hash"])
+    given = [c for c in stored.columns if c in new.columns and c not in KEYS]
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    add = new.join(stored.select(*keys), keys, "left_anti").crossJoin(F.broadcast(top))  # one row
-    number = F.row_number().over(Window.partitionBy("_shard").orderBy(*keys))
-    shards = 64
-    add = add.withColumn("_shard", F.pmod(F.xxhash64(*keys), F.lit(shards)))
+    add = new.join(stored.select(*KEYS), KEYS, "left_anti").crossJoin(F.broadcast(top))  # one row
+    add = add.withColumn("_shard", F.pmod(F.xxhash64(*KEYS), F.lit(shards)))
+    number = F.row_number().over(Window.partitionBy("_shard").orderBy(*KEYS))
     add = add.withColumn("id", F.col("_top") + (number - 1) * shards + F.col("_shard") + 1)
-    merged = stored.join(new.select(*keys, F.col("title").alias("_t"), F.col("hash").alias("_h"), F.col("modified_at").alias("_m")), keys, "left")
-    known = merged.select("id", *keys, F.coalesce("_t", "title").alias("title"), F.coalesce("_h", "hash").alias("hash"), (F.col("active") | F.col("_h").isNotNull()).alias("active"), F.coalesce("_m", "modified_at").alias("modified_at"), F.lit(False).alias("is_new"))
-    fresh = add.select("id", *keys, "title", "hash", F.lit(True).alias("active"), "modified_at", F.lit(True).alias("is_new"))
+    changed = new.select(*KEYS, F.struct(*given).alias("_n"))
+    merged = stored.join(changed, KEYS, "left")
+    value = lambda c: F.coalesce(F.col("_n")[c], F.col(c)).alias(c) if c in given else (F.col(c) | F.col("_n").isNotNull()).alias(c) if c == "active" else F.col(c)
+    known = merged.select(*[value(c) for c in stored.columns], F.lit(False).alias("is_new"))
+    types = dict(stored.dtypes)
+    absent = lambda c: F.lit(True).alias(c) if c == "active" else F.lit(None).cast(types[c]).alias(c)
+    fresh = add.select(*[F.col(c) if c in add.columns and c != "active" else absent(c) for c in stored.columns], F.lit(True).alias("is_new"))
     return known.unionByName(fresh)
 
 
 def soft_delete(stored: DataFrame, gone: DataFrame) -> DataFrame:
-    keys = ["source_collection_id", "path"]
-    mark = gone.select(*keys).distinct().withColumn("_gone", F.lit(True))
-    return stored.join(mark, keys, "left").withColumn("active", F.col("active") & F.col("_gone").isNull()).drop("_gone")
+    mark = gone.select(*KEYS).distinct().withColumn("_gone", F.lit(True))
+    return stored.join(mark, KEYS, "left").withColumn("active", F.col("active") & F.col("_gone").isNull()).select(*stored.columns)
 
 
 def replace_rows(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Last write wins on ``keys``: for postings of a document, metadata, or vectors of a hash."""
-    return stored.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+    """Last write wins on ``keys``: for metadata of a document or vectors of a hash."""
+    return stored.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*stored.columns))
+
+
+def delete_rows(stored: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    return stored.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def delete_model(vectors: DataFrame, model: str) -> DataFrame:
+    """The vectors without a model's, metadata and vector alike."""
+    return vectors.where(~F.col("model").eqNullSafe(F.lit(model)))
 
 
 def keep_live(rows: DataFrame, live: DataFrame, on: list[str]) -> DataFrame:
@@ -66,5 +100,73 @@ def changes(stored: DataFrame, listing: DataFrame) -> DataFrame:
     return listing.join(old, "path", "left").select("path", kind.alias("change"))
 
 
+def touched(stored: DataFrame, listing: DataFrame) -> DataFrame:
+    """``(path, touched)`` by modification time alone, before any text is read: a file that is not
+    stored, or has no stored time, counts as touched, and so does a stored file that is gone."""
+    old, now = stored.select("path", F.col("mtime").alias("_old")), listing.select("path", F.col("mtime").alias("_now"))
+    differs = F.col("_old").isNull() | F.col("_now").isNull() | (F.col("_old") != F.col("_now"))
+    return old.join(now, "path", "full").select("path", differs.alias("touched"))
+
+
 def stale(stored: DataFrame, listing: DataFrame) -> DataFrame:
     return stored.where("active").join(listing.select("path"), "path", "left_anti")
+
+
+def needs_refresh(fetched, now, age: str):
+    """Whether a fetch time is absent or older than ``age`` (an interval)."""
+    return fetched.isNull() | (fetched < now - F.expr(f"INTERVAL {age}"))
+
+
+def cache_documents(rows: DataFrame, base: str, name: str, *, partitions: int | None = None) -> DataFrame:
+    """Writes the ``text`` of each ``(path, text)`` to ``<base>/<name>/<path>`` by the tasks that
+    hold them, in the file system that Spark has for ``base``; gives ``(path, uri)``.
+
+    Files are staged as Parquet rows by Spark and moved by no driver loop: every task opens its
+    own files, so ``base`` has to be a folder that all nodes share.
+    """
+    root = base.removeprefix("file://").rstrip("/")
+    if "://" in root:
+        raise ValueError("the document cache needs a mounted folder; object stores take the content table itself")
+
+    def write(batches):
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            paths, uris = batch.column(0).to_pylist(), []
+            for path, text in zip(paths, batch.column(1)):
+                at = posixpath.normpath(posixpath.join(root, name, path))
+                if not at.startswith(f"{root}/{name}/"):
+                    raise ValueError(f"{path!r} leaves the cache")
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(f"{at}.part", "w", encoding="utf-8") as f:
+                    f.write(text.as_py() or "")
+                os.replace(f"{at}.part", at)  # a task that runs twice writes the same file
+                uris.append("file://" + quote(at))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(uris, pa.string())], names=["path", "uri"])
+
+    rows = rows.select("path", "text")
+    return (rows.repartition(partitions, "path") if partitions else rows).mapInArrow(write, "path string, uri string")
+
+
+def uncache_documents(spark, base: str, name: str, paths: list[str] | None = None) -> int:
+    """Removes cached files of a collection (all of them without ``paths``) and folders left empty."""
+    root, fs = hadoop_path(spark, f"{base.rstrip('/')}/{name}")
+    if not fs.exists(root):
+        return 0
+    if paths is None:
+        files, n = fs.listFiles(root, True), 0
+        while files.hasNext():
+            n += not files.next().getPath().getName().endswith(".crc")
+        fs.delete(root, True)
+        return n
+    gone = 0
+    for p in paths:
+        path, _ = hadoop_path(spark, f"{base.rstrip('/')}/{name}/{p}")
+        gone += bool(fs.exists(path) and fs.delete(path, False))
+        up = path.getParent()
+        while up.toString().startswith(root.toString()) and fs.exists(up) and not fs.listStatus(up):
+            fs.delete(up, False)
+            up = up.getParent()
+    return gone

@@ -1,4 +1,7 @@
-"""The hybrid search plan: full text, vectors and tags, fused, boosted and normalised."""
+"""The hybrid search plan: full text, vectors and tags, fused, boosted and normalised.
+
+Lists carry ids and paths only; texts are joined, if asked for, to the rows that are left.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.corpus import Corpus
-from tesserae.operators import fulltext, fusion, tags, vectors
+from tesserae.operators import fulltext, fusion, index, tags, vectors
+from tesserae.staging import small
 
 
 @dataclass(frozen=True)
@@ -26,6 +29,7 @@ class SearchConfig:
     boost_factor: float = 1.15
     boost_cap: float = 2.0
     normalize: bool = True
+    stemmed: bool = True
 
 
 @dataclass(frozen=True)
@@ -39,65 +43,94 @@ class Query:
     collection: int | None = None
 
 
-def text_list(corpus: Corpus, queries: list[tuple[int, str]], limit: int, mode: str = "reference") -> DataFrame:
-    """``(query_id, rank, filepath, score)`` of the full-text searcher, statistics over the whole index."""
-    docs = corpus.documents.join(corpus.fts_ids, "id", "left_semi")
-    asked = [(q, sorted(set(fulltext.positive_terms(fulltext.parse_query(t))))) for q, t in queries]
-    hits = fulltext.bm25_hits(docs, asked).join(corpus.active.select("id", "path"), "id")
+def scope_of(spark, queries: list[Query]) -> DataFrame | None:
+    """``(query_id, collection)``, or None where no query names a collection."""
+    if all(q.collection is None for q in queries):
+        return None
+    return small(spark, [(q.query_id, q.collection) for q in queries], "query_id long, collection long")
+
+
+def lenient(text: str) -> fulltext.Node | None:
+    """A model's variant as a query; None where it is none."""
+    try:
+        return fulltext.parse_query(text)
+    except ValueError:
+        return None
+
+
+def text_list(corpus, asked: list[tuple[int, fulltext.Node]], limit: int, *, scope: DataFrame | None = None, mode: str = "reference", stemmed: bool = True) -> DataFrame:
+    """``(query_id, rank, document_id, filepath, score)`` of the full-text searcher; statistics
+    cover the whole index, a collection is cut out before the page."""
+    hits = index.search(corpus.index, asked, stemmed=stemmed).join(corpus.active.select("id", "path", "source_collection_id"), "id")
+    hits = hits if scope is None else vectors.within(hits, scope)
     top = fulltext.normalize_hits(fulltext.top_hits(hits, limit), mode)
-    return top.select("query_id", "rank", F.col("path").alias("filepath"), "score")
+    return top.select("query_id", "rank", F.col("id").alias("document_id"), F.col("path").alias("filepath"), "score")
 
 
-def vector_list(corpus: Corpus, queries: list[tuple[int, list[float]]], limit: int) -> DataFrame:
+def vector_list(corpus, queries: list[tuple[int, list[float]]], limit: int, *, scope: DataFrame | None = None, min_score: float = 0.0) -> DataFrame:
     chunks = vectors.nearest_chunks(corpus.vectors, queries, 3 * limit)
-    return vectors.best_per_path(chunks, limit).select("query_id", "rank", F.col("path").alias("filepath"), "score")
+    found = vectors.best_per_path(chunks, limit, scope=scope, min_score=min_score)
+    return found.select("query_id", "rank", F.col("id").alias("document_id"), F.col("path").alias("filepath"), "score")
+
 
+def live_weights(corpus, query_tags: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """``(query_id, document_id, weight, path)`` of active documents that share tags with a query."""
+    of = corpus.active.select(F.col("id").alias("document_id"), "path", "source_collection_id")
+    found = tags.tag_weights(corpus.tags, query_tags).join(of, "document_id")
+    return found if scope is None else vectors.within(found, scope)
 
-def tag_list(corpus: Corpus, query_tags: DataFrame, limit: int) -> DataFrame:
-    live = corpus.tags.join(corpus.active.select(F.col("id").alias("document_id"), "path"), "document_id")
-    hits = tags.tag_hits(live, query_tags).join(corpus.active.select(F.col("id").alias("document_id"), "path"), "document_id")
-    top = fulltext.top_hits(hits, limit, tie="document_id")
-    return top.select("query_id", "rank", F.col("path").alias("filepath"), "score")
+
+def tag_list(corpus, query_tags: DataFrame, limit: int, scope: DataFrame | None = None) -> DataFrame:
+    weights = live_weights(corpus, query_tags, scope)
+    top = fulltext.top_hits(tags.scored(weights), limit, tie="document_id")
+    paths = corpus.active.select(F.col("id").alias("document_id"), F.col("path").alias("filepath"))
+    return top.join(paths, "document_id").select("query_id", "rank", "document_id", "filepath", "score")
 
 
 def as_list(hits: DataFrame, number: int, weight: float, source: str) -> DataFrame:
-    return hits.select("query_id", F.lit(number).alias("list_idx"), "rank", F.lit(weight).alias("weight"), F.lit(source).alias("source"), "filepath", "score")
+    return hits.select("query_id", F.lit(number).alias("list_idx"), "rank", F.lit(weight).alias("weight"), F.lit(source).alias("source"), "document_id", "filepath", "score")
 
 
-def hybrid(corpus: Corpus, queries: list[Query], config: SearchConfig = SearchConfig(), rerank=None) -> DataFrame:
-    """``(query_id, pos, file, score)`` with provenance, best first. ``rerank`` takes the cut
-    candidates and returns ``(query_id, filepath, rerank_score)``."""
-    spark = corpus.spark
-    deep = 3 * config.limit
-    lists, number = [], 0
-    asked = [(q.query_id, q.text, 1.0) for q in queries]
-    rounds = [asked] + [[(q.query_id, q.variants[i], config.expansion_weight) for q in queries if len(q.variants) > i] for i in range(max((len(q.variants) for q in queries), default=0))]
-    raw = spark.createDataFrame([(q.query_id, q.text) for q in queries], "query_id long, query string")
-    known = corpus.tags.select("tag").distinct()
-    found = tags.infer(raw, known).select("query_id", "tag")
-    weights = tags.expand(found, tags.edges(spark))
-    for turn in rounds:
-        share = turn[0][2] if turn else 1.0
-        lists.append(as_list(text_list(corpus, [t[:2] for t in turn], deep), number, config.fts_weight * share, "fts"))
-        number += 1
-        if not number > 1 and (given := [(q.query_id, list(q.vector)) for q in queries if q.vector]):
-            lists.append(as_list(vector_list(corpus, given, deep), number, config.vec_weight, "vec"))
-        number += 1
-        if number == 2:
-            lists.append(as_list(tag_list(corpus, weights, deep), number, config.tag_weight, "tag"))
-            number += 1
-    hits = lists[0]
-    for more in lists[1:]:
-        hits = hits.union(more)
-    fused = fusion.fuse(hits, config.rrf_k).where(F.col("pos") < config.candidates)
-    of = corpus.documents.select(F.col("id").alias("document_id"), F.col("path").alias("filepath"))
-    held = fused.select("query_id", "filepath").join(of, "filepath").join(corpus.tags, "document_id").join(F.broadcast(weights), ["query_id", "tag"])
-    matched = held.groupBy("query_id", "filepath").agg(F.sum("weight").alias("_w"))
-    boosted = fused.join(matched, ["query_id", "filepath"], "left").withColumn("score", F.col("score") * fusion.boost_by_weight(F.coalesce("_w", F.lit(0.0)), config.boost_factor, config.boost_cap)).drop("_w")
-    ranked = fusion.resort(boosted)
+def boosted(fused: DataFrame, doc_tags: DataFrame, query_tags: DataFrame, factor: float, cap: float) -> DataFrame:
+    """Fused documents with scores raised by the weights of the tags they share with the query;
+    the few fused rows meet the tag sums once."""
+    sums = tags.tag_weights(doc_tags, query_tags).withColumnRenamed("weight", "_w")
+    both = fused.join(sums, ["query_id", "document_id"], "left")
+    return both.withColumn("score", F.col("score") * fusion.boost_by_weight(F.coalesce("_w", F.lit(0.0)), factor, cap)).drop("_w")
+
+
+def finish(ranked: DataFrame, config: SearchConfig, rerank=None) -> DataFrame:
+    """Blends with rerank scores, normalises, cuts by score and limit."""
     if rerank is not None:
         ranked = fusion.blend(ranked, rerank(ranked))
     if config.normalize:
         ranked = fusion.max_normalize(ranked)
     ranked = fusion.resort(ranked.where(F.col("score") >= config.min_score)).where(F.col("pos") < config.limit)
     return ranked.withColumnRenamed("filepath", "file")
+
+
+def hybrid(corpus, queries: list[Query], config: SearchConfig = SearchConfig(), rerank=None, aliases: dict[str, str] | None = None, ontology: tags.Ontology | None = None) -> DataFrame:
+    """``(query_id, pos, file, score)`` with provenance, best first. ``rerank`` takes the cut
+    candidates and returns ``(query_id, filepath, rerank_score)``. A malformed query raises; a
+    malformed variant is passed over."""
+    spark = corpus.spark
+    deep = 3 * config.limit
+    scope = scope_of(spark, queries)
+    raw = small(spark, [(q.query_id, q.text) for q in queries], "query_id long, query string")
+    found = tags.infer(raw, corpus.tags.select("tag").distinct(), aliases).select("query_id", "tag")
+    weights = tags.expand(found, ontology or tags.load_ontology())
+    text = lambda asked, number, share: as_list(text_list(corpus, asked, deep, scope=scope, stemmed=config.stemmed), number, config.fts_weight * share, "fts")
+    lists = [text([(q.query_id, fulltext.parse_query(q.text)) for q in queries], 0, 1.0)]
+    if given := [(q.query_id, list(q.vector)) for q in queries if q.vector]:
+        lists.append(as_list(vector_list(corpus, given, deep, scope=scope), 1, config.vec_weight, "vec"))
+    lists.append(as_list(tag_list(corpus, weights, deep, scope), 2, config.tag_weight, "tag"))
+    for i in range(max((len(q.variants) for q in queries), default=0)):
+        asked = [(q.query_id, node) for q in queries if len(q.variants) > i and (node := lenient(q.variants[i]))]
+        if asked:
+            lists.append(text(asked, 3 + i, config.expansion_weight))
+    hits = lists[0]
+    for more in lists[1:]:
+        hits = hits.union(more)
+    fused = fusion.fuse(hits, config.rrf_k, keep=["document_id"]).where(F.col("pos") < config.candidates)
+    ranked = fusion.resort(boosted(fused, corpus.tags, weights, config.boost_factor, config.boost_cap))
+    return finish(ranked, config, rerank)

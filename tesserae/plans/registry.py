@@ -11,8 +11,12 @@ from pyspark.sql.window import Window
 from tesserae.corpus import VIEWS, Corpus
 from tesserae.functions import chunking, metadata, stemming
 from tesserae.functions import text as T
-from tesserae.operators import fulltext, fusion, store, tags, vectors
+from tesserae.operators import collections, fulltext, fusion, index, store, tags, vectors
 from tesserae.plans import hybrid as H
+from tesserae.plans import upkeep
+from tesserae.schemas import TABLES
+from tesserae.sources import files
+from tesserae.staging import small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,9 +59,10 @@ def _(c):
     return c.active.where(F.col("path").ilike("FR/1%")).select("id", "path")
 
 
-@query("point_lookup", "SELECT id, path, hash FROM docs WHERE active AND source_collection_id = 3 AND path IN ('en/100.md', 'en/150.md', 'fr/170.md', 'de/163.md')")
+@query("point_lookup", "SELECT id, path, hash FROM docs WHERE active AND source_collection_id = 3 AND path IN ('en/23.md', 'fr/23.md', 'de/23.md', 'es/23.md')")
 def _(c):
-    return c.active.where((F.col("source_collection_id") == 3) & F.col("path").isin("en/100.md", "en/150.md", "fr/170.md", "de/163.md")).select("id", "path", "hash")
+    keys = F.col("path").isin(*[f"{x}/23.md" for x in ("en", "fr", "de", "es")])
+    return c.active.where((F.col("source_collection_id") == 3) & keys).select("id", "path", "hash")
 
 
 @query("ids_by_paths", "SELECT path, max(id) AS id FROM docs WHERE active AND path IN ('en/1.md', 'en/2.md', 'fr/3.md', 'es/5.md') GROUP BY path")
@@ -108,7 +113,7 @@ def _(c):
     return c.decorated.select("id", T.frontmatter(F.col("text")).alias("front"), F.sha2(T.body(F.col("text")), 256).alias("body_hash"))
 
 
-@query("inline_tags", r"""SELECT id, len(t) AS n, coalesce(t[1], '') AS first_tag FROM (SELECT id, regexp_extract_all(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '`[^`]*`', ' ', 'g'), '(?:^|[\s(\["{])#([a-zA-Z][a-zA-Z0-9_/-]*)', 1) AS t FROM decorated)""")
+@query("inline_tags", r"""SELECT id, len(t) AS n, coalesce(t[1], '') AS first_tag FROM (SELECT id, regexp_extract_all(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '`[^`]+`', ' ', 'g'), '(?:^|[\s(\["{])#([a-zA-Z][a-zA-Z0-9_/-]*)', 1) AS t FROM decorated)""")
 def _(c):
     found = c.decorated.select("id", T.inline_tags(F.col("text")).alias("t"))
     return found.select("id", F.size("t").cast("long").alias("n"), F.coalesce(F.get("t", F.lit(0)), F.lit("")).alias("first_tag"))
@@ -130,33 +135,78 @@ def _(c):
     return c.documents.select("id", T.profile(p, F.col("text")).alias("profile"))
 
 
-@query("mime_types", "SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'text/markdown' WHEN doc_id % 3 = 1 THEN 'text/html' ELSE 'text/plain' END AS mime FROM (SELECT doc_id, doc_id || CASE doc_id % 3 WHEN 0 THEN '.MD' WHEN 1 THEN '.html' ELSE '.bin' END AS path FROM documents)", views=False)
+@query("nested_tag_edges", "SELECT document_id, tag, '' AS part FROM tags UNION ALL SELECT document_id, tag, array_to_string(p[1:i], '/') FROM (SELECT document_id, tag, string_split(tag, '/') AS p, unnest(range(1, len(string_split(tag, '/')) + 1)) AS i FROM tags)")
 def _(c):
-    end = F.when(F.col("id") % 3 == 0, ".MD").when(F.col("id") % 3 == 1, ".html").otherwise(".bin")
+    return c.tags.select("document_id", "tag", F.explode(T.nested_tags(F.concat(F.lit("/"), "tag"))).alias("part"))
+
+
+_SUFFIXES = [".MD", ".markdown", ".txt", ".rst", ".html", ".htm", ".json", ".yaml", ".yml", ".xml", ".csv", ".bin", ""]
+_MIMES = ["text/markdown", "text/markdown", "text/plain", "text/x-rst", "text/html", "text/html", "application/json", "text/yaml", "text/yaml", "application/xml", "text/csv", "text/plain", "text/plain"]
+
+
+@query("mime_types", f"SELECT doc_id || ({_SUFFIXES!r})[doc_id % 13 + 1] AS path, ({_MIMES!r})[doc_id % 13 + 1] AS mime FROM documents", views=False)
+def _(c):
+    end = F.get(F.array(*map(F.lit, _SUFFIXES)), (F.col("id") % 13).cast("int"))
     return c.documents.select(F.concat(F.col("id").cast("string"), end).alias("path")).select("path", T.mime_type(F.col("path")).alias("mime"))
 
 
+@query("glob_matches", r"SELECT id, regexp_matches(p, '(^|/)[^/]*\.md$') AND NOT regexp_matches(p, '(^|/)drafts(/|$)') AND NOT regexp_matches(p, '(^|/)fr/[^/]*$') AS taken FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'drafts/' || path WHEN 1 THEN 'a/' || path ELSE replace(path, '.md', '.txt') END AS p FROM docs)")
+def _(c):
+    p = F.when(F.col("id") % 3 == 0, F.concat(F.lit("drafts/"), "path")).when(F.col("id") % 3 == 1, F.concat(F.lit("a/"), "path")).otherwise(F.regexp_replace("path", r"\.md", ".txt"))
+    return c.documents.select("id", files.matches_patterns(p, ["*.md", "!**/drafts/**", "!fr/*"]).alias("taken"))
+
+
+@query("html_pages", r"SELECT url AS path, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<head\b.*?</head\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages", views=False)
+def _(c):
+    return files.read_pages(c.table("pages"))
+
+
+@query("masked_settings", "SELECT id, 'api_token' AS k, '***' AS v FROM docs UNION ALL SELECT id, 'Password', '***' FROM docs UNION ALL SELECT id, 'path', path FROM docs")
+def _(c):
+    held = F.create_map(F.lit("api_token"), "hash", F.lit("Password"), "lang", F.lit("path"), "path")
+    return c.documents.select("id", F.explode(T.mask_secrets(held)).alias("k", "v"))
+
+
 @query("chunk_stats", "SELECT id, strlen(text) AS n_bytes, length(text) AS n_chars, length(text) // 4 AS tokens FROM docs")
 def _(c):
     return c.documents.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.length("text").cast("long").alias("n_chars"), T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("chunk_documents")
+#: The greedy fold over lines as a recursive query.
+CHUNKS = """, long_ AS (SELECT key, string_split(text, chr(10)) AS ls FROM to_chunk WHERE strlen(text) > 6144 AND trim(text, ' ' || chr(10)) <> ''
+), flat AS (SELECT key, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM long_
+), walked AS (SELECT * FROM (WITH RECURSIVE walk(key, i, seq, pos, size) AS (SELECT key, i, 0, 0::BIGINT, strlen(line) + 1 FROM flat WHERE i = 1
+  UNION ALL SELECT w.key, f.i, CASE WHEN w.size + strlen(f.line) + 1 > 6144 THEN w.seq + 1 ELSE w.seq END, CASE WHEN w.size + strlen(f.line) + 1 > 6144 THEN w.pos + w.size ELSE w.pos END, CASE WHEN w.size + strlen(f.line) + 1 > 6144 THEN 0 ELSE w.size END + strlen(f.line) + 1
+  FROM walk w JOIN flat f ON f.key = w.key AND f.i = w.i + 1) SELECT * FROM walk)
+), parts AS (SELECT key, seq, pos, regexp_replace(string_agg(line, chr(10) ORDER BY i), '\\s+$', '') AS part, seq = max(seq) OVER (PARTITION BY key) AS last FROM walked JOIN flat USING (key, i) GROUP BY key, seq, pos
+), chunks AS (SELECT key, seq, pos, part FROM parts WHERE NOT last OR part <> '' UNION ALL SELECT key, 0, 0, text FROM to_chunk WHERE strlen(text) <= 6144 AND trim(text, ' ' || chr(10)) <> '')
+"""
+
+
+@query("chunk_documents", ", to_chunk AS (SELECT id AS key, text FROM docs)" + CHUNKS + "SELECT key AS id, seq, pos, sha256(part) AS chunk_hash, strlen(part) AS n_bytes FROM chunks")
 def _(c):
     found = chunking.chunk(c.documents)
-    return found.select("id", "seq", "pos", F.sha2("text", 256).alias("chunk_hash"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return found.select("id", F.col("seq").cast("long").alias("seq"), "pos", F.sha2("text", 256).alias("chunk_hash"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-@query("document_metadata")
+@query(
+    "document_metadata",
+    """, m AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'generic' WHEN id % 3 = 1 THEN 'drafts' ELSE 'obsidian' END AS profile, lang, source FROM docs)
+SELECT id, profile, array_to_string(list_sort(list_distinct([lang, 'proj/' || source, lang || '/' || source] || CASE profile WHEN 'obsidian' THEN ['proj'] ELSE [] END)), ',') AS tags, lang || ',proj/' || source || ',#' || lang || '/' || source AS source_tags,
+  CASE profile WHEN 'drafts' THEN '{"flagged": "True"}' ELSE '{"title": "T' || id || '"}' END AS attributes FROM m""",
+)
 def _(c):
-    d = c.decorated.select("id", metadata.document_metadata(F.col("text"), T.profile(F.col("path"), F.col("text"))).alias("m"))
-    return d.select("id", "m.profile", F.array_join("m.tags", ",").alias("tags"), "m.attributes")
+    text = F.concat(F.lit("---\ntitle: T"), F.col("id").cast("string"), F.lit("\nflagged: true\n"), F.substring("text", 5, 1 << 30))
+    forced = F.when(F.col("id") % 3 == 0, "generic").when(F.col("id") % 3 == 1, "drafts")
+    d = c.decorated.select("id", metadata.document_metadata(text, F.col("path"), forced).alias("m"))
+    return d.select("id", "m.profile", F.array_join("m.tags", ",").alias("tags"), F.array_join("m.source_tags", ",").alias("source_tags"), "m.attributes")
 
 
-@query("parse_variations", "SELECT conv_id, turn, 'first ' || turn AS v1, 'second ' || role AS v2 FROM conversations", views=False)
+@query("parse_variations", "SELECT conv_id, turn, 'first ' || turn AS v1, 'second ' || role AS v2, 'twelfth. on' AS v3, 'x' AS v4 FROM conversations", views=False)
 def _(c):
-    reply = F.concat(F.lit("1. first "), F.col("turn").cast("string"), F.lit(".\n\n- second "), F.col("role"), F.lit("?\n3. third"))
-    return c.table("conversations").withColumn("v", T.variations(reply, 2)).select("conv_id", "turn", F.get("v", F.lit(0)).alias("v1"), F.get("v", F.lit(1)).alias("v2"))
+    reply = F.concat(F.lit("1. first "), F.col("turn").cast("string"), F.lit(".\n\n- second "), F.col("role"), F.lit("?\n12. twelfth. on\n• x!\nfifth"))
+    held = c.table("conversations").withColumn("v", T.variations(reply, 4))
+    return held.select("conv_id", "turn", *[F.get("v", F.lit(i)).alias(f"v{i + 1}") for i in range(4)])
 
 
 @query("json_props", "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2", views=False)
@@ -172,28 +222,49 @@ def _(c):
 
 # -- full text
 
-_BM25 = """, asked(query_id, term) AS (VALUES (1::BIGINT,'from'),(1,'with'),(2,'nicht'),(2,'das'),(3,'este'),(3,'por'),(4,'pour')
-), tok AS (SELECT d.id, regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}]+') AS w FROM docs d JOIN fts USING (id)
-), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok
-), tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM tok) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
-), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
-), idf AS (SELECT term, avgdl, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM df, st
-), sc AS (SELECT a.query_id, t.id, sum(i.idf * t.tf * 2.2 / (t.tf + 1.2 * (1 - 0.75 + 0.75 * t.dl / i.avgdl))) AS score, count(*) AS met
-  FROM tf t JOIN idf i USING (term) JOIN asked a USING (term) GROUP BY ALL
-), bm AS (SELECT s.query_id, s.id, s.score FROM sc s JOIN (SELECT query_id, count(*) AS need FROM asked GROUP BY 1) USING (query_id) JOIN docs d ON d.id = s.id AND d.active WHERE met = need
-), page AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM bm) WHERE rank < 15)
+_INDEX = """, raw AS (SELECT d.id, 'path' AS col, regexp_extract_all(lower(d.path), '[\\p{L}\\p{N}]+') AS w FROM docs d JOIN fts USING (id) UNION ALL SELECT d.id, 'body', regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}]+') FROM docs d JOIN fts USING (id)
+), pos AS (SELECT id, col, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM raw
+), lens AS (SELECT id, CAST(sum(len(w)) AS BIGINT) AS dl FROM raw GROUP BY id
+), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens)
 """
 
 
-def _bm25(c, tokens=None):
-    docs = c.documents.join(c.fts_ids, "id", "left_semi")
-    hits = fulltext.bm25_hits(docs, SEARCHES, tokens=tokens).join(c.active.select("id", "path"), "id")
+def _page(name: str, units: str, met: str, limit: int = 15) -> str:
+    """The best rows of each query from the counts ``(query_id, leaf, id, tf)`` of its units."""
+    return f""", {name}_u AS ({units}
+), {name}_i AS (SELECT query_id, leaf, avgdl, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) AS idf FROM (SELECT query_id, leaf, count(*) AS df FROM {name}_u GROUP BY ALL), st
+), {name}_s AS (SELECT u.query_id, u.id, sum(i.idf * u.tf * 2.2 / (u.tf + 1.2 * (0.25 + 0.75 * l.dl / i.avgdl))) AS score, list(u.leaf) AS have FROM {name}_u u JOIN {name}_i i USING (query_id, leaf) JOIN lens l USING (id) GROUP BY u.query_id, u.id
+), {name} AS (SELECT * FROM (SELECT s.query_id, s.id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY round(s.score, 9) DESC, s.id) - 1 AS rank FROM {name}_s s JOIN docs d ON d.id = s.id AND d.active WHERE {met}) WHERE rank < {limit})
+"""
+
+
+def _all_of(searches: list[tuple[int, list[str]]], table: str = "pos", field: str = "term") -> tuple[str, str]:
+    """Units and condition of queries that ask for all of their words."""
+    rows = ", ".join(f"({q}::BIGINT, {i}, '{t}')" for q, ts in searches for i, t in enumerate(ts))
+    units = f"SELECT a.query_id, a.leaf, p.id, count(*) AS tf FROM {table} p JOIN (VALUES {rows}) a(query_id, leaf, word) ON a.word = p.{field} GROUP BY ALL"
+    return units, "len(have) = CASE s.query_id " + " ".join(f"WHEN {q} THEN {len(ts)}" for q, ts in searches) + " END"
+
+
+_BM25 = _INDEX + _page("page", *_all_of(SEARCHES))
+
+
+def _parsed(queries: list[tuple[int, str]]):
+    return [(q, fulltext.parse_query(t)) for q, t in queries]
+
+
+def _bm25(c, queries=None, stemmed: bool = False):
+    asked = _parsed(queries or [(q, " ".join(ts)) for q, ts in SEARCHES])
+    hits = index.search(c.index, asked, stemmed=stemmed).join(c.active.select("id", "path"), "id")
     return fulltext.top_hits(hits, 15)
 
 
+def _long(name: str):
+    return F.col(name).cast("long").alias(name)
+
+
 @query("bm25_search", _BM25 + "SELECT query_id, id, rank, round(score / min(score) OVER (PARTITION BY query_id), 6) AS score FROM page")
 def _(c):
-    return fulltext.normalize_hits(_bm25(c)).select("query_id", "id", F.col("rank").cast("long").alias("rank"), r6(F.col("score"), "score"))
+    return fulltext.normalize_hits(_bm25(c)).select("query_id", "id", _long("rank"), r6(F.col("score"), "score"))
 
 
 @query("bm25_max_normalized", _BM25 + "SELECT query_id, id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM page")
@@ -201,21 +272,58 @@ def _(c):
     return fulltext.normalize_hits(_bm25(c), "max").select("query_id", "id", r6(F.col("score"), "score"))
 
 
-@query("bm25_search_porter")
+STEMS = [(1, ["from", "with"]), (2, ["nichts", "das"]), (3, ["estes", "pores"]), (4, ["tion"]), (5, ["être"])]
+_KEYED = """, keys AS (SELECT term, stem FROM (SELECT DISTINCT term, strip_accents(term) AS folded FROM pos) JOIN (SELECT DISTINCT token, stem FROM (__STEM__)) ON token = folded
+), keyed AS (SELECT p.id, p.col, k.stem, p.p FROM pos p JOIN keys k USING (term))
+""".replace("__STEM__", stemming.stem_sql("SELECT DISTINCT strip_accents(term) AS t FROM pos", "t"))
+
+
+@query("bm25_search_porter", _INDEX + _KEYED + _page("page", *_all_of([(q, [stemming.stem(T.fold_text(t)) for t in ts]) for q, ts in STEMS], "keyed", "stem")) + "SELECT query_id, id, rank, round(score, 6) AS score FROM page")
+def _(c):
+    """Words without diacritics, stemmed; the twin has the stemmer's rules as SQL."""
+    return _bm25(c, [(q, " ".join(ts)) for q, ts in STEMS], stemmed=True).select("query_id", "id", _long("rank"), r6(F.col("score"), "score"))
+
+
+#: The grammar, ranked: OR, NOT, prefix, phrase, a column, NEAR.
+GRAMMAR = [(1, "from OR nicht"), (2, "from NOT with"), (3, "fro*"), (4, '"of the"'), (5, "path:fr pour"), (6, "NEAR(from with, 5)"), (7, 'AND_ OR "of the" NOT body:fr*')]
+_WORD = "SELECT {q}::BIGINT AS query_id, {n} AS leaf, id, count(*) AS tf FROM pos WHERE {where} GROUP BY id"
+_PAIR = "SELECT {q}::BIGINT, {n}, a.id, count(*) FROM pos a JOIN pos b ON a.id = b.id AND a.col = b.col AND b.p = a.p + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.id"
+_CLOSE = "SELECT {q}::BIGINT, {n}, p.id, count(*) FROM pos p WHERE p.term = '{t}' AND (p.id, p.col) IN (SELECT (a.id, a.col) FROM pos a JOIN pos b ON a.id = b.id AND a.col = b.col WHERE a.term = 'from' AND b.term = 'with' AND abs(a.p - b.p) <= 6) GROUP BY p.id"
+_UNITS = " UNION ALL ".join(
+    [
+        _WORD.format(q=1, n=0, where="term = 'from'"), _WORD.format(q=1, n=1, where="term = 'nicht'"), _WORD.format(q=2, n=0, where="term = 'from'"), _WORD.format(q=2, n=1, where="term = 'with'"),
+        _WORD.format(q=3, n=0, where="starts_with(term, 'fro')"), _PAIR.format(q=4, n=0), _WORD.format(q=5, n=0, where="term = 'fr' AND col = 'path'"), _WORD.format(q=5, n=1, where="term = 'pour'"),
+        _CLOSE.format(q=6, n=0, t="from"), _CLOSE.format(q=6, n=1, t="with"), _WORD.format(q=7, n=0, where="term = 'and'"), _PAIR.format(q=7, n=1), _WORD.format(q=7, n=2, where="starts_with(term, 'fr') AND col = 'body'"),
+    ]
+)
+_MET = "CASE s.query_id WHEN 2 THEN NOT list_contains(have, 1) WHEN 5 THEN len(have) = 2 WHEN 7 THEN list_contains(have, 0) OR (list_contains(have, 1) AND NOT list_contains(have, 2)) ELSE true END"
+
+
+@query("bm25_grammar", _INDEX + _page("page", _UNITS, _MET) + "SELECT query_id, id, rank, round(score, 6) AS score FROM page")
+def _(c):
+    return _bm25(c, GRAMMAR).select("query_id", "id", _long("rank"), r6(F.col("score"), "score"))
+
+
+@query("bm25_scoped", _INDEX + _page("page", *_all_of(SEARCHES), limit=100000) + "SELECT query_id, id, round(score, 6) AS score FROM (SELECT p.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, p.id) AS k FROM page p JOIN docs d USING (id) WHERE query_id <> 1 OR source_collection_id = 3) WHERE k <= 15")
+def _(c):
+    """A batch whose first query is limited to a collection."""
+    scope = small(c.spark, [(q, 3 if q == 1 else None) for q, _ in SEARCHES], "query_id long, collection long")
+    hits = index.search(c.index, _parsed([(q, " ".join(ts)) for q, ts in SEARCHES]), stemmed=False)
+    hits = vectors.within(hits.join(c.active.select("id", "path", "source_collection_id"), "id"), scope)
+    return fulltext.top_hits(hits, 15).select("query_id", "id", r6(F.col("score"), "score"))
+
+
+_AFTER = ", changed AS (SELECT id, CASE WHEN id % 5 = 1 THEN 'changed words here' ELSE text END AS text FROM docs JOIN fts USING (id) WHERE id % 5 <> 0), words_ AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM changed)"
+
+
+@query("index_update", _AFTER + " SELECT id, count(*) AS n, count(DISTINCT token) AS tokens FROM words_ GROUP BY id")
 def _(c):
-    """Stems distinct terms only, then counts stems; rows-only, as DuckDB has no stemmer here."""
-    docs = c.documents.join(c.fts_ids, "id", "left_semi").select("id", T.words(F.col("text")).alias("w"))
-    held = docs.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    stems = held.select("term").distinct().withColumn("stem", stemming.porter(F.col("term")))
-    tf = held.join(stems, "term").groupBy("id", "dl", "stem").agg(F.sum("tf").alias("tf"))
-    asked = c.spark.createDataFrame([(q, stemming.stem(t)) for q, ts in SEARCHES for t in ts], "query_id long, stem string")
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    hit = tf.join(F.broadcast(asked), "stem")
-    df = hit.groupBy("query_id", "stem").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    score = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    found = hit.join(F.broadcast(df), ["query_id", "stem"]).groupBy("query_id", "id").agg(F.sum(score).alias("score"))
-    return fulltext.top_hits(found.join(c.active.select("id"), "id"), 15).select("query_id", "id", "rank", r6(F.col("score"), "score"))
+    """An index after documents were removed from it and others indexed anew."""
+    ids = c.index.ids.withColumnRenamed("doc_id", "id")
+    kept = index.remove(c.index, ids.where(F.col("id") % 5 == 0).select(F.col("id").alias("doc_id")))
+    again = ids.where(F.col("id") % 5 == 1).select("id", F.lit("changed words here").alias("text"))
+    made = index.replace(kept, again, {"body": F.col("text")})
+    return made.postings.where("col = 'body'").groupBy(F.col("doc_id").alias("id")).agg(F.sum(F.size("positions")).alias("n"), F.count("*").alias("tokens"))
 
 
 @query("fts_boolean", r", j AS (SELECT id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM docs WHERE active) SELECT id FROM j WHERE (contains(t, ' from ') OR contains(t, ' nicht ')) AND NOT contains(t, ' with ')")
@@ -266,7 +374,7 @@ _TAGS = """, qt(query_id, tag, weight) AS (VALUES (1::BIGINT,'fr',1.0::DOUBLE),(
 
 
 def _query_tags(c):
-    return c.spark.createDataFrame(_QTAGS, "query_id long, tag string, weight double")
+    return small(c.spark, _QTAGS, "query_id long, tag string, weight double")
 
 
 @query("tag_search", _TAGS + "SELECT query_id, document_id, rank, round(score, 6) AS score FROM tpage")
@@ -285,31 +393,53 @@ def _(c):
     return tags.infer(asked, c.tags.select("tag").distinct()).select("query_id", "tag", "confidence", F.col("at").cast("long").alias("place"))
 
 
+@query(
+    "infer_tags_prefix",
+    """, known AS (SELECT DISTINCT tag FROM tags), tk AS (SELECT n_nationkey AS query_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS place FROM (SELECT n_nationkey, ['topic', 'german', 'fr', 'proj/src1', 'to', 'topic-3', lower(n_name)] AS w FROM nation)
+), hit AS (SELECT query_id, place, coalesce(k.tag, a.canonical) AS tag, CASE WHEN k.tag IS NOT NULL THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence, token FROM tk LEFT JOIN known k ON k.tag = token LEFT JOIN (VALUES ('english','en'),('french','fr'),('german','de'),('spanish','es'),('deutsch','de')) a(alias, canonical) ON a.alias = token
+), found_ AS (SELECT query_id, place, tag, confidence FROM hit WHERE tag IS NOT NULL UNION ALL SELECT h.query_id, h.place, k.tag, 0.7::DOUBLE FROM hit h JOIN known k ON starts_with(k.tag, h.token) WHERE h.tag IS NULL AND length(h.token) >= 3)
+SELECT query_id, tag, confidence, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, place, tag) - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, tag ORDER BY place, confidence DESC) AS n FROM found_) WHERE n = 1""",
+)
+def _(c):
+    """Prefixes too, and the matches ranked by confidence."""
+    words_ = F.concat(F.lit("topic, German fr proj/src1 to topic-3 "), "n_name")
+    asked = c.table("nation").select(F.col("n_nationkey").cast("long").alias("query_id"), words_.alias("query"))
+    return tags.infer(asked, c.tags.select("tag").distinct(), prefix=True).select("query_id", "tag", "confidence", _long("rank"))
+
+
+@query("tag_snippets", _TAGS + "SELECT query_id, document_id, rank, left(text, 200) AS snippet FROM tpage JOIN docs d ON d.id = document_id WHERE rank < 5 AND score >= 0.5")
+def _(c):
+    """Tag hits of a page with the first 200 characters of their texts, joined after the cut."""
+    found = H.tag_list(c, _query_tags(c), 15).where((F.col("rank") < 5) & (F.col("score") >= 0.5))
+    return found.join(c.documents.select(F.col("id").alias("document_id"), "text"), "document_id").select("query_id", "document_id", _long("rank"), F.substring("text", 1, 200).alias("snippet"))
+
+
 @query("resolve_aliases", "SELECT n_nationkey, CASE lower(n_name) WHEN 'french' THEN 'fr' WHEN 'german' THEN 'de' ELSE lower(n_name) END AS tag FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'French' WHEN n_nationkey % 3 = 1 THEN 'GERMAN' ELSE n_name END AS n_name FROM nation)", views=False)
 def _(c):
     name = F.when(F.col("n_nationkey") % 3 == 0, "French").when(F.col("n_nationkey") % 3 == 1, "GERMAN").otherwise(F.col("n_name"))
     return c.table("nation").select("n_nationkey", tags.resolve(name).alias("tag"))
 
 
-_EDGES = ", edges(parent, child) AS (VALUES " + ", ".join(f"('{p}', '{x}')" for p, x in tags.load_ontology()) + ")"
+_EDGES = ", edges(parent, child) AS (VALUES " + ", ".join(f"('{p}', '{x}')" for p, x in tags.load_ontology().pairs) + ")"
 _UP = _EDGES + " SELECT * FROM (WITH RECURSIVE up(tag, ancestor, hop) AS (SELECT DISTINCT t.tag, e.parent, 1 FROM tags t JOIN edges e ON e.child = t.tag UNION ALL SELECT up.tag, e.parent, up.hop + 1 FROM up JOIN edges e ON e.child = up.ancestor WHERE up.hop < 10) SELECT tag, ancestor, hop FROM up)"
 
 
 @query("ontology_ancestors", _UP)
 def _(c):
-    return tags.ancestors(c.tags.select("tag").distinct(), tags.edges(c.spark))
+    return tags.ancestors(c.tags.select("tag").distinct(), tags.load_ontology())
 
 
 @query("ontology_descendants", _EDGES + " SELECT * FROM (WITH RECURSIVE down(tag, descendant, hop) AS (SELECT DISTINCT e.parent, e.child, 1 FROM edges e UNION ALL SELECT down.tag, e.child, down.hop + 1 FROM down JOIN edges e ON e.parent = down.descendant WHERE down.hop < 10) SELECT tag, descendant, hop FROM down)")
 def _(c):
-    links = tags.edges(c.spark)
-    return tags.descendants(links.select(F.col("parent").alias("tag")).distinct(), links)
+    known = tags.load_ontology()
+    parents = small(c.spark, [(p,) for p in sorted({p for p, _ in known.pairs})], "tag string")
+    return tags.descendants(parents, known)
 
 
 @query("ontology_expand", _EDGES + ", own AS (SELECT DISTINCT document_id AS query_id, tag FROM tags), up AS (SELECT o.query_id, e.parent AS tag, 0.7::DOUBLE AS weight FROM own o JOIN edges e ON e.child = o.tag UNION ALL SELECT o.query_id, g.parent, 0.49::DOUBLE FROM own o JOIN edges e ON e.child = o.tag JOIN edges g ON g.child = e.parent) SELECT query_id, tag, round(max(weight), 6) AS weight FROM (SELECT query_id, tag, 1.0::DOUBLE AS weight FROM own UNION ALL SELECT * FROM up) GROUP BY ALL")
 def _(c):
     own = c.tags.select(F.col("document_id").alias("query_id"), "tag").distinct()
-    return tags.expand(own, tags.edges(c.spark)).select("query_id", "tag", r6(F.col("weight"), "weight"))
+    return tags.expand(own, tags.load_ontology()).select("query_id", "tag", r6(F.col("weight"), "weight"))
 
 
 @query("tag_frequency", "SELECT tag, count(*) AS n FROM tags GROUP BY tag")
@@ -344,13 +474,13 @@ _FUSE = _FUSE.replace("sum(weight", "sum(CAST(weight AS DOUBLE)")
 
 def _lists(c):
     number = F.when(F.col("query_id") == 3, 1).when(F.col("query_id") == 42, 2).otherwise(3).cast("long")
-    fts = fulltext.normalize_hits(_bm25(c)).select("query_id", "rank", F.col("path").alias("filepath"), "score")
+    fts = H.text_list(c, _parsed([(q, " ".join(ts)) for q, ts in SEARCHES]), 15, stemmed=False)
     vec = H.vector_list(c, query_vectors(c), 15).withColumn("query_id", number)
     return H.as_list(fts, 0, 1.0, "fts").union(H.as_list(vec, 1, 1.0, "vec"))
 
 
 def _ranked(c):
-    return fusion.fuse(_lists(c))
+    return fusion.fuse(_lists(c), keep=["document_id"])
 
 
 def _judged(ranked):
@@ -368,6 +498,19 @@ def _(c):
     return _ranked(c).select("query_id", long("pos"), "filepath", *[r6(F.col(x), x) for x in ("score", "fts_score", "vec_score")], long("fts_rank"), long("vec_rank"), "sources_count")
 
 
+@query("rrf_representative", _FUSE + "SELECT query_id, filepath, d.id AS document_id, d.hash, r.source FROM (SELECT query_id, filepath, source, row_number() OVER (PARTITION BY query_id, filepath ORDER BY score DESC, list_idx, rank) AS k FROM lists) r JOIN docs d ON d.path = filepath WHERE k = 1")
+def _(c):
+    """The hit that stands for a fused document: the one of the highest score of its own."""
+    best = fusion.fuse(_lists(c).withColumn("from", F.col("source")), keep=["document_id", "from"])
+    return best.join(c.documents.select(F.col("id").alias("document_id"), "hash"), "document_id").select("query_id", "filepath", "document_id", "hash", F.col("from").alias("source"))
+
+
+@query("rrf_default_weights", _FUSE + "SELECT query_id, filepath, round(sum(2.0::DOUBLE / (60 + rank + 1) + CASE WHEN rank = 0 THEN 0.05 WHEN rank <= 2 THEN 0.02 ELSE 0 END), 6) AS score FROM lists GROUP BY ALL")
+def _(c):
+    weights = F.array(*map(F.lit, fusion.default_weights(2)))
+    return fusion.fuse(_lists(c).withColumn("weight", F.get(weights, F.col("list_idx")))).select("query_id", "filepath", r6(F.col("score"), "score"))
+
+
 @query("rrf_inverse", _FUSE + "SELECT query_id, filepath, round(1 / score - 61, 6) AS rank_like FROM ranked")
 def _(c):
     return _ranked(c).select("query_id", "filepath", r6(fusion.rrf_inverse(F.col("score")), "rank_like"))
@@ -390,6 +533,12 @@ def _(c):
     return fusion.simple_blend(ranked, _judged(ranked)).select("query_id", "filepath", r6(F.col("score"), "score"))
 
 
+@query("rerank_top_k", _FUSE + f"SELECT query_id, filepath, pos FROM (SELECT query_id, filepath, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(0.6::DOUBLE * score + 0.4::DOUBLE * {_JUDGE}, score), 9) DESC, pos) - 1 AS pos FROM ranked) WHERE pos < 4")
+def _(c):
+    ranked = _ranked(c)
+    return fusion.simple_blend(ranked, _judged(ranked), top_k=4).select("query_id", "filepath", _long("pos"))
+
+
 @query("weighted_score", "SELECT l_orderkey, l_linenumber, round((l_discount * 2 + l_tax) / 3, 6) AS score FROM lineitem", views=False)
 def _(c):
     return c.table("lineitem").select("l_orderkey", "l_linenumber", r6(fusion.weighted_average(F.col("l_discount"), F.col("l_tax"), 2, 1), "score"))
@@ -405,16 +554,13 @@ def _(c):
 def _(c):
     asked = ["fr", "en", "topic-3", "proj/src2"]
     held = c.tags.where(F.col("tag").isin(asked)).groupBy("document_id").agg(F.count("*").alias("n"))
-    ranked = _ranked(c).join(c.documents.select(F.col("path").alias("filepath"), F.col("id").alias("document_id")), "filepath").join(held, "document_id", "left")
+    ranked = _ranked(c).join(held, "document_id", "left")
     return ranked.select("query_id", "filepath", r6(F.col("score") * fusion.boost_by_count(F.coalesce("n", F.lit(0))), "score"))
 
 
 @query("tag_boost_v2", _FUSE + _TAGS + ", m AS (SELECT r.query_id, r.filepath, sum(q.weight) AS w FROM ranked r JOIN docs d ON d.path = r.filepath JOIN tags t ON t.document_id = d.id JOIN qt q ON q.tag = t.tag AND q.query_id = r.query_id GROUP BY ALL) SELECT query_id, filepath, round(score * CASE WHEN w > 0 THEN least(pow(1.15::DOUBLE, w), 2.0) ELSE 1 END, 6) AS score FROM ranked LEFT JOIN m USING (query_id, filepath)")
 def _(c):
-    ranked = _ranked(c).join(c.documents.select(F.col("path").alias("filepath"), F.col("id").alias("document_id")), "filepath")
-    held = ranked.select("query_id", "document_id").join(c.tags, "document_id").join(F.broadcast(_query_tags(c)), ["query_id", "tag"]).groupBy("query_id", "document_id").agg(F.sum("weight").alias("w"))
-    both = ranked.join(held, ["query_id", "document_id"], "left")
-    return both.select("query_id", "filepath", r6(F.col("score") * fusion.boost_by_weight(F.coalesce("w", F.lit(0.0))), "score"))
+    return H.boosted(_ranked(c), c.tags, _query_tags(c), 1.15, 2.0).select("query_id", "filepath", r6(F.col("score"), "score"))
 
 
 @query("rerank_confidence", _FUSE + f"SELECT query_id, round(avg(CASE WHEN {_JUDGE} > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS confidence FROM ranked WHERE {_JUDGE} IS NOT NULL GROUP BY 1")
@@ -432,29 +578,56 @@ _MIX = _FUSE + _TAGS + """, all_lists AS (
 ), bw AS (SELECT r.query_id, r.filepath, sum(q.weight) AS w FROM cut r JOIN docs d ON d.path = r.filepath JOIN tags t ON t.document_id = d.id JOIN qt q ON q.tag = t.tag AND q.query_id = r.query_id GROUP BY ALL
 ), boosted AS (SELECT c.query_id, c.filepath, c.sources_count, c.pos, c.score * CASE WHEN w > 0 THEN least(pow(1.15::DOUBLE, w), 2.0) ELSE 1 END AS score FROM cut c LEFT JOIN bw USING (query_id, filepath)
 ), norm AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS s FROM boosted)
-SELECT query_id, file, pos, score, sources_count FROM (SELECT query_id, filepath AS file, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, pos) - 1 AS pos, round(s, 6) AS score, sources_count FROM norm) WHERE pos < 5"""
+SELECT query_id, file, pos, score, sources_count FROM (SELECT query_id, filepath AS file, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, pos) - 1 AS pos, round(s, 6) AS score, s, sources_count FROM norm) WHERE pos < 5"""
+
+
+def _mixed(c, config: H.SearchConfig):
+    third = H.as_list(H.tag_list(c, _query_tags(c), 15), 2, 0.8, "tag")
+    fused = fusion.fuse(_lists(c).union(third), keep=["document_id"]).where(F.col("pos") < config.candidates)
+    ranked = fusion.resort(H.boosted(fused, c.tags, _query_tags(c), config.boost_factor, config.boost_cap))
+    return H.finish(ranked, config).select("query_id", "file", _long("pos"), r6(F.col("score"), "score"), "sources_count")
 
 
 @query("hybrid_search", _MIX)
 def _(c):
-    """Full text, vectors and tags of a batch of queries, fused, boosted, normalised and cut."""
-    live = c.tags.join(c.active.select(F.col("id").alias("document_id"), "path"), "document_id")
-    top = fulltext.top_hits(tags.tag_hits(live, _query_tags(c)), 15, tie="document_id").join(c.documents.select(F.col("id").alias("document_id"), "path"), "document_id")
-    third = H.as_list(top.select("query_id", "rank", F.col("path").alias("filepath"), "score"), 2, 0.8, "tag")
-    fused = fusion.fuse(_lists(c).union(third)).where(F.col("pos") < 30)
-    of = c.documents.select(F.col("path").alias("filepath"), F.col("id").alias("document_id"))
-    held = fused.select("query_id", "filepath").join(of, "filepath").join(c.tags, "document_id").join(F.broadcast(_query_tags(c)), ["query_id", "tag"]).groupBy("query_id", "filepath").agg(F.sum("weight").alias("w"))
-    boosted = fused.join(held, ["query_id", "filepath"], "left").withColumn("score", F.col("score") * fusion.boost_by_weight(F.coalesce("w", F.lit(0.0))))
-    ranked = fusion.resort(fusion.max_normalize(fusion.resort(boosted))).where(F.col("pos") < 5)
-    return ranked.select("query_id", F.col("filepath").alias("file"), F.col("pos").cast("long").alias("pos"), r6(F.col("score"), "score"), "sources_count")
+    """Full text, vectors and tags of a batch of queries, fused, boosted, normalised and cut. Reads
+    the stored index and no text."""
+    return _mixed(c, H.SearchConfig())
+
+
+@query("hybrid_min_score", _MIX + " AND s >= 0.8")
+def _(c):
+    return _mixed(c, H.SearchConfig(min_score=0.8))
+
 
+_ASKED = [(1, ["from", "with", "en"]), (2, ["nicht", "das", "german"]), (3, ["pour", "french"])]
+_EXPANDED = (
+    _INDEX
+    + _page("t0", *_all_of(_ASKED))
+    + _page("t3", *_all_of([(1, ["from"]), (2, ["das"])]))
+    + _page("t4", *_all_of([(1, ["with"])]))
+    + _KNN.replace("__WHERE__", "")
+    + _EDGES
+    + """, found(query_id, tag) AS (VALUES (1::BIGINT, 'en'), (2, 'de'), (3, 'fr')
+), qt AS (SELECT query_id, tag, max(weight) AS weight FROM (SELECT query_id, tag, 1.0::DOUBLE AS weight FROM found UNION ALL SELECT query_id, e.parent, 0.7::DOUBLE FROM found JOIN edges e ON e.child = tag UNION ALL SELECT query_id, g.parent, 0.49::DOUBLE FROM found JOIN edges e ON e.child = tag JOIN edges g ON g.child = e.parent) GROUP BY ALL
+), tw AS (SELECT q.query_id, t.document_id, sum(q.weight) AS w FROM tags t JOIN qt q USING (tag) GROUP BY ALL
+), tn AS (SELECT query_id, document_id, w / max(w) OVER (PARTITION BY query_id) AS score FROM tw JOIN docs d ON d.id = document_id AND d.active
+), tpage AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, document_id) - 1 AS rank FROM tn) WHERE rank < 15
+), every AS (SELECT query_id, 0 AS list_idx, rank, 1.0::DOUBLE AS weight, 'fts' AS source, id FROM t0 UNION ALL SELECT query_id, 3, rank, 0.5::DOUBLE, 'fts', id FROM t3 UNION ALL SELECT query_id, 4, rank, 0.5::DOUBLE, 'fts', id FROM t4
+  UNION ALL SELECT CASE query_id WHEN 3 THEN 1::BIGINT WHEN 42 THEN 2 ELSE 3 END, 1, rank, 1.0::DOUBLE, 'vec', id FROM vpage UNION ALL SELECT query_id, 2, rank, 0.8::DOUBLE, 'tag', document_id FROM tpage
+), cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first_seen, path) - 1 AS pos FROM (SELECT query_id, e.id, d.path, sum(weight / (60 + rank + 1) + CASE WHEN rank = 0 THEN 0.05 WHEN rank <= 2 THEN 0.02 ELSE 0 END) AS score, count(DISTINCT e.source) AS sources_count, min(list_idx * 1000 + rank) AS first_seen FROM every e JOIN docs d USING (id) GROUP BY ALL)) WHERE pos < 30
+), raised AS (SELECT c.*, c.score * CASE WHEN w > 0 THEN least(pow(1.15::DOUBLE, w), 2.0) ELSE 1 END AS b FROM cut c LEFT JOIN tw ON tw.query_id = c.query_id AND tw.document_id = c.id
+), norm AS (SELECT *, b / max(b) OVER (PARTITION BY query_id) AS s FROM raised)
+SELECT query_id, file, pos, score, sources_count FROM (SELECT query_id, path AS file, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, round(b, 9) DESC, pos) - 1 AS pos, round(s, 6) AS score, sources_count FROM norm) WHERE pos < 5"""
+)
 
-@query("hybrid_search_expanded")
+
+@query("hybrid_search_expanded", _EXPANDED)
 def _(c):
     """The whole plan with expanded variants and inferred tags, as the engine composes it."""
     vector = {q: tuple(v) for q, v in query_vectors(c)}
     asked = [H.Query(1, "from with en", vector[3], ("from", "with")), H.Query(2, "nicht das german", vector[42], ("das",)), H.Query(3, "pour french", vector[77])]
-    return H.hybrid(c, asked).select("query_id", "pos", "file", r6(F.col("score"), "score"), "sources_count")
+    return H.hybrid(c, asked, H.SearchConfig(stemmed=False)).select("query_id", _long("pos"), "file", r6(F.col("score"), "score"), "sources_count")
 
 
 # -- index upkeep
@@ -545,12 +718,24 @@ def _(c):
     return total.crossJoin(c.vectors.agg(F.count("*").alias("vectors")))  # single rows
 
 
-@query("sync_report", "SELECT 'missing_fts' AS issue, count(*) AS n, min(path) AS sample FROM docs WHERE active AND id NOT IN (SELECT id FROM fts) UNION ALL SELECT 'missing_embeddings', count(*), min(path) FROM docs WHERE active AND hash NOT IN (SELECT hash FROM vectors) UNION ALL SELECT 'orphan_fts', count(*), min(path) FROM docs WHERE NOT active AND id IN (SELECT id FROM fts)")
+_SAMPLE = "SELECT '{name}' AS issue, count(*) AS n, array_to_string(list_sort(list(label ORDER BY label)[1:20]), ',') AS samples FROM (SELECT {label} AS label {rows})"
+
+
+@query(
+    "sync_report",
+    " UNION ALL ".join(
+        [
+            _SAMPLE.format(name="missing_fts", label="path", rows="FROM docs WHERE active AND id NOT IN (SELECT id FROM fts)"),
+            _SAMPLE.format(name="missing_embeddings", label="path", rows="FROM docs WHERE active AND hash NOT IN (SELECT hash FROM vectors)"),
+            _SAMPLE.format(name="orphan_fts", label="path", rows="FROM docs WHERE NOT active AND id IN (SELECT id FROM fts)"),
+            _SAMPLE.format(name="orphan_embeddings", label="hash", rows="FROM (SELECT DISTINCT hash FROM vectors WHERE hash NOT IN (SELECT hash FROM docs WHERE active))"),
+        ]
+    ),
+)
 def _(c):
-    line = lambda d, name: d.agg(F.lit(name).alias("issue"), F.count("*").alias("n"), F.min("path").alias("sample"))
-    missing = line(store.orphans(c.active, c.fts_ids, ["id"]), "missing_fts")
-    vectors_ = line(store.orphans(c.active, c.vectors.select("hash"), ["hash"]), "missing_embeddings")
-    return missing.union(vectors_).union(line(c.documents.where(~F.col("active")).join(c.fts_ids, "id", "left_semi"), "orphan_fts"))
+    """Counts of what the indexes lack or have too much, each with its first 20 samples."""
+    found = upkeep.sync_report(c.documents, c.fts_ids.withColumnRenamed("id", "doc_id"), c.vectors)
+    return found.select("issue", "n", F.array_join("samples", ",").alias("samples"))
 
 
 # -- answers
@@ -558,7 +743,7 @@ def _(c):
 
 @query("rag_context", _FUSE + "SELECT query_id, sha256(string_agg('[' || (pos + 1) || '] ' || filepath || ':' || chr(10) || left(d.text, 1000), chr(10) || chr(10) ORDER BY pos)) AS context_hash FROM ranked JOIN docs d ON d.path = filepath WHERE pos < 5 GROUP BY 1")
 def _(c):
-    top = _ranked(c).where(F.col("pos") < 5).join(c.documents.select(F.col("path").alias("filepath"), "text"), "filepath")
+    top = _ranked(c).where(F.col("pos") < 5).join(c.documents.select(F.col("id").alias("document_id"), "text"), "document_id")
     part = F.concat(F.lit("["), (F.col("pos") + 1).cast("string"), F.lit("] "), "filepath", F.lit(":\n"), F.substring("text", 1, 1000))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))), lambda x: x["part"]), "\n\n")  # five rows a query
     return top.groupBy("query_id").agg(F.sha2(joined, 256).alias("context_hash"))
@@ -568,3 +753,235 @@ def _(c):
 def _(c):
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     return c.table("conversations").withColumn("n", F.row_number().over(w)).where(F.col("n") <= 4).select("conv_id", "turn", "role")
+
+
+# -- pipelines over stored tables
+
+_AT = "timestamp_ntz'2024-06-01 00:00:00'"
+_STORED = """, old AS (SELECT id, path, hash, active, CASE WHEN id % 2 = 0 THEN '2024-01-01 00:00:00' END AS stored_time FROM docs
+), listing AS (SELECT id, path, id % 23 = 3 AS failed, CASE WHEN id % 23 = 3 THEN NULL WHEN id % 17 = 0 THEN text || '!' ELSE text END AS text, CASE WHEN id % 4 = 2 THEN '2024-05-05 00:00:00' ELSE '2024-01-01 00:00:00' END AS t FROM docs WHERE id % 13 <> 0
+  UNION ALL SELECT id, 'new/' || id || '.md', false, d.text, '2024-05-05 00:00:00' FROM decorated d WHERE id % 50 = 0
+), seen AS (SELECT l.*, o.id AS old_id, CASE WHEN failed THEN 'error' WHEN o.id IS NULL OR NOT o.active THEN 'new' WHEN o.stored_time = l.t THEN 'unchanged_time' WHEN o.hash = sha256(l.text) THEN 'unchanged_hash' ELSE 'modified' END AS change FROM listing l LEFT JOIN old o USING (path)
+), loaded AS (SELECT * FROM seen WHERE change IN ('new', 'modified')
+), gone AS (SELECT path FROM old WHERE active AND path NOT IN (SELECT path FROM listing))
+"""
+
+
+def _stored(c: Corpus) -> dict[str, DataFrame]:
+    """The driver's tables as a store of one collection: odd documents lack a modification time, a
+    third have no metadata."""
+    at = F.expr(_AT)
+    d = c.documents
+    made = d.select(
+        "id", F.lit(1).cast("long").alias("source_collection_id"), "path", F.col("path").alias("title"), "hash", "active", at.alias("modified_at"), F.lit(None).cast("string").alias("source_uri"), F.lit(None).cast("string").alias("etag"),
+        F.when(F.col("id") % 2 == 0, "2024-01-01 00:00:00").alias("last_modified"), F.lit(None).cast("timestamp_ntz").alias("last_fetched_at"), F.lit(None).cast("int").alias("fetch_duration_ms"), F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("map<string,string>").alias("extra_metadata"),
+    )
+    tagged = c.tags.groupBy(F.col("document_id")).agg(F.array_sort(F.collect_set("tag")).alias("tags")).where(F.col("document_id") % 3 != 0)  # three tags a document
+    return {
+        "documents": made,
+        "content": c.content.select("hash", "doc", at.alias("created_at")),
+        "postings": c.index.postings,
+        "lengths": c.index.lengths,
+        "content_vectors": c.vectors.select("hash", "seq", F.lit(0).cast("long").alias("pos"), F.lit("m").alias("model"), at.alias("embedded_at"), "embedding"),
+        "document_metadata": tagged.select("document_id", F.lit("generic").alias("profile"), "tags", F.col("tags").alias("source_tags"), F.lit("{}").alias("attributes"), at.alias("extracted_at")),
+        "document_tags": c.tags,
+        "source_collections": small(c.spark, [], TABLES["source_collections"]),
+    }
+
+
+def _found(c: Corpus) -> DataFrame:
+    """A listing of that collection: missing, failed, changed, untouched and new files."""
+    d = c.documents.where(F.col("id") % 13 != 0)
+    failed = F.col("id") % 23 == 3
+    text = F.when(failed, F.lit(None)).when(F.col("id") % 17 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    time = F.when(F.col("id") % 4 == 2, "2024-05-05 00:00:00").otherwise("2024-01-01 00:00:00")
+    old = d.select("path", time.alias("mtime"), text.alias("text"), F.when(failed, "not valid UTF-8").alias("error"))
+    new = c.decorated.where(F.col("id") % 50 == 0).select(F.concat(F.lit("new/"), F.col("id").cast("string"), F.lit(".md")).alias("path"), F.lit("2024-05-05 00:00:00").alias("mtime"), "text", F.lit(None).cast("string").alias("error"))
+    both = old.union(new)
+    return both.select(F.concat(F.lit("file:///in/"), "path").alias("uri"), "path", F.octet_length("text").cast("long").alias("size"), F.col("mtime").cast("timestamp").alias("mtime"), F.lit("text/markdown").alias("content_type"), "text", "error")
+
+
+def _ingested(c: Corpus, **options) -> upkeep.Run:
+    return upkeep.ingest(_stored(c), _found(c), 1, F.expr(_AT), **options)
+
+
+@query("ingest_summary", _STORED + "SELECT count(*) FILTER (change IN ('new', 'modified')) AS indexed, count(*) FILTER (starts_with(change, 'unchanged')) AS skipped, count(*) FILTER (change = 'error') AS errors, (SELECT count(*) FROM gone) AS stale FROM seen")
+def _(c):
+    return _ingested(c).summary
+
+
+@query(
+    "ingest_documents",
+    _STORED
+    + """SELECT o.path, coalesce(sha256(l.text), o.hash) AS hash, CASE WHEN l.path IS NOT NULL THEN true WHEN o.path IN (SELECT path FROM gone) THEN false ELSE o.active END AS active, coalesce(CAST(s.change IN ('new', 'modified', 'unchanged_hash') AS VARCHAR), '-') AS fetched, CASE WHEN starts_with(l.text, '---') THEN 'Doc' ELSE 'path' END AS title
+FROM old o LEFT JOIN loaded l USING (path) LEFT JOIN seen s USING (path) UNION ALL SELECT path, sha256(text), true, 'true', 'Doc' FROM loaded WHERE old_id IS NULL""",
+)
+def _(c):
+    after = _ingested(c).tables["documents"]
+    seen = _found(c).select("path").withColumn("_seen", F.lit(True))
+    told = F.when(F.col("_seen"), F.col("last_fetched_at").isNotNull().cast("string")).otherwise("-")
+    return after.join(seen, "path", "left").select("path", "hash", "active", told.alias("fetched"), F.when(F.col("title").startswith("Doc "), "Doc").otherwise("path").alias("title"))
+
+
+@query("ingest_content", _STORED + "SELECT hash FROM content UNION SELECT sha256(text) FROM loaded")
+def _(c):
+    return _ingested(c).tables["content"].select("hash")
+
+
+@query(
+    "ingest_index",
+    _STORED
+    + """, kept AS (SELECT d.path, d.text FROM docs d JOIN fts USING (id) WHERE d.path NOT IN (SELECT path FROM loaded) AND d.active AND d.path NOT IN (SELECT path FROM gone)
+), now_ AS (SELECT * FROM kept UNION ALL SELECT path, text FROM loaded WHERE trim(text, ' ' || chr(10)) <> '') SELECT path, CAST(len(regexp_extract_all(lower(path), '[\\p{L}\\p{N}]+')) + len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS BIGINT) AS dl FROM now_""",
+)
+def _(c):
+    run = _ingested(c)
+    return run.tables["lengths"].join(run.tables["documents"].select(F.col("id").alias("doc_id"), "path"), "doc_id").select("path", _long("dl"))
+
+
+@query(
+    "ingest_tags",
+    _STORED
+    + """SELECT d.path, t.tag FROM tags t JOIN docs d ON d.id = t.document_id WHERE d.path NOT IN (SELECT path FROM loaded)
+UNION ALL SELECT DISTINCT l.path, unnest([d.lang, d.lang || '/' || d.source, 'proj', 'proj/' || d.source]) FROM loaded l JOIN docs d USING (id) WHERE starts_with(l.text, '---')""",
+)
+def _(c):
+    run = _ingested(c)
+    return run.tables["document_tags"].join(run.tables["documents"].select(F.col("id").alias("document_id"), "path"), "document_id").select("path", "tag")
+
+
+@query("ingest_forced", _STORED + "SELECT count(*) FILTER (NOT failed) AS indexed, 0::BIGINT AS skipped, count(*) FILTER (failed) AS errors, (SELECT count(*) FROM gone) AS stale FROM seen")
+def _(c):
+    return _ingested(c, force=True).summary
+
+
+@query("files_touched", _STORED + "SELECT coalesce(o.path, l.path) AS path, o.path IS NULL OR l.path IS NULL OR o.stored_time IS NULL OR o.stored_time <> l.t AS touched FROM old o FULL JOIN listing l USING (path)")
+def _(c):
+    """By modification time alone, before a text is read."""
+    stored = _stored(c)["documents"].select("path", F.col("last_modified").cast("timestamp").alias("mtime"))
+    return store.touched(stored, _found(c))
+
+
+_WANTED = """, wanted AS (SELECT hash, count(*) AS copies FROM docs WHERE active AND hash NOT IN (SELECT hash FROM vectors) GROUP BY 1
+), to_chunk AS (SELECT w.hash AS key, c.doc AS text FROM wanted w JOIN content c USING (hash))"""
+
+
+@query("embed_summary", _WANTED + CHUNKS + "SELECT count(DISTINCT key) AS embedded, (SELECT count(*) FROM docs WHERE active AND hash IN (SELECT hash FROM vectors)) + (SELECT CAST(coalesce(sum(copies - 1), 0) AS BIGINT) FROM wanted WHERE hash IN (SELECT key FROM chunks)) AS skipped, count(*) AS chunks FROM chunks")
+def _(c):
+    return upkeep.embed(_stored(c), F.expr(_AT), "hashing").summary
+
+
+@query("embed_vectors", _WANTED + CHUNKS + "SELECT hash, CAST(seq AS BIGINT) AS seq, 0::BIGINT AS pos, 'm' AS model, 64::BIGINT AS dim FROM vectors UNION ALL SELECT key, seq, pos, 'hashing', 64 FROM chunks")
+def _(c):
+    made = upkeep.embed(_stored(c), F.expr(_AT), "hashing").tables["content_vectors"]
+    return made.select("hash", _long("seq"), "pos", "model", F.size("embedding").cast("long").alias("dim"))
+
+
+@query("delete_vectors", "SELECT hash, CAST(seq AS BIGINT) AS seq FROM vectors WHERE vec_id % 2 = 0 AND hash NOT IN (SELECT hash FROM docs WHERE id % 10 = 1)")
+def _(c):
+    """Vectors without one model's and without those of some hashes."""
+    v = c.vectors.withColumn("model", F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b"))
+    return store.delete_rows(store.delete_model(v, "b"), c.documents.where(F.col("id") % 10 == 1), ["hash"]).select("hash", _long("seq"))
+
+
+@query("replace_vectors", "SELECT hash, CAST(seq AS BIGINT) AS seq, 'old' AS model FROM vectors WHERE (hash, seq) NOT IN (SELECT (hash, seq) FROM vectors WHERE vec_id % 3 = 0) UNION ALL SELECT DISTINCT hash, CAST(seq AS BIGINT), 'new' FROM vectors WHERE vec_id % 3 = 0")
+def _(c):
+    """Vectors stored again by hash and place: the last write counts."""
+    v = c.vectors.select("vec_id", "hash", "seq")
+    new = v.where(F.col("vec_id") % 3 == 0).select("hash", "seq", F.lit("new").alias("model")).distinct()
+    return store.replace_rows(v.select("hash", "seq", F.lit("old").alias("model")), new, ["hash", "seq"]).select("hash", _long("seq"), "model")
+
+
+@query(
+    "cleanup_summary",
+    """, live AS (SELECT * FROM docs WHERE active) SELECT 'content' AS "table", count(*) AS removed FROM content WHERE hash NOT IN (SELECT hash FROM live) UNION ALL SELECT 'content_vectors', count(*) FROM vectors WHERE hash NOT IN (SELECT hash FROM live)
+UNION ALL SELECT 'lengths', count(*) FROM fts WHERE id NOT IN (SELECT id FROM live) UNION ALL SELECT 'document_metadata', count(*) FROM docs WHERE id % 3 <> 0 AND NOT active UNION ALL SELECT 'document_tags', count(*) FROM tags WHERE document_id NOT IN (SELECT id FROM live)""",
+)
+def _(c):
+    return upkeep.cleanup(_stored(c)).summary.where(F.col("table") != "postings")
+
+
+@query("cleanup_metadata", "SELECT id AS document_id FROM docs WHERE id % 3 <> 0 AND active")
+def _(c):
+    return upkeep.cleanup(_stored(c)).tables["document_metadata"].select("document_id")
+
+
+@query("backfill_summary", "SELECT count(*) AS processed, count(*) FILTER (text <> '') AS updated, count(*) FILTER (text = '') AS skipped FROM docs WHERE active AND id % 3 = 0")
+def _(c):
+    return upkeep.backfill(_stored(c), F.expr(_AT)).summary
+
+
+@query("backfill_metadata", "SELECT id AS document_id, CASE WHEN id % 3 <> 0 THEN 3 ELSE 0 END::BIGINT AS n_tags FROM docs WHERE id % 3 <> 0 OR (active AND text <> '')")
+def _(c):
+    made = upkeep.backfill(_stored(c), F.expr(_AT)).tables["document_metadata"]
+    return made.select("document_id", F.size("tags").cast("long").alias("n_tags"))
+
+
+@query("backfill_tags", "SELECT document_id, tag FROM tags WHERE document_id NOT IN (SELECT id FROM docs WHERE active AND id % 3 = 0 AND text <> '')")
+def _(c):
+    return upkeep.backfill(_stored(c), F.expr(_AT)).tables["document_tags"]
+
+
+@query("store_status", "SELECT 0::BIGINT AS collections, count(*) FILTER (active) AS documents, count(DISTINCT hash) FILTER (active) AS hashes, count(*) FILTER (active AND hash IN (SELECT hash FROM vectors)) AS embedded, (SELECT CAST(sum(strlen(doc)) AS BIGINT) FROM content) AS content_bytes, (SELECT count(*) FROM vectors) AS vectors, (SELECT count(*) FROM fts) AS indexed FROM docs")
+def _(c):
+    return upkeep.status(_stored(c))
+
+
+def _named(c: Corpus) -> DataFrame:
+    """The nations as source collections."""
+    at = F.expr(_AT)
+    return c.table("nation").select(
+        F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("/in/"), "n_name").alias("pwd"), F.array(F.lit("**/*.md")).alias("glob_patterns"), F.lit("filesystem").alias("source_type"), F.create_map(F.lit("glob_patterns"), F.lit("**/*.md")).alias("source_config"), at.alias("created_at"), at.alias("updated_at")
+    )
+
+
+@query(
+    "collection_changes",
+    "SELECT id, name, pwd, array_to_string(patterns, ' ') AS patterns, place FROM (SELECT *, row_number() OVER (ORDER BY name) - 1 AS place FROM (SELECT CAST(n_nationkey AS BIGINT) AS id, CASE n_name WHEN 'NATION_6' THEN 'HEXAGON' ELSE n_name END AS name, CASE n_name WHEN 'NATION_16' THEN '/moved' ELSE '/in/' || n_name END AS pwd, CASE n_name WHEN 'NATION_16' THEN ['*.txt', '!x/**'] ELSE ['**/*.md'] END AS patterns FROM nation UNION ALL SELECT CAST(max(n_nationkey) + 1 AS BIGINT), 'ATLANTIS', '/sea', ['**/*.md'] FROM nation))",
+    views=False,
+)
+def _(c):
+    """Collections after one was added, one renamed and one moved, by name."""
+    at = F.expr(_AT)
+    made = collections.create(_named(c), "ATLANTIS", "/sea", None, at)
+    made = collections.update_path(collections.rename(made, "NATION_6", "HEXAGON", at), "NATION_16", "/moved", at, ["*.txt", "!x/**"])
+    place = F.row_number().over(Window.orderBy("name")) - 1  # a small table of names
+    return made.select("id", "name", "pwd", F.array_join("glob_patterns", " ").alias("patterns"), place.cast("long").alias("place"))
+
+
+@query(
+    "collection_removed",
+    """, rest AS (SELECT * FROM docs WHERE source_collection_id <> 3) SELECT 'documents' AS name, count(*) AS n FROM rest UNION ALL SELECT 'content', count(*) FROM content WHERE hash IN (SELECT hash FROM rest) UNION ALL SELECT 'content_vectors', count(*) FROM vectors WHERE hash IN (SELECT hash FROM rest)
+UNION ALL SELECT 'lengths', count(*) FROM fts WHERE id IN (SELECT id FROM rest) UNION ALL SELECT 'document_metadata', count(*) FROM rest WHERE id % 3 <> 0 UNION ALL SELECT 'document_tags', count(*) FROM tags WHERE document_id IN (SELECT id FROM rest)""",
+)
+def _(c):
+    """Rows of each table that a removed collection leaves."""
+    own = c.documents.select("id", F.col("source_collection_id").alias("_c"))
+    stored = _stored(c)
+    stored["documents"] = stored["documents"].join(own, "id").withColumn("source_collection_id", F.col("_c")).drop("_c")
+    left, out = collections.remove(stored, 3), None
+    for name in ("documents", "content", "content_vectors", "lengths", "document_metadata", "document_tags"):
+        line = left[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = line if out is None else out.union(line)
+    return out
+
+
+@query("upsert_repeated", "SELECT path, 'h2' AS hash FROM docs WHERE id % 9 = 0 UNION ALL SELECT path, hash FROM docs WHERE id % 9 <> 0 UNION ALL SELECT 'twice/' || id, 'h2' FROM docs WHERE id % 40 = 0")
+def _(c):
+    """A key that comes twice in one load is one document, as it was written last."""
+    keys = c.documents.where(F.col("id") % 9 == 0).select("path").union(c.documents.where(F.col("id") % 40 == 0).select(F.concat(F.lit("twice/"), F.col("id").cast("string"))))
+    at = lambda day, h: keys.select(F.lit(1).cast("long").alias("source_collection_id"), "path", F.col("path").alias("title"), F.lit(h).alias("hash"), F.lit(day).cast("timestamp_ntz").alias("modified_at"))
+    new = at("2024-02-02", "h2").union(at("2024-02-01", "h1"))
+    return store.upsert_documents(_stored(c)["documents"], new).select("path", "hash")
+
+
+@query("sql_parameters", "SELECT lang, count(*) AS n FROM docs WHERE id >= 10 AND lang <> 'en' GROUP BY 1")
+def _(c):
+    """The SQL surface: text with named parameters over a view."""
+    return c.spark.sql("SELECT lang, count(*) AS n FROM {docs} WHERE id >= :least AND lang <> :other GROUP BY lang", args={"least": 10, "other": "en"}, docs=c.documents)
+
+
+@query("ontology_children", _EDGES + " SELECT parent AS tag, child FROM edges")
+def _(c):
+    known = tags.load_ontology()
+    return small(c.spark, [(t, x) for t in sorted(known.tags) for x in known.children(t)], "tag string, child string")

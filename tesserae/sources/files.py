@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import mime_type
+from tesserae.functions.text import title as first_heading
+from tesserae.staging import hadoop_path
 
 DEFAULT_PATTERNS = ["**/*.md"]
 
@@ -37,57 +40,153 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
-def matches_patterns(path: Column, patterns: list[str] | str | None) -> Column:
-    """Any include and no ``!`` exclude; without an include it raises."""
+def _component(part: str) -> str:
+    return "[^/]+" if part in ("*", "**") else "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in part)
+
+
+def match_regex(pattern: str) -> str:
+    """A pattern as one over a path's last components: ``*.md`` fits ``d/b.md``, and ``**`` stands
+    for one component. A leading ``**/`` may also stand for nothing, and ``**/name/**`` fits any
+    path that has the component ``name``."""
+    forms = ["(?:.*/)?" + "/".join(map(_component, pattern.strip("/").split("/")))]
+    if pattern.startswith("**/"):
+        rest = pattern[3:]
+        forms.append(match_regex(rest)[1:-1] if rest.startswith("**/") else "(?:.*/)?" + "/".join(map(_component, rest.split("/"))))
+        if rest.endswith("/**") and "/" not in rest[:-3]:
+            forms.append("(?:.*/)?" + re.escape(rest[:-3]) + "(?:/.*)?")
+    return "^(?:" + "|".join(forms) + ")$"
+
+
+def split_patterns(patterns: list[str] | str | None) -> tuple[list[str], list[str]]:
+    """Includes and ``!`` excludes; without an include it raises."""
     listed = parse_patterns(patterns)
     takes, drops = [p for p in listed if not p.startswith("!")], [p[1:] for p in listed if p.startswith("!")]
     if not takes:
         raise ValueError("at least one include pattern is needed")
+    return takes, drops
+
+
+def _any(path: Column, forms: list[str]) -> Column:
     hit = F.lit(False)
-    for p in takes:
-        hit = hit | path.rlike(glob_regex(p))
-    for p in drops:
-        hit = hit & ~path.rlike(glob_regex(p))
+    for f in forms:
+        hit = hit | path.rlike(f)
     return hit
 
 
-def read_files(spark: SparkSession, root: str, patterns: list[str] | str | None = None) -> DataFrame:
-    """``uri, path, size, mtime, content_type, text, error``: files under a root, decoded as
-    UTF-8 with ``\\n`` line ends; a file that is no UTF-8 has an error and no text."""
+def matches_patterns(path: Column, patterns: list[str] | str | None) -> Column:
+    """Any include and no exclude, both over a path's last components."""
+    takes, drops = split_patterns(patterns)
+    return _any(path, list(map(match_regex, takes))) & ~_any(path, list(map(match_regex, drops)))
+
+
+def lists_patterns(path: Column, patterns: list[str] | str | None) -> Column:
+    """What listing a folder takes: includes are anchored at the folder, with a recursive ``**``."""
+    takes, drops = split_patterns(patterns)
+    return _any(path, list(map(glob_regex, takes))) & ~_any(path, list(map(match_regex, drops)))
+
+
+def _linked(root: str):
+    """Whether a local file lies behind a symbolic link below the root."""
+
+    @F.pandas_udf("boolean")
+    def linked(path: pd.Series) -> pd.Series:
+        def behind(p: str) -> bool:
+            parts = p.split("/")
+            return any(os.path.islink(os.path.join(root, *parts[: i + 1])) for i in range(len(parts)))
+
+        return path.map(behind)
+
+    return linked
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """``uri, path, size, mtime, content`` under a folder; a root that is no folder raises. Files whose
+    names begin with a dot or an underscore are hidden, as everywhere in Spark."""
+    at, fs = hadoop_path(spark, root)
+    if not fs.exists(at):
+        raise FileNotFoundError(f"no such folder: {root}")
+    if not fs.getFileStatus(at).isDirectory():
+        raise NotADirectoryError(f"not a folder: {root}")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/") + "/"
-    path = F.regexp_replace(F.col("path"), "^[a-z]+:/*" + re.escape(base.split(":", 1)[-1]).lstrip("/"), "")
-    rows = found.select(F.col("path").alias("uri"), path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
-    rows = rows.where(matches_patterns(F.col("path"), patterns))
-    good = F.is_valid_utf8(F.col("content"))
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
+    base = fs.makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    path = F.regexp_replace(F.col("path"), "^(?:[a-z0-9]+:(?://[^/]*)?)?/*" + re.escape(base).lstrip("/"), "")
+    return found.select(F.col("path").alias("uri"), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+
+
+def read_files(spark: SparkSession, root: str, patterns: list[str] | str | None = None, *, encoding: str = "utf-8", follow_symlinks: bool = False) -> DataFrame:
+    """``uri, path, size, mtime, content_type, text, error``: the files of a folder that the
+    patterns list, decoded, with ``\\n`` line ends; a file that does not decode has an error and no
+    text. Files behind symbolic links are left out unless followed."""
+    rows = list_files(spark, root).where(lists_patterns(F.col("path"), patterns))
+    if not follow_symlinks and ("://" not in root or root.startswith("file:")):
+        local = root.removeprefix("file://").removeprefix("file:")
+        if any(os.path.islink(os.path.join(d, n)) for d, ds, fs in os.walk(local) for n in (*ds, *fs)):
+            rows = rows.where(~_linked(local)("path"))
+    utf8 = encoding.lower().replace("_", "-") in ("utf-8", "utf8")
+    good = F.is_valid_utf8(F.col("content")) if utf8 else F.lit(True)
+    text = F.regexp_replace(F.decode("content", "UTF-8" if utf8 else encoding), "\r\n?", "\n")
     return rows.select("uri", "path", "size", "mtime", mime_type(F.col("path")).alias("content_type"), F.when(good, text).alias("text"), F.when(~good, F.lit("not valid UTF-8")).alias("error"))
 
 
-def read_pages(pages: DataFrame) -> DataFrame:
-    """Stored web pages as documents: tags dropped, white space folded."""
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|head)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
-    return pages.select(F.col("url").alias("path"), F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("text"))
+def read_directory(spark: SparkSession, root: str, *, recursive: bool = True, suffixes: list[str] | None = None) -> DataFrame:
+    """The files of a folder as ``read_files`` gives them, chosen by suffix instead of patterns."""
+    rows = read_files(spark, root, ["**/*"])
+    if not recursive:
+        rows = rows.where(~F.col("path").contains("/"))
+    if suffixes:
+        rows = rows.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin([s.lower() for s in suffixes]))
+    return rows
+
 
+def html_text(html: Column) -> Column:
+    """A page's text: tags dropped, white space folded."""
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
-def read_loader(spark: SparkSession, loader, *, path_key: str = "path", namespace: str = "", **options) -> DataFrame:
-    """Rows of an object with ``load_data()``: ``uri, path, text``. The uri is the metadata's, the
-    object's id, or a hash; a uri that comes twice raises."""
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """Stored web pages as documents."""
+    return pages.select(F.col("url").alias("path"), html_text(F.col("html")).alias("text"))
+
+
+def read_web(spark: SparkSession, urls: list[str], *, plain: bool = True, timeout: float = 30.0) -> DataFrame:
+    """``uri, path, text, error`` of the given addresses, fetched by the tasks; an address that
+    fails has an error and no text."""
+
+    def fetch(batches):
+        import urllib.request
+
+        for batch in batches:
+            texts, errors = [], []
+            for url in batch["uri"]:
+                try:
+                    with urllib.request.urlopen(url, timeout=timeout) as reply:  # noqa: S310
+                        texts.append(reply.read().decode(getattr(reply.headers, "get_content_charset", lambda: None)() or "utf-8", "replace"))
+                    errors.append(None)
+                except Exception as e:
+                    texts.append(None)
+                    errors.append(str(e))
+            yield pd.DataFrame({"uri": batch["uri"], "text": texts, "error": errors})
+
+    rows = spark.createDataFrame([(u,) for u in urls], "uri string").mapInPandas(fetch, "uri string, text string, error string").select("uri", F.col("uri").alias("path"), "text", "error")
+    return rows.withColumn("text", html_text(F.col("text"))) if plain else rows
+
+
+def read_loader(spark: SparkSession, loader, *, path_key: str = "path", uri_key: str = "uri", title_key: str = "title", namespace: str = "", allow_multiple: bool = True, **options) -> DataFrame:
+    """Rows of an object with ``load_data()``: ``uri, path, title, text, extra``. The uri is the
+    metadata's, the object's id, or a hash; a uri that comes twice raises, and so does more than
+    one object unless several are allowed. The title is the metadata's, the text's first heading
+    or the path; all the metadata are kept in ``extra``."""
+    docs = list(loader.load_data(**options))
+    if len(docs) > 1 and not allow_multiple:
+        raise ValueError(f"the loader gave {len(docs)} documents where one is allowed")
     rows = []
-    for i, doc in enumerate(loader.load_data(**options)):
+    for i, doc in enumerate(docs):
         meta = dict(getattr(doc, "metadata", None) or {})
         text = getattr(doc, "text", None) or ""
-        uri = meta.get("uri") or getattr(doc, "id_", None) or "hash-" + hashlib.sha256(f"{namespace}{text}{sorted(meta.items())}".encode()).hexdigest()[:16]
-        rows.append((uri, meta.get(path_key) or meta.get("id") or f"doc-{i}", text))
+        uri = meta.get(uri_key) or getattr(doc, "id_", None) or "hash-" + hashlib.sha256(f"{namespace}{text}{sorted(meta.items())}".encode()).hexdigest()[:16]
+        rows.append((str(uri), str(meta.get(path_key) or meta.get("id") or f"doc-{i}"), meta.get(title_key), text, {str(k): str(v) for k, v in meta.items()}))
     if len({r[0] for r in rows}) < len(rows):
         raise ValueError("a loader gave one uri twice")
-    return spark.createDataFrame(rows, "uri string, path string, text string")
-
-
-READERS: dict[str, Callable[..., DataFrame]] = {"filesystem": read_files, "parquet": lambda spark, root, patterns=None: spark.read.parquet(root)}
-
-
-def create_source(kind: str) -> Callable[..., DataFrame]:
-    if kind not in READERS:
-        raise ValueError(f"unknown source type {kind!r}; known: {', '.join(sorted(READERS))}")
-    return READERS[kind]
+    made = spark.createDataFrame(rows, "uri string, path string, title string, text string, extra map<string,string>")
+    return made.withColumn("title", F.coalesce("title", first_heading(F.col("text"), F.col("path"))))

@@ -61,8 +61,7 @@ def test_show():
         answers.show(rows, "yaml")
 
 
-def test_command_line(spark, capsys):
-    assert cli.main(["--root", SMALL, "search", "from with", "--limit", "2", "--format", "json"]) == 0
-    assert len(json.loads(capsys.readouterr().out)) == 2
-    with pytest.raises(SystemExit):
-        cli.main(["nothing"])
+def test_details():
+    row = {"file": "a", "score": 0.5, "title": "T", "fts_score": 1.0, "fts_rank": 0, "rerank_score": 0.95, "relevant": True, "blend_weight": 0.75}
+    assert answers.show([row]).split("\n") == ["1. T - a 0.500", "   fts_score: 1.000 (rank 1)", "   rerank: 0.950 (relevant)", "   blend: 75% fused, 25% rerank"]
+    assert answers.show([row], "files") == "a"

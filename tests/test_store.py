@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import store
-from tesserae.sources import files
+from tesserae.sources import base, files
 from tesserae.streaming import ingest
+from tesserae.warehouse import Conflict, Warehouse
 
 DOC = "id long, source_collection_id long, path string, title string, hash string, active boolean, modified_at string"
 
@@ -13,6 +14,8 @@ def test_upserts(spark):
     new = spark.createDataFrame([(1, "a", "A2", "h3", "t1"), (1, "c", "C", "h4", "t1"), (2, "a", "Z", "h5", "t1")], "source_collection_id long, path string, title string, hash string, modified_at string")
     got = {(r["source_collection_id"], r["path"]): r for r in store.upsert_documents(stored, new).collect()}
     assert got[1, "a"]["active"] and got[1, "a"]["hash"] == "h3" and got[1, "a"]["id"] == 1 and not got[1, "a"]["is_new"]
+    twice = new.union(spark.createDataFrame([(1, "c", "C2", "h6", "t2")], new.schema))
+    assert {(r["path"], r["hash"]) for r in store.upsert_documents(stored, twice).where("path = 'c'").collect()} == {("c", "h6")}
     assert got[1, "c"]["is_new"] and got[2, "a"]["is_new"] and len({r["id"] for r in got.values()}) == 4
     content = spark.createDataFrame([("h1", "x")], "hash string, doc string")
     assert store.upsert_content(content, spark.createDataFrame([("h1", "y"), ("h2", "z"), ("h2", "z")], "hash string, doc string")).count() == 2
@@ -27,13 +30,29 @@ def test_replace_rows(spark):
     assert {tuple(r) for r in store.replace_rows(old, spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string"), ["id"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
 
 
-@pytest.mark.parametrize(("pattern", "hits"), [("**/*.md", {"a.md", "d/b.md", "d/e/c.md"}), ("*.md", {"a.md"}), ("d/**", {"d/b.md", "d/e/c.md", "d/x.txt"})])
-def test_globs(spark, pattern, hits):
-    paths = spark.createDataFrame([(p,) for p in ("a.md", "d/b.md", "d/e/c.md", "d/x.txt")], "path string")
-    assert {r["path"] for r in paths.where(files.matches_patterns(F.col("path"), [pattern])).collect()} == hits
+PATHS = ("a.md", "d/b.md", "d/e/c.md", "d/x.txt", "drafts/f/g.md")
+
+
+@pytest.mark.parametrize(
+    ("patterns", "fits", "listed"),
+    [
+        (["**/*.md"], {"a.md", "d/b.md", "d/e/c.md", "drafts/f/g.md"}, {"a.md", "d/b.md", "d/e/c.md", "drafts/f/g.md"}),
+        (["*.md"], {"a.md", "d/b.md", "d/e/c.md", "drafts/f/g.md"}, {"a.md"}),
+        (["d/**"], {"d/b.md", "d/x.txt"}, {"d/b.md", "d/e/c.md", "d/x.txt"}),
+        (["**/*", "!**/drafts/**", "!e/*"], {"a.md", "d/b.md", "d/x.txt"}, {"a.md", "d/b.md", "d/x.txt"}),
+        (["?.md"], {"a.md", "d/b.md", "d/e/c.md", "drafts/f/g.md"}, {"a.md"}),
+    ],
+)
+def test_globs(spark, patterns, fits, listed):
+    paths = spark.createDataFrame([(p,) for p in PATHS], "path string")
+    taken = lambda c: {r["path"] for r in paths.where(c).collect()}
+    assert taken(files.matches_patterns(F.col("path"), patterns)) == fits and taken(files.lists_patterns(F.col("path"), patterns)) == listed
+
+
+def test_patterns():
     assert files.parse_patterns(None) == ["**/*.md"] and files.parse_patterns("") == [""]
     with pytest.raises(ValueError):
-        files.matches_patterns(F.col("path"), ["!x"])
+        files.split_patterns(["!x"])
 
 
 def test_read_files(spark, tmp_path):
@@ -44,6 +63,24 @@ def test_read_files(spark, tmp_path):
     got = {r["path"]: r for r in files.read_files(spark, str(tmp_path), ["**/*.md"]).collect()}
     assert set(got) == {"a.md", "d/b.md"} and got["a.md"]["text"] == "x\ny" and got["a.md"]["content_type"] == "text/markdown"
     assert got["d/b.md"]["text"] is None and got["d/b.md"]["error"]
+    (tmp_path / "l.md").symlink_to(tmp_path / "a.md")
+    paths = lambda **o: {r["path"] for r in files.read_files(spark, str(tmp_path), **o).collect()}
+    assert paths() == {"a.md", "d/b.md"} and paths(follow_symlinks=True) == {"a.md", "d/b.md", "l.md"}
+    (tmp_path / "d" / "with space+é.md").write_bytes("é".encode("latin-1"))
+    (tmp_path / ".hidden.md").write_text("h")
+    assert files.read_files(spark, str(tmp_path), ["d/with*"], encoding="ISO-8859-1").first()["text"] == "é"
+    named = lambda **o: {r["path"] for r in files.read_directory(spark, str(tmp_path), **o).collect()}
+    assert named(suffixes=[".TXT"]) == {"d/skip.txt"} and named(recursive=False) == {"a.md"}
+    with pytest.raises(FileNotFoundError):
+        files.read_files(spark, str(tmp_path / "none"))
+    with pytest.raises(NotADirectoryError):
+        files.read_files(spark, str(tmp_path / "a.md"))
+
+
+def test_web(spark, tmp_path):
+    (tmp_path / "p.html").write_text("<head>x</head><p>One <b>two</b></p><script>y</script>")
+    got = {r["error"] is None: r for r in files.read_web(spark, [f"file://{tmp_path}/p.html", f"file://{tmp_path}/none"]).collect()}
+    assert got[True]["text"] == "One two" and got[False]["text"] is None
 
 
 def test_loader(spark):
@@ -63,7 +100,50 @@ def test_loader(spark):
     with pytest.raises(ValueError):
         files.read_loader(spark, Loader(Doc("x", uri="u"), Doc("y", uri="u")))
     with pytest.raises(ValueError):
-        files.create_source("ftp")
+        files.read_loader(spark, Loader(Doc("x"), Doc("y")), allow_multiple=False)
+    titled = files.read_loader(spark, Loader(Doc("# Head\nx", k=1), Doc("y", title="T"), Doc("z", path="p"))).collect()
+    assert [r["title"] for r in titled] == ["Head", "T", "p"] and titled[0]["extra"] == {"k": "1"}
+    kinds = base.SourceRegistry()
+    with pytest.raises(ValueError):
+        kinds.create("ftp", spark, "x")
+    source = base.LoaderSource(spark, Loader(Doc("x", path="p")))
+    assert source.read().columns == list(base.COLUMNS) and source.check_modified(spark.createDataFrame([], "path string, mtime timestamp")).first()["touched"]
+
+
+def test_settings(spark, tmp_path):
+    s = base.Settings.of("file:///a%20b", {"glob_pattern": "*.txt", "follow_symlinks": "true"})
+    assert s.root == "/a b" and s.patterns == ("*.txt",) and s.follow_symlinks
+    assert base.Settings.of("/x", {"glob_patterns": "*.a\n!b"}).patterns == ("*.a", "!b") and base.Settings.of("/x").patterns == ("**/*.md",)
+    (tmp_path / "a.md").write_text("x")
+    source = base.SourceRegistry().create("filesystem", spark, f"file://{tmp_path}")
+    now = source.listing().select("path", "mtime")
+    assert source.capabilities.last_modified and not source.check_modified(now).first()["touched"]
+    assert {r["path"]: r["touched"] for r in source.check_modified(spark.createDataFrame([("gone.md", None)], "path string, mtime timestamp")).collect()} == {"gone.md": True, "a.md": True}
+
+
+def test_cache(spark, tmp_path):
+    rows = spark.createDataFrame([("d/a.md", "x"), ("d/e/b.md", "y"), ("c.md", None)], "path string, text string")
+    uris = {r["path"]: r["uri"] for r in store.cache_documents(rows, str(tmp_path), "col").collect()}
+    assert uris["d/a.md"] == f"file://{tmp_path}/col/d/a.md" and (tmp_path / "col/d/e/b.md").read_text() == "y"
+    assert store.uncache_documents(spark, str(tmp_path), "col", ["d/e/b.md", "none"]) == 1 and not (tmp_path / "col/d/e").exists()
+    assert store.uncache_documents(spark, str(tmp_path), "col") == 2 and store.uncache_documents(spark, str(tmp_path), "col") == 0
+    with pytest.raises(Exception, match="leaves the cache"):
+        store.cache_documents(spark.createDataFrame([("../../x", "y")], "path string, text string"), str(tmp_path), "col").collect()
+
+
+def test_warehouse(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path / "w"))
+    assert w.versions() == [] and w.read("content").count() == 0
+    row = lambda h: spark.createDataFrame([(h, "d", None)], w.read("content").schema)
+    assert w.commit({"content": row("a")}) == 1 and w.commit({"lengths": spark.createDataFrame([(1, 2)], "doc_id long, dl int")}) == 2
+    assert w.read("content").first()["hash"] == "a" and w.read("lengths").count() == 1 and w.read("lengths", 1).count() == 0
+    other = Warehouse(spark, w.root)
+    real, other._pointer = other._pointer, lambda v=None: (1, {})  # a writer that has seen version 1 alone
+    with pytest.raises(Conflict):
+        other.commit({"content": row("b")})
+    other._pointer = real
+    assert w.read("content").first()["hash"] == "a" and w.vacuum() == 0 and w.vacuum(least_age=0.0) == 1 and w.read("content").count() == 1
+    assert w.sql("SELECT hash FROM content WHERE hash = ?", ["a"]).count() == 1
 
 
 def test_stream(spark, tmp_path):
