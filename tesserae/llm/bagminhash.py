@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Interner, held, shuffle_partitions, staged
+from .common import Interner, dealt, held, join_hot, parts_of, placed, plain, shuffle_partitions, staged
 from .components import components
 
 SHINGLE = 5
@@ -40,6 +40,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 LARGE_GROUP = 48
 MEMBERS_A_TASK = 1000
+PART_BYTES = 32 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -263,8 +264,11 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     bounds their overlap. Elements that only one set holds come first and cost nothing. Elements
     travel packed, by their hash: once to be counted, once (prefixes only) to meet.
     """
-    owners = shuffle_partitions(sets.sparkSession)
-    source = sets.select(F.pmod(F.xxhash64("id"), F.lit(owners)).cast("long").alias("batch"), "id", "label", "bag").groupBy("batch")
+    spark = sets.sparkSession
+    owners = parts_of(sets, PART_BYTES)
+    address = placed(owners, shuffle_partitions(spark)).tolist()
+    number = {a: o for o, a in enumerate(address)}
+    source = sets.select(dealt(F.pmod(F.xxhash64("id"), F.lit(owners)), owners, spark).alias("batch"), "id", "label", "bag").groupBy("batch")
     message = "to long, batch long, payload binary"
     kinds = (pa.int64(), pa.int64(), pa.binary())
 
@@ -281,7 +285,7 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     def ask(batch: pa.Table) -> pa.Table:
         _, keys, _, counts, order, cuts = elements(batch)
         n = batch.column("batch")[0].as_py()
-        return table([(o, n, keys[order[lo:hi]].tobytes() + counts[order[lo:hi]].astype(np.int64).tobytes()) for o, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo])
+        return table([(address[o], n, keys[order[lo:hi]].tobytes() + counts[order[lo:hi]].astype(np.int64).tobytes()) for o, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo])
 
     def count(batch: pa.Table) -> pa.Table:
         parts = [np.frombuffer(p.as_py(), dtype=np.uint64).reshape(2, -1) for c in batch.column("payload").chunks for p in c]
@@ -295,7 +299,7 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
             return table([])
         bags, keys, place, _, order, cuts = elements(batch)
         many = np.zeros(len(keys), dtype=np.int64)
-        for o, p in zip(heard.column("to").to_pylist(), heard.column("payload").to_pylist()):
+        for o, p in zip(map(number.__getitem__, heard.column("to").to_pylist()), heard.column("payload").to_pylist()):
             many[order[cuts[o] : cuts[o + 1]]] = np.frombuffer(p, dtype=np.int64)
         found, at = [], 0
         for own, label, bag in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), bags):
@@ -307,7 +311,7 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
             found.append(np.stack([bag[rank[spot]].view(np.int64), *(np.full(len(spot), v) for v in (own, label, n)), spot]))
         all_ = np.concatenate(found, axis=1)
         owner = (all_[0].view(np.uint64) >> np.uint64(33)).astype(np.int64) % owners
-        return table([(int(o), 0, np.ascontiguousarray(all_[:, owner == o]).tobytes()) for o in np.unique(owner)])
+        return table([(address[o], 0, np.ascontiguousarray(all_[:, owner == o]).tobytes()) for o in np.unique(owner)])
 
     def meet(batch: pa.Table) -> pa.Table:
         parts = [np.frombuffer(p.as_py(), dtype=np.int64).reshape(5, -1) for c in batch.column("payload").chunks for p in c]
@@ -338,7 +342,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     texts = staged(texts.withColumn("id", F.xxhash64("digest")), "texts")  # what is linked are distinct multisets
     spread = texts.where(F.col("bands").isNotNull()).select("id", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    members = staged(spread.join(shared, "band"), "members")
+    members = staged(join_hot(spread, shared, "band"), "members")
     rank = members.groupBy("id").agg(F.sum("size").alias("rank"))
     members = staged(members.join(rank, "id"), "members")
     wanted = rank.select("id").join(texts.select("id", "of", "digest"), "id")
@@ -346,7 +350,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     first = F.struct(F.col("rank"), -F.col("id"))
 
     lead = members.groupBy("band").agg((-F.max(first)["col2"]).alias("a"))
-    star = members.join(lead, "band").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct()
+    star = join_hot(members, lead, "band").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct()
     links = staged(verified(star, bags, threshold), "links")
     labels = components(links)
 
@@ -354,7 +358,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
         """Members of the groups that still hold several classes."""
         now = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         mixed = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("band")
-        return staged(now.join(mixed, "band"), "mixed")
+        return staged(now.join(mixed, "band"), "mixed")  # semi-joins of groups that are left
 
     left = classed()
     small = left.where(F.col("size") <= LARGE_GROUP).select("band", "id", "label")
@@ -366,18 +370,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     if more.limit(1).count():
         labels = components(links.union(more))
     of = staged(texts.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("label")), "classes")
-    rows = rows.select("doc_id", "id", "mark", "digest").join(of, "digest")
-    first = rows.groupBy("label").agg(F.min(F.struct("id", "mark")).alias("first"))
-    return rows.join(first, "label").select("doc_id", F.col("first.id").alias("class_id"), "id", "mark", (F.struct("id", "mark") == F.col("first")).alias("keep"))
+    rows = rows.select("doc_id", "id", "mark", "digest")
+    # a class may hold a third of the multisets, and a multiset a third of the rows: the first row
+    # of each is found with partial minima, and told by joins that deal such keys over many tasks
+    own = rows.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("own"))
+    held_ = staged(of.join(own, "digest"), "classes")
+    first = held_.groupBy("label").agg(F.min("own").alias("first"))
+    told = staged(join_hot(held_, first, "label").select("digest", "first"), "firsts")
+    rows = join_hot(rows, told, "digest")
+    return rows.select("doc_id", F.col("first.id").alias("class_id"), "id", "mark", (F.struct("id", "mark") == F.col("first")).alias("keep"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The documents, all columns kept, of which one of each near-duplicate class stays: the one
     of the least id (among rows of one id the least text hash; of equal rows any one)."""
     kept = near_duplicates(docs, text, key, **options).where("keep").select(F.col("id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    own = docs.withColumn("_mark", mark).withColumn("_id", F.coalesce(F.col(key).cast("long"), mark))
-    return own.join(kept, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = plain(docs)
+    body, own = (rows[rows.columns[docs.columns.index(c)]] for c in (text, key))
+    mark = F.xxhash64(F.coalesce(body, F.lit("")))
+    marked = rows.select("*", F.coalesce(own.cast("long"), mark).alias("_id"), mark.alias("_mark"))
+    return marked.join(kept, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*rows.columns).toDF(*docs.columns)
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Interner, doc_crc, held, shuffle_partitions
+from .common import Interner, dealt, doc_crc, held, parts_of, placed, shuffle_partitions
 
 BASE = 1.4
 MIX = 0.1
@@ -38,6 +38,7 @@ PROBES = 5
 BLOCK = 512
 BLOCK_TOKENS = 400_000
 LEVELS = 96
+PART_BYTES = 32 << 20  # of stored input for each batch and each owner
 _P, _Q, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 END = np.uint64(xxhash.xxh64_intdigest(b""))
 MESSAGE = "to long, batch long, payload binary"
@@ -207,8 +208,12 @@ def _table(rows: list[tuple], names: tuple[str, ...], kinds: tuple) -> pa.Record
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str = "train") -> DataFrame:
     """Scores of all texts by the model of those that ``train`` marks."""
-    owners = shuffle_partitions(docs.sparkSession)
-    source = docs.select(F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(owners)).cast("long").alias("_batch"), F.col(key).cast("long").alias("doc_id"), F.col(train).alias("train"), F.col(text).alias("text")).groupBy("_batch")
+    spark = docs.sparkSession
+    owners = parts_of(docs, PART_BYTES)
+    address = placed(owners, shuffle_partitions(spark)).tolist()
+    number = {a: o for o, a in enumerate(address)}
+    which = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(owners))
+    source = docs.select(dealt(which, owners, spark).alias("_batch"), F.col(key).cast("long").alias("doc_id"), F.col(train).alias("train"), F.col(text).alias("text")).groupBy("_batch")
 
     def vocabulary(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The batch's tokens as places among its distinct ones, the keys of these in ascending
@@ -245,7 +250,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str =
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
         cuts = np.searchsorted(owner_of(keys, owners), np.arange(owners + 1))
-        rows = [_pack(o, n, keys[a:b], counts[a:b]) for o, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]  # to all owners: each tells its part of the totals
+        rows = [_pack(address[o], n, keys[a:b], counts[a:b]) for o, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]  # to all owners: each tells its part of the totals
         return pa.Table.from_batches([_table(rows, ("to", "batch", "payload"), (pa.int64(), pa.int64(), pa.binary()))])
 
     def reply(table: pa.Table) -> pa.Table:
@@ -281,7 +286,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str =
         exact, about, level = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.uint8), np.zeros(len(pair_keys), dtype=np.uint8)
         one, two = (np.searchsorted(owner_of(k, owners), np.arange(owners + 1)) for k in (keys, pair_keys))
         tokens = distinct = 0
-        for o, p in zip(heard.column("to").to_pylist(), heard.column("payload")):
+        for o, p in zip(map(number.__getitem__, heard.column("to").to_pylist()), heard.column("payload")):
             p = p.as_py()
             here, n = keys[one[o] : one[o + 1]], int(one[o + 1] - one[o])
             more = np.frombuffer(p, dtype=np.int64, count=2)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Interner, Memo, doc_crc, held
+from .common import Interner, Memo, doc_crc, held, plain
 
 CHAIN = 64
 LONGEST = 24
@@ -346,9 +346,9 @@ def identify(docs: DataFrame, model: ChainModel, text: str = "text", keep: list[
     over its words of the share of their trigrams that it does not hold. A narrow, map-only
     operator: rows stay where they are and no shuffle occurs."""
     keep = docs.columns if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text_in"))
-    schema = source.drop("_text_in").withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0.0))
-    schema = (schema.withColumn(unknown, F.lit(0.0)) if unknown else schema).schema
+    source = plain(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")))
+    added = [*names, *([unknown] if unknown else [])]
+    schema = source.drop(source.columns[-1]).select("*", F.lit("").alias("a0"), *[F.lit(0.0).alias(f"a{i}") for i in range(1, len(added))]).schema
     shared = source.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,9 +364,9 @@ def identify(docs: DataFrame, model: ChainModel, text: str = "text", keep: list[
             columns = [*batch.columns[: len(keep)], pa.array(list(pred), pa.string()), pa.array(np.round(score, 6), pa.float64())]
             if unknown:
                 columns.append(pa.array(strange / np.maximum(size, 1), pa.float64()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names, *([unknown] if unknown else [])])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return source.mapInArrow(apply, schema)
+    return source.mapInArrow(apply, schema).toDF(*keep, *added)
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, shuffle_partitions
+from .common import dealt, fresh_names, held, parts_of, placed, plain, shuffle_partitions
 from .grouping import suffix_array
 
 LENGTH = 50
@@ -46,6 +46,7 @@ REACH = LENGTH - ANCHOR  # bytes on either side of an anchor that a string with
 OFFSETS = REACH + 1
 CONTEXT = ANCHOR + 2 * REACH
 BLOCK = 14  # a sixth of a context; every string of LENGTH bytes holds two blocks in full
+OWNER_BYTES = 32 << 20  # of stored input for each owner of anchors; a batch has half of it
 NO_ID = np.iinfo(np.int64).max
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 MESSAGE = "to long, batch long, payload binary"
@@ -237,7 +238,8 @@ def answer_digests(payloads: list[bytes]) -> list[bytes]:
 
 def _block_keys(anchor: np.ndarray, body: np.ndarray, lo: int, hi: int, number: int) -> np.ndarray:
     """Hashes of the bytes ``lo:hi`` of contexts, told apart by anchor and by number."""
-    out = anchor * _M[3] + np.uint64(number + 1) * _M[2] if hi > lo else np.zeros(len(anchor), dtype=np.uint64)
+    seed = np.uint64((number + 1) * int(_M[2]) & 0xFFFFFFFFFFFFFFFF)  # modulo 2^64, as arrays wrap
+    out = anchor * _M[3] + seed if hi > lo else np.zeros(len(anchor), dtype=np.uint64)
     for i in range(lo, hi):
         out = (out ^ body[:, i]) * _M[0]
         out ^= out >> np.uint64(29)
@@ -357,25 +359,31 @@ def _by_owner(found: Iterator[tuple[int, int, bytes]], batch: int) -> list[tuple
     return [(o, batch, parts) for o, parts in rows.items()]
 
 
-def _heard(table: pa.Table) -> dict[tuple[int, int], bytes]:
-    """Answers by kind and owner."""
-    return {(kind, o): part for o, p in zip(table.column("to").to_pylist(), table.column("payload").to_pylist()) for kind, part in _parts(p)}
+def _heard(table: pa.Table, number: dict[int, int]) -> dict[tuple[int, int], bytes]:
+    """Answers by kind and owner's number."""
+    return {(kind, number[o]): part for o, p in zip(table.column("to").to_pylist(), table.column("payload").to_pylist()) for kind, part in _parts(p)}
 
 
 def repeated_spans(docs: DataFrame, finish, schema: str, text: str = "text", key: str = "doc_id", carry: list[str] = ()) -> DataFrame:
     """Runs ``finish(rows, batch, spans)`` on each batch, where ``rows`` is an Arrow table with the
     carried columns, ``batch.row`` maps its texts to rows and ``spans`` are the removed byte spans."""
-    owners = shuffle_partitions(docs.sparkSession)
-    source = docs.select(
-        F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(2 * owners)).cast("long").alias("_batch"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in carry]
-    ).groupBy("_batch")
+    spark = docs.sparkSession
+    owners = parts_of(docs, OWNER_BYTES)
+    address = placed(owners, shuffle_partitions(spark)).tolist()
+    number = {a: o for o, a in enumerate(address)}
+    n_batch, n_id, n_text = fresh_names(list(carry), "_batch", "_id", "_text")
+    which = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`")), F.lit(2 * owners))
+    source = docs.select(dealt(which, 2 * owners, spark).alias(n_batch), F.col(f"`{key}`").cast("long").alias(n_id), F.col(f"`{text}`").alias(n_text), *[F.col(f"`{c}`") for c in carry]).groupBy(n_batch)
 
     def load(table: pa.Table) -> Batch:
         held("repeats", 0, lambda: None)
-        return Batch(table.column("_id").to_pylist(), table.column("_text").to_pylist(), owners)
+        return Batch(table.column(n_id).to_pylist(), table.column(n_text).to_pylist(), owners)
+
+    def send(found: Iterator[tuple[int, int, bytes]], batch: int) -> pa.Table:
+        return _messages([(address[o], b, parts) for o, b, parts in _by_owner(found, batch)])
 
     def ask(table: pa.Table) -> pa.Table:
-        return _messages(_by_owner(load(table).ask(), table.column("_batch")[0].as_py()))
+        return send(load(table).ask(), table.column(n_batch)[0].as_py())
 
     def reply(table: pa.Table) -> pa.Table:
         batches, owner = table.column("batch").to_pylist(), table.column("to")[0].as_py()
@@ -394,20 +402,20 @@ def repeated_spans(docs: DataFrame, finish, schema: str, text: str = "text", key
     def tell(table: pa.Table, heard: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _messages([])
-        n, batch = table.column("_batch")[0].as_py(), load(table)
-        first = _heard(heard)
+        n, batch = table.column(n_batch)[0].as_py(), load(table)
+        first = _heard(heard, number)
         batch.hear(first)
         record = batch.collect()
         batch.records(record)
         # the first answers and the records travel on to the last pass
         first[3, 0] = np.diff(record, prepend=0).astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
         passed = b"".join(np.array([k, o, len(p)], dtype=np.int64).tobytes() + p for (k, o), p in first.items())
-        return _messages(_by_owner([*batch.tell(), (n % owners, 3, passed)], n))
+        return send([*batch.tell(), (n % owners, 3, passed)], n)
 
     def end(table: pa.Table, heard: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], f.type) for f in empty], schema=empty)
-        batch, second = load(table), _heard(heard)
+        batch, second = load(table), _heard(heard, number)
         first, at = {}, 0
         passed = next(p for (k, _), p in second.items() if k == 3)
         while at < len(passed):
@@ -452,14 +460,16 @@ def op1(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents, all columns kept, with the repeated strings taken out of their texts;
     characters that a cut splits go with it. A document that is left empty goes."""
-    carry = [c for c in docs.columns if c not in ("_batch", "_id", "_text")]
     place = docs.columns.index(text)
+    rows = plain(docs)
+    columns = rows.columns
 
     def finish(table: pa.Table, batch: Batch, spans: list[np.ndarray]) -> pa.Table:
         texts: list = [None] * table.num_rows
         for i, row in enumerate(batch.row):
             texts[row] = _kept(batch.data[i], spans[i]).decode("utf-8", "ignore")
-        out = table.select(carry).set_column(place, text, pa.array(texts, pa.string()))
+        out = table.select(columns).set_column(place, columns[place], pa.array(texts, pa.string()))
         return out.filter(pa.array([bool(t.strip()) for t in texts], pa.bool_()))
 
-    return repeated_spans(docs, finish, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), text, key, carry)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return repeated_spans(rows, finish, schema, columns[place], columns[docs.columns.index(key)], columns).toDF(*docs.columns)

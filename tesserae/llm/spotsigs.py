@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Interner, held, shuffle_partitions
+from .common import Interner, fresh_names, held, plain, shuffle_partitions
 
 CHAIN_WORDS = 2
 #: Common function words that serve as anchors.
@@ -128,18 +128,20 @@ def _spotter() -> Spotter:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``fingerprint`` to the columns ``keep`` (all by default); map-only."""
+    """Adds ``fingerprint`` (``fingerprint_`` where that name is taken) to the columns ``keep``, all by
+    default; map-only."""
     keep = docs.columns if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text_in"))
-    schema = source.drop("_text_in").withColumn("fingerprint", F.lit("")).schema
+    source = plain(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")))
+    last = source.columns[-1]
+    schema = source.drop(last).withColumn("fingerprint", F.lit("")).schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spots = _spotter()
         for batch in batches:
             out = [write_fingerprint(spots.signatures(x.as_py() or "")) for x in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.string())], names=[*keep, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.string())], names=[*batch.schema.names[: len(keep)], "fingerprint"])
 
-    return source.mapInArrow(apply, schema)
+    return source.mapInArrow(apply, schema).toDF(*keep, *fresh_names(list(keep), "fingerprint"))
 
 
 def spotsigs_matches(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8) -> DataFrame:

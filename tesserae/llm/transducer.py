@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, held
+from .common import Memo, fresh_names, held, plain
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -260,8 +260,8 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, *
     """Adds ``ids array<int>`` to the columns ``keep`` (all but the text by default); map-only."""
     path = model or default_model()
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text_in"))
-    schema = source.drop("_text_in").withColumn("ids", F.array().cast("array<int>")).schema
+    source = plain(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")))
+    schema = source.drop(source.columns[-1]).withColumn("ids", F.array().cast("array<int>")).schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(path)
@@ -269,25 +269,25 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, *
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 rows = [machine.encode(x.as_py() or "").astype(np.int32) for x in part.column(len(keep))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(rows, pa.list_(pa.int32()))], names=[*keep, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(rows, pa.list_(pa.int32()))], names=schema.names)
 
-    return source.mapInArrow(apply, schema)
+    return source.mapInArrow(apply, schema).toDF(*keep, *fresh_names(list(keep), "ids"))
 
 
 def decode(encoded: DataFrame, ids: str = "ids", keep: list[str] | None = None, *, model: str | None = None) -> DataFrame:
     """Adds ``text``, decoded from ``ids``, to the columns ``keep`` (all but the ids by default)."""
     path = model or default_model()
     keep = [c for c in encoded.columns if c != ids] if keep is None else keep
-    source = encoded.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids}`").alias("_ids_in"))
-    schema = source.drop("_ids_in").withColumn("text", F.lit("")).schema
+    source = plain(encoded.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids}`")))
+    schema = source.drop(source.columns[-1]).withColumn("text", F.lit("")).schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(path)
         for batch in batches:
             rows = [machine.decode(x.as_py() or ()) for x in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(rows, pa.string())], names=[*keep, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(rows, pa.string())], names=schema.names)
 
-    return source.mapInArrow(apply, schema)
+    return source.mapInArrow(apply, schema).toDF(*keep, *fresh_names(list(keep), "text"))
 
 
 def op9(docs: DataFrame, *, model: str | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-EDGE = "doc_id long, text string, lang string, source string, n_chars long, digest string, label string, score double"
+EDGE = "doc_id long, text string, lang string, source string, n_chars long, digest string, label string, score double, _id string, _mark long, _batch int, _text string, _lang_pred string, fingerprint string, ids array<int>, `a.b` string"
 
 
 @pytest.fixture(scope="session")
@@ -22,7 +22,7 @@ def edge(spark):
         (7, "x" * 5000, "de", "s", 1),
         (8, " \n\t ", "de", "s", 1),
     ]
-    return spark.createDataFrame([(*r, "d", "l", 0.5) for r in rows], EDGE)
+    return spark.createDataFrame([(*r, "d", "l", 0.5, "own", 7, 8, "t", "p", "f", [1], "dot") for r in rows], EDGE)
 
 
 @pytest.fixture(scope="session")
