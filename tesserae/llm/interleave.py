@@ -6,9 +6,12 @@ sequence keeps positions and captions where they stood. Media of equal digest ar
 media table, so copies are stored, read back and described once.
 
 ``op6`` stores each text as a medium: UTF-8 bytes, zero-padded to a positive multiple of 64, as
-the 8-bit grey samples of a binary PGM image 64 samples wide. A one-figure page refers to it by
-digest; the page is parsed, its reference resolved against the media table, and the features are
-those of the samples read back from the stored bytes.
+the 8-bit grey samples of a binary PGM image 64 samples wide. Media are written as a Parquet table
+in the shared folder and read back from it; features are those of the samples read back. A page of
+each document holds the first half of its text, a captioned figure that refers to the medium by
+digest, and the second half; it is parsed, and its reference resolved against what was stored.
+Descriptions meet the references, not payloads: that takes 0.17 x the input of shuffled bytes where
+the payloads would take 1.1 x beside the 1 x that is stored. ``resolve`` joins payloads as well.
 
 Edge cases: a null text is the empty one (64 zero bytes); equal texts share one medium and give
 equal values; repeated rows give repeated rows; a reference whose medium is absent stays in its
@@ -25,9 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_names, join_hot, plain, staged
+
 WIDTH = 64
 SEQUENCE = "array<struct<pos:int,kind:string,text:string,digest:string,caption:string>>"
 MEDIA = "digest string, media binary"
@@ -89,17 +94,17 @@ def parse_sequence(source: str) -> list[tuple]:
 def sequences(pages: DataFrame, html_column: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Adds ``sequence``, the page's ordered text and media-reference structs; map-only."""
     keep = [c for c in pages.columns if c != html_column] if keep is None else keep
-    source = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_column}`").alias("_html_in"))
-    schema = source.drop("_html_in").withColumn("sequence", F.lit(None).cast(SEQUENCE)).schema
+    source = plain(pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_column}`")))
+    schema = source.drop(source.columns[-1]).withColumn("sequence", F.lit(None).cast(SEQUENCE)).schema
     item = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
     names = ("pos", "kind", "text", "digest", "caption")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[dict(zip(names, r)) for r in parse_sequence(x.as_py() or "")] for x in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(rows, pa.list_(item))], names=[*keep, "sequence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(rows, pa.list_(item))], names=schema.names)
 
-    return source.mapInArrow(apply, schema)
+    return source.mapInArrow(apply, schema).toDF(*keep, *fresh_names(list(keep), "sequence"))
 
 
 def resolve(sequenced: DataFrame, media: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,12 +142,23 @@ def describe(samples: np.ndarray) -> str:
     return shares.astype(np.uint8).tobytes().hex() + "-" + bits.tobytes().hex()
 
 
+def escaped(text: Column) -> Column:
+    """Text as HTML character data."""
+    for plain_, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(plain_), F.lit(entity))
+    return text
+
+
 def text_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One-figure pages ``(doc_id, html)`` that refer to their text's medium by digest, and the
-    media table ``(digest, n_bytes, media)`` with one row a digest."""
-    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    digest = F.sha2(raw, 256)
-    page = F.concat(F.lit('<article><figure><img src="media/sha256:'), digest, F.lit('"><figcaption>document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure></article>"))
+    """Pages ``(doc_id, html)`` that hold each text around a captioned figure, which refers to the
+    text's medium by digest, and the media table ``(digest, n_bytes, media)``, in which a digest may
+    come from several tasks."""
+    body = F.coalesce("text", F.lit(""))
+    digest = F.sha2(F.encode(body, "UTF-8"), 256)
+    half = F.floor(F.length(body) / 2).cast("int")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    figure = F.concat(F.lit('<figure><img src="media/sha256:'), digest, F.lit('"><figcaption>document '), name, F.lit("</figcaption></figure>"))
+    page = F.concat(F.lit("<article><p>"), escaped(F.substring(body, F.lit(1), half)), F.lit("</p>"), figure, F.lit("<p>"), escaped(F.substring(body, half + 1, F.length(body))), F.lit("</p></article>"))
     pages = docs.select(F.col("doc_id").cast("long").alias("doc_id"), page.alias("html"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +194,11 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    """The contract's rows. Media are described where they are stored, by the task that holds
-    them, and the small descriptions are joined by digest: no payload is shuffled. Descriptions
-    of one digest are equal, so one of them stays."""
+    """The contract's rows. Media are described by the tasks that read them back; descriptions of
+    one digest are equal, so one of them stays, and meets all references to it."""
     pages, media = text_media(docs)
-    features = media_features(media).dropDuplicates(["digest"])
-    return resolve(sequences(pages, keep=["doc_id"]), features, ["doc_id"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("pos").alias("position"), "caption")
+    stored = staged(media, "media")
+    features = staged(media_features(stored).dropDuplicates(["digest"]), "features")
+    found = sequences(pages, keep=["doc_id"]).select("doc_id", F.size("sequence").alias("elements"), F.explode("sequence").alias("e"))
+    refs = staged(found.where("e.kind = 'media'").select("doc_id", "e.digest", F.col("e.pos").alias("position"), "e.caption", "elements"), "references")
+    return join_hot(refs, features, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "elements")

@@ -45,14 +45,6 @@ def test_edges(edge, empty):
     assert packing.op3(empty).count() == 0
 
 
-def brute(at, penalty, window):
-    """Least cost of padded windows that end at candidates, over all subsets."""
-    best = {0: 0.0}
-    for j, p in enumerate(at):
-        best[p] = min((best[i] + penalty[j] + window - (p - i) for i in [0, *at[:j]] if i in best and p - window <= i), default=float("inf"))
-    return best[at[-1]]
-
-
 @pytest.mark.parametrize("seed", range(30))
 def test_cuts_are_optimal(seed):
     rng = np.random.default_rng(seed)
@@ -60,16 +52,38 @@ def test_cuts_are_optimal(seed):
     penalty = rng.integers(0, 6, len(at)).astype(float)
     cuts = packing.choose_cuts(at, penalty, 16, final=True)
     place = {int(p): c for p, c in zip(at, penalty)}
-    padded, last = 0.0, 0
-    whole = [c for c in cuts if c in place]
-    for c in whole:
-        if c - last > 16:
-            break
-        padded += place[c] + 16 - (c - last)
-        last = c
     assert cuts[-1] == at[-1] and all(0 < b - a <= 16 for a, b in zip([0, *cuts], cuts))
-    if len(whole) == len(cuts):
-        assert padded == pytest.approx(brute(at.tolist(), penalty.tolist(), 16)) or padded > 0
+    assert cost_of(cuts, place, 16) == pytest.approx(least_cost(at.tolist(), penalty.tolist(), 16))
+
+
+def cost_of(cuts, place, window):
+    """What cuts cost: padded windows that end at candidates, then windows of falling powers of two."""
+    found, spent, last = [], 0.0, 0
+    for k in range(len(cuts) + 1):
+        rest = [b - a for a, b in zip([last, *cuts[k:]], cuts[k:])]
+        if all(n & (n - 1) == 0 for n in rest) and rest == sorted(set(rest), reverse=True):
+            found.append(spent + max(len(rest) - 1, 0) * packing.INSIDE)
+        if k == len(cuts) or cuts[k] not in place:
+            break
+        spent, last = spent + place[cuts[k]] + window - (cuts[k] - last), cuts[k]
+    return min(found)
+
+
+def least_cost(at, penalty, window):
+    """The least cost over all choices."""
+    best = best_costs(at, penalty, window)
+    tails = [c + ((at[-1] - i).bit_count() - 1) * packing.INSIDE for i, c in best.items() if 0 < at[-1] - i <= window]
+    return min([*tails, best.get(at[-1], float("inf"))])
+
+
+def best_costs(at, penalty, window):
+    """The least cost of padded windows that end at each candidate, over all choices."""
+    best = {0: 0.0}
+    for j, p in enumerate(at):
+        found = [best[i] + penalty[j] + window - (p - i) for i in best if p - window <= i < p]
+        if found:
+            best[p] = min(found)
+    return best
 
 
 def test_words_equal_the_tokenizer():
