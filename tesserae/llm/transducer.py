@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-The pieces and byte fallback are compiled into a transducer. The dummy prefix and space marks are
-put before it by string functions; a model whose normaliser does more, by a character map or by
-removing white space, is an error. Composing it with an input gives a lattice whose arcs are pieces; the tropical-semiring
-shortest path is the encoding. For a unigram model an arc weighs its negative score. For a BPE
+Two transducers are compiled: the normaliser (the model's character map, white-space rules, dummy
+prefix and space marks; longest rewrites first, deterministic) and the pieces with byte fallback.
+Composing them with an input gives a lattice whose arcs are pieces; the tropical-semiring shortest
+path is the encoding. For a unigram model an arc weighs its negative score. For a BPE
 model a state also remembers the last piece, and an arc weighs 0 where merging the two pieces'
 text leaves exactly the two, else infinity: a segmentation is the one that merging yields exactly
 if each of its pieces and each neighbouring pair is stable in this sense, so the path of weight 0
@@ -70,6 +70,74 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Normalizer:
+    """The normaliser of a model as a deterministic transducer over characters.
+
+    The precompiled character map is a double array of 32-bit units, whose paths are the UTF-8
+    bytes of what is rewritten, and a block of null-ended rewrites. Its paths are read out once;
+    at a position the longest one applies, and any other character passes as it is.
+    """
+
+    def __init__(self, spec: dict) -> None:
+        self.prefix, self.squeeze, self.marked = (bool(spec.get(k, 1)) for k in (3, 4, 5))
+        self.rules = _character_map(spec.get(2) or b"")
+        firsts = sorted({k[0] for k in self.rules})
+        self.longest = max(map(len, self.rules), default=0)
+        self.starts = re.compile("[" + "".join(map(re.escape, firsts)) + "]") if firsts else None
+
+    def _rewritten(self, text: str) -> str:
+        if not self.starts or not self.starts.search(text):
+            return text
+        out, at, rules = [], 0, self.rules
+        while m := self.starts.search(text, at):
+            i = m.start()
+            out.append(text[at:i])
+            for n in range(min(self.longest, len(text) - i), 0, -1):
+                if (to := rules.get(text[i : i + n])) is not None:
+                    out.append(to)
+                    at = i + n
+                    break
+            else:
+                out.append(text[i])
+                at = i + 1
+        out.append(text[at:])
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        text = self._rewritten(text)
+        if self.squeeze:
+            text = re.sub(" {2,}", " ", text.strip(" "))
+        if not text:
+            return ""
+        text = (" " if self.prefix else "") + text
+        return text.replace(" ", MARK) if self.marked else text
+
+
+def _character_map(data: bytes) -> dict[str, str]:
+    """What a precompiled character map rewrites, by whole characters."""
+    if not data:
+        return {}
+    size = int.from_bytes(data[:4], "little")
+    units, block = np.frombuffer(data[4 : 4 + size], dtype="<u4").astype(np.int64), data[4 + size :]
+    offset = lambda u: (u >> 10) << ((u & 0x200) >> 6)
+    labels = np.arange(1, 256)
+    out: dict[str, str] = {}
+    stack = [(offset(int(units[0])), b"")]
+    while stack:
+        at, key = stack.pop()
+        to = at ^ labels
+        held = to < len(units)
+        held[held] = units[to[held]] & 0x800000FF == labels[held]
+        for c, place in zip(labels[held].tolist(), to[held].tolist()):
+            u, more = int(units[place]), key + bytes([c])
+            down = place ^ offset(u)
+            if u >> 8 & 1:
+                begin = int(units[down]) & 0x7FFFFFFF
+                out[more.decode()] = block[begin : block.index(b"\0", begin)].decode()
+            stack.append((down, more))
+    return out
+
+
 class Transducer:
     """The compiled model; one for each Python worker."""
 
@@ -83,9 +151,12 @@ class Transducer:
         self.kind = trainer.get(3, UNIGRAM)
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are segmentations by shortest path")
-        if normalizer.get(2) or normalizer.get(4, 1):
-            raise ValueError("only the identity normaliser without white-space removal is compiled")
-        self.prefix = bool(normalizer.get(3, 1))
+        if any(dict(_fields(v)).get(3) == 4 for k, v in top if k == 1):
+            raise ValueError("a model with user-defined symbols is not supported")
+        if trainer.get(24):
+            raise ValueError("a model that takes white space as a suffix is not supported")
+        self.normalize = Normalizer(normalizer)
+        self.prefix = self.normalize.prefix
         n = len(model)
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.ids = {model.id_to_piece(i): i for i in plain}
@@ -97,6 +168,8 @@ class Transducer:
         self.surface = [b""] * n
         for piece, i in self.ids.items():
             self.surface[i] = piece.replace(MARK, " ").encode()
+        if self.unknown >= 0:
+            self.surface[self.unknown] = trainer.get(44, " \u2047 ".encode())
         for b, i in enumerate(self.bytes):
             if i != self.unknown:
                 self.surface[i] = bytes([b])
@@ -237,18 +310,20 @@ class Transducer:
                 out.append(self.unknown)
         return out
 
-    def normalize(self, text: str) -> str:
-        text = text.replace(" ", MARK)
-        return MARK + text if self.prefix and text else text
-
     def encode(self, text: str) -> np.ndarray:
         known = self.known
         out = [known[u] if len(u) < 64 else self._path(u) for u in self.runs.findall(self.normalize(text))]
-        return np.frombuffer(b"".join(out), dtype="<u4")
+        ids = np.frombuffer(b"".join(out), dtype="<u4")
+        if not self.fallback and len(ids):  # neighbouring unknown characters are one unknown piece
+            odd = ids == self.unknown
+            ids = ids[~(odd & np.concatenate([[False], odd[:-1]]))]
+        return ids
 
     def decode(self, ids) -> str:
         surface = self.surface
         text = b"".join([surface[i] for i in ids]).decode("utf-8", "replace")
+        if self.normalize.squeeze:
+            return text.lstrip(" ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
