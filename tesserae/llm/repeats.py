@@ -47,6 +47,7 @@ OFFSETS = REACH + 1
 CONTEXT = ANCHOR + 2 * REACH
 BLOCK = 14  # a sixth of a context; every string of LENGTH bytes holds two blocks in full
 OWNER_BYTES = 32 << 20  # of stored input for each owner of anchors; a batch has half of it
+CONTEXTS_AT_ONCE = 40_000  # for one suffix array
 NO_ID = np.iinfo(np.int64).max
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 MESSAGE = "to long, batch long, payload binary"
@@ -255,6 +256,16 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
 
 
 def _block_groups(anchor: np.ndarray, body: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """``_groups_of`` for contexts in order of their anchors, some anchors at a time: contexts of
+    different anchors have no symbol in common, so suffix arrays of parts order them as one would,
+    in a bounded memory."""
+    new = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
+    cuts = np.unique(np.append(new[np.minimum(np.searchsorted(new, np.arange(0, len(anchor), CONTEXTS_AT_ONCE)), len(new) - 1)], [0, len(anchor)]))
+    parts = [(a, _groups_of(anchor[a:b], body[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    return {k: np.concatenate([p[k] + 2 * a for a, p in parts]) for k in parts[0][1]}
+
+
+def _groups_of(anchor: np.ndarray, body: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     """For each block and number of blocks that a string can hold in full: a number for each
     context, equal where anchors and these blocks are.
 
@@ -463,13 +474,14 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     place = docs.columns.index(text)
     rows = plain(docs)
     columns = rows.columns
+    carry = [c for c in columns if c != columns[place]]
 
     def finish(table: pa.Table, batch: Batch, spans: list[np.ndarray]) -> pa.Table:
         texts: list = [None] * table.num_rows
         for i, row in enumerate(batch.row):
             texts[row] = _kept(batch.data[i], spans[i]).decode("utf-8", "ignore")
-        out = table.select(columns).set_column(place, columns[place], pa.array(texts, pa.string()))
+        out = table.select(carry).add_column(place, columns[place], pa.array(texts, pa.string()))
         return out.filter(pa.array([bool(t.strip()) for t in texts], pa.bool_()))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return repeated_spans(rows, finish, schema, columns[place], columns[docs.columns.index(key)], columns).toDF(*docs.columns)
+    return repeated_spans(rows, finish, schema, columns[place], columns[docs.columns.index(key)], carry).toDF(*docs.columns)
