@@ -273,7 +273,7 @@ class Tagger:
         lo = 0
         while lo < n:  # blocks bound the memory of the chains, not what is read
             block, amount = [], 0
-            while lo + len(block) < n and amount < 3_000_000:
+            while lo + len(block) < n and amount < 1_500_000:
                 x = texts[lo + len(block)]
                 block.append(x if x is None or isinstance(x, str) else x.as_py())
                 amount += len(block[-1] or "")
