@@ -7,7 +7,8 @@ whole set, so that its likeness is the exact Jaccard coefficient of the sets.
 
 ``spotsigs_matches`` compares a table's fingerprints: they are partitioned by set length, and a
 pair meets only on one of the rarest signatures of each (prefix filter) in length ranges that
-the threshold allows; verification stops at the length bound.
+the threshold allows; verification stops at the length bound. ``spotsigs_members`` names the
+representative of every document, so that pairs between representatives lose no link.
 
 Edge cases: a null text counts as empty and has the empty set; a text without an anchored chain
 falls back on its word pairs, then on its single word, then on its raw characters. Two empty sets
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Interner, fresh_names, held, plain, shuffle_partitions
+from .common import Interner, fresh_names, held, join_hot, plain, shuffle_partitions, staged
 
 CHAIN_WORDS = 2
 #: Common function words that serve as anchors.
@@ -144,6 +145,17 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     return source.mapInArrow(apply, schema).toDF(*keep, *fresh_names(list(keep), "fingerprint"))
 
 
+def spotsigs_members(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``(id, rep)`` per row: the least id of those with an equal fingerprint, the representative
+    that ``spotsigs_matches`` pairs. Texts of the empty set, which it pairs with none, are one class
+    as well. The least id is found by a partial aggregate, so a large class costs one row a task, and
+    rows meet theirs in ``join_hot``."""
+    prints = fingerprints(docs.select(key, text), text, [key]).toDF("id", "fingerprint")
+    prints = staged(prints.select("id", F.sha2("fingerprint", 256).alias("class")), "spotsigs")
+    reps = prints.groupBy("class").agg(F.min("id").alias("rep"))
+    return join_hot(prints, reps, "class").select("id", "rep")
+
+
 def spotsigs_matches(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """Pairs ``(id_a, id_b, jaccard)`` between representatives of equal fingerprints, at or over
     ``threshold``. Equal fingerprints collapse to their least id first, so groups of copies never

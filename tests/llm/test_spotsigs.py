@@ -48,3 +48,13 @@ def test_matches_equal_brute_force(small):
     sets = {i: spotsigs.read_fingerprint(f) for f, i in first.items() if not f.startswith("0:")}
     want = {(a, b): j for a in sets for b in sets if a < b and (j := spotsigs.pruned_jaccard(sets[a], sets[b], 0.8)) >= 0.8}
     assert got == want
+
+
+def test_members_name_the_representatives_of_matches(small, edge, empty):
+    members = {r["id"]: r["rep"] for r in spotsigs.spotsigs_members(small).collect()}
+    spots = spotsigs.Spotter()
+    prints = {r["doc_id"]: spotsigs.write_fingerprint(spots.signatures(r["text"] or "")) for r in small.collect()}
+    assert members == {i: min(j for j in prints if prints[j] == f) for i, f in prints.items()}
+    assert len(set(members.values())) < len(members)
+    assert {x for r in spotsigs.spotsigs_matches(small).collect() for x in (r["id_a"], r["id_b"])} <= set(members.values())
+    assert spotsigs.spotsigs_members(edge).count() == edge.count() and spotsigs.spotsigs_members(empty).count() == 0
