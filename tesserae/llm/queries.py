@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bloomlm, compaction, interleave, langid, packing, repeats, spotsigs, transducer, wrappers
+from . import bagminhash, bloomlm, compaction, interleave, langid, lloyd, packing, radix, repeats, spotsigs, transducer, wrappers
 from .common import table
 
 
@@ -49,6 +49,14 @@ def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.op7(table(spark, sf_dir, "documents"))
 
 
+def op12_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.op13(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_bloom_lm": op2_bloom_lm,
@@ -60,6 +68,8 @@ QUERIES = {
     "op8_compaction": op8_compaction,
     "op9_transducer": op9_transducer,
     "op10_language_id": op10_language_id,
+    "op12_radix_dedup": op12_radix_dedup,
+    "op13_lloyd": op13_lloyd,
 }
 
-ORACLES: dict[str, str] = {"op8_compaction": compaction.OP8_SQL}
+ORACLES: dict[str, str] = {"op8_compaction": compaction.OP8_SQL, "op12_radix_dedup": radix.OP12_SQL, "op13_lloyd": lloyd.OP13_SQL}
