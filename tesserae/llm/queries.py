@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bloomlm, compaction, interleave, langid, lloyd, packing, radix, repeats, spotsigs, transducer, wrappers
+from . import alignment, bagminhash, bloomlm, compaction, interleave, langid, lloyd, packing, radix, repeats, spotsigs, transducer, wrappers
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.op7(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.op11(table(spark, sf_dir, "documents"))
+
+
 def op12_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.op12(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_compaction": op8_compaction,
     "op9_transducer": op9_transducer,
     "op10_language_id": op10_language_id,
+    "op11_alignment": op11_alignment,
     "op12_radix_dedup": op12_radix_dedup,
     "op13_lloyd": op13_lloyd,
 }
