@@ -35,8 +35,9 @@ MARK = "▁"
 _PROBE = "a  b\t\ufb01\u3000\u2163\n e\u0301 "
 #: What splits a text before byte-level merges where the tokenizer's file names no other pattern.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of text that a block holds.
-BLOCK_BYTES = 16 << 20
+#: Characters of text that a block holds, but for a single longer text.
+BLOCK_BYTES = 12 << 20
+UNITS_AT_ONCE = 1 << 14
 SHIFT = 20
 LINES, UNITS, PAIRS = 0, 1, 2
 FACTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -83,7 +84,7 @@ class ByteTokenizer:
             self.bytes[i] = b
 
     def encode(self, units: list[str]) -> list[list[int]]:
-        return list(map(self.run, units))
+        return list(map(self.run, units))  # no threads
 
 
 class PieceTokenizer:
@@ -150,20 +151,49 @@ class Aligner:
         self.spelled = [x + end for n, last in zip(ids, "|;") for end in ("," + last) for x in n]
         self.starts = [0, len(ids[0]), 2 * len(ids[0]), 2 * len(ids[0]) + len(ids[1])]
 
-    def _encoded(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Both encodings of each unit, empty where one has other bytes than the unit, and whether it has."""
-        pair = [t.encode(units) for t in (self.a, self.b)]
-        good = np.ones(len(units), dtype=bool)
-        for n, (unit, x, y) in enumerate(zip(units, *pair)):
-            raw = unit.encode()
-            if b"".join(map(self.a.bytes.__getitem__, x)) != raw or b"".join(map(self.b.bytes.__getitem__, y)) != raw:
-                good[n], pair[0][n], pair[1][n] = False, [], []
-        return *pair, good
+    def _same(self, raw: list[bytes], pair: list[list[list[int]]]) -> bool:
+        """Whether both encodings of all units give their bytes: each unit's length and all bytes together."""
+        sizes, whole = list(map(len, raw)), b"".join(raw)
+        for t, size, rows in zip((self.a, self.b), self.sizes, pair):
+            flat = list(chain.from_iterable(rows))
+            upto = np.concatenate([[0], np.cumsum(size[np.array(flat, dtype=np.int64)])])
+            ends = np.cumsum([0, *map(len, rows)])
+            if (np.diff(upto[ends]) != sizes).any() or b"".join(map(t.bytes.__getitem__, flat)) != whole:
+                return False
+        return True
+
+    def _encoded(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """The ids of all units by each tokenizer, how many each unit has, and whether both give the
+        unit's bytes; of a unit that one does not, there are none. A few units at a time."""
+        ids, sizes, good = ([], []), ([], []), np.ones(len(units), dtype=bool)
+        for lo in range(0, len(units), UNITS_AT_ONCE):
+            part = units[lo : lo + UNITS_AT_ONCE]
+            pair = [t.encode(part) for t in (self.a, self.b)]
+            raw = [u.encode() for u in part]
+            if not self._same(raw, pair):
+                for n, (want, x, y) in enumerate(zip(raw, *pair)):
+                    if not self._same([want], [[x], [y]]):
+                        good[lo + n], pair[0][n], pair[1][n] = False, [], []
+            for k, rows in enumerate(pair):
+                sizes[k].append(np.fromiter(map(len, rows), dtype=np.int64, count=len(rows)))
+                ids[k].append(np.fromiter(chain.from_iterable(rows), dtype=np.int32))
+        return [np.concatenate(x).astype(np.int64) for x in ids], [np.concatenate(x) for x in sizes], good
+
+    def _spelled(self, order: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The groups of each unit, whose tokens are ``order`` in their groups' order."""
+        out, stops = [], np.cumsum(sizes)
+        for lo in range(0, len(sizes), UNITS_AT_ONCE):
+            ends = stops[lo : lo + UNITS_AT_ONCE]
+            first = int(stops[lo - 1]) if lo else 0
+            words = list(map(self.spelled.__getitem__, order[first : ends[-1]].tolist()))
+            cuts = [0, *(ends - first).tolist()]
+            out += ["".join(words[x:y]) for x, y in zip(cuts, cuts[1:])]
+        return out
 
     def units(self, units: list[str]) -> Units:
-        x, y, good = self._encoded(units)
-        n = [np.fromiter(map(len, r), dtype=np.int64, count=len(r)) for r in (x, y)]
-        ids = [np.fromiter(chain.from_iterable(r), dtype=np.int64, count=int(k.sum())) for r, k in zip((x, y), n)]
+        if not units:
+            return Units(np.ones(0, dtype=bool), *[_NONE] * 6, [])
+        ids, n, good = self._encoded(units)
         ends = [np.cumsum(size[i]) for size, i in zip(self.sizes, ids)]
         a, b, closes = overlaps(*ends)
         bounds = ends[1][closes]
@@ -173,8 +203,7 @@ class Aligner:
         order = np.empty(len(ids[0]) + len(ids[1]), dtype=np.int64)
         order[np.arange(len(ids[0])) + before_b[of[0]]] = ids[0] + np.where(bounds[of[0]] == ends[0], self.starts[1], self.starts[0])
         order[np.arange(len(ids[1])) + upto_a[of[1]]] = ids[1] + np.where(closes, self.starts[3], self.starts[2])
-        words, stops = list(map(self.spelled.__getitem__, order.tolist())), np.cumsum(n[0] + n[1]).tolist()
-        spelled = ["".join(words[lo:hi]) for lo, hi in zip([0, *stops], stops)]
+        spelled = self._spelled(order, n[0] + n[1])
         own = [np.repeat(np.arange(len(units)), k) for k in n]
         links = np.bincount(own[0][a], minlength=len(units))
         pairs, place = np.unique((ids[0][a] << SHIFT) | ids[1][b], return_inverse=True)
@@ -248,7 +277,7 @@ def messages(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK
         for batch in batches:
             for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = x.as_py()
-                own = np.fromiter(map(index.__getitem__, aligner.split(" " + text)), dtype=np.int64) if text else _NONE
+                own = np.fromiter(map(index.__getitem__, aligner.split(" " + text)), dtype=np.int32) if text else _NONE
                 lines.append((doc_id, own))
                 size += len(text or "")
                 if size >= block_bytes:
