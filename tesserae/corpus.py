@@ -115,7 +115,7 @@ class StoredCorpus:
 
     @property
     def index(self) -> index.Index:
-        return index.Index(self.tables["postings"], self.tables["lengths"], self.tables["index_totals"])
+        return index.Index(self.tables["postings"], self.tables["lengths"], self.tables["index_totals"], self.tables["index_deletes"])
 
     @property
     def vectors(self) -> DataFrame:

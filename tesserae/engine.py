@@ -12,12 +12,12 @@ from tesserae import config as settings
 from tesserae.corpus import StoredCorpus
 from tesserae.functions import metadata, models, providers
 from tesserae.functions.tracing import span
-from tesserae.operators import collections, fulltext, store, tags
+from tesserae.operators import collections, fulltext, index, store, tags
 from tesserae.plans import answers, hybrid, upkeep
-from tesserae.schemas import TABLES
+from tesserae.schemas import SEGMENTED, TABLES
 from tesserae.sources.base import Source, SourceRegistry
-from tesserae.staging import staged
-from tesserae.warehouse import Warehouse
+from tesserae.staging import hadoop_path, staged
+from tesserae.warehouse import Append, Warehouse, full_tier
 
 
 @dataclass
@@ -47,8 +47,17 @@ class Engine:
         return {n: self.table(n) for n in TABLES}
 
     def sql(self, text: str, args: list | dict | None = None) -> DataFrame:
-        """SQL over the warehouse's tables, with positional or named parameters."""
-        return self.warehouse.sql(text, args)
+        """SQL over the warehouse's tables, with positional or named parameters; of the index, its live
+        rows."""
+        self.warehouse.views()
+        live = self.live_index
+        live.alive(live.postings).createOrReplaceTempView("postings")
+        live.live_lengths.createOrReplaceTempView("lengths")
+        return self.spark.sql(text, args=args)
+
+    @property
+    def live_index(self) -> index.Index:
+        return upkeep.index_of({n: self.table(n) for n in SEGMENTED})
 
     @staticmethod
     def now():
@@ -76,14 +85,13 @@ class Engine:
 
     def remove_collection(self, name: str) -> tuple[int, int]:
         """Removes a collection with all that only it needs; counts of documents and hashes gone."""
-        row, tables = self.collection(name), self.tables
-        after = collections.remove(tables, row["id"])
-        gone = tables["documents"].where(F.col("source_collection_id") == row["id"]).count()
-        hashes = tables["content"].count()
-        self.warehouse.commit(after)
+        row = self.collection(name)
+        run = upkeep.remove_collection(self.tables, row["id"], self._stage)
+        gone = run.summary.first()
+        self.warehouse.commit({"source_collections": self.table("source_collections").where(F.col("id") != row["id"]), **run.changes})
         if self.config.cache_dir:
             store.uncache_documents(self.spark, self.config.cache_dir, name)
-        return gone, hashes - self.table("content").count()
+        return gone["documents"], gone["hashes"]
 
     # -- ingestion
 
@@ -92,24 +100,51 @@ class Engine:
         return self.sources.create(row["source_type"], self.spark, row["pwd"], row["source_config"])
 
     def ingest(self, name: str, *, force: bool = False, source: Source | None = None) -> dict:
-        """Brings a collection up to its source in one commit; counts of what was done."""
+        """Brings a collection up to its source in one commit; counts of what was done. A source that
+        knows modification times is listed first, and only touched files are read. Where nothing has
+        changed nothing is written."""
         row = self.collection(name)
         with span("ingest", collection=name):
-            listing = (source or self.source(name)).read()
-            run = upkeep.ingest(self.tables, listing, row["id"], self.now(), force=force, profile=(row["source_config"] or {}).get("metadata_profile"), registry=self.registry, stage=self._stage)
+            source = source or self.source(name)
+            first = source.capabilities.last_modified
+            run = upkeep.ingest(
+                self.tables, source.listing() if first else source.read(), row["id"], self.now(), force=force, profile=(row["source_config"] or {}).get("metadata_profile"),
+                registry=self.registry, stage=self._stage, read=source.fetch if first else None,
+            )
             counts = run.summary.first().asDict()
-            if any(counts.values()):
-                self.warehouse.commit(run.tables)
+            if not run.touched.isEmpty():
+                self.warehouse.commit(run.changes)
+                self.merge_index()
             if self.config.cache_dir:
-                self._cache(name, row["id"])
+                self._cache(name, row["id"], run.touched)
         return counts
 
-    def _cache(self, name: str, number: int) -> None:
-        """Mirrors a collection's active texts as files; removes those of inactive documents."""
+    def merge_index(self, fanout: int = index.FANOUT) -> int:
+        """Merges index segments while a tier is full; how many merges were made."""
+        merges = 0
+        while full := full_tier(self.warehouse.segments("postings"), fanout):
+            merges += 1
+            gone = {s.version for s in full}
+            tables = self.tables
+            parts = {n: [s.folder for s in self.warehouse.segments(n) if s.version in gone] for n in ("postings", "lengths")}
+            made = index.Index(*[self.warehouse.load(n, f) for n, f in parts.items()], deletes=tables["index_deletes"]).live()
+            left = [s.version for s in self.warehouse.segments("postings") if s.version not in gone]
+            spent = [s.version for s in self.warehouse.segments("index_deletes") if all(v >= s.version for v in left)]
+            sums = tables["index_totals"].agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+            every = [s.version for s in self.warehouse.segments("index_totals")]
+            self.warehouse.commit({"postings": Append(index.ordered(made.postings)), "lengths": Append(made.lengths), "index_totals": Append(sums)}, drop={"postings": gone, "lengths": gone, "index_deletes": spent, "index_totals": every})
+        return merges
+
+    def _cache(self, name: str, number: int, touched: DataFrame) -> None:
+        """Mirrors as files the texts of a collection's documents whose rows have changed, and removes
+        those of inactive ones; all of them where nothing is cached yet."""
+        base = self.config.cache_dir
         mine = self.table("documents").where(F.col("source_collection_id") == number)
-        store.uncache_documents(self.spark, self.config.cache_dir, name)
-        texts = mine.where("active").join(self.table("content"), "hash").select("path", F.col("doc").alias("text"))
-        store.cache_documents(texts, self.config.cache_dir, name).write.format("noop").mode("overwrite").save()
+        path, fs = hadoop_path(self.spark, f"{base.rstrip('/')}/{name}")
+        changed = touched if fs.exists(path) else mine.select("path", "active", "hash")
+        texts = changed.where("active").join(self.table("content"), "hash").select("path", F.col("doc").alias("text"))
+        store.cache_documents(texts, base, name).write.format("noop").mode("overwrite").save()
+        store.uncache_paths(changed.where("not active"), base, name).write.format("noop").mode("overwrite").save()
 
     def ingest_all(self, *, force: bool = False) -> dict[str, dict]:
         """Every collection in turn; one that fails is reported and does not stop the others."""
@@ -127,38 +162,34 @@ class Engine:
             run = upkeep.embed(self.tables, self.now(), self.config.embedding_model, embedder=providers.embedder(self.provider), collection=number, force=force, max_bytes=self.config.chunk_bytes, stage=self._stage)
             counts = run.summary.first().asDict()
             if counts["embedded"] or force:
-                self.warehouse.commit(run.tables)
+                self.warehouse.commit(run.changes)
         return counts
 
     def reindex(self, name: str) -> int:
         """Rebuilds the index rows of a collection's active documents; their count."""
-        number = self.collection(name)["id"]
-        live = self.table("documents").where("active").where(F.col("source_collection_id") == number).join(self.table("content").select("hash", "doc"), "hash")
-        every = self.table("documents").where(F.col("source_collection_id") == number).select(F.col("id").alias("doc_id"))
-        index = upkeep.index
-        made = index.replace(index.remove(index.Index(self.table("postings"), self.table("lengths")), every), live, upkeep.index_columns())
-        lengths = self._stage(made.lengths, "lengths")
-        self.warehouse.commit({"postings": index.ordered(made.postings), "lengths": lengths, "index_totals": index.totals(lengths)})
-        return live.count()
+        run = upkeep.reindex(self.tables, self.collection(name)["id"], self._stage)
+        self.warehouse.commit(run.changes)
+        self.merge_index()
+        return run.summary.first()["indexed"]
 
     def cleanup(self) -> dict[str, int]:
-        run = upkeep.cleanup(self.tables)
+        run = upkeep.cleanup(self.tables, self._stage)
         counts = {r["table"]: r["removed"] for r in run.summary.collect()}  # a row a table
         if any(counts.values()):
-            self.warehouse.commit(run.tables)
+            self.warehouse.commit(run.changes)
         return counts
 
     def backfill(self, name: str | None = None, *, force: bool = False) -> dict:
         number = None if name is None else self.collection(name)["id"]
         run = upkeep.backfill(self.tables, self.now(), collection=number, force=force, registry=self.registry, stage=self._stage)
-        self.warehouse.commit(run.tables)
+        self.warehouse.commit(run.changes)
         return run.summary.first().asDict()
 
     def status(self) -> dict:
         return upkeep.status(self.tables).first().asDict()
 
     def sync_report(self, most: int = 20) -> DataFrame:
-        return upkeep.sync_report(self.table("documents"), self.table("lengths"), self.table("content_vectors"), most)
+        return upkeep.sync_report(self.table("documents"), self.live_index.live_lengths, self.table("content_vectors"), most)
 
     # -- search
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators.index import totals
 from tesserae.sources.files import parse_patterns
 
 
@@ -69,25 +68,3 @@ def update_path(table: DataFrame, name: str, pwd: str, now: Column, patterns: li
         values["glob_patterns"] = F.array(*map(F.lit, parse_patterns(patterns)))
         values["source_config"] = F.map_concat(F.map_filter("source_config", lambda k, v: k != "glob_patterns"), F.create_map(F.lit("glob_patterns"), F.lit("\n".join(parse_patterns(patterns)))))
     return _changed(table, name, now, **values)
-
-
-def remove(tables: dict[str, DataFrame], number: int) -> dict[str, DataFrame]:
-    """All tables without a collection: its documents with their index rows, tags and metadata,
-    and content and vectors that no document, active or not, refers to any more."""
-    documents = tables["documents"]
-    left = documents.where(F.col("source_collection_id") != number)
-    ids = left.select("id")
-    by_doc = lambda t, c: t.join(ids.select(F.col("id").alias(c)), c, "left_semi").select(*t.columns)
-    live = left.select("hash").distinct()
-    lengths = by_doc(tables["lengths"], "doc_id")
-    return {
-        "source_collections": tables["source_collections"].where(F.col("id") != number),
-        "documents": left,
-        "content": tables["content"].join(live, "hash", "left_semi").select(*tables["content"].columns),
-        "content_vectors": tables["content_vectors"].join(live, "hash", "left_semi").select(*tables["content_vectors"].columns),
-        "postings": by_doc(tables["postings"], "doc_id"),
-        "lengths": lengths,
-        "index_totals": totals(lengths),
-        "document_metadata": by_doc(tables["document_metadata"], "document_id"),
-        "document_tags": by_doc(tables["document_tags"], "document_id"),
-    }

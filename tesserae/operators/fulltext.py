@@ -24,8 +24,14 @@ NEAR_REACH = 10
 
 def top_hits(hits: DataFrame, limit: int, *, order: str = "score", tie: str = "id") -> DataFrame:
     """The best ``limit`` hits a query with their 0-based rank."""
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round(order, 9)), tie)
-    return hits.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit)
+    return first_rows(hits, ["query_id"], [F.desc(F.round(order, 9)), F.col(tie)], limit, "rank")
+
+
+def first_rows(rows: DataFrame, of: list[str], order: list[Column], limit: int, name: str) -> DataFrame:
+    """The first ``limit`` rows of each group with their 0-based place. The filter is on the row number
+    itself, so that every task cuts its rows to the limit before they are shuffled."""
+    w = Window.partitionBy(*of).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).withColumn(name, F.col("_n") - 1).drop("_n")
 
 
 def normalize_hits(hits: DataFrame, mode: str = "reference") -> DataFrame:

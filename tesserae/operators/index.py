@@ -2,7 +2,12 @@
 
 ``postings(doc_id, col, token, key, positions)`` has a row for each token of a column of a
 document; ``key`` is the token without diacritics, stemmed. Written in order of ``key``, a search
-prunes row groups by the keys of its queries and never reads a text. Statistics are one row.
+prunes row groups by the keys of its queries and never reads a text.
+
+A stored index is a set of immutable segments. ``seg`` is the version that wrote a row; indexing
+documents anew adds a segment and a delete set ``(doc_id, seg)``: rows of a document that are older
+than its delete are dead. Searches leave dead rows out before they count anything, so hits and
+scores are those of an index built afresh; merging segments drops them.
 """
 
 from __future__ import annotations
@@ -18,23 +23,40 @@ from tesserae.operators.fulltext import B, K1, Node, leaves, word_list
 from tesserae.staging import small
 
 MOST_QUERIES = 256  # a batch's trees become one expression
+FANOUT = 4  # segments of a tier that are merged
 
 
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame
     lengths: DataFrame
-    totals: DataFrame | None = None  # n, total: one stored row
+    totals: DataFrame | None = None  # n, total: a row a commit, which add up
+    deletes: DataFrame | None = None
 
     @property
     def stats(self) -> DataFrame:
         """``n, avgdl`` over all indexed rows, from the stored totals if there are any."""
-        known = totals(self.lengths) if self.totals is None else self.totals
+        known = totals(self.live_lengths) if self.totals is None else self.totals
         return known.agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("avgdl"))
 
+    @property
+    def live_lengths(self) -> DataFrame:
+        return self.alive(self.lengths)
+
     @property
     def ids(self) -> DataFrame:
-        return self.lengths.select("doc_id")
+        return self.live_lengths.select("doc_id")
+
+    def alive(self, rows: DataFrame) -> DataFrame:
+        """Rows ``(doc_id, seg)`` without dead ones."""
+        if self.deletes is None:
+            return rows
+        last = self.deletes.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("seg").alias("_upto"))
+        return rows.join(last, (F.col("doc_id") == F.col("_gone")) & (F.col("_upto") > F.col("seg")), "left_anti")
+
+    def live(self) -> Index:
+        """The index as one segment: what a build of the same documents would give."""
+        return Index(self.alive(self.postings).drop("seg"), self.live_lengths.drop("seg"))
 
 
 def build(docs: DataFrame, columns: dict[str, Column], key: str = "id") -> Index:
@@ -59,16 +81,26 @@ def ordered(postings: DataFrame) -> DataFrame:
 
 def remove(index: Index, ids: DataFrame) -> Index:
     """The index without the documents of ``ids(doc_id)``."""
-    gone = ids.select("doc_id").distinct()
+    gone, index = ids.select("doc_id").distinct(), index.live()
     return Index(index.postings.join(gone, "doc_id", "left_anti"), index.lengths.join(gone, "doc_id", "left_anti"))
 
 
 def replace(index: Index, docs: DataFrame, columns: dict[str, Column], key: str = "id") -> Index:
-    """Indexes documents anew; only theirs are tokenised."""
+    """Indexes documents anew; only theirs are tokenised. Of a key that comes twice one row counts."""
+    docs = docs.dropDuplicates([key])
     left, new = remove(index, docs.select(F.col(key).cast("long").alias("doc_id"))), build(docs, columns, key)
     return Index(left.postings.unionByName(new.postings), left.lengths.unionByName(new.lengths))
 
 
+def step(index: Index, gone: DataFrame, new: Index) -> tuple[DataFrame, DataFrame]:
+    """What a commit adds to a stored index beside the segment ``new``: the delete set, of those ids of
+    ``gone(doc_id)`` that are indexed, and the change of the totals."""
+    dead = index.live_lengths.join(gone.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "dl")
+    signed = new.lengths.select(F.lit(1).alias("k"), "dl").union(dead.select(F.lit(-1), "dl"))
+    delta = signed.agg(F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum(F.col("k") * F.col("dl")), F.lit(0)).cast("long").alias("total"))
+    return dead.select("doc_id"), delta
+
+
 def clear(index: Index) -> Index:
     return Index(index.postings.limit(0), index.lengths.limit(0))
 
@@ -139,7 +171,8 @@ def _search(index: Index, asked: list[tuple[int, Node]], stemmed: bool, k1: floa
     slots, groups, numbers = _slots(asked, stemmed)
     table = small(spark, slots, "query_id long, leaf int, slot int, need int, word string, prefix boolean, cols array<string>, placed boolean")
     plain, begins = sorted({s[4] for s in slots if not s[5]}), sorted({s[4] for s in slots if s[5]})
-    rows = index.postings.select("doc_id", "col", F.col("key" if stemmed else "token").alias("word"), "positions")
+    age = [] if index.deletes is None else ["seg"]
+    rows = index.postings.select("doc_id", "col", F.col("key" if stemmed else "token").alias("word"), "positions", *age)
     hits = rows.where(F.col("word").isin(plain)).join(F.broadcast(table.where("not prefix")), "word")  # the words of the batch
     if begins:
         any_prefix = F.lit(False)
@@ -147,7 +180,7 @@ def _search(index: Index, asked: list[tuple[int, Node]], stemmed: bool, k1: floa
             any_prefix = any_prefix | F.col("word").startswith(p)
         asks = F.broadcast(table.where("prefix").withColumnRenamed("word", "start"))
         hits = hits.unionByName(rows.where(any_prefix).join(asks, F.col("word").startswith(F.col("start"))).drop("start"))
-    hits = hits.where(F.col("cols").isNull() | F.array_contains("cols", F.col("col")))
+    hits = index.alive(hits.where(F.col("cols").isNull() | F.array_contains("cols", F.col("col"))))
     tf = hits.where(~F.col("placed")).groupBy("query_id", "leaf", "doc_id").agg(F.sum(F.size("positions")).alias("tf"))
     if any(s[7] for s in slots):
         starts = _starts(hits.where("placed"))
@@ -158,7 +191,7 @@ def _search(index: Index, asked: list[tuple[int, Node]], stemmed: bool, k1: floa
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.crossJoin(F.broadcast(stats.select("n", "avgdl"))).select("query_id", "leaf", "avgdl", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))  # one row of statistics
     score = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(F.broadcast(idf), ["query_id", "leaf"]).join(index.lengths, "doc_id")
+    scored = tf.join(F.broadcast(idf), ["query_id", "leaf"]).join(index.live_lengths.select("doc_id", "dl"), "doc_id")
     per = scored.groupBy("query_id", "doc_id").agg(F.sum(score).alias("score"), F.collect_set("leaf").alias("have"))
     met = F.lit(False)
     for q, tree in asked:

@@ -1,7 +1,7 @@
 """Snapshots of the document store: content-addressed upserts, soft deletes, index upkeep.
 
-Tables are immutable snapshots; an operator takes the stored and the incoming rows and returns
-the next snapshot, which a warehouse commits as a new version (single writer).
+An operator takes the stored and the incoming rows and returns the next snapshot, or the rows that
+change, of which a warehouse replaces the buckets that they touch (single writer).
 """
 
 from __future__ import annotations
@@ -16,15 +16,20 @@ from pyspark.sql.window import Window
 from tesserae.staging import hadoop_path
 
 KEYS = ["source_collection_id", "path"]
+ID_SHARDS = 256
 
 
-def upsert_content(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Adds hashes that are not stored yet; the first writer of a hash stays, among new rows the
-    least one."""
+def new_content(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """A row for each hash that is not stored yet: the least of the new ones."""
     rest = [c for c in stored.columns if c != "hash"]
     rest.sort(key=lambda c: c != "created_at")
     fresh = new.groupBy("hash").agg(F.min(F.struct(*rest)).alias("_r")).join(stored.select("hash"), "hash", "left_anti")
-    return stored.unionByName(fresh.select("hash", "_r.*").select(*stored.columns))
+    return fresh.select("hash", "_r.*").select(*stored.columns)
+
+
+def upsert_content(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Adds hashes that are not stored yet; the first writer of a hash stays."""
+    return stored.unionByName(new_content(stored, new))
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -33,18 +38,23 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
-def upsert_documents(stored: DataFrame, new: DataFrame) -> DataFrame:
+def largest_id(documents: DataFrame) -> DataFrame:
+    return documents.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+
+
+def upsert_documents(stored: DataFrame, new: DataFrame, top: DataFrame | None = None) -> DataFrame:
     """By collection and path: known rows take the new title, hash, time and whatever else ``new``
     brings, and become active again; new ones get ids after the largest. Of rows of one key the
     last written counts. ``is_new`` tells them apart.
 
-    New ids are numbered within as many hash shards as there are shuffle partitions, so that no
-    task sees all of them; ids are unique and the same on every run of one configuration.
+    New ids are numbered within ``ID_SHARDS`` hash shards, so that no task sees all of them; ids are
+    unique and the same on every run. They come after the largest of ``stored``, or after the one of
+    ``top(_top)`` where ``stored`` is but the part of a table that changes.
     """
-    shards = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = ID_SHARDS
     new = latest(new, KEYS, ["modified_at", "hash"])
     given = [c for c in stored.columns if c in new.columns and c not in KEYS]
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    top = largest_id(stored) if top is None else top
     add = new.join(stored.select(*KEYS), KEYS, "left_anti").crossJoin(F.broadcast(top))  # one row
     add = add.withColumn("_shard", F.pmod(F.xxhash64(*KEYS), F.lit(shards)))
     number = F.row_number().over(Window.partitionBy("_shard").orderBy(*KEYS))
@@ -64,9 +74,32 @@ def soft_delete(stored: DataFrame, gone: DataFrame) -> DataFrame:
     return stored.join(mark, KEYS, "left").withColumn("active", F.col("active") & F.col("_gone").isNull()).select(*stored.columns)
 
 
-def replace_rows(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Last write wins on ``keys``: for metadata of a document or vectors of a hash."""
-    return stored.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*stored.columns))
+def last_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One whole row a key: the last in ``order``, of equals any one."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def apply_change(stored: DataFrame, keys: list[str], rows: DataFrame | None, gone: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
+    """The stored rows without those of the keys of ``gone`` and ``rows``, and ``rows``, of which with
+    ``order`` the last of each key counts. Null keys are equal."""
+    left = stored
+    for part in (gone, rows):
+        if part is not None:
+            named = part.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+            left = left.join(named, same, "left_anti")
+    if rows is None:
+        return left
+    return left.unionByName((last_of(rows, keys, order) if order else rows).select(*stored.columns))
+
+
+def replace_rows(stored: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Last write wins on ``keys``: for metadata of a document or vectors of a hash. A key that comes
+    twice in ``new`` is one row: the last in ``order``, or by all columns where none is given."""
+    return apply_change(stored, keys, new, order=order or [c for c, t in new.dtypes if c not in keys and not t.startswith("map")] or keys)
 
 
 def delete_rows(stored: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,23 +183,45 @@ def cache_documents(rows: DataFrame, base: str, name: str, *, partitions: int |
     return (rows.repartition(partitions, "path") if partitions else rows).mapInArrow(write, "path string, uri string")
 
 
+def uncache_paths(rows: DataFrame, base: str, name: str) -> DataFrame:
+    """Removes the cached files of ``(path)`` by the tasks that hold them, and folders that are left
+    empty; gives ``(path, removed)``."""
+    root = f"{base.removeprefix('file://').rstrip('/')}/{name}"
+
+    def remove(batches):
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            paths, done = batch.column(0).to_pylist(), []
+            for path in paths:
+                at = posixpath.normpath(posixpath.join(root, path))
+                done.append(at.startswith(f"{root}/") and os.path.isfile(at))
+                if done[-1]:
+                    os.remove(at)
+                    up = os.path.dirname(at)
+                    while up.startswith(root):
+                        try:
+                            os.rmdir(up)  # fails where anything is left
+                        except OSError:
+                            break
+                        up = os.path.dirname(up)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(done, pa.bool_())], names=["path", "removed"])
+
+    return rows.select("path").mapInArrow(remove, "path string, removed boolean")
+
+
 def uncache_documents(spark, base: str, name: str, paths: list[str] | None = None) -> int:
-    """Removes cached files of a collection (all of them without ``paths``) and folders left empty."""
+    """Removes cached files of a collection, all of them without ``paths``; their count."""
+    if paths is not None:
+        rows = spark.createDataFrame([(p,) for p in paths], "path string")
+        return uncache_paths(rows, base, name).where("removed").count()
     root, fs = hadoop_path(spark, f"{base.rstrip('/')}/{name}")
     if not fs.exists(root):
         return 0
-    if paths is None:
-        files, n = fs.listFiles(root, True), 0
-        while files.hasNext():
-            n += not files.next().getPath().getName().endswith(".crc")
-        fs.delete(root, True)
-        return n
-    gone = 0
-    for p in paths:
-        path, _ = hadoop_path(spark, f"{base.rstrip('/')}/{name}/{p}")
-        gone += bool(fs.exists(path) and fs.delete(path, False))
-        up = path.getParent()
-        while up.toString().startswith(root.toString()) and fs.exists(up) and not fs.listStatus(up):
-            fs.delete(up, False)
-            up = up.getParent()
-    return gone
+    files, n = fs.listFiles(root, True), 0
+    while files.hasNext():
+        n += not files.next().getPath().getName().endswith(".crc")
+    fs.delete(root, True)
+    return n

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesserae.operators.fulltext import first_rows
 from tesserae.staging import small
 
 MOST_QUERIES = 4096
@@ -97,8 +98,7 @@ def best_per_path(chunks: DataFrame, limit: int, *, collection: int | None = Non
     found = found.where(F.col("score") >= min_score)
     best = Window.partitionBy("query_id", "path").orderBy(F.round("distance", 9), "vec_id", "id")
     found = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == 1).drop("_n")
-    w = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id", "id")
-    return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit)
+    return first_rows(found, ["query_id"], [F.round("distance", 9), F.col("vec_id"), F.col("id")], limit, "rank")
 
 
 def within(hits: DataFrame, scope: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -738,6 +739,22 @@ def _(c):
     return found.select("issue", "n", F.array_join("samples", ",").alias("samples"))
 
 
+@query("search_over_segments", _INDEX.replace("fts USING (id)", "seg_docs s USING (id)").replace("d.text", "s.text").replace(", raw AS", """, seg_docs AS (SELECT id, CASE WHEN id % 5 = 1 THEN text || ' from with' ELSE text END AS text FROM docs WHERE id % 7 <> 0 AND id % 5 <> 0 UNION ALL SELECT id, text FROM docs WHERE id % 7 = 0 AND id % 2 = 0), raw AS""", 1) + _page("page", *_all_of(SEARCHES)) + "SELECT query_id, id, rank, round(score, 6) AS score FROM page")
+def _(c):
+    """Search over an index of three segments: the stored one, one that indexes some of its documents
+    anew, and one of further documents; and two delete sets. Scores are those of an index built afresh."""
+    first, docs = _stored(c), c.documents
+    columns = {"path": F.col("path"), "body": F.col("text")}
+    again = index.build(docs.where("id % 7 <> 0 AND id % 5 = 1").withColumn("text", F.concat("text", F.lit(" from with"))), columns)
+    more = index.build(docs.where("id % 7 = 0 AND id % 2 = 0"), columns)
+    deletes = c.fts_ids.where("id % 5 = 1").select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("seg")).union(c.fts_ids.where("id % 5 = 0").select("id", F.lit(2).cast("long")))
+    parts = [(first["postings"], first["lengths"], 0), (again.postings, again.lengths, 1), (more.postings, more.lengths, 2)]
+    postings, lengths = (reduce(DataFrame.unionByName, [p[k].withColumn("seg", F.lit(p[2]).cast("long")) for p in parts]) for k in (0, 1))
+    whole = index.Index(postings, lengths, deletes=deletes)
+    hits = index.search(whole, _parsed([(q, " ".join(ts)) for q, ts in SEARCHES]), stemmed=False).join(c.active.select("id"), "id")
+    return fulltext.top_hits(hits, 15).select("query_id", "id", _long("rank"), r6(F.col("score"), "score"))
+
+
 # -- answers
 
 
@@ -780,8 +797,10 @@ def _stored(c: Corpus) -> dict[str, DataFrame]:
     return {
         "documents": made,
         "content": c.content.select("hash", "doc", at.alias("created_at")),
-        "postings": c.index.postings,
-        "lengths": c.index.lengths,
+        "postings": c.index.postings.withColumn("seg", F.lit(0).cast("long")),
+        "lengths": c.index.lengths.withColumn("seg", F.lit(0).cast("long")),
+        "index_deletes": small(c.spark, [], TABLES["index_deletes"]),
+        "index_totals": c.index.totals,
         "content_vectors": c.vectors.select("hash", "seq", F.lit(0).cast("long").alias("pos"), F.lit("m").alias("model"), at.alias("embedded_at"), "embedding"),
         "document_metadata": tagged.select("document_id", F.lit("generic").alias("profile"), "tags", F.col("tags").alias("source_tags"), F.lit("{}").alias("attributes"), at.alias("extracted_at")),
         "document_tags": c.tags,
@@ -888,17 +907,17 @@ def _(c):
 def _(c):
     """Vectors stored again by hash and place: the last write counts."""
     v = c.vectors.select("vec_id", "hash", "seq")
-    new = v.where(F.col("vec_id") % 3 == 0).select("hash", "seq", F.lit("new").alias("model")).distinct()
+    new = v.where(F.col("vec_id") % 3 == 0).select("hash", "seq", F.lit("new").alias("model"))
     return store.replace_rows(v.select("hash", "seq", F.lit("old").alias("model")), new, ["hash", "seq"]).select("hash", _long("seq"), "model")
 
 
 @query(
     "cleanup_summary",
-    """, live AS (SELECT * FROM docs WHERE active) SELECT 'content' AS "table", count(*) AS removed FROM content WHERE hash NOT IN (SELECT hash FROM live) UNION ALL SELECT 'content_vectors', count(*) FROM vectors WHERE hash NOT IN (SELECT hash FROM live)
-UNION ALL SELECT 'lengths', count(*) FROM fts WHERE id NOT IN (SELECT id FROM live) UNION ALL SELECT 'document_metadata', count(*) FROM docs WHERE id % 3 <> 0 AND NOT active UNION ALL SELECT 'document_tags', count(*) FROM tags WHERE document_id NOT IN (SELECT id FROM live)""",
+    _INDEX + """, live AS (SELECT * FROM docs WHERE active) SELECT 'content' AS "table", count(*) AS removed FROM content WHERE hash NOT IN (SELECT hash FROM live) UNION ALL SELECT 'content_vectors', count(*) FROM vectors WHERE hash NOT IN (SELECT hash FROM live)
+UNION ALL SELECT 'lengths', count(*) FROM fts WHERE id NOT IN (SELECT id FROM live) UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT id, col, term FROM pos) WHERE id NOT IN (SELECT id FROM live) UNION ALL SELECT 'document_metadata', count(*) FROM docs WHERE id % 3 <> 0 AND NOT active UNION ALL SELECT 'document_tags', count(*) FROM tags WHERE document_id NOT IN (SELECT id FROM live)""",
 )
 def _(c):
-    return upkeep.cleanup(_stored(c)).summary.where(F.col("table") != "postings")
+    return upkeep.cleanup(_stored(c)).summary
 
 
 @query("cleanup_metadata", "SELECT id AS document_id FROM docs WHERE id % 3 <> 0 AND active")
@@ -951,16 +970,17 @@ def _(c):
 
 @query(
     "collection_removed",
-    """, rest AS (SELECT * FROM docs WHERE source_collection_id <> 3) SELECT 'documents' AS name, count(*) AS n FROM rest UNION ALL SELECT 'content', count(*) FROM content WHERE hash IN (SELECT hash FROM rest) UNION ALL SELECT 'content_vectors', count(*) FROM vectors WHERE hash IN (SELECT hash FROM rest)
-UNION ALL SELECT 'lengths', count(*) FROM fts WHERE id IN (SELECT id FROM rest) UNION ALL SELECT 'document_metadata', count(*) FROM rest WHERE id % 3 <> 0 UNION ALL SELECT 'document_tags', count(*) FROM tags WHERE document_id IN (SELECT id FROM rest)""",
+    _INDEX
+    + """, rest AS (SELECT * FROM docs WHERE source_collection_id <> 3) SELECT 'documents' AS name, count(*) AS n FROM rest UNION ALL SELECT 'content', count(*) FROM content WHERE hash IN (SELECT hash FROM rest) UNION ALL SELECT 'content_vectors', count(*) FROM vectors WHERE hash IN (SELECT hash FROM rest)
+UNION ALL SELECT 'lengths', count(*) FROM fts WHERE id IN (SELECT id FROM rest) UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT id, col, term FROM pos) WHERE id IN (SELECT id FROM rest) UNION ALL SELECT 'document_metadata', count(*) FROM rest WHERE id % 3 <> 0 UNION ALL SELECT 'document_tags', count(*) FROM tags WHERE document_id IN (SELECT id FROM rest)""",
 )
 def _(c):
     """Rows of each table that a removed collection leaves."""
     own = c.documents.select("id", F.col("source_collection_id").alias("_c"))
     stored = _stored(c)
     stored["documents"] = stored["documents"].join(own, "id").withColumn("source_collection_id", F.col("_c")).drop("_c")
-    left, out = collections.remove(stored, 3), None
-    for name in ("documents", "content", "content_vectors", "lengths", "document_metadata", "document_tags"):
+    left, out = upkeep.remove_collection(stored, 3).tables, None
+    for name in ("documents", "content", "content_vectors", "lengths", "postings", "document_metadata", "document_tags"):
         line = left[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"))
         out = line if out is None else out.union(line)
     return out

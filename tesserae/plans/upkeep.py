@@ -1,7 +1,8 @@
 """The ingestion and embedding pipelines and the upkeep of what they store.
 
-Each takes the stored tables as a dict of DataFrames and returns the next ones, to be committed
-together, and a one-row summary. Nothing is written and no row passes the driver.
+Each takes the stored tables as a dict of DataFrames and returns what a commit has to change, table
+by table, and a one-row summary. Nothing is written and no row passes the driver; what is computed,
+and later written, grows with what has changed, not with the store.
 """
 
 from __future__ import annotations
@@ -15,12 +16,58 @@ from pyspark.sql import functions as F
 from tesserae.functions import chunking, metadata, models
 from tesserae.functions import text as T
 from tesserae.operators import index, store
+from tesserae.schemas import SEGMENTED
+from tesserae.warehouse import Append, Change
+
+Stage = Callable[[DataFrame, str], DataFrame]
 
 
 @dataclass(frozen=True)
 class Run:
-    tables: dict[str, DataFrame]
+    """``changes`` are for a commit; ``touched`` names the documents ``(path, active, hash)`` whose
+    rows change, where the pipeline changes any."""
+
+    changes: dict[str, Change | Append]
     summary: DataFrame
+    stored: dict[str, DataFrame]
+    touched: DataFrame | None = None
+
+    @property
+    def tables(self) -> dict[str, DataFrame]:
+        """The tables that change as they are afterwards; of the index, its live rows."""
+        out = {n: c.on(self.stored[n]) for n, c in self.changes.items() if isinstance(c, Change)}
+        if "index_deletes" in self.changes:
+            made = self.index.live()
+            out |= {"postings": made.postings, "lengths": made.lengths, "index_totals": index.totals(made.lengths)}
+        return out
+
+    @property
+    def index(self) -> index.Index:
+        """The index afterwards, with its new segment and delete set."""
+        after = dict(self.stored)
+        for name in SEGMENTED:
+            if (given := self.changes.get(name)) and name in after:
+                rows = given.rows.withColumn("seg", F.lit(LATEST)) if "seg" in SEGMENTED[name] else given.rows
+                after[name] = after[name].unionByName(rows)
+        return index_of(after)
+
+
+#: A version after all others, for what is not committed yet.
+LATEST = (1 << 63) - 1
+
+
+def index_of(tables: dict[str, DataFrame]) -> index.Index:
+    return index.Index(tables["postings"], tables["lengths"], tables.get("index_totals"), tables["index_deletes"])
+
+
+def index_changes(tables: dict[str, DataFrame], gone: DataFrame, new: index.Index | None, stage: Stage) -> dict[str, Append]:
+    """A segment, a delete set and a change of the totals."""
+    old = index_of(tables)
+    made = new or index.Index(old.postings.limit(0).drop("seg"), old.lengths.limit(0).drop("seg"))
+    lengths = stage(made.lengths, "lengths")
+    deletes, delta = index.step(old, gone, index.Index(made.postings, lengths))
+    out = {"index_deletes": Append(deletes), "index_totals": Append(delta)}
+    return out if new is None else {"postings": Append(index.ordered(made.postings)), "lengths": Append(lengths)} | out
 
 
 def title(text: Column, path: Column) -> Column:
@@ -28,17 +75,26 @@ def title(text: Column, path: Column) -> Column:
     return T.title(text, F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", ""))
 
 
-def classify(documents: DataFrame, listing: DataFrame, *, force: bool = False) -> DataFrame:
+def classify(documents: DataFrame, listing: DataFrame, *, force: bool = False, read: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The listing with ``hash`` and ``change`` against a collection's documents: ``error``, ``new``,
-    ``unchanged_time`` (the stored modification time; the text need not be read),
-    ``unchanged_hash`` or ``modified``."""
+    ``unchanged_time`` (the stored modification time), ``unchanged_hash`` or ``modified``. Of a path
+    that is listed twice the last one modified counts.
+
+    With ``read``, which adds ``text`` and ``error`` to rows of a listing, the listing brings no
+    texts and only those of files whose time differs are read. Unchanged rows carry no text.
+    """
     old = documents.where("active").select("path", F.col("hash").alias("_old"), F.col("last_modified").alias("_time"))
-    seen = listing.withColumn("hash", F.sha2("text", 256)).join(old, "path", "left")
-    same_time = F.col("_time").eqNullSafe(F.col("mtime").cast("string")) & F.col("_time").isNotNull()
+    seen = store.last_of(listing, ["path"], ["mtime", "uri"]).join(old, "path", "left")
+    same_time = F.coalesce(F.col("_time") == F.col("mtime").cast("string"), F.lit(False)) & F.lit(not force)
+    if read is not None:
+        same = seen.where(same_time).withColumns({"text": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+        seen = read(seen.where(~same_time)).unionByName(same)
+    seen = seen.withColumn("hash", F.sha2("text", 256))
     change = F.when(F.col("error").isNotNull(), "error").when(F.col("_old").isNull(), "new")
     if not force:
         change = change.when(same_time, "unchanged_time").when(F.col("_old") == F.col("hash"), "unchanged_hash")
-    return seen.withColumn("change", change.otherwise("modified")).drop("_old", "_time")
+    seen = seen.withColumn("change", change.otherwise("modified")).drop("_old", "_time")
+    return seen.withColumn("text", F.when(F.col("change").isin("new", "modified"), F.col("text")))
 
 
 def fetched(rows: DataFrame, now: Column) -> DataFrame:
@@ -53,55 +109,61 @@ def index_columns() -> dict[str, Column]:
 
 
 def ingest(
-    tables: dict[str, DataFrame], listing: DataFrame, collection: int, now: Column, *, force: bool = False, profile: str | None = None, registry: metadata.Registry | None = None, stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
+    tables: dict[str, DataFrame], listing: DataFrame, collection: int, now: Column, *, force: bool = False, profile: str | None = None, registry: metadata.Registry | None = None, stage: Stage = lambda df, name: df, read: Callable[[DataFrame], DataFrame] | None = None
 ) -> Run:
-    """Brings a collection up to a listing ``(uri, path, size, mtime, content_type, text, error)``.
+    """Brings a collection up to a listing ``(uri, path, size, mtime, content_type, text, error)``, or,
+    with ``read``, one without texts, of which only touched files are read.
 
     New and modified files are stored, indexed (a text that is not indexable leaves the index) and
     their metadata extracted; files of unchanged hash have their fetch refreshed; documents that
     the listing no longer holds are deactivated and leave the index. ``stage`` may write an
-    intermediate table that several of the next tables read.
+    intermediate table that several of the changes read.
     """
     documents = tables["documents"]
+    number = F.lit(collection).cast("long").alias("source_collection_id")
     mine = documents.where(F.col("source_collection_id") == collection)
-    seen = stage(classify(mine, listing, force=force), "listing")
+    seen = stage(classify(mine, listing, force=force, read=read), "listing")
     loaded = seen.where(F.col("change").isin("new", "modified"))
-    rows = fetched(loaded, now).select(F.lit(collection).cast("long").alias("source_collection_id"), "path", title(F.col("text"), F.col("path")).alias("title"), "hash", now.alias("modified_at"), "source_uri", "last_modified", "last_fetched_at", "content_type", "extra_metadata")
-    again = fetched(seen.where(F.col("change") == "unchanged_hash"), now).select("path", F.struct("last_modified", "last_fetched_at", "extra_metadata").alias("_f"))
+    rows = fetched(loaded, now).select(number, "path", title(F.col("text"), F.col("path")).alias("title"), "hash", now.alias("modified_at"), "source_uri", "last_modified", "last_fetched_at", "content_type", "extra_metadata")
+    again = fetched(seen.where(F.col("change") == "unchanged_hash"), now).select(number, "path", F.struct("last_modified", "last_fetched_at", "extra_metadata").alias("_f"))
     gone = store.stale(mine, seen).select(*store.KEYS)
-    changed = store.upsert_documents(documents, rows).drop("is_new")
-    changed = changed.join(again.withColumn("source_collection_id", F.lit(collection).cast("long")), store.KEYS, "left")
+    named = rows.select(*store.KEYS).union(again.select(*store.KEYS)).union(gone)
+    part = mine.join(named, store.KEYS, "left_semi")
+    changed = store.upsert_documents(part, rows, store.largest_id(documents)).drop("is_new").join(again, store.KEYS, "left")
     refresh = lambda c: F.coalesce(F.col("_f")[c], F.col(c)).alias(c) if c in ("last_modified", "last_fetched_at", "extra_metadata") else F.col(c)
     after = stage(store.soft_delete(changed.select(*[refresh(c) for c in documents.columns]), gone), "documents")
-    content = store.upsert_content(tables["content"], loaded.select("hash", F.col("text").alias("doc"), now.alias("created_at")))
-    ids = after.where(F.col("source_collection_id") == collection).select("id", "path", "active")
-    fresh = loaded.select("path", F.col("text").alias("doc")).join(ids.select("id", "path"), "path")
-    old = index.Index(tables["postings"], tables["lengths"])
-    inactive = ids.where("not active").select(F.col("id").alias("doc_id"))
-    kept = index.remove(old, fresh.select(F.col("id").alias("doc_id")).union(inactive))
-    new = index.build(fresh.where(T.is_indexable(F.col("doc"))), index_columns())
+    content = stage(store.new_content(tables["content"], loaded.select("hash", F.col("text").alias("doc"), now.alias("created_at"))), "content")
+    fresh = loaded.select("path", F.col("text").alias("doc")).join(after.select("id", "path"), "path")
+    leaving = fresh.select(F.col("id").alias("doc_id")).union(after.where("not active").select("id"))
+    made = index.build(fresh.where(T.is_indexable(F.col("doc"))), index_columns())
     found = fresh.select(F.col("id").alias("document_id"), metadata.document_metadata(F.col("doc"), F.col("path"), F.lit(profile).cast("string"), registry).alias("m"))
     found = stage(found.select("document_id", "m.*", now.alias("extracted_at")), "metadata")
     counts = seen.agg(F.count_if(F.col("change").isin("new", "modified")).alias("indexed"), F.count_if(F.col("change").startswith("unchanged")).alias("skipped"), F.count_if(F.col("change") == "error").alias("errors"))
-    lengths = stage(kept.lengths.unionByName(new.lengths), "lengths")
     return Run(
-        {
-            "documents": after,
-            "content": content,
-            "postings": index.ordered(kept.postings.unionByName(new.postings)),
-            "lengths": lengths,
-            "index_totals": index.totals(lengths),
-            "document_metadata": store.replace_rows(tables["document_metadata"], found, ["document_id"]),
-            "document_tags": retagged(tables["document_tags"], found),
-        },
+        {"documents": Change(store.KEYS, after), "content": Change(["hash"], content), **described(found), **index_changes(tables, leaving, made, stage)},
         counts.crossJoin(gone.agg(F.count("*").alias("stale"))),  # single rows
+        tables,
+        after.select("path", "active", "hash"),
     )
 
 
-def retagged(stored: DataFrame, found: DataFrame) -> DataFrame:
-    """The tag index with the documents of ``found`` tagged anew."""
-    left = stored.join(found.select("document_id"), "document_id", "left_anti")
-    return left.unionByName(found.select("document_id", F.explode("tags").alias("tag")).select(*stored.columns))
+def described(found: DataFrame) -> dict[str, Change]:
+    """Documents ``(document_id, ..., tags)`` described and tagged anew."""
+    tagged = found.select("document_id", F.explode("tags").alias("tag"))
+    return {"document_metadata": Change(["document_id"], found, order=["extracted_at"]), "document_tags": Change(["document_id"], tagged, found.select("document_id"))}
+
+
+def remove_collection(tables: dict[str, DataFrame], number: int, stage: Stage = lambda df, name: df) -> Run:
+    """What goes with a collection: its documents with their index rows, tags and metadata, and
+    content and vectors that no document, active or not, refers to any more."""
+    mine = F.col("source_collection_id") == number
+    gone = stage(tables["documents"].where(mine).select("id", *store.KEYS, "hash"), "gone")
+    ids, hashes = gone.select(F.col("id").alias("document_id")), gone.select("hash").distinct()
+    hashes = stage(hashes.join(tables["documents"].where(~mine).select("hash"), "hash", "left_anti"), "hashes")
+    by_hash, by_id = Change(["hash"], gone=hashes), Change(["document_id"], gone=ids)
+    changes = {"documents": Change(store.KEYS, gone=gone.select(*store.KEYS)), "content": by_hash, "content_vectors": by_hash, "document_metadata": by_id, "document_tags": by_id}
+    left = gone.agg(F.count("*").alias("documents")).crossJoin(hashes.agg(F.count("*").alias("hashes")))  # single rows
+    return Run(changes | index_changes(tables, ids.select(F.col("document_id").alias("doc_id")), None, stage), left, tables)
 
 
 def embed_targets(documents: DataFrame, content: DataFrame, vectors: DataFrame, collection: int | None = None, *, force: bool = False) -> DataFrame:
@@ -114,7 +176,7 @@ def embed_targets(documents: DataFrame, content: DataFrame, vectors: DataFrame,
 
 
 def embed(
-    tables: dict[str, DataFrame], now: Column, model: str, *, embedder=None, collection: int | None = None, force: bool = False, max_bytes: int = chunking.MAX_BYTES, stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
+    tables: dict[str, DataFrame], now: Column, model: str, *, embedder=None, collection: int | None = None, force: bool = False, max_bytes: int = chunking.MAX_BYTES, stage: Stage = lambda df, name: df
 ) -> Run:
     """Embeds the chunks of every distinct text that has no vectors yet (all with ``force``). A
     text that is not indexable gets none and loses those of the model that it has."""
@@ -124,34 +186,37 @@ def embed(
     parts = chunking.chunk(good, "doc", "hash", max_bytes).where(F.trim("text") != "")
     made = parts.select(F.col("id").alias("hash"), "seq", "pos", F.lit(model).alias("model"), now.alias("embedded_at"), models.embed(F.col("text"), embedder).alias("embedding"))
     made = stage(made, "vectors")
-    mine = F.col("model").eqNullSafe(F.lit(model))
-    old = vectors.where(~mine).unionByName(vectors.where(mine).join(targets.select("hash"), "hash", "left_anti").select(*vectors.columns)) if force else vectors
+    old = targets.select("hash", F.lit(model).alias("model")) if force else None
     done = made.groupBy("hash").agg(F.count("*").alias("n"))
     live = documents.where("active")
     live = live if collection is None else live.where(F.col("source_collection_id") == collection)
     had = live.join(vectors.select("hash"), "hash", "left_semi").agg(F.count("*").alias("had")) if not force else live.sparkSession.range(1).select(F.lit(0).cast("long").alias("had"))
     count = targets.select("hash", "copies").join(done, "hash").agg(F.count("*").alias("embedded"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("again"))
     summary = count.crossJoin(had).select("embedded", (F.col("had") + F.col("again")).alias("skipped"), "chunks")  # single rows
-    return Run({"content_vectors": old.unionByName(made.select(*vectors.columns))}, summary)
+    return Run({"content_vectors": Change(["hash", "model"], made.select(*vectors.columns), old)}, summary, tables)
 
 
-def cleanup(tables: dict[str, DataFrame]) -> Run:
-    """Drops content, vectors, index rows, tags and metadata that no active document refers to."""
+def cleanup(tables: dict[str, DataFrame], stage: Stage = lambda df, name: df) -> Run:
+    """Drops content, vectors, index rows, tags and metadata that no active document refers to. The
+    summary has a row a table, with how many of its rows go."""
     live = tables["documents"].where("active")
-    hashes, ids = live.select("hash").distinct(), live.select("id")
-    keys = {"content": ("hash", hashes), "content_vectors": ("hash", hashes), "postings": ("doc_id", ids), "lengths": ("doc_id", ids), "document_metadata": ("document_id", ids), "document_tags": ("document_id", ids)}
-    out, gone = {}, None
-    for name, (c, of) in keys.items():
-        t = tables[name]
-        of = of.withColumnRenamed(of.columns[0], c)
-        out[name] = t.join(of, c, "left_semi").select(*t.columns)
-        line = t.join(of, c, "left_anti").agg(F.lit(name).alias("table"), F.count("*").alias("removed"))
-        gone = line if gone is None else gone.union(line)
-    out["index_totals"] = index.totals(out["lengths"])
-    return Run(out, gone)
-
-
-def backfill(tables: dict[str, DataFrame], now: Column, *, collection: int | None = None, force: bool = False, registry: metadata.Registry | None = None, stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Run:
+    old = index_of(tables)
+    held = tables | {"lengths": old.live_lengths, "postings": old.alive(old.postings)}
+    by = {"content": "hash", "content_vectors": "hash", "lengths": "doc_id", "postings": "doc_id", "document_metadata": "document_id", "document_tags": "document_id"}
+    changes, summary = {}, None
+    for name, key in by.items():
+        of = live.select(F.col("hash" if key == "hash" else "id").alias(key))
+        dead = stage(held[name].join(of, key, "left_anti").groupBy(key).agg(F.count("*").alias("n")), f"dead-{name}")
+        line = dead.agg(F.lit(name).alias("table"), F.coalesce(F.sum("n"), F.lit(0)).alias("removed"))
+        summary = line if summary is None else summary.union(line)
+        if name == "lengths":
+            changes |= index_changes(tables, dead.select("doc_id"), None, stage)
+        elif name != "postings":
+            changes[name] = Change([key], gone=dead.select(key))
+    return Run(changes, summary, tables)
+
+
+def backfill(tables: dict[str, DataFrame], now: Column, *, collection: int | None = None, force: bool = False, registry: metadata.Registry | None = None, stage: Stage = lambda df, name: df) -> Run:
     """Extracts metadata of active documents that have none (of all with ``force``); empty texts
     are skipped. A collection's settings may name a profile."""
     live = tables["documents"].where("active")
@@ -163,7 +228,15 @@ def backfill(tables: dict[str, DataFrame], now: Column, *, collection: int | Non
     found = rows.where(F.col("doc") != "").select(F.col("id").alias("document_id"), metadata.document_metadata(F.col("doc"), F.col("path"), F.col("forced"), registry).alias("m"))
     found = stage(found.select("document_id", "m.*", now.alias("extracted_at")), "metadata")
     counts = rows.agg(F.count("*").alias("processed"), F.count_if(F.col("doc") != "").alias("updated"), F.count_if(F.col("doc") == "").alias("skipped"))
-    return Run({"document_metadata": store.replace_rows(tables["document_metadata"], found, ["document_id"]), "document_tags": retagged(tables["document_tags"], found)}, counts)
+    return Run(described(found), counts, tables)
+
+
+def reindex(tables: dict[str, DataFrame], collection: int, stage: Stage = lambda df, name: df) -> Run:
+    """Indexes a collection's active documents anew and takes its other documents out of the index."""
+    mine = tables["documents"].where(F.col("source_collection_id") == collection)
+    live = mine.where("active").join(tables["content"].select("hash", "doc"), "hash")
+    changes = index_changes(tables, mine.select(F.col("id").alias("doc_id")), index.build(live, index_columns()), stage)
+    return Run(changes, mine.where("active").agg(F.count("*").alias("indexed")), tables)
 
 
 def status(tables: dict[str, DataFrame]) -> DataFrame:
@@ -176,7 +249,7 @@ def status(tables: dict[str, DataFrame]) -> DataFrame:
         live.join(have, "hash", "left_semi").agg(F.count("*").alias("embedded")),
         tables["content"].agg(F.coalesce(F.sum(F.octet_length("doc")), F.lit(0)).alias("content_bytes")),
         tables["content_vectors"].agg(F.count("*").alias("vectors")),
-        tables["lengths"].agg(F.count("*").alias("indexed")),
+        index_of(tables).live_lengths.agg(F.count("*").alias("indexed")),
     ]
     out = lines[0]
     for line in lines[1:]:

@@ -46,6 +46,11 @@ class Source:
         """What is there, without the texts."""
         return self.read().drop("text")
 
+    def fetch(self, rows: DataFrame) -> DataFrame:
+        """Adds ``text`` and ``error`` to some rows of the listing; given by sources that know
+        modification times."""
+        raise NotImplementedError
+
     def check_modified(self, stored: DataFrame) -> DataFrame:
         """``(path, touched)`` against stored ``(path, mtime)``; all, where times are not known."""
         if self.capabilities.last_modified:
@@ -84,11 +89,40 @@ class FolderSource(Source):
     capabilities = Capabilities(incremental=True, last_modified=True, document_metadata=True)
 
     def read(self) -> DataFrame:
+        return self.fetch(self.listing())
+
+    def listing(self) -> DataFrame:
         s = self.settings
-        return shaped(files.read_files(self.spark, s.root, list(s.patterns), encoding=s.encoding, follow_symlinks=s.follow_symlinks))
+        return files.list_files(self.spark, s.root, list(s.patterns), follow_symlinks=s.follow_symlinks)
+
+    def fetch(self, rows: DataFrame) -> DataFrame:
+        return files.read_texts(rows, self.settings.encoding)
+
+
+@dataclass
+class DirectorySource(Source):
+    """A folder's files by suffix instead of patterns."""
+
+    spark: SparkSession
+    root: str
+    recursive: bool = True
+    suffixes: tuple[str, ...] = ()
+    capabilities = Capabilities(incremental=True, last_modified=True)
+
+    @classmethod
+    def of(cls, spark: SparkSession, uri: str, config: dict | None = None) -> DirectorySource:
+        config = config or {}
+        suffixes = tuple(s for s in str(config.get("suffixes", "")).replace(",", " ").split())
+        return cls(spark, uri, str(config.get("recursive", True)).lower() in ("true", "1", "yes"), suffixes)
+
+    def read(self) -> DataFrame:
+        return self.fetch(self.listing())
 
     def listing(self) -> DataFrame:
-        return files.list_files(self.spark, self.settings.root).where(files.lists_patterns(F.col("path"), list(self.settings.patterns))).drop("content")
+        return files.list_directory(self.spark, self.root, recursive=self.recursive, suffixes=list(self.suffixes))
+
+    def fetch(self, rows: DataFrame) -> DataFrame:
+        return files.read_texts(rows)
 
 
 @dataclass
@@ -134,6 +168,7 @@ class SourceRegistry:
     def __init__(self) -> None:
         self._makers: dict[str, Callable[..., Source]] = {
             "filesystem": lambda spark, uri, config=None: FolderSource(spark, Settings.of(uri, config)),
+            "directory": DirectorySource.of,
             "parquet": lambda spark, uri, config=None: TableSource(spark, uri),
             "web": lambda spark, uri, config=None: WebSource(spark, uri.split()),
         }

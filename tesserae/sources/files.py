@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.text import mime_type
 from tesserae.functions.text import title as first_heading
-from tesserae.staging import hadoop_path
+from tesserae.sources import tree
 
 DEFAULT_PATTERNS = ["**/*.md"]
 
@@ -85,52 +84,35 @@ def lists_patterns(path: Column, patterns: list[str] | str | None) -> Column:
     return _any(path, list(map(glob_regex, takes))) & ~_any(path, list(map(match_regex, drops)))
 
 
-def _linked(root: str):
-    """Whether a local file lies behind a symbolic link below the root."""
+def list_files(spark: SparkSession, root: str, patterns: list[str] | str | None = None, *, follow_symlinks: bool = False) -> DataFrame:
+    """``uri, path, size, mtime, content_type`` of the files of a folder that the patterns list, hidden
+    names too; no content is read. Files behind symbolic links are left out unless followed."""
+    found = tree.listing(spark, root, follow_symlinks=follow_symlinks).where(lists_patterns(F.col("path"), patterns))
+    return found.select("uri", "path", "size", "mtime", mime_type(F.col("path")).alias("content_type"))
 
-    @F.pandas_udf("boolean")
-    def linked(path: pd.Series) -> pd.Series:
-        def behind(p: str) -> bool:
-            parts = p.split("/")
-            return any(os.path.islink(os.path.join(root, *parts[: i + 1])) for i in range(len(parts)))
 
-        return path.map(behind)
-
-    return linked
-
-
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``uri, path, size, mtime, content`` under a folder; a root that is no folder raises. Files whose
-    names begin with a dot or an underscore are hidden, as everywhere in Spark."""
-    at, fs = hadoop_path(spark, root)
-    if not fs.exists(at):
-        raise FileNotFoundError(f"no such folder: {root}")
-    if not fs.getFileStatus(at).isDirectory():
-        raise NotADirectoryError(f"not a folder: {root}")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = fs.makeQualified(at).toUri().getPath().rstrip("/") + "/"
-    path = F.regexp_replace(F.col("path"), "^(?:[a-z0-9]+:(?://[^/]*)?)?/*" + re.escape(base).lstrip("/"), "")
-    return found.select(F.col("path").alias("uri"), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
-
-
-def read_files(spark: SparkSession, root: str, patterns: list[str] | str | None = None, *, encoding: str = "utf-8", follow_symlinks: bool = False) -> DataFrame:
-    """``uri, path, size, mtime, content_type, text, error``: the files of a folder that the
-    patterns list, decoded, with ``\\n`` line ends; a file that does not decode has an error and no
-    text. Files behind symbolic links are left out unless followed."""
-    rows = list_files(spark, root).where(lists_patterns(F.col("path"), patterns))
-    if not follow_symlinks and ("://" not in root or root.startswith("file:")):
-        local = root.removeprefix("file://").removeprefix("file:")
-        if any(os.path.islink(os.path.join(d, n)) for d, ds, fs in os.walk(local) for n in (*ds, *fs)):
-            rows = rows.where(~_linked(local)("path"))
+def read_texts(rows: DataFrame, encoding: str = "utf-8") -> DataFrame:
+    """Adds ``text`` and ``error`` to listed files: decoded, with ``\\n`` line ends; a file that does
+    not decode, or can't be read, has an error and no text."""
     utf8 = encoding.lower().replace("_", "-") in ("utf-8", "utf8")
     good = F.is_valid_utf8(F.col("content")) if utf8 else F.lit(True)
     text = F.regexp_replace(F.decode("content", "UTF-8" if utf8 else encoding), "\r\n?", "\n")
-    return rows.select("uri", "path", "size", "mtime", mime_type(F.col("path")).alias("content_type"), F.when(good, text).alias("text"), F.when(~good, F.lit("not valid UTF-8")).alias("error"))
+    read = tree.fetch(rows)
+    return read.select(*rows.columns, F.when(F.col("failure").isNull() & good, text).alias("text"), F.when(F.col("failure").isNotNull(), F.col("failure")).when(~good, F.lit("not valid UTF-8")).alias("error"))
+
+
+def read_files(spark: SparkSession, root: str, patterns: list[str] | str | None = None, *, encoding: str = "utf-8", follow_symlinks: bool = False) -> DataFrame:
+    """``uri, path, size, mtime, content_type, text, error``: the files that ``list_files`` lists."""
+    return read_texts(list_files(spark, root, patterns, follow_symlinks=follow_symlinks), encoding)
 
 
 def read_directory(spark: SparkSession, root: str, *, recursive: bool = True, suffixes: list[str] | None = None) -> DataFrame:
     """The files of a folder as ``read_files`` gives them, chosen by suffix instead of patterns."""
-    rows = read_files(spark, root, ["**/*"])
+    return read_texts(list_directory(spark, root, recursive=recursive, suffixes=suffixes))
+
+
+def list_directory(spark: SparkSession, root: str, *, recursive: bool = True, suffixes: list[str] | None = None) -> DataFrame:
+    rows = list_files(spark, root, ["**/*"])
     if not recursive:
         rows = rows.where(~F.col("path").contains("/"))
     if suffixes:

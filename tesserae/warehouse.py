@@ -1,36 +1,81 @@
-"""Versioned tables: immutable snapshots and one pointer that moves them together.
+"""Versioned tables: immutable files and one pointer that moves all tables together.
 
-A commit writes each new table in a folder of its own and then creates the next numbered pointer
-file, which names the folder of every table. The file is created only if it does not exist, so of
-two writers one fails and no half of a commit is ever seen. Readers take the highest pointer.
+A commit writes new files and then creates the next numbered pointer, which names the folders of
+every table. The pointer is created only if it does not exist, so of two writers one fails and no
+half of a commit is ever seen. Readers take the highest pointer. Tables are laid out in one of three
+ways, and a commit writes no more than each needs:
+
+* keyed tables lie in buckets by a hash of their key; a ``Change`` replaces the buckets that it
+  touches and leaves the others as they are;
+* the index lies in segments; an ``Append`` adds one, and nothing that is there is written again;
+* other tables, small ones, are written whole.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import time
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserae.schemas import TABLES
+from tesserae.operators.store import apply_change
+from tesserae.schemas import BUCKETED, SEGMENTED, TABLES
 from tesserae.staging import hadoop_path, small
 
+BUCKETS = 32
+#: A table whose touched buckets are larger than this on average gets four times as many.
+BUCKET_BYTES = 256 << 20
+
 
 class Conflict(RuntimeError):
     """Another writer has committed this version."""
 
 
+@dataclass(frozen=True)
+class Change:
+    """What a commit does to a keyed table: the rows of ``keys`` that ``gone`` names go, and ``rows``
+    take the place of those of their keys. With ``order`` a key is one row, the last in that order.
+
+    Both are read twice, so they should be stored or cheap.
+    """
+
+    keys: list[str]
+    rows: DataFrame | None = None
+    gone: DataFrame | None = None
+    order: list[str] | None = None
+
+    def on(self, stored: DataFrame) -> DataFrame:
+        return apply_change(stored, self.keys, self.rows, self.gone, self.order)
+
+
+@dataclass(frozen=True)
+class Append:
+    """Rows that a commit adds to a segmented table, as a segment of the commit's version."""
+
+    rows: DataFrame
+
+
+@dataclass(frozen=True)
+class Segment:
+    version: int
+    folder: str
+    size: int
+
+
 class Warehouse:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, bucket_bytes: int = BUCKET_BYTES) -> None:
+        self.spark, self.root, self.buckets, self.bucket_bytes = spark, root.rstrip("/"), buckets, bucket_bytes
 
     def versions(self) -> list[int]:
         path, fs = hadoop_path(self.spark, f"{self.root}/_versions")
         names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def _pointer(self, version: int | None = None) -> tuple[int, dict[str, str]]:
+    def _pointer(self, version: int | None = None) -> tuple[int, dict]:
         have = self.versions()
         if not have:
             return 0, {}
@@ -43,37 +88,104 @@ class Warehouse:
             stream.close()
         return n, json.loads(text)
 
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        """A table as of a version (the last one by default); one that was never written is empty."""
-        at = self._pointer(version)[1].get(name)
-        if at is None:
+    # -- reading
+
+    def load(self, name: str, folders: list[str]) -> DataFrame:
+        """Some of a table's folders."""
+        if not folders:
             return small(self.spark, [], TABLES[name])
         reader = self.spark.read
-        return (reader.schema(TABLES[name]) if name in TABLES else reader).parquet(f"{self.root}/{at}")
+        return (reader.schema(TABLES[name]) if name in TABLES else reader).parquet(*[f"{self.root}/{f}" for f in folders])
+
+    def folders(self, name: str, version: int | None = None) -> list[str]:
+        """The folders that make up a table."""
+        return _folders(self._pointer(version)[1].get(name))
 
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Writes all the tables and makes them current at once; returns the new version."""
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """A table as of a version (the last one by default); one that was never written is empty."""
+        return self.load(name, self.folders(name, version))
+
+    def segments(self, name: str) -> list[Segment]:
+        return [Segment(*s) for s in self._pointer()[1].get(name, {}).get("segments", [])]
+
+    # -- committing
+
+    def _folder(self, name: str) -> str:
+        return f"{name}/{uuid.uuid4().hex}"
+
+    def _size(self, folder: str) -> int:
+        path, fs = hadoop_path(self.spark, f"{self.root}/{folder}")
+        return fs.getContentSummary(path).getLength()
+
+    def _write_buckets(self, name: str, rows: DataFrame, count: int) -> dict[str, str]:
+        """Writes rows by bucket; the folder of each bucket that has any."""
+        at = self._folder(name)
+        rows.withColumn("bucket", bucket(name, count)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{at}")
+        path, fs = hadoop_path(self.spark, f"{self.root}/{at}")
+        found = [f.getPath().getName() for f in fs.listStatus(path) if f.isDirectory()]
+        return {n.removeprefix("bucket="): f"{at}/{n}" for n in found if n.startswith("bucket=")}
+
+    def _changed(self, name: str, change: Change, entry: dict | None) -> dict | None:
+        """A keyed table's next entry; None if the change touches nothing."""
+        count = entry["count"] if entry else self.buckets
+        keys = [p.select(*change.keys) for p in (change.rows, change.gone) if p is not None]
+        touched = {str(r[0]) for k in keys for r in k.select(bucket(name, count)).distinct().collect()}  # at most ``count`` rows
+        if not touched:
+            return None
+        held = entry["buckets"] if entry else {}
+        mine = [held[b] for b in sorted(touched) if b in held]
+        if mine and sum(map(self._size, mine)) > self.bucket_bytes * len(mine):
+            return {"count": 4 * count, "buckets": self._write_buckets(name, change.on(self.load(name, list(held.values()))), 4 * count)}
+        made = self._write_buckets(name, change.on(self.load(name, mine)), count)
+        return {"count": count, "buckets": {b: f for b, f in held.items() if b not in touched} | made}
+
+    def _appended(self, name: str, rows: DataFrame, version: int) -> list[list]:
+        at = self._folder(name)
+        (rows.withColumn("seg", F.lit(version).cast("long")) if "seg" in SEGMENTED[name] else rows).write.parquet(f"{self.root}/{at}")
+        return [] if self.load(name, [at]).isEmpty() else [[version, at, self._size(at)]]
+
+    def commit(self, tables: dict[str, DataFrame | Change | Append], drop: dict[str, list[int]] | None = None) -> int:
+        """Writes what changes and makes it current at once; returns the new version. ``drop`` names
+        segments, by version, that go. If nothing changes nothing is written."""
         version, current = self._pointer()
-        placed = {}
-        for name, df in tables.items():
-            placed[name] = f"{name}/{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.root}/{placed[name]}")
-        path, fs = hadoop_path(self.spark, f"{self.root}/_versions/{version + 1:012d}.json")
+        placed = {n: {"segments": [s for s in current.get(n, {}).get("segments", []) if s[0] not in gone]} for n, gone in (drop or {}).items()}
+        for name, given in tables.items():
+            if isinstance(given, Change):
+                if entry := self._changed(name, given, current.get(name)):
+                    placed[name] = entry
+            elif isinstance(given, Append):
+                if made := self._appended(name, given.rows, version + 1):
+                    before = placed.get(name) or current.get(name) or {"segments": []}
+                    placed[name] = {"segments": before["segments"] + made}
+            elif name in BUCKETED:
+                placed[name] = {"count": self.buckets, "buckets": self._write_buckets(name, given, self.buckets)}
+            elif name in SEGMENTED:
+                placed[name] = {"segments": self._appended(name, given, version + 1)}
+            else:
+                at = self._folder(name)
+                given.write.parquet(f"{self.root}/{at}")
+                placed[name] = {"folder": at}
+        if all(current.get(n) == entry for n, entry in placed.items()):
+            return version
+        self._point(version + 1, current | placed)
+        return version + 1
+
+    def _point(self, version: int, tables: dict) -> None:
+        path, fs = hadoop_path(self.spark, f"{self.root}/_versions/{version:012d}.json")
         fs.mkdirs(path.getParent())
         try:
             out = fs.create(path, False)
         except Exception as e:
-            raise Conflict(f"version {version + 1} exists") from e
+            raise Conflict(f"version {version} exists") from e
         try:
-            out.write(bytearray(json.dumps(current | placed).encode()))
+            out.write(bytearray(json.dumps(tables).encode()))
         finally:
             out.close()
-        return version + 1
 
     def vacuum(self, keep: int = 1, least_age: float = 86400.0) -> int:
         """Deletes folders that none of the last ``keep`` versions names. Those younger than
         ``least_age`` seconds stay, as a writer may be about to commit them."""
-        kept = {at for v in self.versions()[-keep:] for at in self._pointer(v)[1].values()}
+        kept = {"/".join(f.split("/")[:2]) for v in self.versions()[-keep:] for entry in self._pointer(v)[1].values() for f in _folders(entry)}
         path, fs = hadoop_path(self.spark, self.root)
         gone = 0
         for table in fs.listStatus(path) if fs.exists(path) else []:
@@ -94,3 +206,24 @@ class Warehouse:
     def sql(self, text: str, args: list | dict | None = None) -> DataFrame:
         self.views()
         return self.spark.sql(text, args=args)
+
+
+def _folders(entry: dict | None) -> list[str]:
+    if entry is None:
+        return []
+    if "buckets" in entry:
+        return list(entry["buckets"].values())
+    return [s[1] for s in entry["segments"]] if "segments" in entry else [entry["folder"]]
+
+
+def bucket(name: str, count: int) -> Column:
+    return F.pmod(F.xxhash64(*BUCKETED[name]), F.lit(count)).cast("int")
+
+
+def full_tier(segments: list[Segment], fanout: int, unit: int = 1 << 20) -> list[Segment]:
+    """The segments of the least tier that holds ``fanout`` of them: tiers are powers of ``fanout``
+    times ``unit`` bytes. None where no tier is full."""
+    tiers: dict[int, list[Segment]] = {}
+    for s in segments:
+        tiers.setdefault(max(0, math.ceil(math.log(max(s.size, 1) / unit, fanout))), []).append(s)
+    return next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= fanout), [])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tesserae import __main__ as cli
 from tesserae.engine import Engine
 from tesserae.functions import providers, tracing
-from tesserae.operators import collections, tags, vectors
+from tesserae.operators import collections, fulltext, index, tags, vectors
 
 
 @pytest.fixture
@@ -60,16 +60,71 @@ def test_life_of_a_collection(spark, folder, tmp_path):
     assert e.table("documents").where("active").count() == 2 and e.sql("SELECT count(*) AS n FROM documents WHERE active = ?", [False]).first()["n"] == 1
     assert e.cleanup()["content"] == 2 and e.cleanup()["content"] == 0
     assert e.backfill() == {"processed": 0, "updated": 0, "skipped": 0} and e.backfill("notes", force=True)["updated"] == 2
-    assert e.reindex("notes") == 2 and e.table("lengths").count() == 2
+    assert e.reindex("notes") == 2 and e.live_index.live_lengths.count() == 2 and e.sql("SELECT doc_id FROM lengths").count() == 2
     e.rename_collection("notes", "papers")
     e.move_collection("papers", str(folder), ["*.txt"])
     assert e.ingest_all() == {"papers": {"indexed": 0, "skipped": 0, "errors": 0, "stale": 2}}
-    assert e.remove_collection("papers")[0] == 3 and e.status()["documents"] == 0 and e.table("postings").count() == 0
+    assert e.remove_collection("papers")[0] == 3 and e.status()["documents"] == 0 and e.sql("SELECT * FROM postings").count() == 0
     with pytest.raises(collections.Unknown):
         e.ingest("papers")
     e.close()
 
 
+def test_segments_and_merges(spark, tmp_path):
+    """Every ingestion writes a segment and a delete set; searches over segments, and after merges, give
+    what an index built afresh gives; where nothing has changed nothing is written."""
+    d = tmp_path / "in"
+    d.mkdir()
+    for i in range(6):
+        (d / f"{i}.md").write_text(f"common words of file {i} {'rare ' * (i % 3)}")
+    e = Engine(spark, str(tmp_path / "w"))
+    e.add_collection("c", str(d))
+    e.ingest("c")
+    first = e.warehouse.segments("postings")
+
+    def hits():
+        return sorted((r["query_id"], r["id"], round(r["score"], 9)) for r in index.search(e.live_index, [(1, fulltext.parse_query("common")), (2, fulltext.parse_query("rare OR changed")), (3, fulltext.parse_query("fil*"))]).collect())
+
+    def fresh():
+        docs = e.table("documents").where("active").join(e.table("content"), "hash")
+        made = index.build(docs, {"path": F.col("path"), "body": F.col("doc")})
+        return sorted((r["query_id"], r["id"], round(r["score"], 9)) for r in index.search(made, [(1, fulltext.parse_query("common")), (2, fulltext.parse_query("rare OR changed")), (3, fulltext.parse_query("fil*"))]).collect())
+
+    assert hits() == fresh()
+    (d / "1.md").write_text("changed words, common too")
+    (d / "2.md").unlink()
+    e.ingest("c")
+    second = e.warehouse.segments("postings")
+    assert second[:1] == first and len(second) == 2 and e.warehouse.load("postings", [second[1].folder]).select("doc_id").distinct().count() == 1
+    assert e.table("index_deletes").count() == 2 and hits() == fresh()
+    assert e.live_index.stats.first()["n"] == 5
+    files, version = sorted(map(str, (tmp_path / "w").rglob("*"))), e.warehouse.versions()
+    assert e.ingest("c")["skipped"] == 5 and e.warehouse.versions() == version and sorted(map(str, (tmp_path / "w").rglob("*"))) == files
+    for text in ("again", "and again"):
+        (d / "1.md").write_text(f"changed {text} common")
+        e.ingest("c")
+    assert len(e.warehouse.segments("postings")) == 1  # the fourth filled a tier
+    assert e.table("index_deletes").count() == 0 and e.table("index_totals").count() == 1 and hits() == fresh()
+    assert e.table("postings").count() == index.build(e.table("documents").where("active").join(e.table("content"), "hash"), {"path": F.col("path"), "body": F.col("doc")}).postings.count()
+
+
+def test_unchanged_files_are_not_read(spark, tmp_path, monkeypatch):
+    d = tmp_path / "in"
+    (d / "_drafts").mkdir(parents=True)
+    for name in ("a.md", "_b.md", ".c.md", "_drafts/d.md"):
+        (d / name).write_text(f"text of {name}")
+    e = Engine(spark, str(tmp_path / "w"))
+    e.add_collection("c", str(d))
+    asked = []
+    source = e.source("c")
+    real = source.fetch
+    source.fetch = lambda rows: asked.append(rows.count()) or real(rows)
+    assert e.ingest("c", source=source)["indexed"] == 4 and e.table("documents").count() == 4
+    assert e.ingest("c", source=source) == {"indexed": 0, "skipped": 4, "errors": 0, "stale": 0}
+    (d / "a.md").write_text("new text")
+    assert e.ingest("c", source=source)["indexed"] == 1 and asked == [4, 0, 1]
+
+
 def test_command_line(spark, folder, tmp_path, capsys):
     def run(*args):
         assert cli.main(["--root", str(tmp_path / "w"), *args]) == 0

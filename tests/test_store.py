@@ -1,10 +1,12 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import store
 from tesserae.sources import base, files
 from tesserae.streaming import ingest
-from tesserae.warehouse import Conflict, Warehouse
+from tesserae.warehouse import Append, Change, Conflict, Segment, Warehouse, full_tier
 
 DOC = "id long, source_collection_id long, path string, title string, hash string, active boolean, modified_at string"
 
@@ -70,7 +72,7 @@ def test_read_files(spark, tmp_path):
     (tmp_path / ".hidden.md").write_text("h")
     assert files.read_files(spark, str(tmp_path), ["d/with*"], encoding="ISO-8859-1").first()["text"] == "é"
     named = lambda **o: {r["path"] for r in files.read_directory(spark, str(tmp_path), **o).collect()}
-    assert named(suffixes=[".TXT"]) == {"d/skip.txt"} and named(recursive=False) == {"a.md"}
+    assert named(suffixes=[".TXT"]) == {"d/skip.txt"} and named(recursive=False) == {"a.md", ".hidden.md"}
     with pytest.raises(FileNotFoundError):
         files.read_files(spark, str(tmp_path / "none"))
     with pytest.raises(NotADirectoryError):
@@ -135,7 +137,7 @@ def test_warehouse(spark, tmp_path):
     w = Warehouse(spark, str(tmp_path / "w"))
     assert w.versions() == [] and w.read("content").count() == 0
     row = lambda h: spark.createDataFrame([(h, "d", None)], w.read("content").schema)
-    assert w.commit({"content": row("a")}) == 1 and w.commit({"lengths": spark.createDataFrame([(1, 2)], "doc_id long, dl int")}) == 2
+    assert w.commit({"content": row("a")}) == 1 and w.commit({"lengths": Append(spark.createDataFrame([(1, 2)], "doc_id long, dl int"))}) == 2
     assert w.read("content").first()["hash"] == "a" and w.read("lengths").count() == 1 and w.read("lengths", 1).count() == 0
     other = Warehouse(spark, w.root)
     real, other._pointer = other._pointer, lambda v=None: (1, {})  # a writer that has seen version 1 alone
@@ -146,6 +148,66 @@ def test_warehouse(spark, tmp_path):
     assert w.sql("SELECT hash FROM content WHERE hash = ?", ["a"]).count() == 1
 
 
+def test_touched_buckets(spark, tmp_path):
+    """A change replaces the buckets of its keys and no others; keys that come twice are one row; a
+    change of nothing writes nothing; large buckets are dealt into more."""
+    w = Warehouse(spark, str(tmp_path / "w"), buckets=16)
+    row = "document_id long, profile string, tags array<string>, source_tags array<string>, attributes string, extracted_at timestamp_ntz"
+    at = lambda n, p="p", day=1: (n, p, [], [], "{}", datetime.datetime(2024, 1, day))
+    made = lambda *rows: spark.createDataFrame(list(rows), row)
+    change = lambda rows, gone=None: Change(["document_id"], rows, gone, ["extracted_at"])
+    w.commit({"document_metadata": change(made(*map(at, range(200))))})
+    before = set(w.folders("document_metadata"))
+    assert 12 < len(before) <= 16
+    w.commit({"document_metadata": change(made(at(3, "old", 2), at(3, "new", 3), at(900)), made(at(7)).select("document_id"))})
+    after = set(w.folders("document_metadata"))
+    assert 1 <= len(before - after) <= 3 and len(before & after) >= 9
+    got = {r["document_id"]: r["profile"] for r in w.read("document_metadata").collect()}
+    assert len(got) == w.read("document_metadata").count() == 200 and got[3] == "new" and 7 not in got and 900 in got
+    version = w.versions()
+    assert w.commit({"document_metadata": change(made())}) == version[-1] and w.versions() == version
+    w.commit({"document_metadata": change(None, w.read("document_metadata").select("document_id"))})
+    assert w.read("document_metadata").count() == 0 and w.folders("document_metadata") == []
+    small_ones = Warehouse(spark, str(tmp_path / "v"), buckets=2, bucket_bytes=1)
+    small_ones.commit({"document_metadata": change(made(*map(at, range(50))))})
+    small_ones.commit({"document_metadata": change(made(at(1)))})
+    assert small_ones._pointer()[1]["document_metadata"]["count"] == 8 and small_ones.read("document_metadata").count() == 50
+
+
+def test_tiers():
+    seg = lambda n, size: Segment(n, "f", size)
+    few = [seg(1, 5 << 20), seg(2, 10), seg(3, 100), seg(4, 1 << 19)]
+    assert full_tier(few, 4) == [] and full_tier([*few, seg(5, 1)], 4) == [*few[1:], seg(5, 1)]
+    assert full_tier([seg(i, 5 << 20) for i in range(4)] + few[1:3], 4) == [seg(i, 5 << 20) for i in range(4)]
+
+
+def test_changes(spark):
+    stored = spark.createDataFrame([(1, "a"), (None, "n"), (2, "b")], "id long, v string")
+    rows = spark.createDataFrame([(2, "c"), (2, "d"), (None, "m")], "id long, v string")
+    gone = spark.createDataFrame([(1,)], "id long")
+    kept = lambda **o: {tuple(r) for r in store.apply_change(stored, ["id"], rows, **o).collect()}
+    assert kept(gone=gone, order=["v"]) == {(2, "d"), (None, "m")} and kept() == {(1, "a"), (2, "c"), (2, "d"), (None, "m")}
+    assert store.replace_rows(stored, rows, ["id"]).count() == 3
+
+
+def test_tree(spark, tmp_path):
+    """Every file below a folder, hidden names too, over more folders than the driver descends to."""
+    from tesserae.sources import tree
+
+    want = set()
+    for i in range(90):
+        for name in (f"d{i}/x.md", f"d{i}/.h/y", f"_e/f{i}/z.md"):
+            (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name).write_text(name)
+            want.add(name)
+    (tmp_path / "loop").symlink_to(tmp_path)
+    rows = tree.listing(spark, str(tmp_path))
+    assert {r["path"] for r in rows.collect()} == want and rows.rdd.getNumPartitions() >= 64
+    assert {r["path"] for r in tree.listing(spark, f"file://{tmp_path}", follow_symlinks=True).collect()} == want
+    got = tree.fetch(rows.where("path LIKE 'd1%'").unionByName(spark.createDataFrame([("file:///none", "none", 1, None, False)], rows.schema))).collect()
+    assert all((bytes(r["content"]).decode() == r["path"]) if r["failure"] is None else r["path"] == "none" for r in got) and sum(r["failure"] is not None for r in got) == 1
+
+
 def test_stream(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(source)
