@@ -36,7 +36,7 @@ _PROBE = "a  b\t\ufb01\u3000\u2163\n e\u0301 "
 #: What splits a text before byte-level merges where the tokenizer's file names no other pattern.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text that a block holds, but for a single longer text.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 UNITS_AT_ONCE = 1 << 14
 SHIFT = 20
 LINES, UNITS, PAIRS = 0, 1, 2
