@@ -134,7 +134,7 @@ def ingest(
     after = stage(store.soft_delete(changed.select(*[refresh(c) for c in documents.columns]), gone), "documents")
     content = stage(store.new_content(tables["content"], loaded.select("hash", F.col("text").alias("doc"), now.alias("created_at"))), "content")
     fresh = loaded.select("path", F.col("text").alias("doc")).join(after.select("id", "path"), "path")
-    leaving = fresh.select(F.col("id").alias("doc_id")).union(after.where("not active").select("id"))
+    leaving = fresh.select(F.col("id").alias("doc_id")).union(after.where("not active").select("id")).union(mine.where("not active").select("id"))
     made = index.build(fresh.where(T.is_indexable(F.col("doc"))), index_columns())
     found = fresh.select(F.col("id").alias("document_id"), metadata.document_metadata(F.col("doc"), F.col("path"), F.lit(profile).cast("string"), registry).alias("m"))
     found = stage(found.select("document_id", "m.*", now.alias("extracted_at")), "metadata")
