@@ -12,10 +12,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import index
+from tesserae.operators import blockmax, index
 from tesserae.staging import hadoop_path, staged
 
 _INDEXES: dict[tuple, index.Index] = {}
+_BLOCKS: dict[int, DataFrame] = {}
 
 
 @dataclass
@@ -71,6 +72,14 @@ class Corpus:
             _INDEXES[key] = index.Index(staged(index.ordered(made.postings), "postings"), lengths, staged(index.totals(lengths), "totals"))
         return _INDEXES[key]
 
+    @property
+    def token_blocks(self) -> DataFrame:
+        """The bounds of that index's blocks by token, stored beside it."""
+        at = self.index
+        if id(at) not in _BLOCKS:
+            _BLOCKS[id(at)] = staged(blockmax.ordered(blockmax.build(at, stemmed=False)), "blocks")
+        return _BLOCKS[id(at)]
+
     def make_index(self) -> index.Index:
         docs = self.documents.join(self.fts_ids, "id", "left_semi")
         return index.build(docs, {"path": F.col("path"), "body": F.col("text")})
@@ -117,6 +126,10 @@ class StoredCorpus:
     def index(self) -> index.Index:
         return index.Index(self.tables["postings"], self.tables["lengths"], self.tables["index_totals"], self.tables["index_deletes"])
 
+    @property
+    def blocks(self) -> DataFrame:
+        return self.tables["blocks"]
+
     @property
     def vectors(self) -> DataFrame:
         return self.tables["content_vectors"].select("hash", "seq", F.col("seq").cast("long").alias("vec_id"), "embedding").join(self.documents, "hash")

@@ -132,7 +132,8 @@ class Engine:
             spent = [s.version for s in self.warehouse.segments("index_deletes") if all(v >= s.version for v in left)]
             sums = tables["index_totals"].agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
             every = [s.version for s in self.warehouse.segments("index_totals")]
-            self.warehouse.commit({"postings": Append(index.ordered(made.postings)), "lengths": Append(made.lengths), "index_totals": Append(sums)}, drop={"postings": gone, "lengths": gone, "index_deletes": spent, "index_totals": every})
+            made = index.Index(made.postings, self._stage(made.lengths, "lengths"))
+            self.warehouse.commit({**upkeep.segment(made), "index_totals": Append(sums)}, drop={"postings": gone, "lengths": gone, "blocks": gone, "index_deletes": spent, "index_totals": every})
         return merges
 
     def _cache(self, name: str, number: int, touched: DataFrame) -> None:
@@ -206,10 +207,11 @@ class Engine:
         c = self.config
         return hybrid.SearchConfig(limit or c.limit, c.min_score, c.fts_weight, c.vec_weight, c.tag_weight, c.rrf_k, candidates=c.candidates, normalize=c.normalize)
 
-    def fts_search(self, text: str, limit: int | None = None, collection: str | None = None, min_score: float = 0.0) -> DataFrame:
-        """``(query_id, rank, document_id, file, score)``."""
+    def fts_search(self, text: str, limit: int | None = None, collection: str | None = None, min_score: float = 0.0, *, pruned: bool = False) -> DataFrame:
+        """``(query_id, rank, document_id, file, score)``. ``pruned`` skips blocks of postings that can't
+        reach the page, at the price of a first pass: for large indexes."""
         scope = hybrid.scope_of(self.spark, [hybrid.Query(1, text, collection=self._scope(collection))])
-        found = hybrid.text_list(self.corpus, [(1, fulltext.parse_query(text))], limit or self.config.limit, scope=scope)
+        found = hybrid.text_list(self.corpus, [(1, fulltext.parse_query(text))], limit or self.config.limit, scope=scope, pruned=pruned)
         return found.where(F.col("score") >= min_score).withColumnRenamed("filepath", "file").orderBy("rank")
 
     def vector_search(self, text: str, limit: int | None = None, collection: str | None = None, min_score: float = 0.0) -> DataFrame:

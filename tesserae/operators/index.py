@@ -37,7 +37,7 @@ class Index:
     def stats(self) -> DataFrame:
         """``n, avgdl`` over all indexed rows, from the stored totals if there are any."""
         known = totals(self.live_lengths) if self.totals is None else self.totals
-        return known.agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("avgdl"))
+        return known.agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("n")).alias("avgdl"))
 
     @property
     def live_lengths(self) -> DataFrame:
@@ -139,6 +139,30 @@ def _holds(node: Node, numbers: dict[int, int], have: Column) -> Column:
     return F.array_contains(have, numbers[id(node)])
 
 
+def idf(n: Column, df: Column) -> Column:
+    raw = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(raw > 0, raw).otherwise(1e-6)
+
+
+def weight(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
+    """A word's share of a score, but for its rarity."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def words_of(asked: list[tuple[int, Node]], stemmed: bool) -> tuple[list[tuple[int, int, str]], dict[int, int]]:
+    """``(query_id, leaf, word)`` of queries whose leaves are single words, and their leaves' numbers."""
+    slots, _, numbers = _slots(asked, stemmed)
+    return [(s[0], s[1], s[4]) for s in slots], numbers
+
+
+def met(asked: list[tuple[int, Node]], numbers: dict[int, int]) -> Column:
+    """Whether the leaves ``have`` of a row satisfy its query."""
+    out = F.lit(False)
+    for q, tree in asked:
+        out = F.when(F.col("query_id") == q, _holds(tree, numbers, F.col("have"))).otherwise(out)
+    return out
+
+
 def search(index: Index, asked: list[tuple[int, Node]], *, stemmed: bool = True, k1: float = K1, b: float = B, stats: DataFrame | None = None) -> DataFrame:
     """``(query_id, id, score)`` of the rows that satisfy each query: BM25 summed over its words,
     prefixes and phrases, each of which counts as one unit."""
@@ -188,12 +212,8 @@ def _search(index: Index, asked: list[tuple[int, Node]], stemmed: bool, k1: floa
             starts = _near(starts, groups)
         tf = tf.union(starts.groupBy("query_id", "leaf", "doc_id").agg(F.sum(F.size("starts")).alias("tf")))
     df = tf.groupBy("query_id", "leaf").agg(F.count("*").alias("df"))  # as many rows as the batch has units
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.crossJoin(F.broadcast(stats.select("n", "avgdl"))).select("query_id", "leaf", "avgdl", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))  # one row of statistics
-    score = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(F.broadcast(idf), ["query_id", "leaf"]).join(index.live_lengths.select("doc_id", "dl"), "doc_id")
+    rare = df.crossJoin(F.broadcast(stats.select("n", "avgdl"))).select("query_id", "leaf", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))  # one row of statistics
+    score = F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    scored = tf.join(F.broadcast(rare), ["query_id", "leaf"]).join(index.live_lengths.select("doc_id", "dl"), "doc_id")
     per = scored.groupBy("query_id", "doc_id").agg(F.sum(score).alias("score"), F.collect_set("leaf").alias("have"))
-    met = F.lit(False)
-    for q, tree in asked:
-        met = F.when(F.col("query_id") == q, _holds(tree, numbers, F.col("have"))).otherwise(met)
-    return per.where(met).select("query_id", F.col("doc_id").alias("id"), "score")
+    return per.where(met(asked, numbers)).select("query_id", F.col("doc_id").alias("id"), "score")

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators import fulltext, fusion, index, tags, vectors
+from tesserae.operators import blockmax, fulltext, fusion, index, tags, vectors
 from tesserae.staging import small
 
 
@@ -58,10 +58,15 @@ def lenient(text: str) -> fulltext.Node | None:
         return None
 
 
-def text_list(corpus, asked: list[tuple[int, fulltext.Node]], limit: int, *, scope: DataFrame | None = None, mode: str = "reference", stemmed: bool = True) -> DataFrame:
+def text_list(corpus, asked: list[tuple[int, fulltext.Node]], limit: int, *, scope: DataFrame | None = None, mode: str = "reference", stemmed: bool = True, pruned: bool = False) -> DataFrame:
     """``(query_id, rank, document_id, filepath, score)`` of the full-text searcher; statistics
-    cover the whole index, a collection is cut out before the page."""
-    hits = index.search(corpus.index, asked, stemmed=stemmed).join(corpus.active.select("id", "path", "source_collection_id"), "id")
+    cover the whole index, a collection is cut out before the page. ``pruned`` skips blocks of a
+    stored index where the queries are such that it can and name no collection."""
+    if pruned and stemmed and scope is None and blockmax.takes(asked):
+        hits = blockmax.search(corpus.index, corpus.blocks, asked, limit, corpus.active).hits
+    else:
+        hits = index.search(corpus.index, asked, stemmed=stemmed)
+    hits = hits.join(corpus.active.select("id", "path", "source_collection_id"), "id")
     hits = hits if scope is None else vectors.within(hits, scope)
     top = fulltext.normalize_hits(fulltext.top_hits(hits, limit), mode)
     return top.select("query_id", "rank", F.col("id").alias("document_id"), F.col("path").alias("filepath"), "score")

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from tesserae.corpus import VIEWS, Corpus
 from tesserae.functions import chunking, metadata, stemming
 from tesserae.functions import text as T
-from tesserae.operators import collections, fulltext, fusion, index, store, tags, vectors
+from tesserae.operators import blockmax, collections, fulltext, fusion, index, store, tags, vectors
 from tesserae.plans import hybrid as H
 from tesserae.plans import upkeep
 from tesserae.schemas import TABLES
@@ -273,6 +273,19 @@ def _(c):
     return fulltext.normalize_hits(_bm25(c), "max").select("query_id", "id", r6(F.col("score"), "score"))
 
 
+_WORD = "SELECT {q}::BIGINT AS query_id, {n} AS leaf, id, count(*) AS tf FROM pos WHERE {where} GROUP BY id"
+#: Words under OR and AND, for the search that skips blocks.
+SKIPPED = [(1, "from OR with OR the"), (2, "nicht das"), (3, "este OR por"), (4, "pour"), (5, "of (from OR nicht)")]
+_SKIPPED = " UNION ALL ".join(_WORD.format(q=q, n=n, where=f"term = '{t}'") for q, ts in ((1, ("from", "with", "the")), (2, ("nicht", "das")), (3, ("este", "por")), (4, ("pour",)), (5, ("of", "from", "nicht"))) for n, t in enumerate(ts))
+
+
+@query("bm25_block_max", _INDEX + _page("page", _SKIPPED, "CASE s.query_id WHEN 2 THEN len(have) = 2 WHEN 5 THEN list_contains(have, 0) AND len(have) > 1 ELSE true END") + "SELECT query_id, id, rank, round(score, 6) AS score FROM page")
+def _(c):
+    """Blocks of postings whose bound can't reach the page are skipped; the hits are those of the whole search."""
+    found = blockmax.search(c.index, c.token_blocks, _parsed(SKIPPED), 15, c.active.select("id"), stemmed=False)
+    return fulltext.top_hits(found.hits, 15).select("query_id", "id", _long("rank"), r6(F.col("score"), "score"))
+
+
 STEMS = [(1, ["from", "with"]), (2, ["nichts", "das"]), (3, ["estes", "pores"]), (4, ["tion"]), (5, ["être"])]
 _KEYED = """, keys AS (SELECT term, stem FROM (SELECT DISTINCT term, strip_accents(term) AS folded FROM pos) JOIN (SELECT DISTINCT token, stem FROM (__STEM__)) ON token = folded
 ), keyed AS (SELECT p.id, p.col, k.stem, p.p FROM pos p JOIN keys k USING (term))
@@ -287,7 +300,6 @@ def _(c):
 
 #: The grammar, ranked: OR, NOT, prefix, phrase, a column, NEAR.
 GRAMMAR = [(1, "from OR nicht"), (2, "from NOT with"), (3, "fro*"), (4, '"of the"'), (5, "path:fr pour"), (6, "NEAR(from with, 5)"), (7, 'AND_ OR "of the" NOT body:fr*')]
-_WORD = "SELECT {q}::BIGINT AS query_id, {n} AS leaf, id, count(*) AS tf FROM pos WHERE {where} GROUP BY id"
 _PAIR = "SELECT {q}::BIGINT, {n}, a.id, count(*) FROM pos a JOIN pos b ON a.id = b.id AND a.col = b.col AND b.p = a.p + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.id"
 _CLOSE = "SELECT {q}::BIGINT, {n}, p.id, count(*) FROM pos p WHERE p.term = '{t}' AND (p.id, p.col) IN (SELECT (a.id, a.col) FROM pos a JOIN pos b ON a.id = b.id AND a.col = b.col WHERE a.term = 'from' AND b.term = 'with' AND abs(a.p - b.p) <= 6) GROUP BY p.id"
 _UNITS = " UNION ALL ".join(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import chunking, metadata, models
 from tesserae.functions import text as T
-from tesserae.operators import index, store
+from tesserae.operators import blockmax, index, store
 from tesserae.schemas import SEGMENTED
 from tesserae.warehouse import Append, Change
 
@@ -67,7 +67,12 @@ def index_changes(tables: dict[str, DataFrame], gone: DataFrame, new: index.Inde
     lengths = stage(made.lengths, "lengths")
     deletes, delta = index.step(old, gone, index.Index(made.postings, lengths))
     out = {"index_deletes": Append(deletes), "index_totals": Append(delta)}
-    return out if new is None else {"postings": Append(index.ordered(made.postings)), "lengths": Append(lengths)} | out
+    return out if new is None else segment(index.Index(made.postings, lengths)) | out
+
+
+def segment(made: index.Index) -> dict[str, Append]:
+    """An index, or what a commit adds to one, as segments of its tables."""
+    return {"postings": Append(index.ordered(made.postings)), "lengths": Append(made.lengths), "blocks": Append(blockmax.ordered(blockmax.build(made)))}
 
 
 def title(text: Column, path: Column) -> Column:

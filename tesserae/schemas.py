@@ -11,6 +11,7 @@ TABLES = {
     ),
     "postings": "doc_id long, col string, token string, key string, positions array<int>, seg long",
     "lengths": "doc_id long, dl int, seg long",
+    "blocks": "word string, range long, n long, tf long, dl int, seg long",
     "index_deletes": "doc_id long, seg long",
     "index_totals": "n long, total long",
     "content_vectors": "hash string, seq int, pos long, model string, embedded_at timestamp_ntz, embedding array<float>",
@@ -21,4 +22,4 @@ TABLES = {
 #: Tables that lie in buckets by a hash of these columns.
 BUCKETED = {"documents": ["source_collection_id", "path"], "content": ["hash"], "content_vectors": ["hash"], "document_metadata": ["document_id"], "document_tags": ["document_id"]}
 #: Tables that grow by segments, with their columns.
-SEGMENTED = {name: [c.split()[0] for c in TABLES[name].split(", ")] for name in ("postings", "lengths", "index_deletes", "index_totals")}
+SEGMENTED = {name: [c.split()[0] for c in TABLES[name].split(", ")] for name in ("postings", "lengths", "blocks", "index_deletes", "index_totals")}

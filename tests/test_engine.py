@@ -91,6 +91,7 @@ def test_segments_and_merges(spark, tmp_path):
         return sorted((r["query_id"], r["id"], round(r["score"], 9)) for r in index.search(made, [(1, fulltext.parse_query("common")), (2, fulltext.parse_query("rare OR changed")), (3, fulltext.parse_query("fil*"))]).collect())
 
     assert hits() == fresh()
+    page = lambda q, **o: [(r["file"], round(r["score"], 9)) for r in e.fts_search(q, 3, **o).collect()]
     (d / "1.md").write_text("changed words, common too")
     (d / "2.md").unlink()
     e.ingest("c")
@@ -98,6 +99,8 @@ def test_segments_and_merges(spark, tmp_path):
     assert second[:1] == first and len(second) == 2 and e.warehouse.load("postings", [second[1].folder]).select("doc_id").distinct().count() == 1
     assert e.table("index_deletes").count() == 2 and hits() == fresh()
     assert e.live_index.stats.first()["n"] == 5
+    for q in ("common", "rare OR changed", "common (rare OR changed)", '"common words"'):
+        assert page(q, pruned=True) == page(q)
     files, version = sorted(map(str, (tmp_path / "w").rglob("*"))), e.warehouse.versions()
     assert e.ingest("c")["skipped"] == 5 and e.warehouse.versions() == version and sorted(map(str, (tmp_path / "w").rglob("*"))) == files
     for text in ("again", "and again"):
