@@ -15,7 +15,7 @@ from tesserae.functions.tracing import span
 from tesserae.operators import collections, fulltext, index, store, tags
 from tesserae.plans import answers, hybrid, upkeep
 from tesserae.schemas import SEGMENTED, TABLES
-from tesserae.sources.base import Source, SourceRegistry
+from tesserae.sources.base import Source, SourceRegistry, shaped
 from tesserae.staging import hadoop_path, staged
 from tesserae.warehouse import Append, Warehouse, full_tier
 
@@ -119,6 +119,22 @@ class Engine:
                 self._cache(name, row["id"], run.touched)
         return counts
 
+    def ingest_batch(self, name: str, rows: DataFrame, stream: str, number: int) -> int:
+        """Ingests a stream's batch of documents exactly once: its number is committed with what it
+        changes, and a batch that comes again, after a failure, changes nothing. The version after it."""
+        row = self.collection(name)
+        if (-1 if (last := self.warehouse.batch_of(stream)) is None else last) >= number:
+            return self.warehouse.versions()[-1]
+        profile = (row["source_config"] or {}).get("metadata_profile")
+        run = upkeep.ingest(self.tables, shaped(rows), row["id"], self.now(), profile=profile, registry=self.registry, stage=self._stage, partial=True)
+        version = self.warehouse.commit({} if run.touched.isEmpty() else run.changes, batch=(stream, number))
+        self.merge_index()
+        return version
+
+    def changes(self, since: int, until: int | None = None) -> DataFrame:
+        """The documents that have changed between two versions; see ``Warehouse.changes``."""
+        return self.warehouse.changes("documents", since, until)
+
     def merge_index(self, fanout: int = index.FANOUT) -> int:
         """Merges index segments while a tier is full; how many merges were made."""
         merges = 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,7 +18,8 @@ from tesserae.plans import hybrid as H
 from tesserae.plans import upkeep
 from tesserae.schemas import TABLES
 from tesserae.sources import files
-from tesserae.staging import small
+from tesserae.staging import shared_dir, small
+from tesserae.warehouse import Warehouse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1007,6 +1009,25 @@ def _(c):
     return store.upsert_documents(_stored(c)["documents"], new).select("path", "hash")
 
 
+@query(
+    "change_feed",
+    _LISTING + """, after_ AS (SELECT d.path, coalesce(l.hash, d.hash) AS hash, d.active OR l.path IS NOT NULL AS active FROM docs d LEFT JOIN listing l USING (path) WHERE d.id % 10 <> 4 UNION ALL SELECT path, hash, true FROM listing WHERE path NOT IN (SELECT path FROM docs))
+SELECT coalesce(a.path, d.path) AS path, coalesce(a.hash, d.hash) AS hash, coalesce(a.active, d.active) AS active, CASE WHEN d.path IS NULL THEN 'insert' WHEN a.path IS NULL THEN 'delete' ELSE 'update' END AS change FROM after_ a FULL JOIN docs d USING (path) WHERE a.hash IS DISTINCT FROM d.hash OR a.active IS DISTINCT FROM d.active""",
+)
+def _(c):
+    """Two commits to a store, an upsert of a listing and a deletion, as the feed of what they changed;
+    the twin compares the whole tables."""
+    w = Warehouse(c.spark, f"{shared_dir(c.spark)}/tesserae/feed-{uuid.uuid4().hex}")
+    stored = _stored(c)["documents"]
+    first = w.commit({"documents": stored})
+    listed = _listing(c).select(F.lit(1).cast("long").alias("source_collection_id"), "path", "hash")
+    new = listed.withColumns({"title": F.col("path"), "modified_at": F.expr(_AT)}).join(stored.where("id % 10 = 4").select("path"), "path", "left_anti")
+    told = store.upsert_documents(w.read("documents"), new).drop("is_new").join(new.select("path"), "path", "left_semi").select(*stored.columns)
+    w.commit({"documents": upkeep.Change(store.KEYS, told)})
+    w.commit({"documents": upkeep.Change(store.KEYS, gone=stored.where("id % 10 = 4").select(*store.KEYS))})
+    return w.changes("documents", first).select("path", "hash", "active", "change")
+
+
 @query("sql_parameters", "SELECT lang, count(*) AS n FROM docs WHERE id >= 10 AND lang <> 'en' GROUP BY 1")
 def _(c):
     """The SQL surface: text with named parameters over a view."""

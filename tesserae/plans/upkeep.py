@@ -114,15 +114,16 @@ def index_columns() -> dict[str, Column]:
 
 
 def ingest(
-    tables: dict[str, DataFrame], listing: DataFrame, collection: int, now: Column, *, force: bool = False, profile: str | None = None, registry: metadata.Registry | None = None, stage: Stage = lambda df, name: df, read: Callable[[DataFrame], DataFrame] | None = None
+    tables: dict[str, DataFrame], listing: DataFrame, collection: int, now: Column, *, force: bool = False, profile: str | None = None, registry: metadata.Registry | None = None, stage: Stage = lambda df, name: df, read: Callable[[DataFrame], DataFrame] | None = None, partial: bool = False
 ) -> Run:
     """Brings a collection up to a listing ``(uri, path, size, mtime, content_type, text, error)``, or,
     with ``read``, one without texts, of which only touched files are read.
 
     New and modified files are stored, indexed (a text that is not indexable leaves the index) and
     their metadata extracted; files of unchanged hash have their fetch refreshed; documents that
-    the listing no longer holds are deactivated and leave the index. ``stage`` may write an
-    intermediate table that several of the changes read.
+    the listing no longer holds are deactivated and leave the index, unless it is ``partial``: rows
+    that have come, not all there are. ``stage`` may write an intermediate table that several of the
+    changes read.
     """
     documents = tables["documents"]
     number = F.lit(collection).cast("long").alias("source_collection_id")
@@ -132,6 +133,7 @@ def ingest(
     rows = fetched(loaded, now).select(number, "path", title(F.col("text"), F.col("path")).alias("title"), "hash", now.alias("modified_at"), "source_uri", "last_modified", "last_fetched_at", "content_type", "extra_metadata")
     again = fetched(seen.where(F.col("change") == "unchanged_hash"), now).select(number, "path", F.struct("last_modified", "last_fetched_at", "extra_metadata").alias("_f"))
     gone = store.stale(mine, seen).select(*store.KEYS)
+    gone = gone.limit(0) if partial else gone
     named = rows.select(*store.KEYS).union(again.select(*store.KEYS)).union(gone)
     part = mine.join(named, store.KEYS, "left_semi")
     changed = store.upsert_documents(part, rows, store.largest_id(documents)).drop("is_new").join(again, store.KEYS, "left")

@@ -19,6 +19,11 @@ TABLES = {
     "document_tags": "document_id long, tag string",
 }
 
+#: What tells the rows of a table apart.
+ROW_KEYS = {
+    "source_collections": ["id"], "content": ["hash"], "documents": ["source_collection_id", "path"], "content_vectors": ["hash", "model", "seq"],
+    "document_metadata": ["document_id"], "document_tags": ["document_id", "tag"],
+}
 #: Tables that lie in buckets by a hash of these columns.
 BUCKETED = {"documents": ["source_collection_id", "path"], "content": ["hash"], "content_vectors": ["hash"], "document_metadata": ["document_id"], "document_tags": ["document_id"]}
 #: Tables that grow by segments, with their columns.

@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators.store import apply_change
-from tesserae.schemas import BUCKETED, SEGMENTED, TABLES
+from tesserae.schemas import BUCKETED, ROW_KEYS, SEGMENTED, TABLES
 from tesserae.staging import hadoop_path, small
 
 BUCKETS = 32
+#: The pointer's entry of streams and their last batches; no table has such a name.
+STREAMS = "#streams"
 #: A table whose touched buckets are larger than this on average gets four times as many.
 BUCKET_BYTES = 256 << 20
 
@@ -144,10 +146,35 @@ class Warehouse:
         (rows.withColumn("seg", F.lit(version).cast("long")) if "seg" in SEGMENTED[name] else rows).write.parquet(f"{self.root}/{at}")
         return [] if self.load(name, [at]).isEmpty() else [[version, at, self._size(at)]]
 
-    def commit(self, tables: dict[str, DataFrame | Change | Append], drop: dict[str, list[int]] | None = None) -> int:
+    def changes(self, name: str, since: int, until: int | None = None) -> DataFrame:
+        """What has changed in a table between two versions: its rows of the later one (of the earlier one
+        where they are gone) with ``change``: ``insert``, ``update`` or ``delete``. Files that both
+        versions name are not read, so the work grows with what commits have touched."""
+        keys, before, after = ROW_KEYS[name], self.folders(name, since), self.folders(name, until)
+        old, new = self.load(name, [f for f in before if f not in set(after)]), self.load(name, [f for f in after if f not in set(before)])
+        whole = F.to_json(F.struct(*[F.col(c) for c in new.columns]))
+        was = old.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*old.columns).alias("_old"), whole.alias("_was"))
+        now = new.withColumn("_now", whole)
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        change = F.when(F.col("_was").isNull(), "insert").when(F.col("_now").isNull(), "delete").when(F.col("_was") != F.col("_now"), "update")
+        met = now.join(was, same, "full").withColumn("change", change).where(F.col("change").isNotNull())
+        return met.select(*[F.when(F.col("_now").isNull(), F.col("_old")[c]).otherwise(F.col(c)).alias(c) for c in new.columns], "change")
+
+    def batch_of(self, stream: str) -> int | None:
+        """The last batch of a stream that has been committed."""
+        return self._pointer()[1].get(STREAMS, {}).get(stream)
+
+    def commit(self, tables: dict[str, DataFrame | Change | Append], drop: dict[str, list[int]] | None = None, batch: tuple[str, int] | None = None) -> int:
         """Writes what changes and makes it current at once; returns the new version. ``drop`` names
-        segments, by version, that go. If nothing changes nothing is written."""
+        segments, by version, that go. If nothing changes nothing is written. With ``batch``, a
+        stream's name and batch number, the number is part of what is committed, and a batch that has
+        been committed before is passed over."""
         version, current = self._pointer()
+        streams = current.get(STREAMS, {})
+        if batch and streams.get(batch[0], -1) >= batch[1]:
+            return version
         placed = {n: {"segments": [s for s in current.get(n, {}).get("segments", []) if s[0] not in gone]} for n, gone in (drop or {}).items()}
         for name, given in tables.items():
             if isinstance(given, Change):
@@ -165,8 +192,10 @@ class Warehouse:
                 at = self._folder(name)
                 given.write.parquet(f"{self.root}/{at}")
                 placed[name] = {"folder": at}
-        if all(current.get(n) == entry for n, entry in placed.items()):
+        if all(current.get(n) == entry for n, entry in placed.items()) and not batch:
             return version
+        if batch:
+            placed[STREAMS] = streams | {batch[0]: batch[1]}
         self._point(version + 1, current | placed)
         return version + 1
 
@@ -185,7 +214,7 @@ class Warehouse:
     def vacuum(self, keep: int = 1, least_age: float = 86400.0) -> int:
         """Deletes folders that none of the last ``keep`` versions names. Those younger than
         ``least_age`` seconds stay, as a writer may be about to commit them."""
-        kept = {"/".join(f.split("/")[:2]) for v in self.versions()[-keep:] for entry in self._pointer(v)[1].values() for f in _folders(entry)}
+        kept = {"/".join(f.split("/")[:2]) for v in self.versions()[-keep:] for n, entry in self._pointer(v)[1].items() if n != STREAMS for f in _folders(entry)}
         path, fs = hadoop_path(self.spark, self.root)
         gone = 0
         for table in fs.listStatus(path) if fs.exists(path) else []:
@@ -200,7 +229,7 @@ class Warehouse:
 
     def views(self) -> None:
         """Registers every table as a temporary view, for ``spark.sql(text, args)``."""
-        for name in {*TABLES, *self._pointer()[1]}:
+        for name in {*TABLES, *self._pointer()[1]} - {STREAMS}:
             self.read(name).createOrReplaceTempView(name)
 
     def sql(self, text: str, args: list | dict | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """The engine end to end over folders: collections, ingestion, embedding, search, upkeep."""
 
+import datetime
 import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -12,6 +13,7 @@ from tesserae import __main__ as cli
 from tesserae.engine import Engine
 from tesserae.functions import providers, tracing
 from tesserae.operators import collections, fulltext, index, tags, vectors
+from tesserae.streaming import ingest
 
 
 @pytest.fixture
@@ -111,6 +113,43 @@ def test_segments_and_merges(spark, tmp_path):
     assert e.table("postings").count() == index.build(e.table("documents").where("active").join(e.table("content"), "hash"), {"path": F.col("path"), "body": F.col("doc")}).postings.count()
 
 
+def test_streaming_exactly_once(spark, tmp_path):
+    """A stream that is killed after a commit, before Spark has noted the batch, and started again ends
+    with what one batch of the same rows gives, and no batch is committed twice."""
+    source, schema = str(tmp_path / "in"), "path string, text string, mtime timestamp"
+    put = lambda *rows: spark.createDataFrame([(p, t, datetime.datetime(2024, 1, d)) for p, t, d in rows], schema).coalesce(1).write.mode("append").parquet(source)
+    e = Engine(spark, str(tmp_path / "w"))
+    e.add_collection("c", source, kind="parquet")
+    run = lambda: ingest.ingest_documents(e, "c", source, schema, str(tmp_path / "ck"), files_a_batch=1)
+    put(("a.md", "first text", 1), ("b.md", "other text #tag", 1))
+    run().awaitTermination()
+    versions = e.warehouse.versions()
+    put(("a.md", "second text", 2), ("c.md", "third", 2))
+    real = e.warehouse.commit
+
+    def killed(*args, **options):
+        real(*args, **options)
+        raise RuntimeError("killed")
+
+    e.warehouse.commit = killed
+    with pytest.raises(Exception, match="killed"):
+        run().awaitTermination()
+    e.warehouse.commit = real
+    assert e.warehouse.batch_of("documents") == 1 and len(e.warehouse.versions()) == len(versions) + 1
+    run().awaitTermination()
+    assert len(e.warehouse.versions()) == len(versions) + 1
+    put(("d.md", "last", 3))
+    run().awaitTermination()
+    whole = Engine(spark, str(tmp_path / "v"))
+    whole.add_collection("c", source, kind="parquet")
+    whole.ingest("c")
+    state = lambda x: sorted(map(tuple, x.sql("SELECT d.path, d.hash, d.active, l.dl, t.tag FROM documents d LEFT JOIN lengths l ON l.doc_id = d.id LEFT JOIN document_tags t ON t.document_id = d.id").collect()), key=str)
+    assert state(e) == state(whole) and e.live_index.stats.first() == whole.live_index.stats.first()
+    feed = {r["path"]: r["change"] for r in e.changes(versions[-1]).collect()}
+    assert feed == {"a.md": "update", "c.md": "insert", "d.md": "insert"}
+    assert {r["path"]: r["change"] for r in e.changes(e.warehouse.versions()[-1], versions[-1]).collect()} == {"a.md": "update", "c.md": "delete", "d.md": "delete"}
+
+
 def test_unchanged_files_are_not_read(spark, tmp_path, monkeypatch):
     d = tmp_path / "in"
     (d / "_drafts").mkdir(parents=True)

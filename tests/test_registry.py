@@ -46,6 +46,11 @@ def test_searches_read_no_text(spark):
         assert "regexp_extract_all" not in plan
 
 
+def test_searches_cut_to_the_page_before_the_shuffle(spark):
+    for name in ("bm25_search", "tag_search", "hybrid_search", "vector_search"):
+        assert "WindowGroupLimit" in QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scans_read_only_what_a_query_needs(spark):
     plan = QUERIES["weighted_score"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "l_discount" in plan and "l_shipdate" not in plan
