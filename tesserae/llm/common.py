@@ -88,10 +88,9 @@ def parts_of(df: DataFrame, part_bytes: int) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     size = sum(n for n in sizes if n < 1 << 60)
-    return max(shuffle_partitions(df.sparkSession), min(-(-size // part_bytes), MOST_PARTS))
+    return max(shuffle_partitions(df.sparkSession), -(-size // part_bytes))
 
 
-MOST_PARTS = 1 << 20
 HOT_SHARE = 1000
 
 
