@@ -8,9 +8,9 @@ owner sums them, sizes its slice for all that it counted (``BITS_AN_ENTRY`` for
 it, and answers each batch with the levels that its slice gives. So the filter grows with the
 corpus, holds every n-gram of it, and no slice leaves its owner.
 
-Scores are sums of ``log10((1 - MIX) * p1(w) + MIX * c(v, w) / c(v))`` with the filter's counts,
+Scores are sums of ``log10((c(v, w) + PRIOR * p1(w)) / (c(v) + PRIOR))`` with the filter's counts,
 where ``p1`` is the add-one unigram probability and ``v`` the token before (a text's end at its
-start). The base score beside it uses exact counts of all tokens, which the owners' answers hold
+start): the more often a token was seen, the more its followers weigh. The base score beside it uses exact counts of all tokens, which the owners' answers hold
 too, so no vocabulary is ever broadcast.
 
 Edge cases: a null text is its end token alone; an empty training set has N = V = 0 and base
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import Interner, dealt, doc_crc, held, parts_of, placed, shuffle_partitions
 
 BASE = 1.4
-MIX = 0.1
+#: Occurrences of a token before the next that weigh as much as the unigram probability.
+PRIOR = 300.0
 BITS_AN_ENTRY = 10
 PROBES = 5
 BLOCK = 512
@@ -98,12 +99,11 @@ class CountFilter:
         return out
 
 
-def fill(grams: np.ndarray, counts: np.ndarray, slice_bits: int) -> tuple[bytes, int]:
-    """A slice with the n-grams from the most frequent down to its capacity, and how many it took."""
+def fill(grams: np.ndarray, counts: np.ndarray, slice_bits: int) -> bytes:
+    """A slice with all the n-grams; one that is too small for them is an error."""
     level = levels(counts)
-    order = np.lexsort((grams, -counts))
-    taken = int(np.searchsorted(np.cumsum(level[order]), slice_bits // BITS_AN_ENTRY, side="right"))
-    grams, level = grams[order[:taken]], level[order[:taken]]
+    if int(level.sum()) * BITS_AN_ENTRY > slice_bits:
+        raise ValueError(f"a slice of {slice_bits} bits can't take {int(level.sum())} entries")
     slots = np.zeros(slice_bits, dtype=np.uint8)
     j = 1
     while len(grams):
@@ -112,7 +112,7 @@ def fill(grams: np.ndarray, counts: np.ndarray, slice_bits: int) -> tuple[bytes,
             slots[block + _bit(bits, i)] = 1
         j += 1
         grams, level = grams[level >= j], level[level >= j]
-    return np.packbits(slots).tobytes(), taken
+    return np.packbits(slots).tobytes()
 
 
 def capacity(counts: np.ndarray) -> int:
@@ -120,13 +120,12 @@ def capacity(counts: np.ndarray) -> int:
     return max(1, -(-int(levels(counts).sum()) * BITS_AN_ENTRY // BLOCK)) * BLOCK
 
 
-def read_back(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The levels that a slice filled with all keys counted gives for all keys, and how many keys
-    it took; a key of count 0 is asked for without having been counted."""
+def read_back(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The levels that a slice filled with all keys counted gives for all keys; a key of count 0 is
+    asked for without having been counted."""
     taught = counts > 0
     slice_bits = capacity(counts[taught])
-    data, taken = fill(keys[taught], counts[taught], slice_bits)
-    return CountFilter([data], slice_bits).level(keys), taken
+    return CountFilter([fill(keys[taught], counts[taught], slice_bits)], slice_bits).level(keys)
 
 
 def _block(grams: np.ndarray, level: int, slice_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -260,9 +259,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str =
         parts = [_unpack(p.as_py()) for p in payloads]
         keys, counts = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         del parts
-        level, taken = read_back(keys, counts)
-        if taken != (grams := int((counts > 0).sum())):
-            raise RuntimeError(f"the filter took {taken} of {grams} n-grams")
+        level = read_back(keys, counts)
         level = level.astype(np.uint8)
         single = (keys & np.uint64(1)) == 0
         head = np.array([counts[single].sum(), (counts[single] > 0).sum()], dtype=np.int64).tobytes()
@@ -312,7 +309,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", train: str =
             here, before = place[at:to], place[np.arange(at - 1, to - 1)]
             begin = ends[lo:hi] - size[lo:hi] - at
             seen = read[level[np.searchsorted(pair_keys, both[at:to])]]
-            p = np.log10((1 - MIX) * single[here] + MIX * seen / np.maximum(np.maximum(about[before], seen), 1))
+            p = np.log10((seen + PRIOR * single[here]) / (np.maximum(about[before], seen) + PRIOR))
             for total_, x in zip(sums, (known[here], base[here], p)):
                 total_.extend(np.add.reduceat(x, begin).tolist())
             lo = hi
