@@ -42,6 +42,8 @@ SPOT = 64
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words on which the short cut of the tokenizer has to equal the tokenizer itself.
+_PROBES = ("Word", "WORDS,", "a", "l\u2019\u00e9t\u00e9", "\u00c9tranger", "na\u00efve.", "stra\u00dfe", "\u65e5\u672c\u8a9e", "it's", "x2", "\u0130stanbul")
 BLOCK_CHARS = 300_000
 _ENDS = (".", "!", "?", "。", "…")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, sequence_length long"
@@ -67,7 +69,8 @@ class WordTokenizer:
 
     A word of letters and trailing ASCII punctuation, the common case, is two pre-tokens; its
     lower-case letters go straight to the BPE model and are remembered for all its spellings.
-    Any other word goes through the whole tokenizer.
+    Any other word goes through the whole tokenizer. A tokenizer for which that does not hold
+    raises ``ValueError``.
     """
 
     def __init__(self, path: str, limit: int = 450_000) -> None:
@@ -81,6 +84,11 @@ class WordTokenizer:
         self.cores = Memo(self._core, limit * 3 // 4)
         self.tails = Memo(self._whole, 50_000)
         self._clear()
+        for word in _PROBES:
+            if self._word(word) != self._whole(word):
+                raise ValueError(f"{path} does not lower-case words of letters and merge their bytes: {word!r} differs")
+        if self._whole(" ".join(_PROBES)) != b"".join(map(self._whole, _PROBES)):
+            raise ValueError(f"{path} joins what white space separates")
 
     def _clear(self) -> None:
         self.words.reset()
@@ -300,7 +308,7 @@ def pack(
                     amount += len(block[-1])
                 for doc_id, (ids, ends) in zip(names[lo:], words.encode(block)):
                     stream.add(doc_id, np.concatenate([ids, end]), ends)
-                    if stream.tokens >= block_tokens:
+                    if stream.tokens >= max(block_tokens, 4 * window):  # a block holds some windows, of which the last may wait
                         yield from rows(stream.flush(False))
                 lo += len(block)
         yield from rows(stream.flush(True))

@@ -8,11 +8,11 @@ from tokenizers import Tokenizer
 from tesserae.llm import packing
 
 
-def check(df):
+def check(df, **options):
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
     rows = df.collect()
     want = sorted((r["doc_id"], np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes()) for r in rows if r["doc_id"] is not None)
-    got = packing.pack(df, with_ids=True).collect()
+    got = packing.pack(df, with_ids=True, **options).collect()
     pieces = sorted((r for r in got if r["doc_id"] is not None), key=lambda r: (r["sequence_id"], r["offset"]))
     for r in got:
         assert zlib.crc32(np.array(r["ids"], dtype="<u4")) == r["ids_crc32"] and len(r["ids"]) == r["length"] > 0
@@ -40,8 +40,25 @@ def test_whole_table(small):
     assert padding < 0.02 * sum(length.values())
 
 
+@pytest.mark.parametrize("block_tokens", [1, 6000, 50_000])
+def test_many_blocks(small, block_tokens):
+    """Blocks that are packed before the stream ends: whole pieces, no gaps, little padding."""
+    got = check(small.coalesce(1), block_tokens=block_tokens)
+    length = {r["sequence_id"]: r["sequence_length"] for r in got}
+    padding = sum(0 if n & (n - 1) == 0 else 4096 - n for n in length.values())
+    assert padding < 0.05 * sum(length.values())
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_edges(edge, empty):
     check(edge)
+    check(edge, block_tokens=2000)
     assert packing.op3(empty).count() == 0
 
 
