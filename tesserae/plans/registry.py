@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,7 +17,7 @@ from tesserae.plans import hybrid as H
 from tesserae.plans import upkeep
 from tesserae.schemas import TABLES
 from tesserae.sources import files
-from tesserae.staging import shared_dir, small
+from tesserae.staging import small, temporary
 from tesserae.warehouse import Warehouse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -444,11 +443,16 @@ def _(c):
     return tags.ancestors(c.tags.select("tag").distinct(), tags.load_ontology())
 
 
-@query("ontology_descendants", _EDGES + " SELECT * FROM (WITH RECURSIVE down(tag, descendant, hop) AS (SELECT DISTINCT e.parent, e.child, 1 FROM edges e UNION ALL SELECT down.tag, e.child, down.hop + 1 FROM down JOIN edges e ON e.parent = down.descendant WHERE down.hop < 10) SELECT tag, descendant, hop FROM down)")
+_CARRIED = "(SELECT tag AS {name}, count(*) AS n FROM tags GROUP BY 1)"
+
+
+@query("ontology_descendants", _EDGES + " SELECT tag, descendant, hop, coalesce(n, 0) AS n FROM (WITH RECURSIVE down(tag, descendant, hop) AS (SELECT DISTINCT e.parent, e.child, 1 FROM edges e UNION ALL SELECT down.tag, e.child, down.hop + 1 FROM down JOIN edges e ON e.parent = down.descendant WHERE down.hop < 10) SELECT tag, descendant, hop FROM down) LEFT JOIN " + _CARRIED.format(name="descendant") + " USING (descendant)")
 def _(c):
+    """What lies below each tag of the ontology, and how many documents carry it."""
     known = tags.load_ontology()
     parents = small(c.spark, [(p,) for p in sorted({p for p, _ in known.pairs})], "tag string")
-    return tags.descendants(parents, known)
+    below = tags.descendants(parents, known)
+    return below.join(tags.frequency(c.tags).withColumnRenamed("tag", "descendant"), "descendant", "left").select("tag", "descendant", "hop", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("ontology_expand", _EDGES + ", own AS (SELECT DISTINCT document_id AS query_id, tag FROM tags), up AS (SELECT o.query_id, e.parent AS tag, 0.7::DOUBLE AS weight FROM own o JOIN edges e ON e.child = o.tag UNION ALL SELECT o.query_id, g.parent, 0.49::DOUBLE FROM own o JOIN edges e ON e.child = o.tag JOIN edges g ON g.child = e.parent) SELECT query_id, tag, round(max(weight), 6) AS weight FROM (SELECT query_id, tag, 1.0::DOUBLE AS weight FROM own UNION ALL SELECT * FROM up) GROUP BY ALL")
@@ -1017,7 +1021,7 @@ SELECT coalesce(a.path, d.path) AS path, coalesce(a.hash, d.hash) AS hash, coale
 def _(c):
     """Two commits to a store, an upsert of a listing and a deletion, as the feed of what they changed;
     the twin compares the whole tables."""
-    w = Warehouse(c.spark, f"{shared_dir(c.spark)}/tesserae/feed-{uuid.uuid4().hex}")
+    w = Warehouse(c.spark, temporary(c.spark, "feed"))
     stored = _stored(c)["documents"]
     first = w.commit({"documents": stored})
     listed = _listing(c).select(F.lit(1).cast("long").alias("source_collection_id"), "path", "hash")
@@ -1034,7 +1038,9 @@ def _(c):
     return c.spark.sql("SELECT lang, count(*) AS n FROM {docs} WHERE id >= :least AND lang <> :other GROUP BY lang", args={"least": 10, "other": "en"}, docs=c.documents)
 
 
-@query("ontology_children", _EDGES + " SELECT parent AS tag, child FROM edges")
+@query("ontology_children", _EDGES + " SELECT parent AS tag, child, coalesce(n, 0) AS n FROM edges LEFT JOIN " + _CARRIED.format(name="child") + " USING (child)")
 def _(c):
+    """The children of each tag of the ontology, and how many documents carry them."""
     known = tags.load_ontology()
-    return small(c.spark, [(t, x) for t in sorted(known.tags) for x in known.children(t)], "tag string, child string")
+    below = small(c.spark, [(t, x) for t in sorted(known.tags) for x in known.children(t)], "tag string, child string")
+    return below.join(tags.frequency(c.tags).withColumnRenamed("tag", "child"), "child", "left").select("tag", "child", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -33,12 +33,18 @@ def hadoop_path(spark: SparkSession, at: str):
     return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+def temporary(spark: SparkSession, label: str) -> str:
+    """A new folder's place in the shared folder; it goes when the driver ends."""
+    at = f"{shared_dir(spark)}/tesserae/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, at))
+    return at
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back; it goes when the driver ends."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tesserae/{label}-{uuid.uuid4().hex}"
+    at = temporary(spark, label)
     df.write.parquet(at)
-    _WRITTEN.append((spark, at))
     return spark.read.schema(df.schema).parquet(at)
 
 

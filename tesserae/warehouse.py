@@ -78,17 +78,24 @@ class Warehouse:
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
     def _pointer(self, version: int | None = None) -> tuple[int, dict]:
-        have = self.versions()
-        if not have:
-            return 0, {}
-        n = have[-1] if version is None else version
-        path, fs = hadoop_path(self.spark, f"{self.root}/_versions/{n:012d}.json")
-        stream = fs.open(path)
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return n, json.loads(text)
+        """A version and its tables. The last one by default: one that is still being written, or whose
+        writer has died, does not count, and a writer that starts from the one before meets a conflict."""
+        for n in reversed(self.versions()) if version is None else [version]:
+            path, fs = hadoop_path(self.spark, self._version(n))
+            stream = fs.open(path)
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            try:
+                return n, json.loads(text)
+            except ValueError:
+                if version is not None:
+                    raise
+        return 0, {}
+
+    def _version(self, number: int) -> str:
+        return f"{self.root}/_versions/{number:012d}.json"
 
     # -- reading
 
@@ -200,7 +207,7 @@ class Warehouse:
         return version + 1
 
     def _point(self, version: int, tables: dict) -> None:
-        path, fs = hadoop_path(self.spark, f"{self.root}/_versions/{version:012d}.json")
+        path, fs = hadoop_path(self.spark, self._version(version))
         fs.mkdirs(path.getParent())
         try:
             out = fs.create(path, False)
@@ -214,7 +221,12 @@ class Warehouse:
     def vacuum(self, keep: int = 1, least_age: float = 86400.0) -> int:
         """Deletes folders that none of the last ``keep`` versions names. Those younger than
         ``least_age`` seconds stay, as a writer may be about to commit them."""
-        kept = {"/".join(f.split("/")[:2]) for v in self.versions()[-keep:] for n, entry in self._pointer(v)[1].items() if n != STREAMS for f in _folders(entry)}
+        last = self._pointer()[0]
+        for v in self.versions():  # pointers that a writer left behind half written
+            path, fs = hadoop_path(self.spark, self._version(v))
+            if v > last and time.time() - fs.getFileStatus(path).getModificationTime() / 1000 >= least_age:
+                fs.delete(path, False)
+        kept = {"/".join(f.split("/")[:2]) for v in [v for v in self.versions() if v <= last][-keep:] for n, entry in self._pointer(v)[1].items() if n != STREAMS for f in _folders(entry)}
         path, fs = hadoop_path(self.spark, self.root)
         gone = 0
         for table in fs.listStatus(path) if fs.exists(path) else []:

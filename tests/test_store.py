@@ -1,4 +1,5 @@
 import datetime
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,6 +149,37 @@ def test_warehouse(spark, tmp_path):
     assert w.sql("SELECT hash FROM content WHERE hash = ?", ["a"]).count() == 1
 
 
+def test_writers_at_once_and_dead_ones(spark, tmp_path):
+    """Of writers that commit at once one wins; a pointer that is half written is no version, blocks
+    writers, and goes with a vacuum."""
+    w = Warehouse(spark, str(tmp_path / "w"))
+    row = lambda h: spark.createDataFrame([(h, "d", None)], w.read("content").schema)
+    w.commit({"content": row("a")})
+    base = w._pointer()
+    told = []
+
+    def write(h):
+        mine = Warehouse(spark, w.root)
+        mine._pointer = lambda v=None: base
+        try:
+            told.append(mine.commit({"content": row(h)}))
+        except Conflict:
+            told.append(None)
+
+    threads = [threading.Thread(target=write, args=(h,)) for h in "bcd"]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sorted(told, key=str) == [2, None, None] and w.read("content").count() == 1
+    (tmp_path / "w/_versions/000000000003.json").write_text('{"content"')
+    assert w._pointer()[0] == 2 and w.read("content").count() == 1
+    with pytest.raises(Conflict):
+        w.commit({"content": row("e")})
+    w.vacuum()
+    assert 3 in w.versions()
+    w.vacuum(least_age=0.0)
+    assert 3 not in w.versions() and w.commit({"content": row("e")}) == 3
+
+
 def test_touched_buckets(spark, tmp_path):
     """A change replaces the buckets of its keys and no others; keys that come twice are one row; a
     change of nothing writes nothing; large buckets are dealt into more."""
