@@ -11,9 +11,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.staging import shared_dir, small, staged
+from tesserae.staging import shared_dir, small, staged, temporary
 
-__all__ = ["shared_dir", "small", "staged"]
+__all__ = ["shared_dir", "small", "staged", "temporary"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,12 +5,14 @@ size tiers (powers of ``FANOUT``), and a tier is merged once it holds ``FANOUT``
 packed into runs of about the target size, each written as one new shard of a higher tier, which
 may fill that tier in turn. A flush also merges tiers that hold fewer. Runs never mix tiers.
 Every change is one new manifest
-version, written under a temporary name and renamed to its number: renaming fails if another
-writer has taken the number, so commits are atomic and a reader sees one version as a whole. Data
-files are never changed; files that no kept version names are removed by ``vacuum``.
-
-A merge reads a run's shards in one task and writes one file, with no shuffle; all runs of a
-compaction are one job, and a task that is lost is run again. The driver holds file names and
+version, a file that is created only if no other writer has taken its number. One that can't be read
+as a whole, as it is being written or its writer has died, is no version: readers see the one before,
+and writers that start from that one meet a conflict until ``vacuum`` has removed it. Data files are
+never changed; files that no kept version names are removed by ``vacuum``, but for young ones that a
+writer may be about to commit.
+
+A merge reads a run's shards in one task and writes one file, with no shuffle; up to ``RUNS_A_JOB``
+runs of a compaction are one job, and a task that is lost is run again. The driver holds file names and
 sizes only, about one for each target size of data.
 
 Edge cases: nulls in any column, empty and very long texts and repeated rows are stored as they
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import contextlib
 import json
+import time
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir
+from .common import temporary
 
 TARGET_BYTES = 64 << 20
 SHARD_ROWS = 4000
@@ -72,11 +75,6 @@ class ShardStore:
             return []
         return sorted((f.getPath().getName(), f.getLen()) for f in self._fs.listStatus(at))
 
-    def _write_text(self, name: str, text: str) -> None:
-        out = self._fs.create(self._path(name), True)
-        out.write(bytearray(text.encode()))
-        out.close()
-
     def _read_text(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
         try:
@@ -88,22 +86,26 @@ class ShardStore:
         return sorted(int(n.removesuffix(".json")) for n, _ in self._list("manifest") if n.removesuffix(".json").isdigit())
 
     def manifest(self, version: int | None = None) -> dict:
-        """A version's manifest, the latest by default; version 0 is empty."""
-        known = self.versions()
-        version = (known[-1] if known else 0) if version is None else version
-        if not version:
-            return {"version": 0, "schema": None, "shards": []}
-        return json.loads(self._read_text(f"manifest/{version:012d}.json"))
+        """A version's manifest, the latest whole one by default; version 0 is empty."""
+        for v in reversed(self.versions()) if version is None else [version][: bool(version)]:
+            try:
+                return json.loads(self._read_text(f"manifest/{v:012d}.json"))
+            except ValueError:
+                if version is not None:
+                    raise
+        return {"version": 0, "schema": None, "shards": []}
 
     def commit(self, base: dict, shards: list[Shard], schema: str) -> int:
         version = base["version"] + 1
-        held = f"manifest/.{uuid.uuid4().hex}.tmp"
         self._fs.mkdirs(self._path("manifest"))
-        self._write_text(held, json.dumps({"version": version, "schema": schema, "shards": [[s.name, s.size] for s in shards]}))
-        at = self._path(f"manifest/{version:012d}.json")
-        if self._fs.exists(at) or not self._fs.rename(self._path(held), at):
-            self._fs.delete(self._path(held), False)
-            raise CommitConflict(f"version {version} exists")
+        try:
+            out = self._fs.create(self._path(f"manifest/{version:012d}.json"), False)
+        except Exception as e:
+            raise CommitConflict(f"version {version} exists") from e
+        try:
+            out.write(bytearray(json.dumps({"version": version, "schema": schema, "shards": [[s.name, s.size] for s in shards]}).encode()))
+        finally:
+            out.close()
         return version
 
     def _written(self, folder: str) -> list[Shard]:
@@ -162,20 +164,26 @@ class ShardStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{n}" for n, _ in held["shards"]])
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Removes versions but the last ``keep`` and the data files that none of these names."""
-        known = self.versions()
-        live = {n for v in known[-keep:] for n, _ in self.manifest(v)["shards"]}
+    def vacuum(self, keep: int = 1, least_age: float = 86400.0) -> int:
+        """Removes versions but the last ``keep``, and data files that none of these names and that are
+        at least ``least_age`` seconds old, as are manifests that were never finished."""
+        last = self.manifest()["version"]
+        whole = [v for v in self.versions() if v <= last]
+        live = {n for v in whole[-keep:] for n, _ in self.manifest(v)["shards"]}
         removed = 0
         for folder, _ in self._list("data"):
             for name, _ in self._list(f"data/{folder}"):
-                if name.startswith("part-") and f"data/{folder}/{name}" not in live:
-                    self._fs.delete(self._path(f"data/{folder}/{name}"), False)
+                at = f"data/{folder}/{name}"
+                if name.startswith("part-") and at not in live and self._age(at) >= least_age:
+                    self._fs.delete(self._path(at), False)
                     removed += 1
-        for v in known[:-keep]:
+        for v in [*whole[:-keep], *(v for v in self.versions() if v > last and self._age(f"manifest/{v:012d}.json") >= least_age)]:
             self._fs.delete(self._path(f"manifest/{v:012d}.json"), False)
         return removed
 
+    def _age(self, name: str) -> float:
+        return time.time() - self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+
 
 @contextlib.contextmanager
 def _separate_unions(spark: SparkSession):
@@ -208,10 +216,10 @@ def op8(docs: DataFrame) -> DataFrame:
     """Appends the whole table as arrivals, compacts them, drops the merged inputs and reads the
     committed version back: one row a document, with a digest of its stored text."""
     spark = docs.sparkSession
-    store = ShardStore(spark, f"{shared_dir(spark)}/tesserae/store-{uuid.uuid4().hex}")
+    store = ShardStore(spark, temporary(spark, "store"))
     store.append(docs)
     version = store.compact(flush=True)
-    store.vacuum()
+    store.vacuum(least_age=0.0)  # no other writer knows of this store
     raw = F.encode("text", "UTF-8")
     return store.read(version).select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("text_sha256"))
 
