@@ -16,7 +16,7 @@ from tesserae.operators import collections, fulltext, index, store, tags
 from tesserae.plans import answers, hybrid, upkeep
 from tesserae.schemas import SEGMENTED, TABLES
 from tesserae.sources.base import Source, SourceRegistry, shaped
-from tesserae.staging import hadoop_path, staged
+from tesserae.staging import hadoop_path, small, staged
 from tesserae.warehouse import Append, Warehouse, full_tier
 
 
@@ -131,6 +131,19 @@ class Engine:
         self.merge_index()
         return version
 
+    def fetches(self, uris: list[str] | None = None) -> DataFrame:
+        """Fetch metadata, of all documents or by address."""
+        asked = None if uris is None else small(self.spark, [(u,) for u in uris], "source_uri string")
+        return upkeep.fetches(self.table("documents"), asked)
+
+    def stale_fetches(self, age: str) -> DataFrame:
+        return upkeep.stale_fetches(self.table("documents"), self.now(), age)
+
+    def clear_fetches(self, ids: list[int]) -> int:
+        """Forgets the fetches of some documents, which are then read again; the version after it."""
+        change = upkeep.clear_fetches(self.table("documents"), small(self.spark, [(i,) for i in ids], "id long"))
+        return self.warehouse.commit({"documents": change})
+
     def changes(self, since: int, until: int | None = None) -> DataFrame:
         """The documents that have changed between two versions; see ``Warehouse.changes``."""
         return self.warehouse.changes("documents", since, until)

@@ -102,13 +102,38 @@ def classify(documents: DataFrame, listing: DataFrame, *, force: bool = False, r
     return seen.withColumn("text", F.when(F.col("change").isin("new", "modified"), F.col("text")))
 
 
+#: What a source tells of a fetch, beside its time and the file's.
+TOLD = ("etag", "http_status", "fetch_duration_ms")
+FETCH_COLUMNS = ("source_uri", "last_modified", "last_fetched_at", "content_type", "extra_metadata", *TOLD)
+
+
 def fetched(rows: DataFrame, now: Column) -> DataFrame:
-    """What a fetch leaves on a document row."""
+    """What a fetch leaves on a document row; what the source does not tell is null."""
     extra = F.create_map(F.lit("size"), F.col("size").cast("string"), F.lit("mtime"), F.col("mtime").cast("string"))
     columns = {"source_uri": F.col("uri"), "last_modified": F.col("mtime").cast("string"), "last_fetched_at": now, "content_type": F.col("content_type"), "extra_metadata": extra}
+    for c in TOLD:
+        columns[c] = (F.col(c) if c in rows.columns else F.lit(None)).cast("string" if c == "etag" else "int")
     return rows.select(*[c for c in rows.columns if c not in columns], *[v.alias(k) for k, v in columns.items()])
 
 
+def fetches(documents: DataFrame, uris: DataFrame | None = None) -> DataFrame:
+    """The fetch metadata of documents that have any: of all, or of those of ``uris(source_uri)``."""
+    held = documents.where(F.col("source_uri").isNotNull() | F.col("last_fetched_at").isNotNull()).select("id", *store.KEYS, *FETCH_COLUMNS)
+    return held if uris is None else held.join(uris.select("source_uri").distinct(), "source_uri", "left_semi").select(*held.columns)
+
+
+def stale_fetches(documents: DataFrame, now: Column, age: str) -> DataFrame:
+    """Active documents that were never fetched, or not within ``age``, the oldest fetch first."""
+    return documents.where("active").where(store.needs_refresh(F.col("last_fetched_at"), now, age)).select("id", *store.KEYS, "source_uri", "last_fetched_at").orderBy(F.col("last_fetched_at").asc_nulls_first(), "id")
+
+
+def clear_fetches(documents: DataFrame, ids: DataFrame) -> Change:
+    """Forgets the fetches of documents ``ids(id)``."""
+    types = dict(documents.dtypes)
+    rows = documents.join(ids.select("id").distinct(), "id", "left_semi")
+    return Change(store.KEYS, rows.select(*[F.lit(None).cast(types[c]).alias(c) if c in FETCH_COLUMNS else F.col(c) for c in documents.columns]))
+
+
 def index_columns() -> dict[str, Column]:
     return {"path": F.col("path"), "body": F.col("doc")}
 
@@ -130,14 +155,14 @@ def ingest(
     mine = documents.where(F.col("source_collection_id") == collection)
     seen = stage(classify(mine, listing, force=force, read=read), "listing")
     loaded = seen.where(F.col("change").isin("new", "modified"))
-    rows = fetched(loaded, now).select(number, "path", title(F.col("text"), F.col("path")).alias("title"), "hash", now.alias("modified_at"), "source_uri", "last_modified", "last_fetched_at", "content_type", "extra_metadata")
-    again = fetched(seen.where(F.col("change") == "unchanged_hash"), now).select(number, "path", F.struct("last_modified", "last_fetched_at", "extra_metadata").alias("_f"))
+    rows = fetched(loaded, now).select(number, "path", title(F.col("text"), F.col("path")).alias("title"), "hash", now.alias("modified_at"), *FETCH_COLUMNS)
+    again = fetched(seen.where(F.col("change") == "unchanged_hash"), now).select(number, "path", F.struct(*FETCH_COLUMNS).alias("_f"))
     gone = store.stale(mine, seen).select(*store.KEYS)
     gone = gone.limit(0) if partial else gone
     named = rows.select(*store.KEYS).union(again.select(*store.KEYS)).union(gone)
     part = mine.join(named, store.KEYS, "left_semi")
     changed = store.upsert_documents(part, rows, store.largest_id(documents)).drop("is_new").join(again, store.KEYS, "left")
-    refresh = lambda c: F.coalesce(F.col("_f")[c], F.col(c)).alias(c) if c in ("last_modified", "last_fetched_at", "extra_metadata") else F.col(c)
+    refresh = lambda c: F.coalesce(F.col("_f")[c], F.col(c)).alias(c) if c in FETCH_COLUMNS else F.col(c)
     after = stage(store.soft_delete(changed.select(*[refresh(c) for c in documents.columns]), gone), "documents")
     content = stage(store.new_content(tables["content"], loaded.select("hash", F.col("text").alias("doc"), now.alias("created_at"))), "content")
     fresh = loaded.select("path", F.col("text").alias("doc")).join(after.select("id", "path"), "path")

@@ -1,7 +1,7 @@
 """Document sources: one interface over folders, tables, web addresses and loader objects.
 
-A source lists and reads its documents as one DataFrame ``(uri, path, size, mtime, content_type,
-text, error)``; its capabilities tell the ingestion plan what it can skip.
+A source lists and reads its documents as one DataFrame ``(uri, path, size, mtime, content_type, etag,
+http_status, fetch_duration_ms, text, error)``; its capabilities tell the ingestion plan what it can skip.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tesserae.operators.store import touched
 from tesserae.sources import files
 
-COLUMNS = {"uri": "string", "path": "string", "size": "long", "mtime": "timestamp", "content_type": "string", "text": "string", "error": "string"}
+COLUMNS = {"uri": "string", "path": "string", "size": "long", "mtime": "timestamp", "content_type": "string", "etag": "string", "http_status": "int", "fetch_duration_ms": "int", "text": "string", "error": "string"}
 
 
 @dataclass(frozen=True)

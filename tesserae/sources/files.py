@@ -132,25 +132,38 @@ def read_pages(pages: DataFrame) -> DataFrame:
 
 
 def read_web(spark: SparkSession, urls: list[str], *, plain: bool = True, timeout: float = 30.0) -> DataFrame:
-    """``uri, path, text, error`` of the given addresses, fetched by the tasks; an address that
-    fails has an error and no text."""
+    """``uri, path, text, error, mtime, content_type, etag, http_status, fetch_duration_ms`` of the given
+    addresses, fetched by the tasks; an address that fails has an error and no text."""
+    schema = "uri string, text string, error string, mtime timestamp, content_type string, etag string, http_status int, fetch_duration_ms int"
 
     def fetch(batches):
+        import time
+        import urllib.error
         import urllib.request
+        from email.utils import parsedate_to_datetime
 
         for batch in batches:
-            texts, errors = [], []
+            rows = []
             for url in batch["uri"]:
+                began, text, error, status, head = time.monotonic(), None, None, None, {}
                 try:
                     with urllib.request.urlopen(url, timeout=timeout) as reply:  # noqa: S310
-                        texts.append(reply.read().decode(getattr(reply.headers, "get_content_charset", lambda: None)() or "utf-8", "replace"))
-                    errors.append(None)
+                        head, status = reply.headers, getattr(reply, "status", None)
+                        text = reply.read().decode(getattr(head, "get_content_charset", lambda: None)() or "utf-8", "replace")
+                except urllib.error.HTTPError as e:
+                    error, status, head = str(e), e.code, e.headers
                 except Exception as e:
-                    texts.append(None)
-                    errors.append(str(e))
-            yield pd.DataFrame({"uri": batch["uri"], "text": texts, "error": errors})
-
-    rows = spark.createDataFrame([(u,) for u in urls], "uri string").mapInPandas(fetch, "uri string, text string, error string").select("uri", F.col("uri").alias("path"), "text", "error")
+                    error = str(e)
+                try:
+                    changed = pd.Timestamp(parsedate_to_datetime(head["Last-Modified"])).tz_convert("UTC").tz_localize(None) if head and head.get("Last-Modified") else None
+                except (TypeError, ValueError):
+                    changed = None
+                kind = (head.get("Content-Type") or "").partition(";")[0].strip() if head else ""
+                rows.append((url, text, error, changed, kind or None, head.get("ETag") if head else None, status, int(1000 * (time.monotonic() - began))))
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            yield out.astype({"http_status": "Int32", "fetch_duration_ms": "Int32", "mtime": "datetime64[ns]"})
+
+    rows = spark.createDataFrame([(u,) for u in urls], "uri string").mapInPandas(fetch, schema).withColumn("path", F.col("uri"))
     return rows.withColumn("text", html_text(F.col("text"))) if plain else rows
 
 

@@ -165,6 +165,12 @@ def test_unchanged_files_are_not_read(spark, tmp_path, monkeypatch):
     assert e.ingest("c", source=source) == {"indexed": 0, "skipped": 4, "errors": 0, "stale": 0}
     (d / "a.md").write_text("new text")
     assert e.ingest("c", source=source)["indexed"] == 1 and asked == [4, 0, 1]
+    found = e.fetches([f"file://{d}/_b.md", "file:///none"]).collect()
+    assert [(r["path"], r["content_type"], r["http_status"]) for r in found] == [("_b.md", "text/markdown", None)] and e.fetches().count() == 4
+    assert e.stale_fetches("1 day").count() == 0
+    e.clear_fetches([found[0]["id"]])
+    assert [r["path"] for r in e.stale_fetches("1 day").collect()] == ["_b.md"] and e.fetches().count() == 3
+    assert e.ingest("c", source=source) == {"indexed": 0, "skipped": 4, "errors": 0, "stale": 0} and asked[-1] == 1 and e.fetches([f"file://{d}/_b.md"]).count() == 1
 
 
 def test_command_line(spark, folder, tmp_path, capsys):

@@ -1,5 +1,6 @@
 import datetime
 import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,29 @@ def test_web(spark, tmp_path):
     assert got[True]["text"] == "One two" and got[False]["text"] is None
 
 
+def test_web_tells_of_the_fetch(spark):
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/a" else 404)
+            self.send_header("ETag", '"v1"')
+            self.send_header("Last-Modified", "Wed, 21 Feb 2024 07:28:00 GMT")
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write(b"<p>text</p>")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base_uri = f"http://127.0.0.1:{server.server_port}"
+    got = {r["uri"].rsplit("/", 1)[1]: r for r in base.WebSource(spark, [f"{base_uri}/a", f"{base_uri}/b"]).read().collect()}
+    server.shutdown()
+    a = got["a"]
+    assert (a["text"], a["etag"], a["http_status"], a["content_type"], a["mtime"], a["error"]) == ("text", '"v1"', 200, "text/html", datetime.datetime(2024, 2, 21, 7, 28), None) and a["fetch_duration_ms"] >= 0
+    assert got["b"]["http_status"] == 404 and got["b"]["text"] is None and got["b"]["error"]
+
+
 def test_loader(spark):
     class Doc:
         def __init__(self, text, **meta):
