@@ -69,7 +69,7 @@ class Corpus:
         if key not in _INDEXES:
             made = self.make_index()
             lengths = staged(made.lengths, "lengths")
-            _INDEXES[key] = index.Index(staged(index.ordered(made.postings), "postings"), lengths, staged(index.totals(lengths), "totals"))
+            _INDEXES[key] = index.Index(staged(index.laid_out(index.staged_runs(made, staged)), "postings"), lengths, staged(index.totals(lengths), "totals"))
         return _INDEXES[key]
 
     @property

@@ -34,6 +34,7 @@ def _accents() -> dict[str, str]:
 
 
 ACCENTS = _accents()
+_PLAIN = str.maketrans(ACCENTS)
 
 
 def fold(text: Column) -> Column:
@@ -42,7 +43,7 @@ def fold(text: Column) -> Column:
 
 
 def fold_text(text: str) -> str:
-    return text.translate(str.maketrans(ACCENTS))
+    return text.translate(_PLAIN)
 
 
 def words(text: Column) -> Column:
