@@ -802,7 +802,7 @@ _STORED = """, old AS (SELECT id, path, hash, active, CASE WHEN id % 2 = 0 THEN
 """
 
 
-def _stored(c: Corpus) -> dict[str, DataFrame]:
+def _stored(c: Corpus) -> upkeep.Tables:
     """The driver's tables as a store of one collection: odd documents lack a modification time, a
     third have no metadata."""
     at = F.expr(_AT)
@@ -812,18 +812,18 @@ def _stored(c: Corpus) -> dict[str, DataFrame]:
         F.when(F.col("id") % 2 == 0, "2024-01-01 00:00:00").alias("last_modified"), F.lit(None).cast("timestamp_ntz").alias("last_fetched_at"), F.lit(None).cast("int").alias("fetch_duration_ms"), F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("map<string,string>").alias("extra_metadata"),
     )
     tagged = c.tags.groupBy(F.col("document_id")).agg(F.array_sort(F.collect_set("tag")).alias("tags")).where(F.col("document_id") % 3 != 0)  # three tags a document
-    return {
-        "documents": made,
-        "content": c.content.select("hash", "doc", at.alias("created_at")),
-        "postings": c.index.postings.withColumn("seg", F.lit(0).cast("long")),
-        "lengths": c.index.lengths.withColumn("seg", F.lit(0).cast("long")),
-        "index_deletes": small(c.spark, [], TABLES["index_deletes"]),
-        "index_totals": c.index.totals,
-        "content_vectors": c.vectors.select("hash", "seq", F.lit(0).cast("long").alias("pos"), F.lit("m").alias("model"), at.alias("embedded_at"), "embedding"),
-        "document_metadata": tagged.select("document_id", F.lit("generic").alias("profile"), "tags", F.col("tags").alias("source_tags"), F.lit("{}").alias("attributes"), at.alias("extracted_at")),
-        "document_tags": c.tags,
-        "source_collections": small(c.spark, [], TABLES["source_collections"]),
-    }
+    return upkeep.Tables({
+        "documents": lambda: made,
+        "content": lambda: c.content.select("hash", "doc", at.alias("created_at")),
+        "postings": lambda: c.index.postings.withColumn("seg", F.lit(0).cast("long")),
+        "lengths": lambda: c.index.lengths.withColumn("seg", F.lit(0).cast("long")),
+        "index_deletes": lambda: small(c.spark, [], TABLES["index_deletes"]),
+        "index_totals": lambda: c.index.totals,
+        "content_vectors": lambda: c.vectors.select("hash", "seq", F.lit(0).cast("long").alias("pos"), F.lit("m").alias("model"), at.alias("embedded_at"), "embedding"),
+        "document_metadata": lambda: tagged.select("document_id", F.lit("generic").alias("profile"), "tags", F.col("tags").alias("source_tags"), F.lit("{}").alias("attributes"), at.alias("extracted_at")),
+        "document_tags": lambda: c.tags,
+        "source_collections": lambda: small(c.spark, [], TABLES["source_collections"]),
+    })
 
 
 def _found(c: Corpus) -> DataFrame:

@@ -7,8 +7,9 @@ and later written, grows with what has changed, not with the store.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Mapping, MutableMapping
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,29 +23,63 @@ from tesserae.warehouse import Append, Change
 Stage = Callable[[DataFrame, str], DataFrame]
 
 
+class Tables(MutableMapping):
+    """Tables by name, each made when it is first asked for: what no one reads is not built."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]) -> None:
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __setitem__(self, name: str, table: DataFrame) -> None:
+        self._makers[name] = lambda: table
+        self._made.pop(name, None)
+
+    def __delitem__(self, name: str) -> None:
+        del self._makers[name]
+        self._made.pop(name, None)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._makers
+
+
 @dataclass(frozen=True)
 class Run:
-    """``changes`` are for a commit; ``touched`` names the documents ``(path, active, hash)`` whose
-    rows change, where the pipeline changes any."""
+    """``rows`` are the changes of keyed tables, ``indexing`` makes those of the index; ``touched`` names
+    the documents ``(path, active, hash)`` whose rows change, where the pipeline changes any."""
 
-    changes: dict[str, Change | Append]
+    rows: dict[str, Change]
     summary: DataFrame
-    stored: dict[str, DataFrame]
+    stored: Mapping[str, DataFrame]
     touched: DataFrame | None = None
+    indexing: Callable[[], dict[str, Append]] | None = None
 
-    @property
-    def tables(self) -> dict[str, DataFrame]:
+    @cached_property
+    def changes(self) -> dict[str, Change | Append]:
+        """For a commit."""
+        return self.rows | (self.indexing() if self.indexing else {})
+
+    @cached_property
+    def tables(self) -> Mapping[str, DataFrame]:
         """The tables that change as they are afterwards; of the index, its live rows."""
-        out = {n: c.on(self.stored[n]) for n, c in self.changes.items() if isinstance(c, Change)}
-        if "index_deletes" in self.changes:
-            made = self.index.live()
-            out |= {"postings": made.postings, "lengths": made.lengths, "index_totals": index.totals(made.lengths)}
-        return out
+        out = {n: lambda n=n, c=c: c.on(self.stored[n]) for n, c in self.rows.items()}
+        if self.indexing:
+            out |= {"postings": lambda: self.index.live().postings, "lengths": lambda: self.index.live().lengths, "index_totals": lambda: index.totals(self.index.live().lengths)}
+        return Tables(out)
 
     @property
     def index(self) -> index.Index:
         """The index afterwards, with its new segment and delete set."""
-        after = dict(self.stored)
+        after = {n: self.stored[n] for n in SEGMENTED if n in self.stored}
         for name in SEGMENTED:
             if (given := self.changes.get(name)) and name in after:
                 rows = given.rows.withColumn("seg", F.lit(LATEST)) if "seg" in SEGMENTED[name] else given.rows
@@ -64,15 +99,16 @@ def index_changes(tables: dict[str, DataFrame], gone: DataFrame, new: index.Inde
     """A segment, a delete set and a change of the totals."""
     old = index_of(tables)
     made = new or index.Index(old.postings.limit(0).drop("seg"), old.lengths.limit(0).drop("seg"))
-    lengths = stage(made.lengths, "lengths")
-    deletes, delta = index.step(old, gone, index.Index(made.postings, lengths))
+    made = replace(made, lengths=stage(made.lengths, "lengths"))
+    deletes, delta = index.step(old, gone, made)
     out = {"index_deletes": Append(deletes), "index_totals": Append(delta)}
-    return out if new is None else segment(index.Index(made.postings, lengths)) | out
+    return out if new is None else segment(made, stage) | out
 
 
-def segment(made: index.Index) -> dict[str, Append]:
+def segment(made: index.Index, stage: Stage = lambda df, name: df) -> dict[str, Append]:
     """An index, or what a commit adds to one, as segments of its tables."""
-    return {"postings": Append(index.ordered(made.postings)), "lengths": Append(made.lengths), "blocks": Append(blockmax.ordered(blockmax.build(made)))}
+    made = index.staged_runs(made, stage)
+    return {"postings": Append(index.laid_out(made)), "lengths": Append(made.lengths), "blocks": Append(blockmax.ordered(blockmax.build(made)))}
 
 
 def title(text: Column, path: Column) -> Column:
@@ -172,10 +208,11 @@ def ingest(
     found = stage(found.select("document_id", "m.*", now.alias("extracted_at")), "metadata")
     counts = seen.agg(F.count_if(F.col("change").isin("new", "modified")).alias("indexed"), F.count_if(F.col("change").startswith("unchanged")).alias("skipped"), F.count_if(F.col("change") == "error").alias("errors"))
     return Run(
-        {"documents": Change(store.KEYS, after), "content": Change(["hash"], content), **described(found), **index_changes(tables, leaving, made, stage)},
+        {"documents": Change(store.KEYS, after), "content": Change(["hash"], content), **described(found)},
         counts.crossJoin(gone.agg(F.count("*").alias("stale"))),  # single rows
         tables,
         after.select("path", "active", "hash"),
+        lambda: index_changes(tables, leaving, made, stage),
     )
 
 
@@ -195,7 +232,7 @@ def remove_collection(tables: dict[str, DataFrame], number: int, stage: Stage =
     by_hash, by_id = Change(["hash"], gone=hashes), Change(["document_id"], gone=ids)
     changes = {"documents": Change(store.KEYS, gone=gone.select(*store.KEYS)), "content": by_hash, "content_vectors": by_hash, "document_metadata": by_id, "document_tags": by_id}
     left = gone.agg(F.count("*").alias("documents")).crossJoin(hashes.agg(F.count("*").alias("hashes")))  # single rows
-    return Run(changes | index_changes(tables, ids.select(F.col("document_id").alias("doc_id")), None, stage), left, tables)
+    return Run(changes, left, tables, indexing=lambda: index_changes(tables, ids.select(F.col("document_id").alias("doc_id")), None, stage))
 
 
 def embed_targets(documents: DataFrame, content: DataFrame, vectors: DataFrame, collection: int | None = None, *, force: bool = False) -> DataFrame:
@@ -233,19 +270,19 @@ def cleanup(tables: dict[str, DataFrame], stage: Stage = lambda df, name: df) ->
     summary has a row a table, with how many of its rows go."""
     live = tables["documents"].where("active")
     old = index_of(tables)
-    held = tables | {"lengths": old.live_lengths, "postings": old.alive(old.postings)}
+    held = dict(tables) | {"lengths": old.live_lengths, "postings": old.alive(old.postings)}
     by = {"content": "hash", "content_vectors": "hash", "lengths": "doc_id", "postings": "doc_id", "document_metadata": "document_id", "document_tags": "document_id"}
-    changes, summary = {}, None
+    changes, summary, indexing = {}, None, None
     for name, key in by.items():
         of = live.select(F.col("hash" if key == "hash" else "id").alias(key))
         dead = stage(held[name].join(of, key, "left_anti").groupBy(key).agg(F.count("*").alias("n")), f"dead-{name}")
         line = dead.agg(F.lit(name).alias("table"), F.coalesce(F.sum("n"), F.lit(0)).alias("removed"))
         summary = line if summary is None else summary.union(line)
         if name == "lengths":
-            changes |= index_changes(tables, dead.select("doc_id"), None, stage)
+            indexing = lambda gone=dead.select("doc_id"): index_changes(tables, gone, None, stage)
         elif name != "postings":
             changes[name] = Change([key], gone=dead.select(key))
-    return Run(changes, summary, tables)
+    return Run(changes, summary, tables, indexing=indexing)
 
 
 def backfill(tables: dict[str, DataFrame], now: Column, *, collection: int | None = None, force: bool = False, registry: metadata.Registry | None = None, stage: Stage = lambda df, name: df) -> Run:
@@ -267,8 +304,8 @@ def reindex(tables: dict[str, DataFrame], collection: int, stage: Stage = lambda
     """Indexes a collection's active documents anew and takes its other documents out of the index."""
     mine = tables["documents"].where(F.col("source_collection_id") == collection)
     live = mine.where("active").join(tables["content"].select("hash", "doc"), "hash")
-    changes = index_changes(tables, mine.select(F.col("id").alias("doc_id")), index.build(live, index_columns()), stage)
-    return Run(changes, mine.where("active").agg(F.count("*").alias("indexed")), tables)
+    indexing = lambda: index_changes(tables, mine.select(F.col("id").alias("doc_id")), index.build(live, index_columns()), stage)
+    return Run({}, mine.where("active").agg(F.count("*").alias("indexed")), tables, indexing=indexing)
 
 
 def status(tables: dict[str, DataFrame]) -> DataFrame:
