@@ -117,7 +117,7 @@ def title(text: Column, path: Column) -> Column:
 
 
 def classify(documents: DataFrame, listing: DataFrame, *, force: bool = False, read: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The listing with ``hash`` and ``change`` against a collection's documents: ``error``, ``new``,
+    """The listing with ``hash``, ``title`` and ``change`` against a collection's documents: ``error``, ``new``,
     ``unchanged_time`` (the stored modification time), ``unchanged_hash`` or ``modified``. Of a path
     that is listed twice the last one modified counts.
 
@@ -125,12 +125,13 @@ def classify(documents: DataFrame, listing: DataFrame, *, force: bool = False, r
     texts and only those of files whose time differs are read. Unchanged rows carry no text.
     """
     old = documents.where("active").select("path", F.col("hash").alias("_old"), F.col("last_modified").alias("_time"))
+    told = lambda rows: rows.withColumns({"hash": F.sha2("text", 256), "title": title(F.col("text"), F.col("path"))})
+    listing = listing if read is not None else told(listing)  # before rows of a path meet: texts are moved only where they are wanted
     seen = store.last_of(listing, ["path"], ["mtime", "uri"]).join(old, "path", "left")
     same_time = F.coalesce(F.col("_time") == F.col("mtime").cast("string"), F.lit(False)) & F.lit(not force)
     if read is not None:
         same = seen.where(same_time).withColumns({"text": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
-        seen = read(seen.where(~same_time)).unionByName(same)
-    seen = seen.withColumn("hash", F.sha2("text", 256))
+        seen = told(read(seen.where(~same_time)).unionByName(same))
     change = F.when(F.col("error").isNotNull(), "error").when(F.col("_old").isNull(), "new")
     if not force:
         change = change.when(same_time, "unchanged_time").when(F.col("_old") == F.col("hash"), "unchanged_hash")
@@ -191,7 +192,7 @@ def ingest(
     mine = documents.where(F.col("source_collection_id") == collection)
     seen = stage(classify(mine, listing, force=force, read=read), "listing")
     loaded = seen.where(F.col("change").isin("new", "modified"))
-    rows = fetched(loaded, now).select(number, "path", title(F.col("text"), F.col("path")).alias("title"), "hash", now.alias("modified_at"), *FETCH_COLUMNS)
+    rows = fetched(loaded, now).select(number, "path", "title", "hash", now.alias("modified_at"), *FETCH_COLUMNS)
     again = fetched(seen.where(F.col("change") == "unchanged_hash"), now).select(number, "path", F.struct(*FETCH_COLUMNS).alias("_f"))
     gone = store.stale(mine, seen).select(*store.KEYS)
     gone = gone.limit(0) if partial else gone
