@@ -292,9 +292,10 @@ def backfill(tables: dict[str, DataFrame], now: Column, *, collection: int | Non
     live = tables["documents"].where("active")
     live = live if collection is None else live.where(F.col("source_collection_id") == collection)
     forced = tables["source_collections"].select(F.col("id").alias("source_collection_id"), F.element_at("source_config", "metadata_profile").alias("forced"))
-    rows = live.select("id", "path", "hash", "source_collection_id").join(tables["content"].select("hash", "doc"), "hash").join(forced, "source_collection_id", "left")
+    rows = live.select("id", "path", "hash", "source_collection_id").join(forced, "source_collection_id", "left")
     if not force:
         rows = rows.join(tables["document_metadata"].select(F.col("document_id").alias("id")), "id", "left_anti")
+    rows = rows.join(tables["content"].select("hash", "doc"), "hash")  # last: texts are moved once
     found = rows.where(F.col("doc") != "").select(F.col("id").alias("document_id"), metadata.document_metadata(F.col("doc"), F.col("path"), F.col("forced"), registry).alias("m"))
     found = stage(found.select("document_id", "m.*", now.alias("extracted_at")), "metadata")
     counts = rows.agg(F.count("*").alias("processed"), F.count_if(F.col("doc") != "").alias("updated"), F.count_if(F.col("doc") == "").alias("skipped"))
