@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions import chunking
+
 _WORD = re.compile(r"\w+")
 
 
@@ -42,6 +45,25 @@ def embed(text: Column, model: Callable[[list[str]], np.ndarray] | None = None)
     return F.pandas_udf(apply, "array<float>")(text)
 
 
+def embed_chunks(docs: DataFrame, text: str, key: str, max_bytes: int, model: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
+    """``(id, seq, pos, embedding)`` of the chunks of texts that are not blank: cut and embedded by one
+    function, a slice of chunks at a time, so that no chunk leaves the task."""
+    run = model or hashing_embedder()
+    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.int32(), pa.int64(), pa.list_(pa.float32())
+        for batch in batches:
+            for rows in chunking.slices(batch, max_bytes):
+                rows = [r for r in rows if r[3].strip(" ")]
+                if rows:
+                    ids, seqs, starts, texts = zip(*rows)
+                    vectors = [np.asarray(v, dtype=np.float32) for v in run(list(texts))]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *map(pa.array, (seqs, starts, vectors), kinds)], names=["id", "seq", "pos", "embedding"])
+
+    return source.mapInArrow(apply, f"id {source.schema['id'].dataType.simpleString()}, seq int, pos long, embedding array<float>")
+
+
 def lexical_judge(query: str, body: str, least: float = 0.5) -> bool:
     """Whether a text's first 1000 characters hold at least a share of the query's words."""
     asked, held = set(_WORD.findall(query.lower())), set(_WORD.findall(body[:1000].lower()))

@@ -253,15 +253,18 @@ def embed(
     documents, vectors = tables["documents"], tables["content_vectors"]
     targets = embed_targets(documents, tables["content"], vectors, collection, force=force)
     good = targets.where(T.is_indexable(F.col("doc")))
-    parts = chunking.chunk(good, "doc", "hash", max_bytes).where(F.trim("text") != "")
-    made = parts.select(F.col("id").alias("hash"), "seq", "pos", F.lit(model).alias("model"), now.alias("embedded_at"), models.embed(F.col("text"), embedder).alias("embedding"))
-    made = stage(made, "vectors")
+    lazy = models.embed_chunks(good, "doc", "hash", max_bytes, embedder).select(F.col("id").alias("hash"), "seq", "pos", F.lit(model).alias("model"), now.alias("embedded_at"), "embedding")
+    made = stage(lazy, "vectors")
     old = targets.select("hash", F.lit(model).alias("model")) if force else None
-    done = made.groupBy("hash").agg(F.count("*").alias("n"))
+    if made is lazy:  # nothing is stored: chunks are counted without being embedded, of texts that moved once
+        parts = chunking.chunk(good.select("doc", F.struct("hash", "copies").alias("key")), "doc", "key", max_bytes).where(F.trim("text") != "")
+        done = parts.groupBy(F.col("id")["hash"].alias("hash"), F.col("id")["copies"].alias("copies")).agg(F.count("*").alias("n"))
+    else:
+        done = targets.select("hash", "copies").join(made.groupBy("hash").agg(F.count("*").alias("n")), "hash")
     live = documents.where("active")
     live = live if collection is None else live.where(F.col("source_collection_id") == collection)
     had = live.join(vectors.select("hash"), "hash", "left_semi").agg(F.count("*").alias("had")) if not force else live.sparkSession.range(1).select(F.lit(0).cast("long").alias("had"))
-    count = targets.select("hash", "copies").join(done, "hash").agg(F.count("*").alias("embedded"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("again"))
+    count = done.agg(F.count("*").alias("embedded"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("again"))
     summary = count.crossJoin(had).select("embedded", (F.col("had") + F.col("again")).alias("skipped"), "chunks")  # single rows
     return Run({"content_vectors": Change(["hash", "model"], made.select(*vectors.columns), old)}, summary, tables)
 
